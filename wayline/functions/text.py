@@ -193,7 +193,9 @@ def split_reasoning(answer: Column | str, mark: str = "</think>") -> dict[str, C
 def clean_sentences(text: Column | str) -> Column:
     """Close gaps before marks, capitalise each finished sentence, drop what is unfinished."""
     t = F.regexp_replace(_strip(_c(text)), r"\s+([.,!?])", "$1")
-    parts = F.transform(F.regexp_extract_all(t, F.lit(r"[^.!?]*[.!?]"), 0), lambda s: _capital(_strip(s)))
+    # cutting behind the marks is linear; a pattern for whole sentences would rescan an unfinished tail
+    pieces = F.filter(F.split(t, r"(?<=[.!?])"), lambda s: F.substring(s, -1, 1).isin(".", "!", "?"))
+    parts = F.transform(pieces, lambda s: _capital(_strip(s)))
     return F.array_join(F.filter(parts, lambda s: s != ""), " ")
 
 

@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayline.functions.text import token_count, tokens
-from wayline.operators.ordered import running_offsets
+from wayline.operators.ordered import cut, neighbours, running_offsets
 
 GROUP = ("inst_alias",)
 IDS = ("episode_id",)
 TOKEN_BLOCK = 2048
+TEXT_BLOCK = 512
 COPY_BLOCK = 64
 REPORT = ["length", "mattr", "hdd", "ngd", "cr", "cr_pos", "self_rep", "self_bleu", "hom_bleu", "hom_rougel"]
 
@@ -43,7 +44,8 @@ def _token_blocks(df: DataFrame, group: Sequence[str], ids: Sequence[str], text:
     """Cut the concatenated corpus into blocks of TOKEN_BLOCK tokens plus the `before` tokens ahead of each.
 
     Texts are cut at block borders and travel as array slices, so the shuffle carries
-    arrays, not one row per token.
+    arrays, not one row per token. The end of the corpus may leave a last block of
+    context only.
     """
     words = df.select(*group, *ids, tokens(text).alias("_t"))
     if lemma is not None:
@@ -78,29 +80,41 @@ def mattr(df: DataFrame, window: int = 50, group: Sequence[str] = GROUP, ids: Se
 
     A token at p whose previous occurrence is at q adds one type to each window that
     starts after q and covers p: starts max(q+1, p-w+1, 0) .. min(p, N-w). Only a q
-    among the last w-1 positions matters, so a block needs w-1 tokens of context and
-    no window is ever materialised. Fewer than w tokens: plain type-token ratio.
+    among the last w-1 positions matters, so a block needs a little context and no
+    window is ever materialised. The cut at N-w concerns the last w tokens only: every
+    block returns its last w (p, q), and the group keeps those of its last block.
+    Fewer than w tokens: plain type-token ratio.
     """
     w = window
-    lengths = df.groupBy(*group).agg(F.sum(token_count(text)).cast("long").alias("_N"))
-    blocks = _token_blocks(df, group, ids, text, w - 1, lemma).join(lengths, list(group))
-    span = F.least(F.col("_N"), F.lit(w))  # effective window
-    starts = F.col("_N") - span + 1
-    halo = F.least(F.lit(w - 1).cast("long"), F.col("_b") * TOKEN_BLOCK).cast("int")
-
-    def gain(t: Column, i: Column) -> Column:
-        seen = F.slice(F.col("_t"), F.greatest(F.lit(1), i - (w - 2)), F.least(i, F.lit(w - 1)))
-        back = F.array_position(F.reverse(seen), t)
-        p = F.col("_b") * TOKEN_BLOCK - F.col("_h") + i
-        first = F.greatest(F.when(back > 0, p - back + 1).otherwise(F.lit(0)), p - span + 1, F.lit(0))
-        return F.when(i >= F.col("_h"), F.greatest(F.lit(0), F.least(p, F.col("_N") - span) - first + 1)).otherwise(0)
-
-    gains = F.transform("_t", lambda t, i: gain(t, i).cast("long"))
-    per_block = blocks.withColumn("_h", halo).select(
-        *group, "_N", F.aggregate(gains, F.lit(0).cast("long"), lambda s, x: s + x).alias("_g"))
-    total = F.sum("_g")
-    return per_block.groupBy(*group, "_N").agg(total.alias("_g")).select(
-        *group, (F.col("_g") / (span * starts)).alias("mattr"))
+    before = 2 * (w - 1)  # exact q also for the w-1 tokens ahead of the block
+    blocks = _token_blocks(df, group, ids, text, before, lemma)
+    part = [*group, "_b"]
+    # the blocks are already partitioned by `part`, so this window adds no exchange
+    seen = F.lag("_i").over(Window.partitionBy(*part, "_w").orderBy("_i"))
+    rows = blocks.select(*part, F.size("_t").alias("_n"), F.posexplode("_t").alias("_i", "_w")).withColumn("_q", seen)
+    halo = F.least(F.lit(before).cast("long"), F.col("_b") * TOKEN_BLOCK)
+    base = F.col("_b") * TOKEN_BLOCK - halo
+    rows = rows.select(*part, "_i", (F.col("_i") >= halo).alias("_own"), (F.col("_i") >= F.col("_n") - w).alias("_late"),
+                       (base + F.col("_i")).alias("p"), F.coalesce(base + F.col("_q"), F.lit(-1)).alias("q"))
+
+    def first(p: Column, q: Column) -> Column:
+        return F.greatest(q + 1, p - w + 1, F.lit(0))
+
+    sums = rows.groupBy(*part).agg(
+        F.sum(F.when(F.col("_own"), F.col("p") - first(F.col("p"), F.col("q")) + 1).otherwise(0)).alias("_g"),
+        F.max("p").alias("_p"), F.collect_list(F.when(F.col("_late"), F.struct("p", "q"))).alias("_tail"))
+    whole = sums.groupBy(*group).agg(
+        F.sum("_g").alias("_g"), (F.max("_p") + 1).alias("_N"), F.max_by("_tail", F.struct("_p", "_b")).alias("_tail"))
+    end = F.col("_N") - w  # last window start
+
+    def over(s: Column) -> Column:
+        f = first(s["p"], s["q"])
+        return F.when(s["p"] > end, F.greatest(F.lit(0), end - f + 1) - (s["p"] - f + 1)).otherwise(0)
+
+    clipped = F.col("_g") + F.aggregate("_tail", F.lit(0).cast("long"), lambda a, s: a + over(s))
+    types = F.size(F.filter("_tail", lambda s: s["q"] < 0))
+    score = F.when(end >= 0, clipped / (w * F.greatest(end + 1, F.lit(1)))).otherwise(types / F.col("_N"))
+    return whole.select(*group, score.alias("mattr"))
 
 
 def hdd(df: DataFrame, draws: int = 42, group: Sequence[str] = GROUP, text: str = "text") -> DataFrame:
@@ -175,30 +189,36 @@ def ngram_diversity(df: DataFrame, n: int = 4, cross_text: bool = True, group: S
         words = _with_following(words, group, ids, n - 1)
     else:
         words = words.withColumn("_after", F.array().cast("array<string>"))
-    own = F.size("_w")
-    line = F.concat("_w", "_after")
-    grams = []
-    for m in range(1, n + 1):
-        starts = F.least(own, F.size("_line") - m + 1)
-        made = F.transform(F.sequence(F.lit(1), F.greatest(starts, F.lit(1))), lambda i, m=m: F.struct(
-            F.lit(m).alias("m"), F.array_join(F.slice("_line", i, m), " ").alias("g")))
-        grams.append(F.when(starts >= 1, made).otherwise(F.slice(made, 1, 0)))
-    rows = words.withColumn("_line", line).select(*group, F.inline(F.concat(*grams)))
-    distinct = rows.groupBy(*group, "m", "g").agg(F.count(F.lit(1)).alias("_c"))
+    rows = words.select(*group, F.size("_w").alias("_s"), F.concat("_w", "_after").alias("_w"))
+    distinct = _ngrams(rows, group, n, F.col("_s")).groupBy(*group, "m", "gram").agg(F.count(F.lit(1)).alias("_c"))
     ratio = distinct.groupBy(*group, "m").agg((F.count(F.lit(1)) / F.sum("_c")).alias("_r"))
     return ratio.groupBy(*group).agg(F.sum("_r").alias("ngd"))
 
 
+def _shifted(words: str, n: int, starts: Column) -> Column:
+    """Array of structs (w1..wn) for the first `starts` positions; null beyond the end."""
+    return F.arrays_zip(*[F.slice(words, F.lit(i), starts).alias(f"w{i}") for i in range(1, n + 1)])
+
+
+def _ngrams(rows: DataFrame, keep: Sequence[str], n: int, starts: Column, words: str = "_w") -> DataFrame:
+    """Rows (keep..., m, gram) of all 1..n-grams. Slices are zipped, so no lambda runs per token."""
+    quads = rows.select(*keep, F.inline(_shifted(words, n, starts)))
+    names = [f"w{i}" for i in range(1, n + 1)]
+    forms = [F.struct(F.lit(m).alias("m"), F.when(F.col(f"w{m}").isNotNull(), F.concat_ws(" ", *names[:m])).alias("gram"))
+             for m in range(1, n + 1)]
+    return quads.select(*keep, F.inline(F.array(*forms))).where(F.col("gram").isNotNull())
+
+
 def _with_following(words: DataFrame, group: Sequence[str], ids: Sequence[str], need: int) -> DataFrame:
     """Add `_after`: the `need` words that follow each text in corpus order."""
-    from wayline.operators.ordered import neighbours
-
     key = list(group)
+    # always blocked: windows over the whole group would leave every later step partitioned by group
     heads = running_offsets(words.select(*group, *ids, F.slice("_w", 1, need).alias("_head")), group, ids, F.lit(1), "_pos")
-    near = neighbours(heads, key, {f"_h{i}": ("_head", i) for i in range(1, need + 1)}, "_pos")
+    near = neighbours(heads, key, {f"_h{i}": ("_head", i) for i in range(1, need + 1)}, "_pos", TEXT_BLOCK)
     nothing = F.array().cast("array<string>")
     after = F.slice(F.concat(*[F.coalesce(F.col(f"_h{i}"), nothing) for i in range(1, need + 1)]), 1, need)
-    return words.join(near.select(*group, *ids, after.alias("_after")), [*group, *ids])
+    # both sides grow with the data; a merge join also keeps the texts spread out for what follows
+    return words.join(near.select(*group, *ids, after.alias("_after")).hint("merge"), [*group, *ids])
 
 
 def self_repetition(df: DataFrame, n: int = 4, match: str = "substring", group: Sequence[str] = GROUP,
@@ -207,75 +227,73 @@ def self_repetition(df: DataFrame, n: int = 4, match: str = "substring", group:
 
     With `substring`, a text contains t1..tn when it has tokens x1 t2 .. t(n-1) xn with
     x1 ending in t1 and xn starting with tn. Comparing n-grams that share their inner
-    tokens would be quadratic for frequent ones. Instead each occurrence is expanded to
-    the (suffix of x1, inner, prefix of xn) it contains: first suffixes, kept only if
-    the shortened (n-1)-gram exists, then prefixes, kept only if the n-gram exists.
-    Work stays linear in the tokens.
+    tokens would be quadratic for frequent ones. Instead outer tokens are cut to the
+    shorter forms that occur beside the same inner tokens and looked up, so work stays
+    linear in the tokens.
     """
     if n < 3 and match == "substring":
         raise ValueError("substring matching needs n >= 3")
     g, i = list(group), list(ids)
-    words = df.select(*g, *i, tokens(text).alias("_t"))
-    gram = F.transform(F.sequence(F.lit(1), F.size("_t") - (n - 1)), lambda s: F.struct(
-        F.element_at("_t", s).alias("a"), F.array_join(F.slice("_t", s + 1, n - 2), " ").alias("m"),
-        F.element_at("_t", s + (n - 1)).alias("z")))
-    has = words.where(F.size("_t") >= n).select(*g, *i, F.inline(gram))
-    rows = has.groupBy(*g, *i, "a", "m", "z").agg(F.count(F.lit(1)).alias("_c"))
-    grams = rows.select(*g, "a", "m", "z").distinct()
-    if match == "token":
-        holders = rows
-    else:
-        lefts = grams.select(*g, "a", "m").distinct()
-        left_map = _extensions(lefts, g, "m", "a", True)
-        rights = grams.select(*g, "m", "z").distinct()
-        right_map = _extensions(rights, g, "m", "z", False)
-        # distinct n-grams -> the n-grams they contain, before any text is touched
-        inside = (
-            grams.join(left_map.withColumnRenamed("to", "a2"), [*g, "a", "m"])
-            .join(right_map.withColumnRenamed("to", "z2"), [*g, "m", "z"])
-        )
-        known = grams.select(*g, F.col("a").alias("a2"), "m", F.col("z").alias("z2"))
-        inside = inside.join(known, [*g, "a2", "m", "z2"], "left_semi")
-        holders = (
-            rows.join(inside, [*g, "a", "m", "z"])
-            .select(*g, *i, F.col("a2").alias("a"), "m", F.col("z2").alias("z")).distinct()
-        )
-    spread = holders.groupBy(*g, "a", "m", "z").agg(F.count(F.lit(1)).alias("_texts"))
-    per_text = rows.join(spread, [*g, "a", "m", "z"]).groupBy(*g, *i).agg(
+    words = df.repartition(*g, *i).select(*g, *i, tokens(text).alias("_t"))
+    names = [f"w{k}" for k in range(1, n + 1)]
+    has = (
+        words.select(*g, *i, F.inline(_shifted("_t", n, F.size("_t")))).where(F.col(names[-1]).isNotNull())
+        .select(*g, *i, F.col("w1").alias("a"), F.concat_ws(" ", *names[1:-1]).alias("m"), F.col(names[-1]).alias("z"))
+    )
+    rows = cut(has.groupBy(*g, *i, "a", "m", "z").agg(F.count(F.lit(1)).alias("_c")))
+    gram = [*g, "a", "m", "z"]
+    spread = rows.groupBy(*gram).agg(F.count(F.lit(1)).alias("_texts"))
+    if match == "substring":
+        spread = cut(spread)
+        spread = _add_containing(spread, rows, g, i)
+    # an n-gram of a single text adds nothing
+    per_text = rows.join(spread.where(F.col("_texts") > 1), gram).groupBy(*g, *i).agg(
         F.log(1 + F.sum(F.col("_c") * (F.col("_texts") - 1))).alias("_s"))
     sums = per_text.groupBy(*g).agg(F.sum("_s").alias("_sum"))
     sizes = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
     return sizes.join(sums, g, "left").select(*g, (F.coalesce("_sum", F.lit(0.0)) / F.col("_n")).alias("self_rep"))
 
 
-def _extensions(pairs: DataFrame, g: list[str], inner: str, edge: str, suffix: bool) -> DataFrame:
-    """For each (edge, inner) pair, the ends `to` of the edge that form a known pair with the same inner tokens.
+def _add_containing(spread: DataFrame, rows: DataFrame, g: list[str], i: list[str]) -> DataFrame:
+    """Text counts including the texts that hold a longer form of the n-gram's outer tokens."""
+    gram = [*g, "a", "m", "z"]
+    grams = spread.select(*gram)
+    left = _shorter(grams.select(*g, "a", "m").distinct(), g, "a", True).withColumnRenamed("to", "a2")
+    right = _shorter(grams.select(*g, "m", "z").distinct(), g, "z", False).withColumnRenamed("to", "z2")
+    known = grams.select(*g, F.col("a").alias("a2"), "m", F.col("z").alias("z2"))
+    by_left = grams.join(left, [*g, "a", "m"])
+    cols = [*gram, "a2", "z2"]
+    longer = (
+        by_left.withColumn("z2", F.col("z")).select(*cols)
+        .unionByName(by_left.join(right, [*g, "m", "z"]).select(*cols))
+        .unionByName(grams.join(right, [*g, "m", "z"]).withColumn("a2", F.col("a")).select(*cols))
+        .join(known, [*g, "a2", "m", "z2"], "left_semi")
+    )
+    found = rows.join(longer, gram).select(*g, *i, F.col("a2").alias("a"), "m", F.col("z2").alias("z")).distinct()
+    # texts that hold only the longer form
+    new = found.join(rows, [*g, *i, "a", "m", "z"], "left_anti").groupBy(*gram).agg(F.count(F.lit(1)).alias("_more"))
+    return spread.join(new, gram, "left").withColumn("_texts", F.col("_texts") + F.coalesce("_more", F.lit(0))).drop("_more")
+
+
+def _shorter(pairs: DataFrame, g: list[str], edge: str, suffix: bool) -> DataFrame:
+    """For each (edge, inner) pair, the shorter ends `to` of the edge that form a known pair with the same inner tokens.
 
-    Lengths are matched before anything is cut, so a very long token costs one integer
-    per character and only cuts the lengths that occur.
+    Lengths are matched first: inner tokens with one edge length drop out, and a very
+    long token is only cut at lengths that occur beside the same inner tokens.
     """
-    known = pairs.select(*g, inner, F.col(edge).alias("to"))
-    sizes = known.select(*g, inner, F.length("to").alias("_l")).distinct()
-    lengths = pairs.select(*g, inner, edge, F.explode(F.sequence(F.lit(1), F.length(edge))).alias("_l"))
+    known = pairs.select(*g, "m", F.col(edge).alias("to"))
+    sizes = known.groupBy(*g, "m").agg(F.collect_set(F.length("to")).alias("_ls")).where(F.size("_ls") > 1)
     whole = F.length(edge)
-    cut = F.substring(F.col(edge), whole - F.col("_l") + 1, F.col("_l")) if suffix else F.substring(F.col(edge), F.lit(1), F.col("_l"))
-    return (
-        lengths.join(sizes, [*g, inner, "_l"], "left_semi")
-        .select(*g, inner, edge, cut.alias("to"))
-        .join(known, [*g, inner, "to"], "left_semi")
-    )
+    fits = pairs.join(sizes, [*g, "m"]).withColumn("_l", F.explode(F.filter("_ls", lambda x: x < F.length(edge))))
+    cut_ = F.substring(F.col(edge), whole - F.col("_l") + 1, F.col("_l")) if suffix else F.substring(F.col(edge), F.lit(1), F.col("_l"))
+    return fits.select(*g, "m", edge, cut_.alias("to")).join(known, [*g, "m", "to"], "left_semi")
 
 
 def _gram_counts(df: DataFrame, g: list[str], i: list[str], text: str, n: int = 4) -> DataFrame:
     """Rows (group, id, n-gram order m, n-gram, count)."""
-    words = df.select(*g, *i, tokens(text).alias("_t"))
-    made = [
-        F.when(F.size("_t") >= m, F.transform(F.sequence(F.lit(1), F.greatest(F.size("_t") - (m - 1), F.lit(1))), lambda s, m=m: F.struct(
-            F.lit(m).alias("m"), F.array_join(F.slice("_t", s, m), " ").alias("gram"))))
-        for m in range(1, n + 1)
-    ]
-    empty = F.array().cast("array<struct<m:int,gram:string>>")
-    rows = words.select(*g, *i, F.inline(F.concat(*[F.coalesce(x, empty) for x in made])))
+    # texts are moved once, so that the n-grams of a text (many times its size) are counted where it is
+    words = df.repartition(*g, *i).select(*g, *i, tokens(text).alias("_t"))
+    rows = _ngrams(words, [*g, *i], n, F.size("_t"), "_t")
     return rows.groupBy(*g, *i, "m", "gram").agg(F.count(F.lit(1)).alias("c"))
 
 
@@ -299,12 +317,13 @@ def self_bleu(df: DataFrame, group: Sequence[str] = GROUP, ids: Sequence[str] =
     g, i = list(group), list(ids)
     rows = _gram_counts(df, g, i, text, n)
     levels = rows.groupBy(*g, "m", "gram", "c").agg(F.count(F.lit(1)).alias("k"))
-    top = levels.groupBy(*g, "m", "gram").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("c", "k")))), 1, 2).alias("_l"))
+    # an n-gram of a single text has no match elsewhere
+    top = levels.groupBy(*g, "m", "gram").agg(F.sum("k").alias("_texts"), F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("c", "k")))), 1, 2).alias("_l")).where(F.col("_texts") > 1)
     best = top.select(*g, "m", "gram", F.col("_l")[0]["c"].alias("_c1"), F.col("_l")[0]["k"].alias("_k1"),
                       F.coalesce(F.get("_l", F.lit(1))["c"], F.lit(0)).alias("_c2"))
     other = F.when((F.col("c") == F.col("_c1")) & (F.col("_k1") == 1), F.col("_c2")).otherwise(F.col("_c1"))
     hits = [F.sum(F.when(F.col("m") == m, F.least("c", other)).otherwise(0)).alias(f"_h{m}") for m in range(1, n + 1)]
-    clipped = rows.join(best, [*g, "m", "gram"]).groupBy(*g, *i).agg(*hits)
+    clipped = rows.join(best.hint("shuffle_hash"), [*g, "m", "gram"]).groupBy(*g, *i).agg(*hits)
     lengths = df.select(*g, *i, token_count(text).cast("long").alias("_len"))
     hist = lengths.groupBy(*g, "_len").agg(F.count(F.lit(1)).alias("_k"))
     w = Window.partitionBy(*g).orderBy("_len")
@@ -334,19 +353,22 @@ def _pairwise_mean(df: DataFrame, score, group: Sequence[str], ids: Sequence[str
     placed = running_offsets(texts, g, ["_x"], F.lit(1), "_pos")
     counts = texts.groupBy(*g).agg(F.ceil(F.count(F.lit(1)) / block).alias("_nb"), F.sum("_k").alias("_n"))
     blocks = placed.withColumn("_b", F.floor(F.col("_pos") / block)).join(counts, g)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1))
-    refs = blocks.select(*g, F.col("_b").alias("_rb"), other.alias("_hb"), "_pos", "_x", "_k")
-    hyps = blocks.select(*g, other.alias("_rb"), F.col("_b").alias("_hb"), "_pos", "_x", "_k")
+    roles = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1), lambda o: F.array(
+        F.struct(F.col("_b").alias("_rb"), o.alias("_hb"), F.lit(True).alias("_ref")),
+        F.struct(o.alias("_rb"), F.col("_b").alias("_hb"), F.lit(False).alias("_ref")))))
+    sent = blocks.select(*g, "_pos", "_x", "_k", F.inline(roles))
     schema = ", ".join(f"`{c}` {types[c]}" for c in g) + ", part double"
 
-    def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["_ref"]], pdf[~pdf["_ref"]]
         part = score(left["_x"].tolist(), right["_x"].tolist())
-        weight = np.outer(left["_k"].to_numpy(float), right["_k"].to_numpy(float))
-        weight -= np.where(left["_pos"].to_numpy()[:, None] == right["_pos"].to_numpy()[None, :], left["_k"].to_numpy(float)[:, None], 0.0)
+        own = left["_k"].to_numpy(float)
+        weight = np.outer(own, right["_k"].to_numpy(float))
+        same = left["_pos"].to_numpy()[:, None] == right["_pos"].to_numpy()[None, :]
+        weight -= np.where(same, own[:, None], 0.0)
         return pd.DataFrame([[*key[: len(g)], float((part * weight).sum())]], columns=[*g, "part"])
 
-    keys = [*g, "_rb", "_hb"]
-    sums = refs.groupBy(*keys).cogroup(hyps.groupBy(*keys)).applyInPandas(meet, schema)
+    sums = sent.groupBy(*g, "_rb", "_hb").applyInPandas(meet, schema)
     n = F.col("_n").cast("double")
     return (
         sums.groupBy(*g).agg(F.sum("part").alias("_s")).join(counts, g)

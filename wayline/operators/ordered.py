@@ -14,6 +14,7 @@ sums) is carried through a summary with one row per block.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -32,16 +33,18 @@ def _key_window(key: Sequence[str], *more: str):
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Store an intermediate result reliably, so that its two consumers do not compute it twice.
+    """Write an intermediate result once, so that its several consumers do not compute it again.
 
-    The folder is the cluster's `spark.checkpoint.dir`; only where none is set (tests) a
-    temporary one is used.
+    It becomes a parquet table below the cluster's `spark.checkpoint.dir`, which also cuts
+    the lineage; only where that is unset (tests) a temporary folder is used.
     """
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wayline-checkpoint-")
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = tempfile.mkdtemp(prefix="wayline-cut-")
+    path = f"{root.rstrip('/')}/wayline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def sequence_block(df: DataFrame, key: Sequence[str], hot_rows: int = HOT_ROWS) -> int | None:

@@ -164,13 +164,16 @@ def matched_rank(features: DataFrame, ids: Sequence[str], scale: float = LOGIT_S
     own = similarity("v", "t", kind, scale)
     rows = placed.withColumn("_b", F.floor(F.col("pos") / block)).withColumn("own", own)
     last = F.floor((total - 1) / block)
-    every = F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long")))
-    q = rows.select(F.col("_b").alias("qb"), every.alias("db"), "pos", "v", "own")
-    d = rows.select(every.alias("qb"), F.col("_b").alias("db"), "pos", "t")
+    roles = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), last.cast("long")), lambda o: F.array(
+        F.struct(F.col("_b").alias("qb"), o.alias("db"), F.lit(True).alias("query")),
+        F.struct(o.alias("qb"), F.col("_b").alias("db"), F.lit(False).alias("query")))))
+    sent = rows.select("pos", F.inline(roles), "own", "v", "t").select(
+        "qb", "db", "query", "pos", "own", F.when(F.col("query"), F.col("v")).otherwise(F.col("t")).alias("vec"))
     factor = math.exp(scale)
 
-    def count(qs: pd.DataFrame, ds: pd.DataFrame) -> pd.DataFrame:
-        v, t = np.stack(qs["v"].to_numpy()).astype(float), np.stack(ds["t"].to_numpy()).astype(float)
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        qs, ds = pdf[pdf["query"]], pdf[~pdf["query"]]
+        v, t = np.stack(qs["vec"].to_numpy()).astype(float), np.stack(ds["vec"].to_numpy()).astype(float)
         if kind == "mse":
             s = 2 * v @ t.T - (v * v).sum(1)[:, None] - (t * t).sum(1)[None, :]
             s = s / v.shape[1]
@@ -187,8 +190,7 @@ def matched_rank(features: DataFrame, ids: Sequence[str], scale: float = LOGIT_S
         return pd.DataFrame({"pos": qs["pos"], "own": qs["own"], "above": above.sum(1),
                              "before": (level & (dp < qp)).sum(1), "level": level.sum(1)})
 
-    counts = q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(
-        lambda a, b: count(a, b), "pos long, own double, above long, before long, level long")
+    counts = sent.groupBy("qb", "db").applyInPandas(count, "pos long, own double, above long, before long, level long")
     summed = counts.groupBy("pos").agg(F.first("own").alias("own"), F.sum("above").alias("above"),
                                        F.sum("before").alias("before"), F.sum("level").alias("level"), )
     return summed.withColumn("rank", F.col("above") + F.col("before") + 1).withColumn("n", total)
