@@ -162,9 +162,8 @@ def matched_rank(features: DataFrame, ids: Sequence[str], scale: float = LOGIT_S
     placed = running_offsets(features.withColumn("_g", F.lit(0)), ["_g"], ids, F.lit(1), "pos").drop("_g")
     total = features.agg(F.count(F.lit(1)).alias("n")).scalar()
     own = similarity("v", "t", kind, scale)
-    rows = placed.withColumn("_b", F.floor(F.col("pos") / block)).withColumn("own", own)
-    last = F.floor((total - 1) / block)
-    roles = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), last.cast("long")), lambda o: F.array(
+    rows = placed.withColumn("_b", F.floor(F.col("pos") / block)).withColumn("own", own).withColumn("_last", F.floor((total - 1) / block))
+    roles = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), "_last"), lambda o: F.array(
         F.struct(F.col("_b").alias("qb"), o.alias("db"), F.lit(True).alias("query")),
         F.struct(o.alias("qb"), F.col("_b").alias("db"), F.lit(False).alias("query")))))
     sent = rows.select("pos", F.inline(roles), "own", "v", "t").select(

@@ -23,7 +23,8 @@ def survey_order(items: DataFrame, raters: DataFrame, n: int = 5, item: str = "p
     units = items.select(item).distinct()
     placed = running_offsets(units.withColumn("_g", F.lit(0)), ["_g"], [item], F.lit(1), "_pos").drop("_g")
     total = units.agg(F.count(F.lit(1)).cast("long").alias("n")).scalar()
-    take = F.least(F.lit(n).cast("long"), total)
+    people = raters.select(rater).withColumn("_total", total)
+    total, take = F.col("_total"), F.least(F.lit(n).cast("long"), F.col("_total"))
 
     def draw(taken: Column, j: Column) -> Column:
         # j counts back from the end: 0 stands for N - n
@@ -34,7 +35,7 @@ def survey_order(items: DataFrame, raters: DataFrame, n: int = 5, item: str = "p
     steps = F.sequence(F.lit(0).cast("long"), take - 1)
     picked = F.aggregate(steps, F.array().cast("array<bigint>"), draw)
     shown = F.transform(picked, lambda p: F.struct(hash_uniform(rater, p, seed=seed, salt="survey_order").alias("u"), p.alias("_pos")))
-    drawn = raters.select(rater, F.posexplode(F.array_sort(shown)).alias("item_rank", "_s")).select(rater, "item_rank", "_s._pos")
+    drawn = people.select(rater, F.posexplode(F.array_sort(shown)).alias("item_rank", "_s")).select(rater, "item_rank", "_s._pos")
     rows = drawn.join(placed, "_pos").join(items.select(item, system), item)
     u = hash_uniform(rater, item, system, seed=seed, salt="survey_system")
     # a rater sees the few systems of one item
