@@ -82,7 +82,8 @@ def mattr(df: DataFrame, window: int = 50, group: Sequence[str] = GROUP, ids: Se
     starts after q and covers p: starts max(q+1, p-w+1, 0) .. min(p, N-w). Only a q
     among the last w-1 positions matters, so a block needs a little context and no
     window is ever materialised. The cut at N-w concerns the last w tokens only: every
-    block returns its last w (p, q), and the group keeps those of its last block.
+    block returns its last w (p, q), and the group keeps those of the block that owns
+    the last token.
     Fewer than w tokens: plain type-token ratio.
     """
     w = window
@@ -104,7 +105,7 @@ def mattr(df: DataFrame, window: int = 50, group: Sequence[str] = GROUP, ids: Se
         F.sum(F.when(F.col("_own"), F.col("p") - first(F.col("p"), F.col("q")) + 1).otherwise(0)).alias("_g"),
         F.max("p").alias("_p"), F.collect_list(F.when(F.col("_late"), F.struct("p", "q"))).alias("_tail"))
     whole = sums.groupBy(*group).agg(
-        F.sum("_g").alias("_g"), (F.max("_p") + 1).alias("_N"), F.max_by("_tail", F.struct("_p", "_b")).alias("_tail"))
+        F.sum("_g").alias("_g"), (F.max("_p") + 1).alias("_N"), F.max_by("_tail", F.struct(F.col("_p"), -F.col("_b"))).alias("_tail"))
     end = F.col("_N") - w  # last window start
 
     def over(s: Column) -> Column:
@@ -225,7 +226,8 @@ def self_repetition(df: DataFrame, n: int = 4, match: str = "substring", group:
                     ids: Sequence[str] = IDS, text: str = "text") -> DataFrame:
     """Mean over texts of ln(1 + sum over its n-grams of the texts containing it - number of its n-grams).
 
-    With `substring`, a text contains t1..tn when it has tokens x1 t2 .. t(n-1) xn with
+    Join keys start with the n-gram: sorting compares leading columns first, and the
+    group is the same for most rows. With `substring`, a text contains t1..tn when it has tokens x1 t2 .. t(n-1) xn with
     x1 ending in t1 and xn starting with tn. Comparing n-grams that share their inner
     tokens would be quadratic for frequent ones. Instead outer tokens are cut to the
     shorter forms that occur beside the same inner tokens and looked up, so work stays
@@ -241,7 +243,7 @@ def self_repetition(df: DataFrame, n: int = 4, match: str = "substring", group:
         .select(*g, *i, F.col("w1").alias("a"), F.concat_ws(" ", *names[1:-1]).alias("m"), F.col(names[-1]).alias("z"))
     )
     rows = cut(has.groupBy(*g, *i, "a", "m", "z").agg(F.count(F.lit(1)).alias("_c")))
-    gram = [*g, "a", "m", "z"]
+    gram = ["m", "a", "z", *g]
     spread = rows.groupBy(*gram).agg(F.count(F.lit(1)).alias("_texts"))
     if match == "substring":
         spread = cut(spread)
@@ -256,22 +258,22 @@ def self_repetition(df: DataFrame, n: int = 4, match: str = "substring", group:
 
 def _add_containing(spread: DataFrame, rows: DataFrame, g: list[str], i: list[str]) -> DataFrame:
     """Text counts including the texts that hold a longer form of the n-gram's outer tokens."""
-    gram = [*g, "a", "m", "z"]
+    gram = ["m", "a", "z", *g]
     grams = spread.select(*gram)
     left = _shorter(grams.select(*g, "a", "m").distinct(), g, "a", True).withColumnRenamed("to", "a2")
     right = _shorter(grams.select(*g, "m", "z").distinct(), g, "z", False).withColumnRenamed("to", "z2")
     known = grams.select(*g, F.col("a").alias("a2"), "m", F.col("z").alias("z2"))
-    by_left = grams.join(left, [*g, "a", "m"])
+    by_left = grams.join(left, ["m", "a", *g])
     cols = [*gram, "a2", "z2"]
     longer = (
         by_left.withColumn("z2", F.col("z")).select(*cols)
-        .unionByName(by_left.join(right, [*g, "m", "z"]).select(*cols))
-        .unionByName(grams.join(right, [*g, "m", "z"]).withColumn("a2", F.col("a")).select(*cols))
-        .join(known, [*g, "a2", "m", "z2"], "left_semi")
+        .unionByName(by_left.join(right, ["m", "z", *g]).select(*cols))
+        .unionByName(grams.join(right, ["m", "z", *g]).withColumn("a2", F.col("a")).select(*cols))
+        .join(known, ["m", "a2", "z2", *g], "left_semi")
     )
     found = rows.join(longer, gram).select(*g, *i, F.col("a2").alias("a"), "m", F.col("z2").alias("z")).distinct()
     # texts that hold only the longer form
-    new = found.join(rows, [*g, *i, "a", "m", "z"], "left_anti").groupBy(*gram).agg(F.count(F.lit(1)).alias("_more"))
+    new = found.join(rows, ["m", "a", "z", *i, *g], "left_anti").groupBy(*gram).agg(F.count(F.lit(1)).alias("_more"))
     return spread.join(new, gram, "left").withColumn("_texts", F.col("_texts") + F.coalesce("_more", F.lit(0))).drop("_more")
 
 
@@ -284,9 +286,9 @@ def _shorter(pairs: DataFrame, g: list[str], edge: str, suffix: bool) -> DataFra
     known = pairs.select(*g, "m", F.col(edge).alias("to"))
     sizes = known.groupBy(*g, "m").agg(F.collect_set(F.length("to")).alias("_ls")).where(F.size("_ls") > 1)
     whole = F.length(edge)
-    fits = pairs.join(sizes, [*g, "m"]).withColumn("_l", F.explode(F.filter("_ls", lambda x: x < F.length(edge))))
+    fits = pairs.join(sizes, ["m", *g]).withColumn("_l", F.explode(F.filter("_ls", lambda x: x < F.length(edge))))
     cut_ = F.substring(F.col(edge), whole - F.col("_l") + 1, F.col("_l")) if suffix else F.substring(F.col(edge), F.lit(1), F.col("_l"))
-    return fits.select(*g, "m", edge, cut_.alias("to")).join(known, [*g, "m", "to"], "left_semi")
+    return fits.select(*g, "m", edge, cut_.alias("to")).join(known, ["m", "to", *g], "left_semi")
 
 
 def _gram_counts(df: DataFrame, g: list[str], i: list[str], text: str, n: int = 4) -> DataFrame:
@@ -323,7 +325,7 @@ def self_bleu(df: DataFrame, group: Sequence[str] = GROUP, ids: Sequence[str] =
                       F.coalesce(F.get("_l", F.lit(1))["c"], F.lit(0)).alias("_c2"))
     other = F.when((F.col("c") == F.col("_c1")) & (F.col("_k1") == 1), F.col("_c2")).otherwise(F.col("_c1"))
     hits = [F.sum(F.when(F.col("m") == m, F.least("c", other)).otherwise(0)).alias(f"_h{m}") for m in range(1, n + 1)]
-    clipped = rows.join(best.hint("shuffle_hash"), [*g, "m", "gram"]).groupBy(*g, *i).agg(*hits)
+    clipped = rows.join(best.hint("shuffle_hash"), ["gram", "m", *g]).groupBy(*g, *i).agg(*hits)
     lengths = df.select(*g, *i, token_count(text).cast("long").alias("_len"))
     hist = lengths.groupBy(*g, "_len").agg(F.count(F.lit(1)).alias("_k"))
     w = Window.partitionBy(*g).orderBy("_len")

@@ -122,8 +122,8 @@ def write_instructions(df: DataFrame, path: str) -> None:
 
 def expand_outputs(episodes: DataFrame, alias: str, generate_num: int = 1) -> DataFrame:
     """Work items (episode, alias, i) for i < generate_num."""
-    n = F.explode(F.sequence(F.lit(0), F.lit(generate_num - 1)))
-    return episodes.withColumn("inst_alias", F.lit(alias)).withColumn("inst_id", n.cast("string"))
+    n = F.explode(F.array(*[F.lit(str(i)) for i in range(generate_num)]))
+    return episodes.withColumn("inst_alias", F.lit(alias)).withColumn("inst_id", n)
 
 
 def episode_lists(df: DataFrame, value: str, key: Sequence[str] = KEY, order: str = IDX) -> DataFrame:
