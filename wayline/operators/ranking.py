@@ -47,7 +47,8 @@ def top_classes(df: DataFrame, names: DataFrame, k: int = 1, limit: int | None =
     The class names have at most one entry per vector element, so they travel as one
     map literal computed by a scalar subquery; the ranking stays inside the row.
     """
-    table = names.agg(F.map_from_entries(F.collect_list(F.struct(F.col(class_id).cast("int"), class_name))).alias("m")).scalar()
+    named = names.where(F.col(class_id) < limit) if limit else names
+    table = named.agg(F.map_from_entries(F.collect_list(F.struct(F.col(class_id).cast("int"), class_name))).alias("m")).scalar()
     scores = F.slice(vec, 1, limit) if limit else F.col(vec)
     ranked = F.array_sort(F.transform(scores, lambda x, i: F.struct((-x).alias("s"), i.alias("i"))))
     picks = F.slice(ranked, 1, k)
