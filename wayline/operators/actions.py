@@ -71,8 +71,7 @@ def smooth_turn_majority(df: DataFrame, key: Sequence[str] = KEY, strict: bool =
     vote = F.when(F.col("_nl") > F.col("_nr"), LEFT).when(F.col("_nr") > F.col("_nl"), RIGHT).otherwise(tie)
     if block is None:
         w = Window.partitionBy(*key, "_turn", "_head")
-        voted = (rows.withColumn("_nl", left.over(w)).withColumn("_nr", right.over(w))
-                 .withColumn("_first", F.first(col).over(w.orderBy(idx))))
+        voted = rows.select("*", left.over(w).alias("_nl"), right.over(w).alias("_nr"), F.min_by(col, idx).over(w).alias("_first"))
     else:
         rows = cut(rows)
         runs = rows.where("_turn").groupBy(*key, "_head").agg(

@@ -158,15 +158,15 @@ def _matched_similarity(s, d):
     return R.matched_similarity(R.batch_pairs(_manifest(s, d))).select(r6("similarity"))
 
 
-@query("pad_and_mask", """SELECT doc, i, coalesce(x, 0) AS x, coalesce(x, 0) <> 0 AS mask FROM (
-    SELECT conv_id AS doc, unnest(range(1, n + 1)) AS i, xs, n FROM (SELECT conv_id, list(CASE WHEN turn = 2 THEN 0 ELSE length(text) END ORDER BY turn) AS xs,
-    max(count(*)) OVER (PARTITION BY conv_id % 10) AS n FROM conversations GROUP BY conv_id)) p, LATERAL (SELECT xs[i] AS x)""")
+@query("pad_and_mask", """SELECT conv_id, turn, i, coalesce(xs[i], 0) AS x, coalesce(xs[i], 0) <> 0 AS mask FROM (SELECT conv_id, turn, xs, unnest(range(1, n + 1)) AS i FROM (
+    SELECT conv_id, turn, xs, max(len(xs)) OVER (PARTITION BY conv_id) AS n FROM (SELECT conv_id, turn,
+    list_transform(string_split(text, ' '), lambda w: CASE WHEN contains(w, 'e') THEN 0 ELSE length(w) END) AS xs FROM conversations)))""")
 def _pad_and_mask(s, d):
-    t = X.table(s, d, "conversations").withColumn("x", F.when(F.col("turn") == 2, 0).otherwise(F.length("text")).cast("long"))
-    lists = t.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "x"))), lambda z: F.array(z["x"])).alias("values"))
-    out = R.pad_and_mask(lists.withColumn("batch_id", F.col("conv_id") % 10))
-    rows = out.select(F.col("conv_id").alias("doc"), F.posexplode(F.arrays_zip("padded", "mask")).alias("i", "z"))
-    return rows.select("doc", (F.col("i") + 1).cast("long").alias("i"), F.col("z.padded")[0].alias("x"), F.col("z.mask").alias("mask"))
+    words = F.transform(F.split("text", " "), lambda w: F.array(F.when(w.contains("e"), 0).otherwise(F.length(w)).cast("long")))
+    lists = X.table(s, d, "conversations").select("conv_id", "turn", words.alias("values"))
+    out = R.pad_and_mask(lists, ["conv_id"])
+    rows = out.select("conv_id", "turn", F.posexplode(F.arrays_zip("padded", "mask")).alias("i", "z"))
+    return rows.select("conv_id", "turn", (F.col("i") + 1).cast("long").alias("i"), F.col("z.padded")[0].alias("x"), F.col("z.mask").alias("mask"))
 
 
 @query("classification_report", using("fx_labels", """SELECT sum(n)::BIGINT AS rows, round(sum(n) FILTER (p = t) / sum(n)::DOUBLE, 6) AS accuracy, round(sum(n) FILTER (p = t) / sum(n)::DOUBLE, 6) AS f1_micro,

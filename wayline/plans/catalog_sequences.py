@@ -18,7 +18,7 @@ from wayline.operators import motion as MO
 from wayline.operators import sampling as SA
 from wayline.functions.lexicon import ACTION_PHRASES
 from wayline.operators.frames import KEY
-from wayline.operators.ordered import IDX
+from wayline.operators.ordered import IDX, number_rows, sequence_block
 from wayline.plans import fixtures as X
 from wayline.plans.catalog_base import query, r6, u, using
 from wayline.plans.flows import generate
@@ -280,11 +280,9 @@ def _motion_class(s, d):
     sims="""SELECT label, frame_idx, list_dot_product(e, p) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(p, p))) AS sim FROM (
       SELECT *, lag(e) OVER (PARTITION BY label ORDER BY frame_idx) AS p FROM vecs)"""))
 def _similar_runs(s, d):
-    from wayline.operators.ordered import number_rows
-
     e = X.table(s, d, "embeddings").select(F.col("label").alias("episode_id"), "vec_id", F.col("embedding").alias("vec"))
     rows = number_rows(e, ["episode_id"], ["vec_id"], F.floor(F.col("vec_id") / 4096))
-    return D.similar_runs(rows, ["episode_id"], threshold=0.2)
+    return D.similar_runs(rows, ["episode_id"], threshold=0.2, block=sequence_block(e, ["episode_id"]))
 
 
 _SCENES = f"""SELECT {KEYS}, n_frames, n_items, CASE WHEN n_frames >= 58 AND n_items >= 3 THEN
@@ -360,16 +358,20 @@ def _assemble(s, d):
     WHERE p IS DISTINCT FROM x GROUP BY 1"""))
 def _ablate(s, d):
     t = D.ablate(X.dialogue(s, d), obj=True, use_enter_leave=False)
-    return D.assemble(D.dedup_adjacent(D.frame_description(t), ["episode_id"]), ["episode_id"])
+    block = sequence_block(X.dialogue(s, d), ["episode_id"])
+    return D.assemble(D.dedup_adjacent(D.frame_description(t), ["episode_id"], block=block), ["episode_id"])
 
 
-@query("explode_entities", using("fx_dialogue", """SELECT episode_id, frame_idx * 3 AS frame_idx, row_number() OVER (PARTITION BY episode_id ORDER BY frame_idx) - 1 AS pos,
-    action, scene, md5(object) AS object FROM fx_dialogue"""))
+@query("explode_entities", """SELECT conv_id, turn, frame_idx, row_number() OVER (PARTITION BY conv_id, turn ORDER BY frame_idx) - 1 AS pos, action, scene, object FROM (
+    SELECT conv_id, turn, turn + 2 AS frame_idx, 'go' AS action, role AS scene, md5(text) AS object FROM conversations UNION ALL
+    SELECT conv_id, turn, turn * 10 + 11, 'stop', upper(role), NULL FROM conversations)""")
 def _explode_entities(s, d):
-    t = X.dialogue(s, d).withColumn("k", (F.col(IDX) * 3).cast("string"))
-    m = lambda c: F.map_from_entries(F.collect_list(F.struct("k", c)))
-    infos = t.groupBy("episode_id").agg(m("action").alias("actions_compact"), m("scene").alias("scenes"), m("object").alias("objects"))
-    return D.explode_entities(infos, ["episode_id"]).withColumn("object", F.md5("object"))
+    low, high = (F.col("turn") + 2).cast("string"), (F.col("turn") * 10 + 11).cast("string")
+    maps = {"actions_compact": ("go", "stop"), "scenes": (F.col("role"), F.upper("role")), "objects": (F.md5("text"), F.lit(None).cast("string"))}
+    lit = lambda v: F.lit(v) if isinstance(v, str) else v
+    # the later frame comes first in the stored map
+    infos = X.table(s, d, "conversations").select("conv_id", "turn", *[F.create_map(high, lit(b), low, lit(a)).alias(n) for n, (a, b) in maps.items()])
+    return D.explode_entities(infos, ["conv_id", "turn"])
 
 
 _GEN = {

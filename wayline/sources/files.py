@@ -34,7 +34,8 @@ def _stem(path: Column) -> Column:
     return F.regexp_replace(path_part(path, 1), r"(.)\.[^.]*$", "$1")
 
 
-def scan_frames(spark: SparkSession, root: str, modality: str = "rgb", content: bool = False) -> DataFrame:
+def scan_frames(spark: SparkSession, root: str, modality: str = "rgb", content: bool = False,
+                png_fallback: bool = True) -> DataFrame:
     """Frames of all episodes: `*.jpg`, or `*.png` where an episode has no jpg; numbered in natural order.
 
     The listing reads no image unless `content` is asked for; select frames first, then
@@ -43,8 +44,12 @@ def scan_frames(spark: SparkSession, root: str, modality: str = "rgb", content:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jpg,png}").load(root)
     path = F.col("path")
     files = raw.where(path_part(path, 2) == modality).select(*_file_keys(path), "path", path_part(path, 1).alias("name"))
-    jpg = files.where(F.col("name").endswith(".jpg")).select(*KEY).distinct().withColumn("_jpg", F.lit(True))
-    kept = files.join(jpg, list(KEY), "left").where(F.col("name").endswith(".jpg") | F.col("_jpg").isNull()).drop("_jpg")
+    is_jpg = F.col("name").endswith(".jpg")
+    if png_fallback:
+        jpg = files.where(is_jpg).select(*KEY).distinct().withColumn("_jpg", F.lit(True))
+        kept = files.join(jpg, list(KEY), "left").where(is_jpg | F.col("_jpg").isNull()).drop("_jpg")
+    else:
+        kept = files.where(is_jpg)
     frames = frame_order(kept)
     return load_content(spark, frames, root) if content else frames
 
