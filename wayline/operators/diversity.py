@@ -242,7 +242,8 @@ def self_repetition(df: DataFrame, n: int = 4, match: str = "substring", group:
         words.select(*g, *i, F.inline(_shifted("_t", n, F.size("_t")))).where(F.col(names[-1]).isNotNull())
         .select(*g, *i, F.col("w1").alias("a"), F.concat_ws(" ", *names[1:-1]).alias("m"), F.col(names[-1]).alias("z"))
     )
-    rows = cut(has.groupBy(*g, *i, "a", "m", "z").agg(F.count(F.lit(1)).alias("_c")))
+    rows = has.groupBy(*g, *i, "a", "m", "z").agg(F.count(F.lit(1)).alias("_c"))
+    rows = cut(rows) if match == "substring" else rows
     gram = ["m", "a", "z", *g]
     spread = rows.groupBy(*gram).agg(F.count(F.lit(1)).alias("_texts"))
     if match == "substring":
