@@ -18,6 +18,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayline.llm.langid import identify
+
+    return identify(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@_query
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from wayline.llm.bpe import round_trip
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"))
+    out = round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @_query
 def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayline.llm.jaccard import jaccard_components
