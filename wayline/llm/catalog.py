@@ -44,3 +44,35 @@ def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = jaccard_components(_table(spark, sf_dir, "documents"), width=4, num=85, den=100)
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+@_query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayline.llm.decontam import contaminated, contamination
+
+    out = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select(
+        F.col("id").alias("doc_id"), "n_words", F.col("n_hit").cast("bigint").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
+ORACLE["op8_decontamination"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, m, array_to_string(words[p:p + m - 1], ' ') AS win
+  FROM (SELECT item_id, words, least(13, len(words)) AS m, unnest(range(1, greatest(1, len(words) - 12) + 1)) AS p FROM b WHERE len(words) > 0)),
+dw AS (
+  SELECT doc_id, p, m, array_to_string(words[p:p + m - 1], ' ') AS win
+  FROM (SELECT doc_id, words, m, unnest(range(1, len(words) - m + 2)) AS p FROM w, (SELECT DISTINCT m FROM bw) WHERE len(words) >= m)),
+hit AS (SELECT dw.doc_id, dw.p, dw.m, bw.item_id FROM dw JOIN bw USING (m, win)),
+pos AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + m)) AS q FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS h FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM w LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
