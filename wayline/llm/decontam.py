@@ -78,7 +78,7 @@ def winnowed(df: DataFrame, span: int = SPAN, gram: int = GRAM, short: list[int]
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                   item_text_col: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(id, n_words, n_hit, items) per document: words, words inside a window of an item, sorted ids of those items.
+    """(id, text_hash, n_words, n_hit, items) per document: xxhash64 of the text, words, words inside a window of an item, sorted ids of those items.
 
     A window is `span` words of an item in a row, or all words of a shorter one. Null and blank texts
     have no words; blank items no windows. Rows come back as often as they are given; a repeated id
@@ -139,7 +139,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = covered.alias("c").join(listed.alias("i"), F.col("c.id").eqNullSafe(F.col("i.id")) & (F.col("c.t") == F.col("i.t"))).select(
         F.col("c.id").alias("hid"), F.col("c.t").alias("ht"), "n_hit", "items")
     out = scanned.join(hits, scanned.id.eqNullSafe(F.col("hid")) & (F.col("t") == F.col("ht")), "left")
-    return out.select("id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
+    return out.select("id", F.col("t").alias("text_hash"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
                       F.coalesce("items", F.array().cast("array<string>")).alias("items"),
                       F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_")).drop("_")
 
