@@ -7,11 +7,12 @@ share such a shingle a signature tree is built: inner nodes hold the OR of their
 range of their sizes, and a dual traversal drops node pairs whose largest possible overlap is too
 small. What survives is compared exactly.
 
-Hot groups: equal sets count once from the start. Large groups are first tied to one member by
-exact comparison, so that a mass of near copies becomes one component; the traversal passes over
-node pairs inside one component. Groups above BLOCK members are cut into blocks by size, and only
-block pairs whose size ranges and components allow a new link are traversed, each in a task of its
-own. No pair is dropped, nothing is capped: the result is the exact set of components.
+Hot groups: equal sets count once from the start. Each set is first compared with one partner, the
+best connected set of the group that it meets most often, so that a mass of near copies becomes one
+component; the traversal passes over node pairs inside one component. Larger groups use bitmaps of
+several bits per shingle, whose bounds are close to the true overlap. Groups above BLOCK members are
+cut into blocks by size, and only block pairs whose size ranges and components allow a new link are
+traversed, each in a task of its own. No pair is dropped, nothing is capped: the result is exact.
 """
 
 from __future__ import annotations
@@ -29,16 +30,20 @@ from wayline.llm.common import broadcast_if_small, components, shingle_sets, sli
 FREQUENT = 65_536
 #: A shingle is frequent when this many sets of one batch hold it.
 LOCAL_COPIES = 8
-#: Groups with more sets than this are first tied to one member.
-TIE_FROM = 8
+#: A set is compared with its best partner early if they share this many keys; others wait for the traversal.
+EARLY_KEYS = 3
+#: Groups with more sets than this use the wide bitmaps.
+WIDE_FROM = 8
+#: Bits per shingle of a wide bitmap, at least.
+WIDE = 4
 #: Sets of one group that a single tree holds.
 BLOCK = 4096
 FAN = 8
 
 
-def _bitmap(own: np.ndarray) -> bytes:
-    """One bit per shingle and up, a power of two wide, so that halves can be folded onto each other."""
-    bits = max(8, 1 << (len(own) - 1).bit_length())
+def _bitmap(own: np.ndarray, per: int = 1) -> bytes:
+    """`per` bits per shingle and up, a power of two wide, so that halves can be folded onto each other."""
+    bits = max(8, 1 << (per * len(own) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(own & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -55,13 +60,14 @@ def _signatures(ids: str, text: str, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
-            sizes, one, two, maps, fresh = [], [], [], [], {}
+            sizes, one, two, maps, wide, fresh = [], [], [], [], [], {}
             for own in shingle_sets(b.column(text), width):
                 d = _set_digest(own, 1)
                 sizes.append(len(own))
                 one.append(d)
                 two.append(_set_digest(own, 2))
                 maps.append(_bitmap(own) if len(own) else b"")
+                wide.append(_bitmap(own, WIDE) if len(own) else b"")
                 fresh.setdefault(d, own)
             every = np.sort(np.concatenate(list(fresh.values())))
             edge = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1], [True]])) if len(every) else np.zeros(1, int)
@@ -76,7 +82,8 @@ def _signatures(ids: str, text: str, width: int):
                 pa.array(one + every[edge[:-1][hot]].astype(np.int64).tolist(), pa.int64()),
                 pa.array(two + [0] * m, pa.int64()),
                 pa.array(maps + [None] * m, pa.binary()),
-            ], names=["kind", "id", "n", "dig", "dig2", "bits"])
+                pa.array(wide + [None] * m, pa.binary()),
+            ], names=["kind", "id", "n", "dig", "dig2", "bits", "wide"])
 
     return run
 
@@ -233,6 +240,22 @@ def _traverse(num: int, den: int):
     return run
 
 
+def _screen(num: int, den: int):
+    """Drop pairs that the wide bitmaps rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for n, w, m, v in zip(*(b.column(c).to_pylist() for c in ("na", "wa", "nb", "wb"))):
+                to = 8 * min(len(w), len(v))
+                x, y = _fold(int.from_bytes(w, "little"), 8 * len(w), to), _fold(int.from_bytes(v, "little"), 8 * len(v), to)
+                most = min((x & y).bit_count() + min(n - x.bit_count(), m - y.bit_count()), n, m)
+                keep.append(most * (num + den) >= num * (n + m))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _sets(text: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
@@ -271,12 +294,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     first = written(rows.mapInArrow(_signatures("id", "text", width),
-                                    "kind int, id bigint, n bigint, dig bigint, dig2 bigint, bits binary"), "signatures")
+                                    "kind int, id bigint, n bigint, dig bigint, dig2 bigint, bits binary, wide binary"), "signatures")
     top = first.where("kind = 1").groupBy("dig").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "dig").limit(FREQUENT).select("dig").collect()
     frequent = np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
     own = first.where("kind = 0 AND n > 0")
     clash = F.raise_error(F.lit("two shingle sets with one digest"))
-    reps = own.groupBy("dig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"),
+    reps = own.groupBy("dig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide"),
                                   F.min("dig2").alias("x"), F.max("dig2").alias("y"))
     reps = written(reps.where(F.when(F.col("x") == F.col("y"), True).otherwise(clash.cast("boolean"))).drop("x", "y"), "sets")
 
@@ -286,30 +309,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                      .where("low <> high").select("key", "dig", "n").distinct(), "shared")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of set digests whose texts reach the threshold."""
-        pairs = written(pairs.distinct(), "candidates")
+        """The pairs (a, b) of set digests whose texts reach the threshold: by wide bitmaps, then exactly."""
+        marks = reps.select("dig", "n", "wide")
+        sides = pairs.distinct()
+        for x in "ab":
+            sides = sides.join(marks.select(F.col("dig").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}")), x)
+        pairs = written(sides.mapInArrow(_screen(num, den), "a bigint, b bigint"), "candidates")
         needed = pairs.select(F.col("a").alias("dig")).union(pairs.select("b")).distinct()
         ids = reps.join(needed, "dig", "left_semi").select(F.col("rep").alias("id"))
         texts = rows.join(broadcast_if_small(ids), rows.id.eqNullSafe(ids.id), "left_semi").select("text")
-        sets = texts.mapInArrow(_sets("text", width), "dig bigint, own binary").join(needed, "dig", "left_semi").dropDuplicates(["dig"])
-        sets = written(sets, "shingles")
+        sets = written(texts.mapInArrow(_sets("text", width), "dig bigint, own binary"), "shingles")
         return written(
             pairs.join(sets.withColumnRenamed("dig", "a"), "a")
             .join(sets.select(F.col("dig").alias("b"), F.col("own").alias("other")), "b")
-            .mapInArrow(_compare(num, den), "a bigint, b bigint"), "links")
-
-    fits = F.col("n") * den >= F.col("low") * num
-    fits &= F.col("low") * den >= F.col("n") * num
-    centre = (shared.groupBy("key").agg(F.count("*").alias("k"), F.min(F.struct("dig", "n")).alias("c"))
-              .where(F.col("k") > TIE_FROM).select("key", F.col("c.dig").alias("a"), F.col("c.n").alias("low")))
-    ties = shared.join(centre, "key").where(fits & (F.col("dig") != F.col("a"))).groupBy(F.col("dig").alias("b")).agg(F.min("a").alias("a"))
-    tied = verified(ties.select("a", "b"))
+            .mapInArrow(_compare(num, den), "a bigint, b bigint").distinct(), "links")
+
+    fits = (F.col("n") * den >= F.col("low") * num) & (F.col("low") * den >= F.col("n") * num)
+    sizes = shared.groupBy("key").agg(F.count("*").alias("k"))
+    degree = shared.join(sizes, "key").groupBy("dig").agg(F.sum("k").alias("degree"))
+    centre = (shared.join(degree, "dig").groupBy("key").agg(F.max(F.struct("degree", "dig", "n")).alias("c"))
+              .select("key", F.col("c.dig").alias("a"), F.col("c.n").alias("low")))
+    meets = shared.join(centre, "key").where(fits & (F.col("dig") != F.col("a"))).groupBy("dig", "a").agg(F.count("*").alias("times"))
+    ties = (meets.where(F.col("times") >= EARLY_KEYS).groupBy(F.col("dig").alias("b"))
+            .agg(F.max(F.struct("times", "a")).alias("t")).select(F.col("t.a").alias("a"), "b"))
+    tied = verified(ties)
     comp = components(tied)
 
     grouped = shared.join(comp.withColumnRenamed("node", "dig"), "dig", "left").withColumn("comp", F.coalesce("component", "dig"))
     open_keys = grouped.groupBy("key").agg(F.count("*").alias("k"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", "k")
     grouped = written(grouped.join(open_keys, "key").select("key", "dig", "n", "comp", "k"), "open")
-    few = grouped.where(F.col("k") <= BLOCK).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "dig", "n", "comp")
+    few = grouped.where(F.col("k") <= BLOCK).select("key", "k", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "dig", "n", "comp")
     order = Window.partitionBy("key").orderBy("n", "comp", "dig")
     many = grouped.where(F.col("k") > BLOCK).withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
     span = many.groupBy("key", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
@@ -320,8 +349,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
              .select(F.col("l.key").alias("key"), F.col("l.block").alias("i"), F.col("r.block").alias("j")))
     sided = cells.select("key", "i", "j", F.lit(0).alias("side"), F.col("i").alias("block")).union(
         cells.where("i <> j").select("key", "i", "j", F.lit(1).alias("side"), F.col("j").alias("block")))
-    cut = many.join(sided, ["key", "block"]).select("key", "i", "j", "side", "dig", "n", "comp")
-    members = few.union(cut).join(reps.select("dig", "bits"), "dig")
+    cut = many.join(sided, ["key", "block"]).select("key", "k", "i", "j", "side", "dig", "n", "comp")
+    every = few.union(cut)
+    small = every.where(F.col("k") <= WIDE_FROM).join(reps.select("dig", "bits"), "dig")
+    large = every.where(F.col("k") > WIDE_FROM).join(reps.select("dig", F.col("wide").alias("bits")), "dig")
+    members = small.unionByName(large).drop("k")
     traversed = (members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
                  .mapInArrow(_traverse(num, den), "a bigint, b bigint"))
     links = tied.unionByName(verified(traversed))
