@@ -131,3 +131,10 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id
 """
+
+
+@_query
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayline.llm.fingerprints import against_next
+
+    return against_next(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
