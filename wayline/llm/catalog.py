@@ -138,3 +138,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayline.llm.fingerprints import against_next
 
     return against_next(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@_query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayline.llm.html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
