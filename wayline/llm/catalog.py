@@ -145,3 +145,14 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayline.llm.html_text import extract
 
     return extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@_query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayline.llm.licenses import scan
+
+    out = scan(_table(spark, sf_dir, "documents"))
+    names = F.transform("matches", lambda m: m["license"])
+    return out.select(
+        F.col("id").alias("doc_id"), F.size("matches").cast("bigint").alias("n_matches"), F.array_join(F.array_sort(F.array_distinct(names)), ",").alias("licenses"),
+        F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["words"].cast("string"))), ",").alias("spans"))
