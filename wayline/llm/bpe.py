@@ -283,14 +283,13 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text", ids_name: str
     """Append the ids (array<int>) of every whole text and, if named, the text decoded from them.
 
     A null or empty text has no ids and decodes to the empty text. Rows, order within tasks and other
-    columns stay; the new names must be free (ValueError). Invalid bytes decode to U+FFFD.
+    columns stay, but columns of the new names are replaced. Invalid bytes decode to U+FFFD.
     """
     spark = docs.sparkSession
     small_batches(spark)
     added = [x for x in (ids_name, decoded_name) if x]
+    docs = docs.drop(*added)
     names = docs.columns
-    if clash := {x.lower() for x in names} & {x.lower() for x in added}:
-        raise ValueError(f"the rows already have {sorted(clash)}")
     shared = spark.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,12 +308,11 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text", ids_name: str
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
-    """Append the text that the ids stand for; null ids give a null text."""
+    """Append the text that the ids stand for, in place of a column of that name; null ids give a null text."""
     spark = rows.sparkSession
     small_batches(spark)
+    rows = rows.drop(name)
     shared, names = spark.sparkContext.broadcast(load(path).tokens), rows.columns
-    if name.lower() in {x.lower() for x in names}:
-        raise ValueError(f"the rows already have {name}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = shared.value

@@ -233,7 +233,7 @@ def train(rows: DataFrame) -> Model | None:
 
 
 def predict(rows: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """Append lang_pred, score, entropy, rejected to the rows.
+    """Append lang_pred, score, entropy, rejected to the rows, in place of columns of these names.
 
     `und`, score 0 and rejected for null texts and texts without a letter, and for all texts if
     there is no model. Equal entropies go to the first language by name. Rejected as well: texts
@@ -242,10 +242,9 @@ def predict(rows: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     spark = rows.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    names = [f.name for f in rows.schema.fields]
     added = ["lang_pred", "score", "entropy", "rejected"]
-    if clash := {x.lower() for x in names} & set(added):
-        raise ValueError(f"the rows already have {sorted(clash)}")
+    rows = rows.drop(*added)
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, cache = shared.value, {}
