@@ -116,7 +116,7 @@ def test_blocked_equals_plain(df, make):
 def test_number_rows_with_hot_keys(spark):
     data = [(0 if i % 3 else i % 5, i * 7 % 1000, f"n{i}") for i in range(1000)]
     t = spark.createDataFrame(data, "k long, at long, name string")
-    plain = O.number_rows(t, ["k"], ["at", "name"])
+    plain = O.number_rows(t, ["k"], ["at", "name"], F.floor(F.col("at") / 50))
     hot = O.number_rows(t, ["k"], ["at", "name"], F.floor(F.col("at") / 50), hot_rows=100)
     assert rows(plain) == rows(hot)
     assert O.sequence_block(t, ["k"], hot_rows=100) == O.BLOCK and O.sequence_block(t, ["k"]) is None

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.functions.random import hash_index, hash_uniform
+from wayline.functions.text import _strip
 from wayline.functions.vectors import cosine
 from wayline.operators.frames import KEY
 from wayline.operators.ordered import BLOCK, IDX, neighbours, run_heads, with_halo
@@ -86,7 +87,7 @@ def dedup_adjacent(df: DataFrame, key: Sequence[str] = KEY, col: str = "descript
 
 def sentence(col: Column | str) -> Column:
     """Trimmed text with a final full stop and a space; null when there is nothing to say."""
-    text = F.trim(F.col(col) if isinstance(col, str) else col)
+    text = _strip(F.col(col) if isinstance(col, str) else col)
     return F.when(text != "", F.concat(text, F.when(text.endswith("."), " ").otherwise(". ")))
 
 

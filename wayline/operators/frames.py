@@ -14,11 +14,19 @@ KEY = ("source", "split", "episode_id")
 
 
 def natural_key(name: Column | str) -> Column:
-    """A string that sorts like the name with its digit runs compared as numbers."""
+    """An array that sorts like the name in natural order: texts as texts, digit runs of any length as numbers.
+
+    Each element is a text and the number after it, as (digits, value): without padding,
+    longer numbers are larger, and a text without a number comes first.
+    """
     name = F.col(name) if isinstance(name, str) else name
-    parts = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), 1)
-    padded = F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p))
-    return F.array_join(padded, "")
+    pieces = F.array_remove(F.regexp_extract_all(name, F.lit(r"(\D*\d*)"), 1), "")
+
+    def pair(p: Column) -> Column:
+        number = F.regexp_replace(F.regexp_extract(p, r"(\d+)$", 1), r"^0+(?=\d)", "")
+        return F.struct(F.regexp_extract(p, r"^(\D*)", 1).alias("text"), F.length(number).alias("digits"), number.alias("number"))
+
+    return F.transform(pieces, pair)
 
 
 def leading_number(name: Column | str) -> Column:
@@ -29,16 +37,20 @@ def leading_number(name: Column | str) -> Column:
 
 def frame_order(df: DataFrame, key: Sequence[str] = KEY, name: str = "name", by_number: bool = False) -> DataFrame:
     """Add `frame_idx`: natural order of the names, or of their leading numbers."""
-    lead = leading_number(name)
-    first = F.substring(F.col(name), 1, 1)
-    coarse = F.when(lead.isNotNull(), F.floor(lead / BLOCK)).when(first < "0", -1).otherwise(2**62)
-    order = [lead.asc_nulls_last(), F.col(name)] if by_number else [natural_key(name), F.col(name)]
-    return number_rows(df, key, order, coarse)
-
-
-def limit_stride(df: DataFrame, max_frames: int = 500, downsample: int = 1, idx: str = IDX) -> DataFrame:
-    """Keep `[:max_frames:downsample]` and renumber; no shuffle, positions are dense."""
-    kept = df.where((F.col(idx) < max_frames) & (F.col(idx) % downsample == 0))
+    if by_number:
+        lead = leading_number(name)
+        return number_rows(df, key, [lead.asc_nulls_last(), F.col(name)], F.coalesce(F.floor(lead / BLOCK), F.lit(2**62)))
+    natural = natural_key(name)
+    first = F.try_element_at(natural, F.lit(1))
+    # buckets of the first text and its number without the last four digits
+    coarse = F.struct(first["text"].alias("text"), first["digits"].alias("digits"), F.substring(first["number"], F.lit(1), F.greatest(first["digits"] - 4, F.lit(0))).alias("number"))
+    return number_rows(df, key, [natural, F.col(name)], coarse)
+
+
+def limit_stride(df: DataFrame, max_frames: int | None = None, downsample: int = 1, idx: str = IDX) -> DataFrame:
+    """Keep `[:max_frames:downsample]` and renumber; no shuffle, positions are dense. Without a cap all frames count."""
+    capped = df if max_frames is None else df.where(F.col(idx) < max_frames)
+    kept = capped.where(F.col(idx) % downsample == 0)
     return kept.withColumn(idx, F.floor(F.col(idx) / downsample))
 
 

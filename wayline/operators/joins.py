@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.operators.frames import KEY
@@ -35,8 +35,14 @@ def episode_manifest(df: DataFrame, ids: Sequence[str], batch_size: int = 32) ->
 
 
 def resume(work: DataFrame, cache: DataFrame, on: Sequence[str] = ("info_key",)) -> tuple[DataFrame, DataFrame]:
-    """(already scored, still to do) by info key; a key cached twice counts once."""
-    once = cache.dropDuplicates(list(on))
+    """(already scored, still to do) by info key.
+
+    Equal cache rows count once; different ones of one key are an error, for nothing says
+    which of them holds.
+    """
+    once = cache.distinct().withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*on)))
+    clash = F.raise_error(F.lit("a key is cached with different values")).cast("boolean")
+    once = once.where(F.when(F.col("_n") == 1, True).otherwise(clash)).drop("_n")
     return work.join(once, list(on), "inner"), work.join(once, list(on), "left_anti")
 
 

@@ -13,17 +13,18 @@ sums) is carried through a summary with one row per block.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK = 4096
 HOT_ROWS = 65536
-HOT_SHARE = 10_000
 
 IDX = "frame_idx"
 
@@ -36,44 +37,55 @@ def cut(df: DataFrame) -> DataFrame:
     """Write an intermediate result once, so that its several consumers do not compute it again.
 
     It becomes a parquet table below the cluster's `spark.checkpoint.dir`, which also cuts
-    the lineage; only where that is unset (tests) a temporary folder is used.
+    the lineage.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="wayline-cut-")
-    path = f"{root.rstrip('/')}/wayline-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder below `spark.checkpoint.dir`.
+
+    A cluster must name that folder, for its machines share no other. A session on one
+    machine gets a folder that goes when the process ends.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = tempfile.mkdtemp(prefix="wayline-")
+        atexit.register(shutil.rmtree, root, True)
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/wayline-{tag}-{uuid.uuid4().hex}"
+
+
 def sequence_block(df: DataFrame, key: Sequence[str], hot_rows: int = HOT_ROWS) -> int | None:
     """None if every key fits a task, else `BLOCK`.
 
-    A key is hot with more than `hot_rows` rows and more than 1/HOT_SHARE of the table.
-    Costs one aggregation with map-side combine that reads the key columns only.
+    The limit, `hot_rows`, doesn't depend on the size of the table. Costs one aggregation
+    with map-side combine that reads the key columns only.
     """
-    sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    top, total = sizes.agg(F.max("_n"), F.sum("_n")).first()
-    return BLOCK if top and top > max(hot_rows, total / HOT_SHARE) else None
+    top = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return BLOCK if top and top > hot_rows else None
 
 
-def number_rows(df: DataFrame, key: Sequence[str], order: Sequence[Column | str], coarse: Column | None = None,
+def number_rows(df: DataFrame, key: Sequence[str], order: Sequence[Column | str], coarse: Column,
                 name: str = IDX, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add the 0-based position of each row inside its key.
 
     `coarse` is a column that never decreases along `order` (a day, a leading
-    number). Hot keys, of which there are fewer than HOT_SHARE so that their list can be
-    broadcast, are numbered one coarse bucket at a time and shifted by the rows of the
-    earlier buckets.
+    number). Keys of more than `hot_rows` rows are numbered one coarse bucket at a time
+    and shifted by the rows of the earlier buckets.
     """
-    if coarse is None or sequence_block(df, key, hot_rows) is None:
+    if sequence_block(df, key, hot_rows) is None:
         at = F.row_number().over(_key_window(key).orderBy(*order)).cast("long")
         return df.withColumn(name, at - 1)
     sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    total = sizes.agg(F.sum("_n").alias("_t")).scalar()
-    hot = sizes.where((F.col("_n") > hot_rows) & (F.col("_n") > total / HOT_SHARE)).select(*key, F.lit(True).alias("_hot"))
-    marked = df.join(F.broadcast(hot), list(key), "left").withColumn("_c", F.when(F.col("_hot"), coarse))
+    hot = sizes.where(F.col("_n") > hot_rows).select(*key, F.lit(True).alias("_hot"))
+    marked = df.join(hot, list(key), "left").withColumn("_c", F.when(F.col("_hot"), coarse))
     local = F.row_number().over(_key_window(key, "_c").orderBy(*order)).cast("long") - 1
     earlier = F.sum("_m").over(_key_window(key).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
     shift = (

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from wayline.functions.text import extract_score
@@ -15,6 +12,7 @@ from wayline.operators import joins as J
 from wayline.operators import ranking as RK
 from wayline.operators import retrieval as R
 from wayline.operators import survey as SV
+from wayline.operators.ordered import shared_folder
 from wayline.plans import fixtures as X
 from wayline.plans.catalog_base import query, r6, u, using
 from wayline.streaming import live
@@ -318,12 +316,6 @@ def _sample_rand(s, d):
     return FR.sample_frames(X.videos(s, d), "rand", 8)
 
 
-def _run_dir(spark) -> str:
-    """A new folder for one streaming run, in the cluster's shared folder where it names one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{root.rstrip('/')}/wayline-stream-{uuid.uuid4().hex}"
-
-
 @query("stream_actions", """SELECT user_id AS episode_id, event_id AS frame_idx, event_type AS item,
     lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) || ' to ' || event_type AS action FROM events""")
 def _stream_actions(s, d):
@@ -331,7 +323,7 @@ def _stream_actions(s, d):
     frames = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select(
         F.col("user_id").alias("episode_id"), F.col("event_id").alias("frame_idx"), F.col("event_type").alias("item"))
     out = live.stream_actions(frames, lambda a, b: [f"{x} to {y}" for x, y in zip(a, b)], ["episode_id"])
-    where = _run_dir(s)
+    where = shared_folder(s, "stream")
     q = out.writeStream.format("parquet").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start(f"{where}/rows")
     q.awaitTermination()
     return s.read.schema(out.schema).parquet(f"{where}/rows")
@@ -344,7 +336,7 @@ def _stream_votes(s, d):
     answer = F.create_map((F.col("event_id") % 2).cast("string"), F.array("event_type"))
     subs = e.select(F.col("user_id").cast("string").alias("userId"), F.col("ts").alias("submissionTime"),
                     F.create_map((F.col("event_id") % 5).cast("string"), answer).alias("answers"))
-    where = _run_dir(s)
+    where = shared_folder(s, "stream")
 
     def keep(df, batch):
         df.write.mode("overwrite").parquet(f"{where}/rows")

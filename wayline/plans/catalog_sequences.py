@@ -37,15 +37,21 @@ def _hash_uniform(s, d):
     return X.table(s, d, "events").select("event_id", hash_uniform("event_id", "event_type", salt="demo").alias("u"))
 
 
-@query("frame_order", r"""SELECT user_id AS episode_id, name, row_number() OVER (PARTITION BY user_id ORDER BY
-    array_to_string(list_transform(regexp_extract_all(name, '(\d+|\D+)', 1), lambda p: CASE WHEN regexp_matches(p, '^\d')
-    THEN lpad(p, 20, '0') ELSE p END), ''), name) - 1 AS frame_idx,
-    row_number() OVER (PARTITION BY user_id ORDER BY TRY_CAST(regexp_extract(name, '^(\d+)', 1) AS BIGINT) NULLS LAST, name) - 1 AS number_idx
-    FROM (SELECT user_id, concat(CAST(floor(value) AS BIGINT), '_', event_id, '.jpg') AS name FROM events)""")
+_NAMES = """SELECT user_id, CASE event_id % 4 WHEN 0 THEN concat(CAST(floor(value) AS BIGINT), '_', event_id, '.jpg') WHEN 1 THEN concat('frame', event_id, '.jpg')
+    WHEN 2 THEN concat(event_id % 7, '1234567890123456789012345', event_id, '.jpg') ELSE concat('frame.', event_id, 'x.jpg') END AS name FROM events"""
+
+
+# numbers are compared as numbers here: 38 digits fit
+@query("frame_order", rf"""SELECT user_id AS episode_id, name, row_number() OVER (PARTITION BY user_id ORDER BY
+    list_transform(list_filter(regexp_extract_all(name, '[^0-9]*[0-9]*'), lambda p: p <> ''), lambda p:
+      {{'t': regexp_extract(p, '^[^0-9]*'), 'n': coalesce(TRY_CAST(regexp_extract(p, '[0-9]+$') AS HUGEINT), -1)}}), name) - 1 AS frame_idx,
+    row_number() OVER (PARTITION BY user_id ORDER BY TRY_CAST(regexp_extract(name, '^[0-9]+') AS BIGINT) NULLS LAST, name) - 1 AS number_idx FROM ({_NAMES})""")
 def _frame_order(s, d):
-    rows = X.table(s, d, "events").select(
-        F.col("user_id").alias("episode_id"), F.concat(F.floor("value").cast("string"), F.lit("_"), F.col("event_id"), F.lit(".jpg")).alias("name"))
-    out = FR.frame_order(rows, ["episode_id"])
+    e, n = X.table(s, d, "events"), F.col("event_id")
+    name = (
+        F.when(n % 4 == 0, F.concat(F.floor("value").cast("string"), F.lit("_"), n, F.lit(".jpg"))).when(n % 4 == 1, F.concat(F.lit("frame"), n, F.lit(".jpg")))
+        .when(n % 4 == 2, F.concat(n % 7, F.lit("1234567890123456789012345"), n, F.lit(".jpg"))).otherwise(F.concat(F.lit("frame."), n, F.lit("x.jpg"))))
+    out = FR.frame_order(e.select(F.col("user_id").alias("episode_id"), name.alias("name")), ["episode_id"])
     return FR.frame_order(out.withColumnRenamed(IDX, "natural_idx"), ["episode_id"], by_number=True).select(
         "episode_id", "name", F.col("natural_idx").alias("frame_idx"), F.col(IDX).alias("number_idx"))
 
@@ -375,8 +381,7 @@ def _explode_entities(s, d):
 
 
 _GEN = {
-    "cap": "SELECT * FROM fx_frames WHERE frame_idx < 500",
-    **_aba("(1, 2, 3)", "cap"), "sm": "SELECT source, split, episode_id, frame_idx, o AS action FROM aba", **_majority("sm"),
+    **_aba("(1, 2, 3)", "fx_frames"), "sm": "SELECT source, split, episode_id, frame_idx, o AS action FROM aba", **_majority("sm"),
     "gl": "SELECT source, split, episode_id, frame_idx, CASE WHEN frame_idx = max(frame_idx) OVER (PARTITION BY episode_id) THEN 0 ELSE action END AS action FROM mj",
     "gi": "SELECT *, frame_idx - row_number() OVER (PARTITION BY episode_id, action ORDER BY frame_idx) AS island FROM gl",
     "gr": """SELECT source, split, episode_id, (min(frame_idx) + max(frame_idx)) // 2 AS frame_idx, CASE action WHEN 0 THEN 'stop' WHEN 1 THEN 'move forward'
@@ -387,7 +392,7 @@ _GEN = {
 
 @query("generate_instructions", using("fx_frames", f"SELECT {KEYS}, summary, replace(summary, chr(10), ' ') AS instruction FROM gs", **_GEN))
 def _generate(s, d):
-    return generate(X.frames(s, d))
+    return generate(X.frames(s, d), block=X.block(s, d))
 
 
 def _lexicon_cte() -> str:

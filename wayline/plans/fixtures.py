@@ -13,14 +13,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
-    """Give a scan with fewer splits than cores to all cores; a large table is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
-
-
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents"), "doc_id")
+    return table(spark, d, "documents")
 
 
 def frames(spark: SparkSession, d: str) -> DataFrame:

@@ -17,21 +17,23 @@ from wayline.operators import models as M
 from wayline.operators import retrieval as R
 from wayline.operators.diversity import diversity_report
 from wayline.operators.frames import KEY, limit_stride
-from wayline.operators.ordered import IDX
+from wayline.operators.ordered import IDX, sequence_block
 from wayline.operators.sampling import diversify_action, sample_rows
 
 
-def describe_runs(frames: DataFrame, key: Sequence[str] = KEY, level: int = 2, max_frames: int = 500, downsample: int = 1,
-                  enter_leave: bool = False, diversify: int = 0, scene: str = "", obj: str = "", seed: int = 42) -> DataFrame:
+def describe_runs(frames: DataFrame, key: Sequence[str] = KEY, level: int = 2, max_frames: int | None = None, downsample: int = 1,
+                  block: int | None | str = "measure", enter_leave: bool = False, diversify: int = 0, scene: str = "", obj: str = "", seed: int = 42) -> DataFrame:
     """Frames with predicted actions to one described row per run of equal actions.
 
-    After the frame cap an episode is short, so the sequence steps use plain per-key
-    windows and share one exchange. Scene and object models see representatives only.
+    All frames count unless `max_frames` caps them. `block` says how to walk the episodes
+    (see `sequence_block`); by default the longest one is measured. Scene and object models
+    see representatives only.
     """
     capped = limit_stride(frames.select(*key, IDX, "action", *[c for c in ("path", "content") if c in frames.columns]), max_frames, downsample)
-    smooth = A.smooth_actions(capped, key, level, block=None)
-    labelled = A.append_stop(smooth, key, block=None)
-    runs = A.action_runs(labelled, key, block=None).withColumn("action", action_phrase("action"))
+    block = sequence_block(capped, key) if block == "measure" else block
+    smooth = A.smooth_actions(capped, key, level, block=block)
+    labelled = A.append_stop(smooth, key, block=block)
+    runs = A.action_runs(labelled, key, block=block).withColumn("action", action_phrase("action"))
     spots = A.enter_leave(runs, key, seed=seed) if enter_leave else A.compact_middle(runs, key)
     if "path" in frames.columns:
         spots = spots.join(capped.drop("action"), [*key, IDX])
