@@ -15,7 +15,7 @@ from wayline.session import build_session  # noqa: E402
 HEADLINE = [
     "generate_instructions", "frame_order", "smooth_actions", "action_runs", "key_frames", "dead_reckoning", "enter_leave",
     "diversify_action", "frame_description", "assemble", "top_objects", "top_classes", "tile_plan", "sample_frames_middle",
-    "mean_length", "mattr", "hdd", "compression_ratio", "ngram_diversity", "self_repetition_token", "self_repetition", "self_bleu",
+    "mean_length", "mattr", "hdd", "ngram_diversity", "self_repetition_token", "self_repetition", "self_bleu",
     "homogenization_bleu", "retrieval_metrics", "full_metrics", "extract_score", "consistency_scores", "vote_tally", "survey_order",
 ]
 

@@ -139,3 +139,17 @@ def test_compression_ratio_pos(spark, df):
     body = " ".join(" ".join({"go": "VB", "the": "DT"}.get(w, "NN") for w in t.split()) for t in order(TEXTS)).encode()
     want = len(body) / len(gzip.compress(gzip.compress(body, mtime=0), mtime=0))
     assert value(DV.compression_ratio_pos(df, tags), "cr_pos") == pytest.approx(want)
+
+
+def test_several_texts_of_an_episode(spark):
+    texts = ["go left now and stop", "go right now and stop", "walk past the table and stop", "go left now and wait"]
+    cols = "inst_alias string, split string, episode_id string, inst_id string, text string"
+    apart = spark.createDataFrame([("a", "v", f"e{i}", "0", t) for i, t in enumerate(texts)], cols)
+    shared = spark.createDataFrame([("a", "v", f"e{i // 2}", str(i % 2), t) for i, t in enumerate(texts)], cols)
+    for f, name in ((DV.self_bleu, "self_bleu"), (DV.self_repetition, "self_rep")):
+        assert value(f(shared), name) == pytest.approx(value(f(apart), name))
+        with pytest.raises(Exception, match="several texts have the ids"):
+            f(shared, ids=["episode_id"]).collect()
+    with pytest.raises(Exception, match="several texts have the ids"):
+        DV.ngram_diversity(shared, ids=["episode_id"]).collect()
+    assert value(DV.homogenization_bleu(apart, sample=2), "hom_bleu") >= 0

@@ -20,9 +20,11 @@ from pyspark.sql.window import Window
 
 from wayline.functions.text import token_count, tokens
 from wayline.operators.ordered import cut, neighbours, running_offsets
+from wayline.operators.sampling import sample_rows
 
 GROUP = ("inst_alias",)
-IDS = ("episode_id",)
+#: What tells texts apart, as far as a table has it: episode names repeat over sources and splits, and an episode may have several texts.
+IDS = ("source", "split", "episode_id", "inst_id")
 TOKEN_BLOCK = 2048
 TEXT_BLOCK = 512
 COPY_BLOCK = 64
@@ -39,6 +41,17 @@ def mean_length(df: DataFrame, group: Sequence[str] = GROUP, text: str = "text")
     return df.groupBy(*group).agg(F.avg(token_count(text)).alias("length"))
 
 
+def _ids(df: DataFrame, ids: Sequence[str] | None) -> list[str]:
+    return list(ids) if ids is not None else [c for c in IDS if c in df.columns]
+
+
+def _distinct_ids(df: DataFrame, group: Sequence[str], ids: Sequence[str]) -> DataFrame:
+    """The rows, placed by id; fails if an id has several, for their texts would be merged or multiplied."""
+    copies = F.count(F.lit(1)).over(Window.partitionBy(*group, *ids))
+    clash = F.raise_error(F.concat(F.lit("several texts have the ids "), F.concat_ws("@", *[F.col(c).cast("string") for c in (*group, *ids)]))).cast("boolean")
+    return df.withColumn("_copies", copies).where(F.when(F.col("_copies") == 1, True).otherwise(clash)).drop("_copies")
+
+
 def _token_blocks(df: DataFrame, group: Sequence[str], ids: Sequence[str], text: str, before: int,
                   lemma: DataFrame | None) -> DataFrame:
     """Cut the concatenated corpus into blocks of TOKEN_BLOCK tokens plus the `before` tokens ahead of each.
@@ -74,7 +87,7 @@ def _relabel(words: DataFrame, ids: Sequence[str], col: str, table: DataFrame, t
     return lists
 
 
-def mattr(df: DataFrame, window: int = 50, group: Sequence[str] = GROUP, ids: Sequence[str] = IDS, text: str = "text",
+def mattr(df: DataFrame, window: int = 50, group: Sequence[str] = GROUP, ids: Sequence[str] | None = None, text: str = "text",
           lemma: DataFrame | None = None) -> DataFrame:
     """Moving-average type-token ratio of the concatenated corpus.
 
@@ -88,7 +101,7 @@ def mattr(df: DataFrame, window: int = 50, group: Sequence[str] = GROUP, ids: Se
     """
     w = window
     before = 2 * (w - 1)  # exact q also for the w-1 tokens ahead of the block
-    blocks = _token_blocks(df, group, ids, text, before, lemma)
+    blocks = _token_blocks(df, group, _ids(df, ids), text, before, lemma)
     part = [*group, "_b"]
     # the blocks are already partitioned by `part`, so this window adds no exchange
     seen = F.lag("_i").over(Window.partitionBy(*part, "_w").orderBy("_i"))
@@ -136,7 +149,7 @@ def hdd(df: DataFrame, draws: int = 42, group: Sequence[str] = GROUP, text: str
     )
 
 
-def compression_ratio(df: DataFrame, algorithm: str = "gzip", group: Sequence[str] = GROUP, ids: Sequence[str] = IDS,
+def compression_ratio(df: DataFrame, algorithm: str = "gzip", group: Sequence[str] = GROUP, ids: Sequence[str] | None = None,
                       text: str = "text", block_bytes: int = 32 << 20, name: str = "cr") -> DataFrame:
     """Bytes of the texts joined by blanks over their compressed bytes (gzip is applied twice).
 
@@ -147,6 +160,7 @@ def compression_ratio(df: DataFrame, algorithm: str = "gzip", group: Sequence[st
     """
     if algorithm not in ("gzip", "xz"):
         raise ValueError("algorithm is gzip or xz")
+    ids = _ids(df, ids)
     data = df.select(*group, *ids, F.coalesce(text, F.lit("")).alias("_x"))
     sized = running_offsets(data, group, ids, F.octet_length("_x") + 1, "_o")
     blocks = sized.withColumn("_b", F.floor(F.col("_o") / block_bytes))
@@ -167,8 +181,9 @@ def compression_ratio(df: DataFrame, algorithm: str = "gzip", group: Sequence[st
 
 
 def compression_ratio_pos(df: DataFrame, tag_lexicon: DataFrame, group: Sequence[str] = GROUP,
-                          ids: Sequence[str] = IDS, text: str = "text", default: str = "NN", **kw) -> DataFrame:
+                          ids: Sequence[str] | None = None, text: str = "text", default: str = "NN", **kw) -> DataFrame:
     """Compression ratio of the tag sequences of white-space tokens; unknown words get `default`."""
+    ids = _ids(df, ids)
     words = df.select(*group, *ids, F.filter(F.split(text, r"\s+"), lambda t: t != "").alias("_t"))
     tagged = _relabel(words, [*group, *ids], "_t", tag_lexicon, "tag", False, default)
     whole = words.select(*group, *ids).join(tagged, [*group, *ids], "left")
@@ -177,7 +192,7 @@ def compression_ratio_pos(df: DataFrame, tag_lexicon: DataFrame, group: Sequence
 
 
 def ngram_diversity(df: DataFrame, n: int = 4, cross_text: bool = True, group: Sequence[str] = GROUP,
-                    ids: Sequence[str] = IDS, text: str = "text") -> DataFrame:
+                    ids: Sequence[str] | None = None, text: str = "text") -> DataFrame:
     """Sum over 1..n of distinct over total n-grams of the texts joined and split by single blanks.
 
     N-grams run across text borders. A text needs only the n-1 words that follow it,
@@ -185,8 +200,10 @@ def ngram_diversity(df: DataFrame, n: int = 4, cross_text: bool = True, group: S
     The heads of texts are all that is ordered; words are never shuffled, only
     n-grams, after partial aggregation.
     """
+    ids = _ids(df, ids)
     words = df.select(*group, *ids, F.split(F.coalesce(text, F.lit("")), " ").alias("_w"))
     if cross_text:
+        words = _distinct_ids(words, group, ids)
         words = _with_following(words, group, ids, n - 1)
     else:
         words = words.withColumn("_after", F.array().cast("array<string>"))
@@ -223,7 +240,7 @@ def _with_following(words: DataFrame, group: Sequence[str], ids: Sequence[str],
 
 
 def self_repetition(df: DataFrame, n: int = 4, match: str = "substring", group: Sequence[str] = GROUP,
-                    ids: Sequence[str] = IDS, text: str = "text") -> DataFrame:
+                    ids: Sequence[str] | None = None, text: str = "text") -> DataFrame:
     """Mean over texts of ln(1 + sum over its n-grams of the texts containing it - number of its n-grams).
 
     Join keys start with the n-gram: sorting compares leading columns first, and the
@@ -235,8 +252,8 @@ def self_repetition(df: DataFrame, n: int = 4, match: str = "substring", group:
     """
     if n < 3 and match == "substring":
         raise ValueError("substring matching needs n >= 3")
-    g, i = list(group), list(ids)
-    words = df.repartition(*g, *i).select(*g, *i, tokens(text).alias("_t"))
+    g, i = list(group), _ids(df, ids)
+    words = _distinct_ids(df.select(*g, *i, text), g, i).select(*g, *i, tokens(text).alias("_t"))
     names = [f"w{k}" for k in range(1, n + 1)]
     has = (
         words.select(*g, *i, F.inline(_shifted("_t", n, F.size("_t")))).where(F.col(names[-1]).isNotNull())
@@ -308,7 +325,7 @@ def _bleu(hits: list[Column], totals: list[Column], ref_len: Column, hyp_len: Co
     return F.when(hits[0] > 0, F.exp(brevity + mean)).otherwise(0.0)
 
 
-def self_bleu(df: DataFrame, group: Sequence[str] = GROUP, ids: Sequence[str] = IDS, text: str = "text",
+def self_bleu(df: DataFrame, group: Sequence[str] = GROUP, ids: Sequence[str] | None = None, text: str = "text",
               n: int = 4) -> DataFrame:
     """Mean BLEU of each text against all others of the group.
 
@@ -317,8 +334,8 @@ def self_bleu(df: DataFrame, group: Sequence[str] = GROUP, ids: Sequence[str] =
     the n-gram. The reference length is the nearest other length (shorter on a tie),
     read off the histogram of lengths. Nothing is compared pairwise.
     """
-    g, i = list(group), list(ids)
-    rows = _gram_counts(df, g, i, text, n)
+    g, i = list(group), _ids(df, ids)
+    rows = _gram_counts(_distinct_ids(df.select(*g, *i, text), g, i), g, i, text, n)
     levels = rows.groupBy(*g, "m", "gram", "c").agg(F.count(F.lit(1)).alias("k"))
     # an n-gram of a single text has no match elsewhere
     top = levels.groupBy(*g, "m", "gram").agg(F.sum("k").alias("_texts"), F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("c", "k")))), 1, 2).alias("_l")).where(F.col("_texts") > 1)
@@ -424,9 +441,10 @@ def _bleu_block(refs: list[str], hyps: list[str], n: int = 4) -> np.ndarray:
     return out
 
 
-def homogenization_bleu(df: DataFrame, group: Sequence[str] = GROUP, ids: Sequence[str] = IDS, text: str = "text",
-                        block: int = COPY_BLOCK) -> DataFrame:
-    """Mean BLEU over ordered pairs of different texts. Quadratic by definition: sample first on large corpora."""
+def homogenization_bleu(df: DataFrame, group: Sequence[str] = GROUP, ids: Sequence[str] | None = None, text: str = "text",
+                        block: int = COPY_BLOCK, sample: int | None = None, seed: int = 42) -> DataFrame:
+    """Mean BLEU over ordered pairs of different texts. Quadratic by definition: `sample` takes that many texts of a large corpus."""
+    df = sample_rows(df, sample, [*group, *_ids(df, ids)], seed) if sample else df
     return _pairwise_mean(df, _bleu_block, group, ids, text, "hom_bleu", block)
 
 
@@ -455,9 +473,11 @@ def _lcs_block(refs: list[str], hyps: list[str], stem=None) -> np.ndarray:
     return out
 
 
-def homogenization_rougel(df: DataFrame, group: Sequence[str] = GROUP, ids: Sequence[str] = IDS, text: str = "text",
-                          block: int = COPY_BLOCK, stem=None) -> DataFrame:
-    """Mean ROUGE-L F1 over ordered pairs of different texts; `stem` maps a token to its stem."""
+def homogenization_rougel(df: DataFrame, group: Sequence[str] = GROUP, ids: Sequence[str] | None = None, text: str = "text",
+                          block: int = COPY_BLOCK, stem=None, sample: int | None = None, seed: int = 42) -> DataFrame:
+    """Mean ROUGE-L F1 over ordered pairs of different texts, or of `sample` of them; `stem` maps a token to its stem."""
+    df = sample_rows(df, sample, [*group, *_ids(df, ids)], seed) if sample else df
+
     def score(refs: list[str], hyps: list[str]) -> np.ndarray:
         return _lcs_block(refs, hyps, stem)
 
@@ -465,18 +485,23 @@ def homogenization_rougel(df: DataFrame, group: Sequence[str] = GROUP, ids: Sequ
 
 
 def diversity_report(df: DataFrame, tag_lexicon: DataFrame | None = None, group: Sequence[str] = GROUP,
-                     ids: Sequence[str] = IDS, text: str = "text", n: int = 4, pairwise: bool = True,
-                     rouge: bool = False) -> DataFrame:
-    """One row per group with all statistics; null for those switched off. Sample first with `sample_rows`."""
-    kw = {"group": group, "text": text}
-    parts = [mean_length(df, **kw), mattr(df, ids=ids, **kw), hdd(df, **kw), compression_ratio(df, ids=ids, **kw),
+                     ids: Sequence[str] | None = None, text: str = "text", n: int = 4, pairwise: bool = True,
+                     rouge: bool = False, compression: bool = False, sample: int | None = None) -> DataFrame:
+    """One row per group with all statistics; null for those switched off.
+
+    The pairwise ones are quadratic: `sample` says how many texts of the table they take.
+    """
+    kw, ids = {"group": group, "text": text}, _ids(df, ids)
+    parts = [mean_length(df, **kw), mattr(df, ids=ids, **kw), hdd(df, **kw),
              ngram_diversity(df, n, ids=ids, **kw), self_repetition(df, n, ids=ids, **kw), self_bleu(df, ids=ids, **kw)]
-    if tag_lexicon is not None:
+    if compression:
+        parts.append(compression_ratio(df, ids=ids, **kw))
+    if compression and tag_lexicon is not None:
         parts.append(compression_ratio_pos(df, tag_lexicon, ids=ids, **kw))
     if pairwise:
-        parts.append(homogenization_bleu(df, ids=ids, **kw))
+        parts.append(homogenization_bleu(df, ids=ids, sample=sample, **kw))
     if rouge:
-        parts.append(homogenization_rougel(df, ids=ids, **kw))
+        parts.append(homogenization_rougel(df, ids=ids, sample=sample, **kw))
     wide = reduce(lambda a, b: a.join(b, list(group), "left"), parts)
     return wide.select(*group, *[(F.col(m) if m in wide.columns else F.lit(None)).cast("double").alias(m) for m in REPORT])
 

@@ -57,11 +57,12 @@ def _resume(s, d):
 
 @query("attach_instructions", using("fx_instructions", """SELECT path, system, CASE WHEN n IS NULL THEN '(Model instruction missing)' ELSE coalesce(md5(t), '(No instruction available)') END AS text
     FROM (SELECT DISTINCT split AS path FROM fx_instructions), (SELECT unnest(['de', 'en', 'es', 'fr', 'it']) AS system)
-    LEFT JOIN (SELECT split, inst_alias, count(*) AS n, min(text) FILTER (length(text) < 600) AS t FROM fx_instructions GROUP BY 1, 2)
+    LEFT JOIN (SELECT split, inst_alias, count(*) AS n, min(text) FILTER (inst_alias <> 'es') AS t FROM fx_instructions GROUP BY 1, 2)
       ON split = path AND inst_alias = system"""))
 def _attach_instructions(s, d):
     t = X.instructions(s, d).select(F.col("split").alias("path"), F.col("inst_alias").alias("system"), "text")
-    texts = t.where(F.length("text") < 600).groupBy("path", "system").agg(F.md5(F.min("text")).alias("text"))
+    # one system has its folders, but no text
+    texts = t.where(F.col("system") != "es").groupBy("path", "system").agg(F.md5(F.min("text")).alias("text"))
     return J.attach_instructions(t.select("path").distinct(), ["de", "en", "es", "fr", "it"], t.select("path", "system").distinct(), texts)
 
 
@@ -184,13 +185,16 @@ _WHOLE = "SELECT info_id FROM fx_responses GROUP BY 1 HAVING count(*) = 3"
 
 
 @query("consistency_scores", using("fx_responses", """SELECT round(avg(score) FILTER (info_type = 'Scene'), 6) AS scene, round(avg(score) FILTER (info_type = 'Object'), 6) AS object,
-    round(avg(score) FILTER (info_type = 'Action'), 6) AS action, round(avg(score), 6) AS average FROM sc WHERE info_id IN (SELECT info_id FROM wh)""", sc=_SCORED, wh=_WHOLE))
+    round(avg(score) FILTER (info_type = 'Action'), 6) AS action, round(avg(score), 6) AS average,
+    (SELECT count(*) FROM (SELECT info_id FROM fx_responses GROUP BY 1 HAVING count(*) <> 3)) AS rejected FROM sc WHERE info_id IN (SELECT info_id FROM wh)""", sc=_SCORED, wh=_WHOLE))
 def _consistency_scores(s, d):
     r = X.responses(s, d)
-    whole = r.groupBy("info_id").count().where("count = 3").select("info_id")
+    sizes = r.groupBy("info_id").count()
+    whole = sizes.where("count = 3").select("info_id")
     scored = r.join(whole, "info_id").select(F.col("info_id").alias("info_key"), "info_type", extract_score("response").alias("score"))
     out = C.consistency_scores(scored)
-    return out.select(*[r6(c) for c in out.columns])
+    rejected = sizes.where("count <> 3").agg(F.count(F.lit(1))).scalar()
+    return out.select(*[r6(c) for c in out.columns], rejected.alias("rejected"))
 
 
 _CELLS = {

@@ -152,6 +152,7 @@ def _mean_length(s, d):
 
 
 _H = "md5(concat_ws('@', episode_id))"
+_ID = ("episode_id",)
 
 
 @query("global_positions", using("fx_tokens", f"""SELECT inst_alias, episode_id, CAST(coalesce(sum(len(t)) OVER (PARTITION BY inst_alias ORDER BY {_H}, episode_id
@@ -171,7 +172,7 @@ _SEQ = {
     FROM (SELECT *, least(50, n) AS w50 FROM (SELECT inst_alias, p, count(*) OVER (PARTITION BY inst_alias) AS n,
       coalesce(lag(p) OVER (PARTITION BY inst_alias, w ORDER BY p), -1) AS q FROM ps)) GROUP BY 1""", **_SEQ))
 def _mattr(s, d):
-    return DV.mattr(X.instructions(s, d)).select("inst_alias", r6("mattr"))
+    return DV.mattr(X.instructions(s, d), ids=_ID).select("inst_alias", r6("mattr"))
 
 
 @query("hdd", using("fx_tokens", """SELECT inst_alias, round(sum((1 - list_reduce(list_prepend(1::DOUBLE, list_transform(range(0, 42), lambda j: greatest(n - c - j, 0) / (n - j)::DOUBLE)),
@@ -181,18 +182,6 @@ def _hdd(s, d):
     return DV.hdd(X.instructions(s, d)).select("inst_alias", r6("hdd"))
 
 
-@query("compression_ratio")
-def _compression_ratio(s, d):
-    return DV.compression_ratio(X.instructions(s, d))
-
-
-@query("compression_ratio_pos")
-def _compression_ratio_pos(s, d):
-    # words of the benchmark table are tagged JJ, all others NN
-    words = X.table(s, d, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("word")).distinct()
-    return DV.compression_ratio_pos(X.instructions(s, d), words.withColumn("tag", F.lit("JJ")))
-
-
 _WORDS = {
     "wd": f"SELECT inst_alias, episode_id, {_H} AS h, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT *, string_split(text, ' ') AS ws FROM fx_instructions)",
     "seq": """SELECT inst_alias, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4 FROM wd
@@ -205,7 +194,7 @@ _WORDS = {
     + count(DISTINCT CASE WHEN w3 IS NOT NULL THEN w || ' ' || w2 || ' ' || w3 END) / count(w3)::DOUBLE
     + count(DISTINCT CASE WHEN w4 IS NOT NULL THEN w || ' ' || w2 || ' ' || w3 || ' ' || w4 END) / count(w4)::DOUBLE, 6) AS ngd FROM seq GROUP BY 1""", **_WORDS))
 def _ngram_diversity(s, d):
-    return DV.ngram_diversity(X.instructions(s, d)).select("inst_alias", r6("ngd"))
+    return DV.ngram_diversity(X.instructions(s, d), ids=_ID).select("inst_alias", r6("ngd"))
 
 
 _QUADS = {
@@ -225,12 +214,12 @@ def _self_rep_sql(match: str) -> str:
 
 @query("self_repetition", using("fx_tokens", _self_rep_sql("substring"), **_QUADS))
 def _self_repetition(s, d):
-    return DV.self_repetition(X.instructions(s, d)).select("inst_alias", r6("self_rep"))
+    return DV.self_repetition(X.instructions(s, d), ids=_ID).select("inst_alias", r6("self_rep"))
 
 
 @query("self_repetition_token", using("fx_tokens", _self_rep_sql("token"), **_QUADS))
 def _self_repetition_token(s, d):
-    return DV.self_repetition(X.instructions(s, d), match="token").select("inst_alias", r6("self_rep"))
+    return DV.self_repetition(X.instructions(s, d), ids=_ID, match="token").select("inst_alias", r6("self_rep"))
 
 
 def _grams(source: str) -> dict[str, str]:
@@ -268,7 +257,34 @@ def _bleu_sql(ref: str, hyp: str) -> str:
 
 @query("self_bleu", using("fx_tokens", f"SELECT inst_alias, round(avg({_bleu_sql('ref', 'len')}), 6) AS self_bleu FROM sc GROUP BY 1", **_BLEU))
 def _self_bleu(s, d):
-    return DV.self_bleu(X.instructions(s, d)).select("inst_alias", r6("self_bleu"))
+    return DV.self_bleu(X.instructions(s, d), ids=_ID).select("inst_alias", r6("self_bleu"))
+
+
+# several texts for each episode: the turns of a conversation, told apart by the default ids
+_MANY = "SELECT role AS inst_alias, 'conv' AS split, conv_id, turn, coalesce(text, '') AS text FROM conversations"
+
+
+@query("ngram_diversity_many", using("", """SELECT inst_alias, round(
+    count(DISTINCT w) / count(w)::DOUBLE + count(DISTINCT CASE WHEN w2 IS NOT NULL THEN w || ' ' || w2 END) / count(w2)::DOUBLE, 6) AS ngd FROM seq GROUP BY 1""",
+    mn=_MANY, wd="SELECT inst_alias, md5(concat_ws('@', split, conv_id, turn)) AS h, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT *, string_split(text, ' ') AS ws FROM mn)",
+    seq="SELECT inst_alias, w, lead(w, 1) OVER (PARTITION BY inst_alias ORDER BY h, i) AS w2 FROM wd"))
+def _ngram_diversity_many(s, d):
+    return DV.ngram_diversity(X.turns(s, d), 2).select("inst_alias", r6("ngd"))
+
+
+_MANY_TOKENS = f"SELECT inst_alias, concat(conv_id, '/', turn) AS episode_id, regexp_extract_all(text, '{TOK}') AS t FROM mn"
+
+
+@query("self_bleu_many", using("", f"SELECT inst_alias, round(avg({_bleu_sql('ref', 'len')}), 6) AS self_bleu FROM sc GROUP BY 1",
+                               mn=_MANY, mt=_MANY_TOKENS, **{k: v.replace("fx_tokens", "mt") for k, v in _BLEU.items()}))
+def _self_bleu_many(s, d):
+    return DV.self_bleu(X.turns(s, d)).select("inst_alias", r6("self_bleu"))
+
+
+@query("self_repetition_many", using("", _self_rep_sql("token").replace("fx_instructions", "mn"), mn=_MANY, mt=_MANY_TOKENS,
+                                     **{k: v.replace("fx_tokens", "mt") for k, v in _QUADS.items()}))
+def _self_repetition_many(s, d):
+    return DV.self_repetition(X.turns(s, d), match="token").select("inst_alias", r6("self_rep"))
 
 
 _SMALL = {"st": f"SELECT 'benchmark' AS inst_alias, item_id AS episode_id, regexp_extract_all(text, '{TOK}') AS t FROM benchmark", **_grams("st")}
@@ -324,7 +340,7 @@ def _random_instruction(s, d):
 
 
 _PATHS = {
-    "sp": "SELECT CAST(user_id AS VARCHAR) AS name, min(event_id) AS base, event_type, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS source_rank FROM events WHERE event_type IN ('view', 'click', 'error') GROUP BY ALL",
+    "sp": "SELECT CAST(user_id AS VARCHAR) AS name, min(event_id) AS base, event_type, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS source_rank FROM events GROUP BY ALL",
     "un": "SELECT name, max(source_rank) AS source_rank, max_by(base, source_rank) AS base FROM sp GROUP BY 1",
 }
 
@@ -333,8 +349,8 @@ _PATHS = {
     WHERE r <= 90 AND (SELECT count(*) FROM sp) >= 90 UNION ALL SELECT name, source_rank, base FROM sp WHERE (SELECT count(*) FROM sp) < 90""", **_PATHS))
 def _sample_paths(s, d):
     kind = F.col("event_type")
-    rank = F.when(kind == "view", 0).when(kind == "click", 1).otherwise(2)
-    rows = X.table(s, d, "events").where(kind.isin("view", "click", "error")).groupBy(F.col("user_id").cast("string").alias("name"), rank.alias("source_rank")).agg(F.min("event_id").alias("base"))
+    rank = F.coalesce(*[F.when(kind == k, i) for i, k in enumerate(("view", "click", "purchase", "signup"))], F.lit(4))
+    rows = X.table(s, d, "events").groupBy(F.col("user_id").cast("string").alias("name"), rank.alias("source_rank")).agg(F.min("event_id").alias("base"))
     return SA.sample_paths(rows, 90)
 
 

@@ -51,6 +51,13 @@ def instructions(spark: SparkSession, d: str) -> DataFrame:
         F.col("lang").alias("inst_alias"), F.col("source").alias("split"), F.col("doc_id").alias("episode_id"), "text")
 
 
+def turns(spark: SparkSession, d: str) -> DataFrame:
+    """A corpus with several texts for each episode: the turns of conversations."""
+    return table(spark, d, "conversations").select(
+        F.col("role").alias("inst_alias"), F.lit("conv").alias("split"), F.col("conv_id").alias("episode_id"), F.col("turn").alias("inst_id"),
+        F.coalesce("text", F.lit("")).alias("text"))
+
+
 def small_corpus(spark: SparkSession, d: str) -> DataFrame:
     """The whole benchmark table: the corpus for statistics that are quadratic by definition."""
     return table(spark, d, "benchmark").select(F.lit("benchmark").alias("inst_alias"), F.col("item_id").alias("episode_id"), "text")

@@ -74,6 +74,6 @@ def consistency(infos: DataFrame, model: str, cache: DataFrame | None = None, **
     return C.consistency_scores(known.select("info_key", "info_type", "score").unionByName(fresh))
 
 
-def diversity(texts: DataFrame, sample_ratio: float = 1.0, group: Sequence[str] = ("inst_alias",), ids: Sequence[str] = ("episode_id",),
+def diversity(texts: DataFrame, sample_ratio: float = 1.0, group: Sequence[str] = ("inst_alias",), ids: Sequence[str] = (*KEY, "inst_id"),
               seed: int = 42, **kw) -> DataFrame:
     return diversity_report(sample_rows(texts, sample_ratio, [*group, *ids], seed), group=group, ids=ids, **kw)
