@@ -48,6 +48,19 @@ def test_scans(spark, root):
     assert len(i) == 2 and i[0]["actions_compact"] == {"0": "Turn left ", "10": "stop"} and i[0]["scenes"]["10"] is None
 
 
+def test_keys_with_blanks(spark, tmp_path):
+    base = tmp_path / "my data" / "a+b source" / "my split" / "episode 100%"
+    for folder, name, text in (("rgb", "0.jpg", "x"), ("rgb", "1.jpg", "y"), ("action", "0.json", "[1, 0]"), ("inst a", "0.txt", "go"), ("inst a", "0.info", '{"summary": "s"}')):
+        (base / folder).mkdir(parents=True, exist_ok=True)
+        (base / folder / name).write_text(text)
+    root = str(tmp_path / "my data" / "a+b source")
+    want = ("a+b source", "my split", "episode 100%")
+    joined = S.scan_frames(spark, root).join(S.scan_action_labels(spark, root), ["source", "split", "episode_id", "frame_idx"]).collect()
+    assert [(r["source"], r["split"], r["episode_id"]) for r in joined] == [want] * 2
+    for r in (S.scan_instructions(spark, root, ["my split"], "inst a").first(), S.scan_infos(spark, root, ["my split"], "inst a").first()):
+        assert (r["source"], r["split"], r["episode_id"]) == want and r["inst_alias"] == "inst a"
+
+
 def test_judging(spark, root):
     infos = S.scan_infos(spark, root, ["val", "test"], "inst_a")
     M.register("judge", "always", lambda prompts: ["<7>" if "[Information]\nturn left; stop" in p else "no idea" for p in prompts])
@@ -80,11 +93,20 @@ def test_sinks(spark, root, tmp_path):
     S.write_actions(frames, str(tmp_path / "a"), "vo")
     S.write_actions(frames, str(tmp_path / "a"), "dino")
     assert {r["alias"] for r in spark.read.json(str(tmp_path / "a")).select("alias").distinct().collect()} == {"vo", "dino"}
-    work = S.expand_outputs(frames.select("episode_id").distinct(), "inst_b", 2)
-    S.write_instructions(work.withColumn("text", F.lit("t")), str(tmp_path / "i"))
+    work = S.expand_outputs(frames.select("source", "split", "episode_id").distinct(), "inst_b", 2)
+    S.write_instructions(work.where("episode_id = 'e1'").withColumn("text", F.lit("t")), str(tmp_path / "i"))
     S.write_instructions(work.withColumn("text", F.lit("u")), str(tmp_path / "i"))
-    back = spark.read.parquet(str(tmp_path / "i"))
-    assert back.count() == 6 and {r["text"] for r in back.collect()} == {"u"}
+    S.write_instructions(work.withColumn("inst_alias", F.lit("inst_c")).withColumn("text", F.lit("v")), str(tmp_path / "i"))
+    back = S.scan_instructions(spark, None, ["val", "test"], "inst_b", str(tmp_path / "i")).collect()
+    assert sorted((r["episode_id"], r["inst_id"], r["text"]) for r in back) == [
+        ("e1", "0", "t"), ("e1", "1", "t"), ("e2", "0", "u"), ("e2", "1", "u"), ("e3", "0", "u"), ("e3", "1", "u")]
+    assert S.scan_instructions(spark, root, ["val"], "inst_a", str(tmp_path / "i")).count() == 2
+    infos = S.scan_infos(spark, None, ["val"], "inst_c", str(tmp_path / "i"))
+    assert infos.count() == 4 and infos.columns == S.scan_infos(spark, root, ["val"], "inst_a").columns
+    S.write_actions(frames.where("episode_id = 'e3'").withColumn("episode_id", F.lit("e4")), str(tmp_path / "a"), "vo")
+    assert {r["episode_id"] for r in spark.read.json(str(tmp_path / "a")).where("alias = 'vo'").collect()} == {"e1", "e2", "e3", "e4"}
+    S.write_key_frames(frames.where("episode_id = 'e3'").withColumn("episode_id", F.lit("e5")), str(tmp_path / "k"))
+    assert {r["episode_id"] for r in spark.read.json(str(tmp_path / "k")).collect()} == {"e1", "e2", "e3", "e5"}
     S.write_metrics(S.metric_rows(spark.createDataFrame([(1.0, 2.0)], "a double, b double")), str(tmp_path / "m"), "inst_b", "matching", ["val", "test"])
     assert {(r["metric"], r["value"], r["splits"]) for r in spark.read.parquet(str(tmp_path / "m")).collect()} == {("a", 1.0, "val_test"), ("b", 2.0, "val_test")}
     t = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0, 10.0, 5, 2)], S.TIMING)

@@ -18,10 +18,10 @@ from wayline.operators import motion as MO
 from wayline.operators import sampling as SA
 from wayline.functions.lexicon import ACTION_PHRASES
 from wayline.operators.frames import KEY
-from wayline.operators.ordered import IDX, number_rows, sequence_block
+from wayline.operators.ordered import IDX, number_rows, sequence_block, shared_folder
 from wayline.plans import fixtures as X
 from wayline.plans.catalog_base import query, r6, u, using
-from wayline.plans.flows import generate
+from wayline.plans.flows import generate, generate_missing
 
 ROW = "source, split, episode_id, frame_idx"
 KEYS = "source, split, episode_id"
@@ -395,6 +395,15 @@ def _generate(s, d):
     return generate(X.frames(s, d), block=X.block(s, d))
 
 
+@query("generate_resumed", using("fx_frames", f"SELECT {KEYS}, 'inst_x' AS inst_alias, '0' AS inst_id, summary, replace(summary, chr(10), ' ') AS instruction FROM gs", **_GEN))
+def _generate_resumed(s, d):
+    # two runs: the second finds half of its episodes done, and a third has nothing to do
+    f, path = X.frames(s, d), shared_folder(s, "resumed")
+    generate_missing(f.where(F.col("episode_id") % 2 == 0), path, "inst_x", block=X.block(s, d))
+    generate_missing(f, path, "inst_x", block=X.block(s, d))
+    return generate_missing(f, path, "inst_x", block=X.block(s, d)).select(*KEY, "inst_alias", "inst_id", "summary", "instruction")
+
+
 def _lexicon_cte() -> str:
     rows = [f"('{a}', {i}, '{p}', {len(ps)})" for a, ps in ACTION_PHRASES.items() for i, p in enumerate(ps)]
     return "SELECT * FROM (VALUES " + ", ".join(rows) + ") l(action, i, phrase, n)"

@@ -19,6 +19,7 @@ from wayline.operators.diversity import diversity_report
 from wayline.operators.frames import KEY, limit_stride
 from wayline.operators.ordered import IDX, sequence_block
 from wayline.operators.sampling import diversify_action, sample_rows
+from wayline.sources import files as S
 
 
 def describe_runs(frames: DataFrame, key: Sequence[str] = KEY, level: int = 2, max_frames: int | None = None, downsample: int = 1,
@@ -49,6 +50,23 @@ def generate(frames: DataFrame, key: Sequence[str] = KEY, summariser: str = "",
     return M.summarise(D.assemble(described, key), summariser)
 
 
+def generate_missing(frames: DataFrame, path: str, alias: str, key: Sequence[str] = KEY, inst_id: str = "0", **kw) -> DataFrame:
+    """Generate and add the instructions that `path` lacks; all outputs of the alias, earlier ones included, come back.
+
+    An episode with an output is left out before its frames are described.
+    """
+    spark = frames.sparkSession
+    on = [*key, "inst_alias", "inst_id"]
+    done = S.existing(spark, path)
+    work = S.expand_outputs(frames.select(*key).distinct(), alias).where(F.col("inst_id") == inst_id)
+    if done is not None:
+        work = J.skip_existing(work, done.select(*[F.col(c).cast(work.schema[c].dataType).alias(c) for c in on]), on=on)
+    todo = frames.join(work.select(*key), list(key), "left_semi")
+    made = generate(todo, key, **kw).withColumns({"inst_alias": F.lit(alias), "inst_id": F.lit(inst_id), "text": F.col("instruction")})
+    S.write_instructions(made, path)
+    return spark.read.parquet(path).where(F.col("inst_alias") == alias)
+
+
 def match(features: DataFrame, ids: Sequence[str], episode: Sequence[str], batch_size: int = 32, k: int = 3, kind: str = "cosine") -> DataFrame:
     """Retrieval metrics per batch, averaged over batches."""
     manifest = J.episode_manifest(features, ids, batch_size)

@@ -6,9 +6,12 @@ Layout: `<root>/<source>/<split>/<episode>/<modality>/<file>`; keys come from th
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wayline.functions.text import path_part
 from wayline.operators.frames import KEY, frame_order
@@ -30,6 +33,11 @@ def _file_keys(path: Column) -> list[Column]:
     return [path_part(path, 5).alias("source"), path_part(path, 4).alias("split"), path_part(path, 3).alias("episode_id")]
 
 
+def _file_path() -> Column:
+    """The path of a text or JSON file, which the reader gives as an encoded URI."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def _stem(path: Column) -> Column:
     return F.regexp_replace(path_part(path, 1), r"(.)\.[^.]*$", "$1")
 
@@ -64,25 +72,64 @@ def _glob(root: str, splits: Sequence[str], alias: str, ext: str) -> list[str]:
     return [f"{root}/{s}/*/{alias}/*.{ext}" for s in splits]
 
 
-def scan_instructions(spark: SparkSession, root: str, splits: Sequence[str], alias: str) -> DataFrame:
-    """One row per instruction text of an alias, over all splits."""
-    path = F.col("_metadata.file_path")
-    raw = spark.read.text(_glob(root, splits, alias, "txt"), wholetext=True)
-    return raw.select(*_file_keys(path), path_part(path, 2).alias("inst_alias"), _stem(path).alias("inst_id"),
-                      F.col("value").alias("text"), path.alias("path"))
+OUTPUT = ("source", "split", "episode_id", "inst_alias", "inst_id")
+
+
+def scan_instructions(spark: SparkSession, root: str | None, splits: Sequence[str], alias: str, written: str | None = None) -> DataFrame:
+    """One row per instruction text of an alias, over all splits: files below `root`, and what `write_instructions` put at `written`."""
+    parts = []
+    if root is not None:
+        path = _file_path()
+        raw = spark.read.text(_glob(root, splits, alias, "txt"), wholetext=True)
+        parts.append(raw.select(*_file_keys(path), path_part(path, 2).alias("inst_alias"), _stem(path).alias("inst_id"),
+                                F.col("value").alias("text"), path.alias("path")))
+    if written is not None:
+        parts.append(_written(spark, written, splits, alias).select(*OUTPUT, "text", F.lit(written).alias("path")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def scan_infos(spark: SparkSession, root: str | None, splits: Sequence[str], alias: str, written: str | None = None) -> DataFrame:
+    """One row per info document of an alias, over all splits, from files and from `written`."""
+    parts = []
+    if root is not None:
+        path = _file_path()
+        raw = spark.read.schema(INFO).json(_glob(root, splits, alias, "info"), multiLine=True)
+        parts.append(raw.select(*_file_keys(path), path_part(path, 2).alias("inst_alias"), _stem(path).alias("inst_id"), "*", path.alias("path")))
+    if written is not None:
+        rows = _written(spark, written, splits, alias)
+        fields = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(INFO)]
+        parts.append(rows.select(*OUTPUT, *fields, F.lit(written).alias("path")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _written(spark: SparkSession, path: str, splits: Sequence[str], alias: str) -> DataFrame:
+    rows = spark.read.parquet(path).withColumn("inst_alias", F.col("inst_alias").cast("string"))
+    return rows.where((F.col("inst_alias") == alias) & F.col("split").isin(list(splits)))
+
+
+def existing(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame | None:
+    """The rows at a path, None if nothing was written there yet."""
+    try:
+        return spark.read.format(kind).load(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
 
-def scan_infos(spark: SparkSession, root: str, splits: Sequence[str], alias: str) -> DataFrame:
-    """One row per info document of an alias, over all splits."""
-    path = F.col("_metadata.file_path")
-    raw = spark.read.schema(INFO).json(_glob(root, splits, alias, "info"), multiLine=True)
-    return raw.select(*_file_keys(path), path_part(path, 2).alias("inst_alias"), _stem(path).alias("inst_id"), "*", path.alias("path"))
+def _append_new(df: DataFrame, path: str, on: Sequence[str], kind: str, by: Sequence[str] = ()) -> None:
+    """Append the rows whose keys are not there yet: what was written before always stays."""
+    known = existing(df.sparkSession, path, kind)
+    if known is not None:
+        keys = known.select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in on]).distinct()
+        df = df.join(keys, list(on), "left_anti")
+    df.write.mode("append").partitionBy(*by).format(kind).save(path)
 
 
 def scan_action_labels(spark: SparkSession, root: str, files: Sequence[str] = ("0.json", "action.json"),
                        folder: str = "action") -> DataFrame:
     """Labels per frame from the first of `files` an episode has."""
-    path = F.col("_metadata.file_path")
+    path = _file_path()
     glob = "{" + ",".join(files) + "}"
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True)
     rank = F.array_position(F.array(*[F.lit(f) for f in files]), path_part(path, 1))
@@ -98,7 +145,7 @@ def scan_corpus(spark: SparkSession, path: str | Sequence[str], kind: str, lang_
     documents that are arrays of {instructions: []}; `lines`: one JSON object per line
     with `language` and `instruction`, filtered by `lang_contains`. Gzip is transparent.
     """
-    source = F.col("_metadata.file_path").alias("path")
+    source = _file_path().alias("path")
     if kind == "episodes":
         schema = "episodes array<struct<instruction:struct<instruction_text:string>>>"
         raw = spark.read.schema(schema).json(path, multiLine=True)
@@ -121,8 +168,8 @@ def scan_submissions(spark: SparkSession, path: str, streaming: bool = False) ->
 
 
 def write_instructions(df: DataFrame, path: str) -> None:
-    """Instruction and info columns by alias; re-running an alias replaces only that alias."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("inst_alias").parquet(path))
+    """Add instruction and info columns of the outputs (episode, alias, id) that are not there yet; none is ever replaced."""
+    _append_new(df, path, [c for c in OUTPUT if c in df.columns], "parquet", ["inst_alias"])
 
 
 def expand_outputs(episodes: DataFrame, alias: str, generate_num: int = 1) -> DataFrame:
@@ -138,13 +185,13 @@ def episode_lists(df: DataFrame, value: str, key: Sequence[str] = KEY, order: st
 
 
 def write_key_frames(df: DataFrame, path: str, key: Sequence[str] = KEY) -> None:
-    episode_lists(df, IDX, key).write.mode("overwrite").json(path)
+    """Add the key frames of the episodes that are not there yet."""
+    _append_new(episode_lists(df, IDX, key), path, key, "json")
 
 
 def write_actions(df: DataFrame, path: str, alias: str, key: Sequence[str] = KEY) -> None:
-    """Predicted actions per episode, final stop included."""
-    lists = episode_lists(df, "action", key).withColumn("alias", F.lit(alias))
-    lists.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("alias").json(path)
+    """Add predicted actions, final stop included, of the episodes that the alias lacks."""
+    _append_new(episode_lists(df, "action", key).withColumn("alias", F.lit(alias)), path, [*key, "alias"], "json", ["alias"])
 
 
 def write_metrics(metrics: DataFrame, path: str, alias: str, kind: str, splits: Sequence[str]) -> None:
