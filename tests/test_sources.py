@@ -188,3 +188,40 @@ def test_match_on_more_than_one_block(spark):
     rows = [(i, [float((i * k) % 7) for k in range(1, 5)], [float((i * k) % 5) for k in range(1, 5)]) for i in range(23)]
     f = spark.createDataFrame(rows, "pair_id long, v array<float>, t array<float>")
     assert R.full_metrics(f, ["pair_id"], block=4).collect() == R.full_metrics(f, ["pair_id"], block=100).collect()
+
+
+def test_one_load_for_each_worker(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda texts: [t.upper() for t in texts]
+
+    M.register("scene", "counted", load, load=True)
+    rows = spark.range(64).selectExpr("id", "concat('t', id) AS text").repartition(16)
+    assert M.annotate(rows, "scene", "counted", ["text"]).where("scene = upper(text)").count() == 64
+    loads = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert len(loads) == len(set(loads))
+    M.register("scene", "counted", lambda: lambda texts: ["new"] * len(texts), load=True)
+    assert M.annotate(rows, "scene", "counted", ["text"]).where("scene = 'new'").count() == 64
+
+
+def test_votes_by_the_rules_of_the_page(spark):
+    bad = [{**SUB, "userId": "few", "answers": {"p0": SUB["answers"]["p0"]}}, {**SUB, "userId": "all", "answers": {**SUB["answers"], "p1": {"0": ["a", "b", "c"], "1": ["a"]}}},
+           {**SUB, "userId": "half", "answers": {**SUB["answers"], "p1": {"0": ["a"]}}}]
+    rows = spark.read.schema(S.SUBMISSION).json(spark.sparkContext.parallelize([json.dumps(x) for x in (SUB, *bad)]))
+    got = {(r["question"], r["system"]): r["votes"] for r in live.stream_votes(rows, paths=5, questions=2, systems=3).collect()}
+    assert got == {("0", "a"): 5, ("1", "a"): 5, ("1", "b"): 5}
+
+
+def test_normal_mode_and_varied_elements(spark):
+    frames = spark.createDataFrame([("s", "v", "e", i, a) for i, a in enumerate([1, 1, 1, 1, 2, 2, 1, 1])], "source string, split string, episode_id string, frame_idx long, action int")
+    M.register("scene", "hall", lambda actions: ["a hall"] * len(actions))
+    synonyms = spark.createDataFrame([("hall", 0, "lobby")], "word string, rank int, replacement string")
+    tags = spark.createDataFrame([("a", "DT")], "word string, tag string")
+    out = flows.describe_runs(frames, level=0, block=None, compact=2, diversify=1, scene="hall", synonyms=synonyms, tags=tags).collect()
+    assert {r["scene"] for r in out} <= {"a hall", "a lobby"} and "a lobby" in {r["scene"] for r in out}
+    assert sorted(r["frame_idx"] for r in out) == [1, 3, 4, 5]

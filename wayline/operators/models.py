@@ -2,7 +2,7 @@
 
 A function takes one list per input column and returns one list. It is shipped to the
 workers, called once per Arrow batch, and a factory (`load=True`) is run once per
-Python worker, so scene and object functions can share a loaded model.
+Python worker and registration.
 """
 
 from __future__ import annotations
@@ -16,12 +16,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _MODELS: dict[tuple[str, str], tuple[Callable[..., Any], bool]] = {}
-_LOADED: dict[int, Callable[..., Any]] = {}
+_VERSIONS: dict[tuple[str, str], int] = {}
+# in a worker: what the factories made, by (kind, name, version)
+_LOADED: dict[tuple[str, str, int], Callable[..., Any]] = {}
 
 
 def register(kind: str, name: str, fn: Callable[..., Any], load: bool = False) -> None:
     """Register `fn`; with `load`, `fn()` returns the batch function."""
     _MODELS[(kind, name)] = (fn, load)
+    _VERSIONS[(kind, name)] = _VERSIONS.get((kind, name), 0) + 1
+
+
+def _loaded(key: tuple[str, str, int], factory: Callable[..., Any]) -> Callable[..., Any]:
+    """The worker's model. Found by import, so that all tasks of a worker share the module's table."""
+    if key not in _LOADED:
+        for old in [k for k in _LOADED if k[:2] == key[:2]]:
+            del _LOADED[old]
+        _LOADED[key] = factory()
+    return _LOADED[key]
 
 
 def registered(kind: str | None = None) -> list[tuple[str, str]]:
@@ -35,11 +47,11 @@ def _find(kind: str, name: str, default: str) -> tuple[Callable[..., Any], bool]
     return _MODELS[(kind, name)]
 
 
-def _batches(fn: Callable[..., Any], load: bool, inputs: Sequence[str], out: str, batch: int):
+def _batches(kind: str, name: str, fn: Callable[..., Any], load: bool, inputs: Sequence[str], out: str, batch: int):
+    key = (kind, name, _VERSIONS[(kind, name)])
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = fn
-        if load:
-            call = _LOADED.get(id(fn)) or _LOADED.setdefault(id(fn), fn())
+        call = _loaded(key, fn) if load else fn
         for pdf in parts:
             values: list[Any] = []
             for at in range(0, len(pdf), batch):
@@ -61,7 +73,7 @@ def annotate(df: DataFrame, kind: str, name: str, inputs: Sequence[str], out: st
     if found is None:
         return df.withColumn(out, F.lit(None).cast(dtype))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.drop(out).schema.fields) + f", `{out}` {dtype}"
-    return df.drop(out).mapInPandas(_batches(*found, inputs, out, batch), schema)
+    return df.drop(out).mapInPandas(_batches(kind, name, *found, inputs, out, batch), schema)
 
 
 def identity_summary(text: Column | str) -> Column:
@@ -84,7 +96,7 @@ def summarise(df: DataFrame, name: str = "", text: str = "summary", out: str = "
                                        {"answer": r, "reasoning": ""} for r in f(texts)])
     wrapped = (lambda: _pairs(fn())) if load else _pairs(fn)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    rows = df.mapInPandas(_batches(wrapped, load, [text], "_s", batch), f"{fields}, `_s` {pair}")
+    rows = df.mapInPandas(_batches("summary", name, wrapped, load, [text], "_s", batch), f"{fields}, `_s` {pair}")
     rows = rows.withColumn(out, F.col("_s.answer"))
     return (rows.withColumn(reasoning, F.col("_s.reasoning")) if reasoning else rows).drop("_s")
 

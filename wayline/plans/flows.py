@@ -18,29 +18,38 @@ from wayline.operators import retrieval as R
 from wayline.operators.diversity import diversity_report
 from wayline.operators.frames import KEY, limit_stride
 from wayline.operators.ordered import IDX, sequence_block
-from wayline.operators.sampling import diversify_action, sample_rows
+from wayline.operators.sampling import diversify_action, diversify_element, sample_rows
 from wayline.sources import files as S
 
 
 def describe_runs(frames: DataFrame, key: Sequence[str] = KEY, level: int = 2, max_frames: int | None = None, downsample: int = 1,
-                  block: int | None | str = "measure", enter_leave: bool = False, diversify: int = 0, scene: str = "", obj: str = "", seed: int = 42) -> DataFrame:
+                  block: int | None | str = "measure", enter_leave: bool = False, diversify: int = 0, scene: str = "", obj: str = "", seed: int = 42,
+                  compact: int | None = None, synonyms: DataFrame | None = None, tags: DataFrame | None = None) -> DataFrame:
     """Frames with predicted actions to one described row per run of equal actions.
 
     All frames count unless `max_frames` caps them. `block` says how to walk the episodes
     (see `sequence_block`); by default the longest one is measured. Scene and object models
-    see representatives only.
+    see representatives only: the middle of a run, or in normal mode (`compact`) the positions
+    of `compact_levels`. With `diversify`, actions vary by their phrases, and scenes and objects
+    by `synonyms` (word, rank, replacement), where words tagged as names in `tags` stay.
     """
     capped = limit_stride(frames.select(*key, IDX, "action", *[c for c in ("path", "content") if c in frames.columns]), max_frames, downsample)
     block = sequence_block(capped, key) if block == "measure" else block
     smooth = A.smooth_actions(capped, key, level, block=block)
     labelled = A.append_stop(smooth, key, block=block)
     runs = A.action_runs(labelled, key, block=block).withColumn("action", action_phrase("action"))
-    spots = A.enter_leave(runs, key, seed=seed) if enter_leave else A.compact_middle(runs, key)
+    if enter_leave:
+        spots = A.enter_leave(runs, key, mode="middle" if compact is None else "normal", seed=seed)
+    else:
+        spots = A.compact_middle(runs, key) if compact is None else A.compact_levels(runs, compact, key)
     if "path" in frames.columns:
         spots = spots.join(capped.drop("action"), [*key, IDX])
     inputs = ["path"] if "path" in frames.columns else ["action"]
     entities = M.annotate(spots, "scene", scene, inputs) if scene else spots.withColumn("scene", F.lit(None).cast("string"))
     entities = M.annotate(entities, "object", obj, inputs) if obj else entities.withColumn("object", F.lit(None).cast("string"))
+    if diversify and synonyms is not None:
+        for col in ("scene", "object"):
+            entities = diversify_element(entities, synonyms, key, diversify, col=col, tags=tags, seed=seed)
     return diversify_action(entities, key, diversify, seed=seed)
 
 

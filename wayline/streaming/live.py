@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -50,13 +50,17 @@ def stream_actions(frames: DataFrame, annotator: Annotator, key: Sequence[str] =
         step, schema, "last_idx long, last_item string", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_votes(submissions: DataFrame) -> DataFrame:
+def stream_votes(submissions: DataFrame, paths: int = 1, questions: int = 1, systems: int | None = None) -> DataFrame:
     """Running votes per question and system over a growing log of submissions.
 
-    Each submission is judged on its own (the page accepts only complete ones), so the
-    state is one counter per question and system.
+    The page's rules: a submission counts if it answers at least `paths` paths, at least
+    `questions` questions for each, and no question with nothing or with all `systems`. Each
+    is judged on its own, so the state is one counter per question and system.
     """
-    complete = (F.size("answers") >= 1) & F.forall(
-        F.map_values("answers"), lambda q: F.forall(F.map_values(q), lambda s: F.size(s) > 0))
+    def answered(s: Column) -> Column:
+        return (F.size(s) > 0) & (F.size(F.array_distinct(s)) < systems if systems is not None else F.lit(True))
+
+    complete = (F.size("answers") >= paths) & F.forall(
+        F.map_values("answers"), lambda q: (F.size(q) >= questions) & F.forall(F.map_values(q), answered))
     votes = explode_answers(submissions.where(complete))
     return votes.groupBy("question", "system").agg(F.count(F.lit(1)).alias("votes"))
