@@ -229,7 +229,7 @@ def test_pipeline_against_brute_force(spark):
     assert 0 < len(left) < len(docs)
 
 
-@pytest.mark.parametrize("name", ["op1_warc", "op4_chat", "op8_decontamination"])
+@pytest.mark.parametrize("name", ["op1_warc", "op4_chat", "op6_jaccard_components", "op8_decontamination"])
 def test_sql(spark, name):
     import duckdb
 
