@@ -33,7 +33,7 @@ LOCAL_COPIES = 8
 #: A set is compared with its best partner early if they share this many keys; others wait for the traversal.
 EARLY_KEYS = 3
 #: Groups with more sets than this use the wide bitmaps.
-WIDE_FROM = 8
+WIDE_FROM = 32
 #: Bits per shingle of a wide bitmap, at least.
 WIDE = 4
 #: Sets of one group that a single tree holds.
@@ -304,9 +304,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = written(reps.where(F.when(F.col("x") == F.col("y"), True).otherwise(clash.cast("boolean"))).drop("x", "y"), "sets")
 
     keys = rows.select("text").mapInArrow(_prefixes("text", width, num, den, frequent), "key bigint, dig bigint, n int")
-    shared = Window.partitionBy("key")
-    shared = written(keys.withColumn("low", F.min("dig").over(shared)).withColumn("high", F.max("dig").over(shared))
-                     .where("low <> high").select("key", "dig", "n").distinct(), "shared")
+    # of the sets with a key only those matter that have another one of a fitting size: the next by size tells
+    by_size = Window.partitionBy("key").orderBy("n")
+    fitting = (F.lag("n").over(by_size) * den >= F.col("n") * num) | (F.col("n") * den >= F.lead("n").over(by_size) * num)
+    shared = written(keys.withColumn("fits", fitting).where("fits").select("key", "dig", "n").distinct(), "shared")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of set digests whose texts reach the threshold: by wide bitmaps, then exactly."""
