@@ -343,7 +343,7 @@ def self_bleu(df: DataFrame, group: Sequence[str] = GROUP, ids: Sequence[str] |
                       F.coalesce(F.get("_l", F.lit(1))["c"], F.lit(0)).alias("_c2"))
     other = F.when((F.col("c") == F.col("_c1")) & (F.col("_k1") == 1), F.col("_c2")).otherwise(F.col("_c1"))
     hits = [F.sum(F.when(F.col("m") == m, F.least("c", other)).otherwise(0)).alias(f"_h{m}") for m in range(1, n + 1)]
-    clipped = rows.join(best.hint("shuffle_hash"), ["gram", "m", *g]).groupBy(*g, *i).agg(*hits)
+    clipped = rows.join(best, ["gram", "m", *g]).groupBy(*g, *i).agg(*hits)
     lengths = df.select(*g, *i, token_count(text).cast("long").alias("_len"))
     hist = lengths.groupBy(*g, "_len").agg(F.count(F.lit(1)).alias("_k"))
     w = Window.partitionBy(*g).orderBy("_len")

@@ -44,10 +44,11 @@ def top_classes(df: DataFrame, names: DataFrame, k: int = 1, limit: int | None =
                 vec: str = "vec", class_id: str = "class_id", class_name: str = "name") -> DataFrame:
     """Names of the k highest scores among the first `limit` classes, joined by `", "`.
 
-    The class names have at most one entry per vector element, so they travel as one
-    map literal computed by a scalar subquery; the ranking stays inside the row.
+    Only names of classes that a vector has an element for are kept, so the map of names,
+    computed by a scalar subquery, is no longer than a row's vector; the ranking stays inside
+    the row.
     """
-    named = names.where(F.col(class_id) < limit) if limit else names
+    named = names.where(F.col(class_id) < (limit or df.agg(F.max(F.size(vec))).scalar()))
     table = named.agg(F.map_from_entries(F.collect_list(F.struct(F.col(class_id).cast("int"), class_name))).alias("m")).scalar()
     scores = F.slice(vec, 1, limit) if limit else F.col(vec)
     ranked = F.array_sort(F.transform(scores, lambda x, i: F.struct((-x).alias("s"), i.alias("i"))))

@@ -128,10 +128,13 @@ def diversify_element(df: DataFrame, synonyms: DataFrame, key: Sequence[str] = K
     n = F.size("_e")
     pick = F.get("_e", F.floor(hash_uniform(*ids, seed=seed, salt="diversify_word") * n).cast("int"))
     drawn = words.withColumn("_p", F.when(n > 0, pick)).withColumn("word", F.col("_p.w")).drop("_e")
-    counts = synonyms.groupBy("word").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    # rows without a word meet nothing: spread them instead of sending all to the task of null
+    spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*ids), F.lit(4096)).cast("string"))
+    drawn = drawn.withColumn("_k", F.coalesce("word", spread))
+    counts = synonyms.groupBy(F.col("word").alias("_k")).agg(F.count(F.lit(1)).cast("int").alias("_n"))
     u = hash_uniform(*ids, seed=seed, salt="diversify_element")
-    ranked = drawn.join(counts, "word", "left").withColumn("rank", _choice(F.col("_n"), u, level, episode_limit(key, offset, seed)))
-    swapped = ranked.join(synonyms.select("word", F.col("rank").cast("int").alias("rank"), "replacement"), ["word", "rank"], "left")
+    ranked = drawn.join(counts, "_k", "left").withColumn("rank", _choice(F.col("_n"), u, level, episode_limit(key, offset, seed)))
+    swapped = ranked.join(synonyms.select(F.col("word").alias("_k"), F.col("rank").cast("int").alias("rank"), "replacement"), ["_k", "rank"], "left")
     new = F.concat(F.slice("_w", F.lit(1), F.col("_p.i")), F.array("replacement"),
                    F.slice("_w", F.col("_p.i") + 2, F.size("_w")))
     text = F.regexp_replace(F.array_join(new, " "), r" ([.,!?;:])", "$1")
