@@ -27,6 +27,8 @@ BLOCK = 4096
 HOT_ROWS = 65536
 
 IDX = "frame_idx"
+# the folder of a session on one machine that names none
+_OWN: list[str] = []
 
 
 def _key_window(key: Sequence[str], *more: str):
@@ -56,9 +58,10 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
         master = spark.conf.get("spark.master", "")
         if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        root = tempfile.mkdtemp(prefix="wayline-")
-        atexit.register(shutil.rmtree, root, True)
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="wayline-"))
+            atexit.register(shutil.rmtree, _OWN[0], True)
+        root = _OWN[0]
     return f"{root.rstrip('/')}/wayline-{tag}-{uuid.uuid4().hex}"
 
 
