@@ -15,7 +15,7 @@ from wayline.operators.ordered import shared_folder
 #: A side of a join is broadcast only when it has been counted and has no more rows than this.
 BROADCAST_ROWS = 1_000_000
 #: Text bytes worked on at once inside a task.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Rows of one Arrow batch: texts may be long, so fewer than Spark's default.
 ARROW_ROWS = 1000
 
@@ -50,6 +50,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = BATCH_BYT
         for stop in [*cuts.tolist(), batch.num_rows]:
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

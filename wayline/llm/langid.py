@@ -34,7 +34,7 @@ SURE_FROM = 20
 #: A text is rejected when its entropy is this many times the largest one of the calibration texts of its language.
 MARGIN = 1.5
 #: Worker memory of word scores; emptied when full.
-WORD_CACHE = 300_000
+WORD_CACHE = 100_000
 UNKNOWN = "und"
 
 
