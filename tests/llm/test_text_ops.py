@@ -74,6 +74,19 @@ def test_token_output(spark, monkeypatch):
     assert token_output.round_trip(table(spark, []), P.path("word_bpe_49k.json"), 2).count() == 0
 
 
+def test_pieces_match_the_library(monkeypatch):
+    library, coder = Tokenizer.from_file(P.path("word_bpe_49k.json")), token_output._Pieces(P.path("word_bpe_49k.json"))
+    random.seed(1)
+    bits = ["The", "the,", "É.", "é,", "Σας", "ΣΑΣ", "İstanbul", "don't", "it's.", "a1.", "1.", "x!,", "...", ",", "ǅ", "K", "Å", "ﬁ.", "ß,", "<|endoftext|>", "日本。", "🙂,", "A.B.", "́.", "I'LL,", "ſ."]
+    for limit in (50, 5):
+        monkeypatch.setattr(token_output, "WORD_CACHE", limit)
+        for _ in range(1500):
+            pieces = ["".join(random.choices(bits, k=random.randint(1, 4))) for _ in range(3)]
+            found = coder.look_up(pieces)
+            got = b"".join(coder.pieces.get(w, found[w]) for w in pieces)
+            assert np.frombuffer(got, np.uint32).tolist() == library.encode(" ".join(pieces), add_special_tokens=False).ids
+
+
 def test_code_lengths():
     fib = [1, 1]
     while len(fib) < 30:

@@ -27,47 +27,96 @@ BLOCK = 1 << 16
 FILE = 1 << 23
 #: Output files at most; their first offsets are computed in one small task.
 FILES = 20_000
-#: Words that a task remembers.
-WORD_CACHE = 500_000
+#: Pieces of text, and words, that a worker remembers.
+WORD_CACHE = 400_000
+#: Words that are encoded in one call.
+TOGETHER = 256
 #: Control characters that Python takes for white space and the tokenizer does not.
 _ODD = "\x1c\x1d\x1e\x1f"
+#: Letters below this one fold to lower case here as in the tokenizer.
+_FOLDED = "\u0180"
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, ids): the ids of every whole text and `end_id` at the end, as little-endian unsigned 32-bit integers.
-
-    For vocabularies that drop white space: a text's ids are those of its white-space separated
-    pieces, so each distinct piece of a task is encoded once, by the tokenizers library.
-    """
-    small_batches(docs.sparkSession)
+class _Pieces:
+    """Ids of white-space separated pieces as bytes, from the tokenizers library; remembers the first, hence frequent, ones."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_padding()
         tokenizer.no_truncation()
-        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        cache: dict[str, bytes] = {}
-        end = np.uint32(end_id).tobytes()
+        self.encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        vocab = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.marks = dict(zip(("", ".", ","), (b"", *self.ids_of([".", ","]))))
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.encode(texts, add_special_tokens=False)]
+
+    def words_of(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words. Words of letters only are encoded many at a time: each ends with a token that ends a word."""
+        plain = [w for w in words if w.isalpha() and max(w) < _FOLDED]
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        out = {}
+        for group, e in zip(groups, self.encode([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) == len(group):
+                data = ids.tobytes()
+                out.update(zip(group, [data[a:b] for a, b in zip([0, *stops], stops)]))
+        rest = [w for w in words if w not in out]
+        return {**out, **dict(zip(rest, self.ids_of(rest)))}
+
+    def look_up(self, fresh: list[str]) -> dict[str, bytes]:
+        """Pieces differ mostly by case and a mark at the end, which is a token of its own after a letter."""
+        parts = []
+        for w in fresh:
+            own = w.lower() if w.isascii() or max(w) < _FOLDED else w
+            parts.append((own[:-1], own[-1]) if len(own) > 1 and own[-1] in ".," and own[-2].isalpha() else (own, ""))
+        new = list({w for w, _ in parts if w not in self.words})
+        found = self.words_of(new)
+        out = {f: (found[w] if w in found else self.words[w]) + self.marks[m] for f, (w, m) in zip(fresh, parts)}
+        for memory, more in ((self.words, found), (self.pieces, out)):
+            if len(memory) < WORD_CACHE:
+                memory.update(more)
+        return out
+
+
+_MADE: dict[str, _Pieces] = {}
 
-        def ids_of(pieces: list[str]) -> list[bytes]:
-            return [np.array(e.ids, np.uint32).tobytes() for e in encode(pieces, add_special_tokens=False)]
 
+def _pieces(path: str) -> _Pieces:
+    """One for each Python worker, which serves many tasks."""
+    if path not in _MADE:
+        _MADE[path] = _Pieces(path)
+    return _MADE[path]
+
+
+def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n, ids): the ids of every whole text and `end_id` at the end, as little-endian unsigned 32-bit integers.
+
+    For vocabularies that drop white space: a text's ids are those of its white-space separated
+    pieces, and each distinct piece is encoded once as long as a worker remembers it.
+    """
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, end = _pieces(path), np.uint32(end_id).tobytes()
         for b in slices(batches, "text"):
             texts = pc.fill_null(b.column("text"), "").to_pylist()
             odd = [i for i, t in enumerate(texts) if any(c in t for c in _ODD)]
-            special = dict(zip(odd, ids_of([texts[i] for i in odd])))
+            special = dict(zip(odd, coder.ids_of([texts[i] for i in odd])))
+            data = []
             split = [[] if i in special else t.split() for i, t in enumerate(texts)]
-            fresh = list({w for words in split for w in words if w not in cache})
-            found = dict(zip(fresh, ids_of(fresh)))
-            if len(cache) < WORD_CACHE:
-                cache.update(found)
-                found = cache
-            else:  # early words are the frequent ones: they stay
-                found = {**{w: cache[w] for words in split for w in words if w in cache}, **found}
-            data = [(special[i] if i in special else b"".join([found[w] for w in words])) + end for i, words in enumerate(split)]
+            known = coder.pieces
+            found = coder.look_up(list({w for words in split for w in words if w not in known}))
+            for i, words in enumerate(split):
+                data.append((special[i] if i in special else b"".join([known[w] if w in known else found[w] for w in words])) + end)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) // 4 for x in data], pa.int64()), pa.array(data, pa.binary())], names=["id", "n", "ids"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
