@@ -33,12 +33,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The models learn from the labelled documents of this stage's input.
     """
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    model = langid.train(rows.where(langid.fold(F.col("id")) != 0))
-    names = {c: f"_wayline_{i}" for i, c in enumerate(docs.columns)}
-    inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    kept = langid.predict(inner, model, names["text"]).where(~F.col("rejected"))
-    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
+    learn = F.when(langid.fold(F.col("doc_id")) != 0, F.col("lang").cast("string"))
+    judged = langid.judge(docs.select(F.col("doc_id").alias("id"), learn.alias("lang"), F.col("text").cast("string").alias("text")))
+    gone = written(judged.where("rejected").select(F.col("digest").alias("_wayline_digest")).distinct(), "rejected")
+    return _without(docs, gone, [(F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")))), "_wayline_digest")])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

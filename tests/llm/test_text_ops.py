@@ -291,3 +291,42 @@ def test_similar(spark):
     rows = [(1, base, ""), (2, base[:700] + "Z" + base[701:], ""), (3, base, ""), (4, "".join(random.sample(base, 1500)), ""), (5, None, ""), (6, "", "")]
     got = {(r.a, r.b) for r in fingerprints.similar(fingerprints.fingerprints(table(spark, rows)), 0.7).collect()}
     assert got == {(1, 3), (1, 2), (5, 6)}
+
+
+def test_language_id_counts_rare_grams(spark, monkeypatch):
+    # n-grams beyond any bound count: the estimates are those of a direct computation over all of them
+    monkeypatch.setattr(langid, "GRAMS", 20, raising=False)
+    rng = random.Random(6)
+    texts = {lang: [" ".join("".join(rng.choices(letters, k=rng.randint(1, 6))) for _ in range(12)) for _ in range(40)] for lang, letters in (("aa", "abcdeé日本"), ("bb", "abxyzß語"))}
+    rows = [(i, t, lang) for lang, own in texts.items() for i, t in enumerate(own)]
+
+    def windows(t):
+        return [(" " * 4 + w + " ")[i : i + 5] for w in t.split() for i in range(len(w) + 1)]
+
+    def tables(own):
+        out = {5: Counter(g for t in own for g in windows(t))}
+        for n in (4, 3, 2, 1):
+            out[n] = Counter(g[1:] for g in out[n + 1])
+        return out
+
+    def prob(g, counts):
+        p = 1 / (len(counts[1]) + 1)
+        for n in range(1, 6):
+            c = counts[n]
+            ones, twos = sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+            d = ones / (ones + 2 * twos) if ones else 0.5
+            own = [x for k, x in c.items() if k[:-1] == g[5 - n : 4]]
+            if own:
+                p = (max(c[g[5 - n :]] - d, 0) + max(min(d, min(c.values())) * len(own), 1e-6) * p) / sum(own)
+        return p
+
+    frame = spark.createDataFrame([(i, lang, t) for i, t, lang in rows], "id bigint, lang string, text string")
+    want = {lang: tables(own) for lang, own in texts.items()}
+    grams = ["   日本"[-5:], "日本abc"[:5], "    x", "qqqqq", *windows(rows[0][1])[:4], *windows(rows[-1][1])[:4]]
+    got = langid.train(frame).log_prob(np.array([[ord(x) for x in g] for g in grams], np.uint32))
+    assert np.abs(got - [[np.log(prob(g, want[lang])) for lang in ("aa", "bb")] for g in grams]).max() < 1e-6
+    # windows that the workers do not hold are joined, with the same result
+    docs = table(spark, [(100 * (lang == "bb") + i, t, lang) for i, t, lang in rows])
+    first = sorted(langid.identify(docs).collect(), key=str)
+    monkeypatch.setattr(langid, "HEAD", 20)
+    assert sorted(langid.identify(docs).collect(), key=str) == first
