@@ -10,8 +10,8 @@ The estimates are never gathered in one place: Spark derives them order by order
 ORDER characters that occur in the texts, and writes a row of log-probabilities for each window. The
 workers hold the rows of the most frequent windows and sum them up for each text; the rest of a text's
 windows is joined. Log-probabilities are fixed-point numbers, so sums do not depend on which way a window
-takes. A text gets the language of lowest cross-entropy per character; the temperature and the rejection
-limits are fitted on about CALIBRATION training rows.
+takes. A text gets the language of lowest cross-entropy per character; the temperature is fitted on about
+CALIBRATION training rows, the rejection limits on all of them.
 """
 
 from __future__ import annotations
@@ -287,10 +287,8 @@ def judge(rows: DataFrame) -> DataFrame:
     got = written(sums.select("id", "lang", "digest", "known", "letters", h.alias("h")).withColumn("low", F.array_min("h")), "entropies")
     got = got.withColumn("best", F.array_position("h", F.col("low")).cast("int"))
     learnt = got.where(F.col("lang").isNotNull() & (F.col("letters") > 0))
-    every = max(1, learnt.count() // CALIBRATION)
-    sample = learnt.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
-    # far beyond every training text seen here: a text that mixes languages should stay
-    tops = {r.best: MARGIN * r.top for r in sample.where(F.col("letters") >= SURE_FROM).groupBy("best").agg(F.max("low").alias("top")).collect()}
+    # far beyond every training text: a text that mixes languages should stay
+    tops = {r.best: MARGIN * r.top for r in learnt.where(F.col("letters") >= SURE_FROM).groupBy("best").agg(F.max("low").alias("top")).collect()}
     limits = F.array(*[F.lit(tops.get(i + 1, float("inf"))) for i in range(len(langs))])
     heat = _heat(learnt, langs)
     near = F.transform("h", lambda x: F.exp((F.col("low") - x) * heat))
