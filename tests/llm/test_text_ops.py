@@ -342,3 +342,11 @@ def test_language_id_limits_cover_all_rows(spark, monkeypatch):
     monkeypatch.setattr(langid, "CALIBRATION", 4000)
     want = {r.id: r.rejected for r in langid.identify(table(spark, base)).collect()}
     assert {i: r.rejected for i, r in got.items()} == want and got[500].rejected and not got[401].rejected
+
+
+def test_pieces_with_control_strings_of_other_case():
+    library, coder = Tokenizer.from_file(P.path("word_bpe_49k.json")), token_output._Pieces(P.path("word_bpe_49k.json"))
+    pieces = ["<|ENDOFTEXT|>", "<|StartOfText|>", "<|endoftext|>", "a<|EndOfText|>.", "A<|endoftext|>B,", "<|endoftext|><|ENDOFTEXT|>", "<|startoftext|>"]
+    found = coder.look_up(pieces)
+    for p in pieces:
+        assert np.frombuffer(found[p], np.uint32).tolist() == library.encode(p, add_special_tokens=False).ids, p

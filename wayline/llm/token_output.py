@@ -53,6 +53,9 @@ class _Pieces:
         vocab = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        added = tokenizer.get_added_tokens_decoder().values()
+        #: matched on the raw text only, so a piece that has one of them by its lower case alone must stay as it is
+        self.raw = tuple({t.content.lower() for t in added if not t.normalized})
         self.marks = dict(zip(("", ".", ","), (b"", *self.ids_of([".", ","]))))
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
@@ -77,6 +80,8 @@ class _Pieces:
         parts = []
         for w in fresh:
             own = w.lower() if w.isascii() or max(w) < _FOLDED else w
+            if own != w and any(t in own for t in self.raw):
+                own = w
             parts.append((own[:-1], own[-1]) if len(own) > 1 and own[-1] in ".," and own[-2].isalpha() else (own, ""))
         new = list({w for w, _ in parts if w not in self.words})
         found = self.words_of(new)
