@@ -350,3 +350,31 @@ def test_pieces_with_control_strings_of_other_case():
     found = coder.look_up(pieces)
     for p in pieces:
         assert np.frombuffer(found[p], np.uint32).tolist() == library.encode(p, add_special_tokens=False).ids, p
+
+
+@pytest.mark.parametrize("block", [3, 500])
+def test_similar_in_hot_bands(spark, monkeypatch, block):
+    # smaller ids that are not similar sit in every band of the similar ones
+    monkeypatch.setattr(fingerprints, "GROUP", block, raising=False)
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    prints, at = {}, 0
+    for _ in range(3):
+        base = some(64)
+        for a in (0, 16, 32):
+            prints[at := at + 1] = "01" + some(a) + base[a : a + 32] + some(32 - a)
+        for _ in range(6):
+            p = rng.randrange(64)
+            prints[at := at + 1] = "01" + base[:p] + "x" + base[p + 1 :]
+
+    def tied(pairs):
+        root = {i: i for i in prints}
+        for a, b in pairs:
+            old, new = root[b], root[a]
+            root = {i: new if r == old else r for i, r in root.items()}
+        return {frozenset(i for i in root if root[i] == r) for r in root.values()}
+
+    want = {(a, b) for a in prints for b in prints if a < b and fingerprints.likeness(prints[a], prints[b]) >= 0.8}
+    got = fingerprints.similar(spark.createDataFrame(list(prints.items()), "id bigint, fingerprint string")).collect()
+    assert {(r.a, r.b) for r in got} <= want and tied([(r.a, r.b) for r in got]) == tied(want) and len(tied(want)) == 12
+    assert all(r.likeness == fingerprints.likeness(prints[r.a], prints[r.b]) for r in got)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import mix, slices, small_batches, written
+from wayline.llm.common import broadcast_if_small, mix, slices, small_batches, written
 
 SAMPLES = 512
 #: Coins repeat after so many steps; characters share coins in so many classes.
@@ -31,6 +31,8 @@ PERIOD, CLASSES = 4096, 64
 LANES = 64
 #: Samples of a band.
 BAND = 8
+#: Members of a band that are compared in one piece, about.
+GROUP = 500
 #: Bytes of text in one ordered part, about.
 PART_ROWS = 20_000
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
@@ -153,18 +155,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def similar(prints: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, likeness) from rows (id, fingerprint): documents tied to the first one of a band that both have.
+    """(a, b, likeness) from rows (id, fingerprint): links that tie all similar documents that share a band.
 
     Bands are BAND adjacent samples, taken at the own level and the next, so that texts on either side of
-    a level meet. A group of a band is never expanded into pairs: each member meets its smallest id, and
-    equal fingerprints are tied to their smallest id beforehand. Null ids are passed over.
+    a level meet. Members of a band meet in blocks of about GROUP, each block every other; pairs that the
+    links of a block already tie are passed over, the others are compared. So the documents tied are those
+    of all pairs, but no group becomes all its pairs. Equal fingerprints are tied to their smallest id
+    beforehand. Null ids are passed over.
     """
     rows = prints.where("id IS NOT NULL")
     classes = written(rows.groupBy("fingerprint").agg(F.min("id").alias("first")), "classes")
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, keys = [], []
+            ids, keys, marks = [], [], []
             for i, f in zip(b.column("first").to_pylist(), b.column("fingerprint").to_pylist()):
                 level, own = int(f[:2], 16), f[2:]
                 at = _steps(level + 1, level)
@@ -173,22 +177,55 @@ def similar(prints: DataFrame, least: float = 0.8) -> DataFrame:
                     for k in range(0, max(1, len(s) - BAND + 1), BAND):
                         ids.append(i)
                         keys.append(f"{n}:{k}:{s[k : k + BAND]}")
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], names=["id", "key"])
-
-    keyed = written(classes.select("first", "fingerprint").mapInArrow(bands, "id bigint, key string"), "bands")
-    centre = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    pairs = keyed.join(centre, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    named = classes.select(F.col("first").alias("id"), "fingerprint")
-    pairs = pairs.join(named.select(F.col("id").alias("a"), F.col("fingerprint").alias("x")), "a").join(named.select(F.col("id").alias("b"), F.col("fingerprint").alias("y")), "b")
+                        marks.append(f)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(marks, pa.string())], names=["id", "key", "mark"])
+
+    keyed = written(classes.select("first", "fingerprint").mapInArrow(bands, "id bigint, key string, mark string"), "bands")
+    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    big = sizes.where(F.col("n") > GROUP).select("key", F.ceil(F.col("n") / GROUP).cast("int").alias("blocks"))
+    met = keyed.join(sizes.select("key"), "key", "left_semi").join(broadcast_if_small(big), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    met = met.withColumn("block", F.pmod(F.xxhash64("id", "mark"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "mark", "block")
+
+    def links(members: list[tuple], within: bool) -> Iterator[tuple[int, int, float]]:
+        root = list(range(len(members)))
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i, (a, x, p) in enumerate(members):
+            for j in range(i + 1, len(members)):
+                b, y, q = members[j]
+                if a != b and (within or p != q) and top(i) != top(j) and (score := likeness(x, y)) >= least:
+                    root[top(j)] = top(i)
+                    yield a, b, score
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            score = pa.array([likeness(x, y) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())], pa.float64())
-            out = pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), score], names=["a", "b", "likeness"])
-            yield out.filter(pc.greater_equal(score, least))
-
+        group, members = None, []
+
+        def done():
+            found = list(links(members, group[1] == group[2]))
+            columns = list(zip(*found)) if found else [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "likeness"])
+
+        for batch in batches:
+            for *key, i, f, block in zip(*(batch.column(c).to_pylist() for c in ("key", "low", "high", "id", "mark", "block"))):
+                if key != group:
+                    if len(members) > 1:
+                        yield done()
+                    group, members = key, []
+                members.append((i, f, block))
+        if len(members) > 1:
+            yield done()
+
+    dealt = met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "id", "mark")
+    pairs = dealt.mapInArrow(verify, "a bigint, b bigint, likeness double").distinct()
     copies = rows.join(classes, "fingerprint").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("likeness")).distinct()
-    return pairs.mapInArrow(verify, "a bigint, b bigint, likeness double").unionByName(copies)
+    return pairs.unionByName(copies)
 
 
 def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
