@@ -173,3 +173,116 @@ r AS (SELECT doc_id, doc_id AS m FROM w UNION SELECT r.doc_id, e.y FROM r JOIN e
 SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(m) AS c FROM r GROUP BY 1) USING (doc_id)
 """
+
+
+@_query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayline.llm.fim import fill_in_middle, restore
+
+    out = fill_in_middle(_table(spark, sf_dir, "documents"))
+    return out.select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+ORACLE["op11_fill_in_middle"] = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+    sha256('42:' || doc_id) AS h FROM documents),
+d AS (
+  SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM t),
+c AS (
+  SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:], '') AS s FROM d)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM c
+"""
+
+#: The rules of the url query: host, path, verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@_query
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayline.llm.urls import judge
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge(_table(spark, sf_dir, "pages"), rules).withColumnRenamed("id", "page_id")
+
+
+ORACLE["op12_url_filter"] = """
+WITH rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+f AS (
+  SELECT page_id, host, path, max({'n': length(h || p), 'rule': h || p, 'v': v}) AS best
+  FROM s LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.v,
+  CASE WHEN list_has_any(regexp_split_to_array(host, '[.-]'), ['adult', 'casino', 'poker', 'porn', 'viagra', 'xxx']) THEN 'block' ELSE 'allow' END) AS verdict
+FROM (SELECT page_id, host, path, CASE WHEN best.rule IS NOT NULL THEN best END AS best FROM f)
+"""
+
+
+@_query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayline.llm.merkle import fold, manifest, proof_text, row_hash
+
+    docs = _table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    out = manifest(docs, "doc_id", "source", row_hash([*fields, F.col("text")]), {"changed": row_hash([*fields, changed])})
+    found = out.withColumn("folded_root", fold(F.col("changed"), F.col("path")))
+    return found.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(proof_text(F.col("path")), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _merkle(leaves: str, group: str) -> str:
+    """Nodes (lvl, g, pos, n, h) of the trees over `leaves` (g, pos, n, h)."""
+    return f"""
+  SELECT 0 AS lvl, {group} AS g, pos, n, h FROM {leaves}
+  UNION ALL SELECT lvl + 1, g, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes_{leaves} WHERE n > 1 GROUP BY lvl, g, pos // 3, n"""
+
+
+ORACLE["op13_merkle_manifest"] = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, text, lang, n_chars,
+    list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_transform(range(8), lambda i: (ascii(c) >> CAST(i AS INT)) & 1))),
+      lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))) AS crc FROM documents),
+f AS (
+  SELECT doc_id, source, concat(
+      coalesce(length(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'),
+      coalesce(octet_length(encode(lang)) || ':' || lang, '-'), coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head, text,
+    CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed FROM d),
+l AS (
+  SELECT doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS h,
+    sha256(head || coalesce(octet_length(encode(changed)) || ':' || changed, '-')) AS tampered FROM f),
+leaves AS (
+  SELECT *, coalesce('s' || source, '') AS src, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM l),
+nodes_leaves AS ({_merkle("leaves", "src")}),
+subroots AS (SELECT g AS src, h, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n FROM nodes_leaves WHERE n = 1),
+nodes_subroots AS ({_merkle("subroots", "''")}),
+top AS (SELECT h AS root FROM nodes_subroots WHERE n = 1),
+tall AS (SELECT src, max(lvl) AS up FROM nodes_leaves JOIN subroots ON g = src GROUP BY src),
+every AS (
+  SELECT g, lvl, pos, n, h FROM nodes_leaves WHERE n > 1
+  UNION ALL SELECT t.src, t.up + s.lvl, s.pos, s.n, s.h FROM nodes_subroots s, tall t WHERE s.n > 1),
+runs AS (SELECT g, lvl, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM every GROUP BY ALL),
+start AS (SELECT src, s.pos AS spos, up, s.h AS subroot FROM subroots s JOIN tall USING (src)),
+walk AS (
+  SELECT x.src, x.pos AS leaf_pos, x.doc_id, 0 AS lvl, x.pos, up, spos, x.tampered AS h, '' AS proof FROM leaves x JOIN start USING (src)
+  UNION ALL
+  SELECT w.src, leaf_pos, doc_id, w.lvl + 1, CASE WHEN w.lvl + 1 = up THEN spos ELSE q // 3 END, up, spos,
+    sha256(array_to_string(hs[1:q % 3], '') || w.h || array_to_string(hs[q % 3 + 2:], '')),
+    proof || array_to_string(hs[1:q % 3], '') || array_to_string(hs[q % 3 + 2:], '')
+  FROM (SELECT *, CASE WHEN lvl = 0 AND up = 0 THEN spos ELSE pos END AS q FROM walk) w JOIN runs r ON r.g = w.src AND r.lvl = w.lvl AND r.run = q // 3)
+SELECT x.doc_id, x.h AS leaf, subroot, root, sha256(proof) AS proof_sha256, w.h AS folded_root, w.h = root AS verified
+FROM leaves x JOIN start USING (src), top, (SELECT src, leaf_pos, arg_max(h, lvl) AS h, arg_max(proof, lvl) AS proof FROM walk GROUP BY ALL) w
+WHERE w.src = x.src AND w.leaf_pos = x.pos
+"""
