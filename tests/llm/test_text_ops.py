@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -74,17 +75,22 @@ def test_token_output(spark, monkeypatch):
     assert token_output.round_trip(table(spark, []), P.path("word_bpe_49k.json"), 2).count() == 0
 
 
-def test_pieces_match_the_library(monkeypatch):
-    library, coder = Tokenizer.from_file(P.path("word_bpe_49k.json")), token_output._Pieces(P.path("word_bpe_49k.json"))
-    random.seed(1)
-    bits = ["The", "the,", "É.", "é,", "Σας", "ΣΑΣ", "İstanbul", "don't", "it's.", "a1.", "1.", "x!,", "...", ",", "ǅ", "K", "Å", "ﬁ.", "ß,", "<|endoftext|>", "日本。", "🙂,", "A.B.", "́.", "I'LL,", "ſ."]
-    for limit in (50, 5):
-        monkeypatch.setattr(token_output, "WORD_CACHE", limit)
-        for _ in range(1500):
-            pieces = ["".join(random.choices(bits, k=random.randint(1, 4))) for _ in range(3)]
-            found = coder.look_up(pieces)
-            got = b"".join(coder.pieces.get(w, found[w]) for w in pieces)
-            assert np.frombuffer(got, np.uint32).tolist() == library.encode(" ".join(pieces), add_special_tokens=False).ids
+@pytest.mark.parametrize("limit", [10**6, 40])
+def test_words_match_the_library(monkeypatch, limit):
+    """Random texts over cases, marks, digits, quotes, scripts, combining marks, control strings and white space of all kinds."""
+    monkeypatch.setattr(token_output, "WORD_CACHE", limit)
+    library, coder = Tokenizer.from_file(P.path("word_bpe_49k.json")), token_output._Words(P.path("word_bpe_49k.json"))
+    rng = random.Random(limit)
+    bits = [*"aeinrstABEIST019'’‘“”\"()<|>.,;!?-_/", *"İıſßéÀÇµª²¼ǅΣςσЖøÅ漢🙂", "\u0301", "\u0307", "\u212b", "\u212a", "\xad", "\u200b",
+            "<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "'s", "'S", "'re", "'LL", "n't", "don't", "L’été,", "A.B."]
+    space = [*"    \n\t\r\x0b\x0c\x85\xa0", "\u2003", "\u2028", "\u3000", "\x1c", "\x1f"]
+    texts = ["".join(rng.choice(bits if rng.random() < 0.8 else space[: rng.choice([8, len(space)])]) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    texts += ["“ALİ,", "“BELGESİ.", "“AL’İ,", "İ.", "", " ", "a" * 5000 + " İ,"]
+    for at in range(0, len(texts), 500):
+        some = texts[at : at + 500]
+        stops, ids = coder.encoded(pa.array(["left out", *some]).slice(1), np.uint32(2).tobytes())
+        for t, a, b in zip(some, stops[:-1].tolist(), stops[1:].tolist()):
+            assert ids[a:b].tolist() == [*library.encode(t, add_special_tokens=False).ids, 2], t
 
 
 def test_code_lengths():

@@ -27,18 +27,20 @@ BLOCK = 1 << 16
 FILE = 1 << 23
 #: Output files at most; their first offsets are computed in one small task.
 FILES = 20_000
-#: Pieces of text, and words, that a worker remembers.
-WORD_CACHE = 400_000
+#: Words that a worker remembers.
+WORD_CACHE = 1_000_000
 #: Words that are encoded in one call.
 TOGETHER = 256
-#: Control characters that Python takes for white space and the tokenizer does not.
+#: Text bytes tokenized at once: the more, the fewer words are met again.
+TEXT_BYTES = 8 << 20
+#: Control characters that Arrow takes for white space and the tokenizer does not.
 _ODD = "\x1c\x1d\x1e\x1f"
-#: Letters below this one fold to lower case here as in the tokenizer.
+#: Letters below this one fold to lower case here as in the tokenizer, but for the dotted capital I.
 _FOLDED = "\u0180"
 
 
-class _Pieces:
-    """Ids of white-space separated pieces as bytes, from the tokenizers library; remembers the first, hence frequent, ones."""
+class _Words:
+    """Ids of words from the tokenizers library; remembers the first, hence frequent, ones as one Arrow array."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,21 +50,19 @@ class _Pieces:
         tokenizer.no_padding()
         tokenizer.no_truncation()
         self.encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
         vocab = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        added = tokenizer.get_added_tokens_decoder().values()
-        #: matched on the raw text only, so a piece that has one of them by its lower case alone must stay as it is
-        self.raw = tuple({t.content.lower() for t in added if not t.normalized})
-        self.marks = dict(zip(("", ".", ","), (b"", *self.ids_of([".", ","]))))
+        raw = [t.content for t in tokenizer.get_added_tokens_decoder().values() if not t.normalized]
+        #: of no fold or cut: characters of other scripts, and what added tokens, which match the raw text only, begin with
+        self.whole = "|".join([rf"[^\x00-\x{{{ord(_FOLDED) - 1:x}}}]", r"\x{130}", *sorted({rf"\x{{{ord(t[0]):x}}}\x{{{ord(t[1]):x}}}" for t in raw})])
+        self.known, self.sizes, self.flat = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.encode(texts, add_special_tokens=False)]
 
-    def words_of(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct words. Words of letters only are encoded many at a time: each ends with a token that ends a word."""
+    def fresh(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words. Those of letters only are encoded many at a time: each ends with a token that ends a word."""
         plain = [w for w in words if w.isalpha() and max(w) < _FOLDED]
         groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
         out = {}
@@ -73,56 +73,106 @@ class _Pieces:
                 data = ids.tobytes()
                 out.update(zip(group, [data[a:b] for a, b in zip([0, *stops], stops)]))
         rest = [w for w in words if w not in out]
-        return {**out, **dict(zip(rest, self.ids_of(rest)))}
-
-    def look_up(self, fresh: list[str]) -> dict[str, bytes]:
-        """Pieces differ mostly by case and a mark at the end, which is a token of its own after a letter."""
-        parts = []
-        for w in fresh:
-            own = w.lower() if w.isascii() or max(w) < _FOLDED else w
-            if own != w and any(t in own for t in self.raw):
-                own = w
-            parts.append((own[:-1], own[-1]) if len(own) > 1 and own[-1] in ".," and own[-2].isalpha() else (own, ""))
-        new = list({w for w, _ in parts if w not in self.words})
-        found = self.words_of(new)
-        out = {f: (found[w] if w in found else self.words[w]) + self.marks[m] for f, (w, m) in zip(fresh, parts)}
-        for memory, more in ((self.words, found), (self.pieces, out)):
-            if len(memory) < WORD_CACHE:
-                memory.update(more)
-        return out
+        out.update(zip(rest, self.ids_of(rest)))
+        return [out[w] for w in words]
+
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of each distinct word in a list, and sizes and ids of the list's words one after the other."""
+        place = pc.index_in(words, value_set=self.known)
+        new = place.is_null().to_numpy(zero_copy_only=False)
+        out = pc.fill_null(place, 0).to_numpy().astype(np.int64)
+        sizes, flat = self.sizes, self.flat
+        if new.any():
+            more = words.filter(pa.array(new))
+            data = self.fresh(more.to_pylist())
+            out[new] = len(sizes) + np.arange(len(more))
+            sizes = np.concatenate([sizes, np.fromiter(map(len, data), np.int64, len(data)) // 4])
+            flat = np.concatenate([flat, np.frombuffer(b"".join(data), np.uint32)])
+            if len(sizes) <= WORD_CACHE:
+                self.known, self.sizes, self.flat = pa.concat_arrays([self.known, more]), sizes, flat
+        return out, sizes, flat
+
+    def words_of(self, pieces: pa.Array) -> pa.Array:
+        """Lists of words of white-space separated pieces, whose ids one after the other are those of the piece.
+
+        The tokenizer folds case and cuts before and after every digit, after every run of letters, and
+        before one unless an apostrophe stands there. Other pieces stay whole.
+        """
+        cut = pc.replace_substring_regex(pc.utf8_lower(pieces), "([0-9])", r" \1 ")
+        cut = pc.replace_substring_regex(cut, r"(\pL)([^\pL ])", r"\1 \2")
+        cut = pc.replace_substring_regex(cut, r"([^\pL' ])(\pL)", r"\1 \2")
+        return pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(pieces, self.whole), pieces, cut))
+
+    def encoded(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after the other, `end` after each, and where each text stops."""
+        odd = pc.match_substring_regex(texts, f"[{_ODD}]")
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        pieces, piece_of, ends = _coded(pc.utf8_split_whitespace(pc.if_else(odd, "", texts)))
+        words, word_of, cuts = _coded(self.words_of(pieces))
+        place, sizes, flat = self.look_up(words)
+        word_ids, stops = _expand(place[word_of], sizes, flat)
+        # ids of the pieces; then of the texts taken whole, which have one empty piece; the last entry ends a text
+        more = [*self.ids_of(texts.take(pa.array(whole)).to_pylist()), end]
+        sizes = np.concatenate([np.diff(stops[cuts]), [len(x) // 4 for x in more]])
+        flat = np.concatenate([word_ids, np.frombuffer(b"".join(more), np.uint32)])
+        piece_of[ends[whole]] = len(pieces) + np.arange(len(whole))
+        codes, ends = np.insert(piece_of, ends[1:], len(sizes) - 1), ends + np.arange(len(ends))
+        out, to = _expand(codes, sizes, flat)
+        return to[ends], out
+
+
+_MADE: dict[str, _Words] = {}
+
+
+def _words(path: str) -> _Words:
+    """One for each Python worker, which serves many tasks."""
+    if path not in _MADE:
+        _MADE[path] = _Words(path)
+    return _MADE[path]
 
 
-_MADE: dict[str, _Pieces] = {}
+def _expand(codes: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The items of the lists `codes` one after the other, and where each list ends up; `flat` has lists of these sizes."""
+    n = sizes[codes]
+    to = np.concatenate([[0], np.cumsum(n)])
+    return flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - to[:-1], n) + np.arange(to[-1])], to
 
 
-def _pieces(path: str) -> _Pieces:
-    """One for each Python worker, which serves many tasks."""
-    if path not in _MADE:
-        _MADE[path] = _Pieces(path)
-    return _MADE[path]
+def _coded(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct items of lists, the code of each item, and the offsets of the lists."""
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    coded = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), ends - ends[0]
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until the column holds about `size` bytes."""
+    held, total = [], 0
+    for b in slices(batches, column, size):
+        held.append(b)
+        total += pc.sum(pc.binary_length(b.column(column))).as_py() or 0
+        if total >= size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, ids): the ids of every whole text and `end_id` at the end, as little-endian unsigned 32-bit integers.
 
-    For vocabularies that drop white space: a text's ids are those of its white-space separated
-    pieces, and each distinct piece is encoded once as long as a worker remembers it.
+    For vocabularies that drop white space: a text's ids are those of its white-space separated pieces.
+    Distinct pieces of a batch are cut into words, and each distinct word is encoded once as long as a worker
+    remembers it.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = _pieces(path), np.uint32(end_id).tobytes()
-        for b in slices(batches, "text"):
-            texts = pc.fill_null(b.column("text"), "").to_pylist()
-            odd = [i for i, t in enumerate(texts) if any(c in t for c in _ODD)]
-            special = dict(zip(odd, coder.ids_of([texts[i] for i in odd])))
-            data = []
-            split = [[] if i in special else t.split() for i, t in enumerate(texts)]
-            known = coder.pieces
-            found = coder.look_up(list({w for words in split for w in words if w not in known}))
-            for i, words in enumerate(split):
-                data.append((special[i] if i in special else b"".join([known[w] if w in known else found[w] for w in words])) + end)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) // 4 for x in data], pa.int64()), pa.array(data, pa.binary())], names=["id", "n", "ids"])
+        coder, end = _words(path), np.uint32(end_id).tobytes()
+        for b in _gathered(batches, "text", TEXT_BYTES):
+            stops, ids = coder.encoded(pc.fill_null(b.column("text"), ""), end)
+            data = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((4 * stops).astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(stops)), data], names=["id", "n", "ids"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id bigint, n bigint, ids binary")
