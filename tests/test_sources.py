@@ -225,3 +225,126 @@ def test_normal_mode_and_varied_elements(spark):
     out = flows.describe_runs(frames, level=0, block=None, compact=2, diversify=1, scene="hall", synonyms=synonyms, tags=tags).collect()
     assert {r["scene"] for r in out} <= {"a hall", "a lobby"} and "a lobby" in {r["scene"] for r in out}
     assert sorted(r["frame_idx"] for r in out) == [1, 3, 4, 5]
+
+
+def _listed(root, **options):
+    """Folders that planning looks into, and the episodes dealt to tasks."""
+    import pyarrow.fs as pafs
+
+    from wayline.sources import episodes as E
+
+    reader = E.EpisodeReader({"path": root, "kind": "names", "folder": "rgb", "wanted": "jpg|png", **{k: json.dumps(v) for k, v in options.items()}})
+    seen, own = [], reader._folders
+    reader._folders = lambda store, path: seen.append(path[len(root):]) or own(store, path)
+    assert isinstance(reader._store()[0], pafs.LocalFileSystem)
+    return seen, [n for p in reader.partitions() for n in p.names]
+
+
+def test_only_the_splits_asked_for_are_listed(spark, root):
+    assert _listed(root) == (["", "/test", "/val"], [("test", "e3"), ("val", "e1"), ("val", "e2")])
+    assert _listed(root, splits=["val"]) == (["/val"], [("val", "e1"), ("val", "e2")])
+    assert _listed(root, splits=["val"], episodes=["e2"]) == ([], [("val", "e2")])
+    assert _listed(root, splits=["nowhere"]) == (["/nowhere"], [])
+    val = S.scan_frames(spark, root, splits=["val"])
+    assert val.groupBy("split").count().collect() == [("val", 15)]
+    # one DataFrame used with a filter, then without
+    assert val.where("episode_id = 'e1'").count() == 12 and val.count() == 15
+    assert S.scan_frames(spark, root, episodes=["e3", "e9"]).count() == 2
+    assert S.scan_action_labels(spark, root, splits=["test"]).count() == 2
+
+
+def test_episodes_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    rows = spark.range(300).selectExpr("array(concat('s/e', id % 100, '/rgb/', id, 'x.png')) AS paths", "array(encode(string(id), 'utf-8')) AS contents")
+    S.write_files(rows, str(tmp_path / "many"))
+    got = S.scan_frames(spark, str(tmp_path / "many"), content=True)
+    assert got.rdd.getNumPartitions() == 4  # 100 episodes, 32 for each task
+    assert {(r["episode_id"], r["frame_idx"], int(bytes(r["content"]))) for r in got.collect()} == {(f"e{i % 100}", i // 100, i) for i in range(300)}
+
+
+def test_names_in_natural_order(spark):
+    from wayline.operators.frames import frame_order
+    from wayline.sources.episodes import natural
+
+    names = ["10.jpg", "9.jpg", "009.jpg", "a.jpg", "a1.jpg", "a10b2.jpg", "a10b10.jpg", "a2.jpg", "é3.jpg", "1_0.jpg", "1_00.jpg", "0.jpg", "00.jpg", "x" * 30 + "12345678901234567890123.jpg", ".5.jpg", "-1.jpg"]
+    rows = spark.createDataFrame([("s", "v", "e", n) for n in names], "source string, split string, episode_id string, name string")
+    assert [r["name"] for r in frame_order(rows).orderBy("frame_idx").collect()] == sorted(names, key=natural)
+
+
+def _batches(rows):
+    import pyarrow as pa
+
+    return [pa.RecordBatch.from_arrays([pa.array([p], pa.list_(pa.string())), pa.array([c], pa.list_(pa.binary()))], names=["paths", "contents"]) for p, c in rows]
+
+
+def _tree(folder):
+    return {str(p.relative_to(folder)): p.read_bytes() for p in folder.rglob("*") if p.is_file()}
+
+
+def test_writes_are_committed_or_leave_nothing(tmp_path):
+    from wayline.sources.episodes import FileWriter
+
+    def row(i, body):
+        return [f"s/e{i}/a/0.info", f"s/e{i}/a/0.txt"], [f"i{body}".encode(), f"t{body}".encode()]
+
+    def dies():
+        yield from _batches([row(0, 1), row(1, 1)])
+        raise OSError("lost")
+
+    # a task that is tried again: the first attempt leaves nothing, the second is committed
+    first = FileWriter({"path": str(tmp_path)})
+    with pytest.raises(OSError):
+        first.write(dies())
+    assert _tree(tmp_path) == {}
+    again = first.write(iter(_batches([row(0, 1), row(1, 1)])))
+    # another run has the same outputs in hand, and one more
+    second = FileWriter({"path": str(tmp_path)})
+    other = second.write(iter(_batches([row(1, 2), row(2, 2)])))
+    twice = second.write(iter(_batches([row(1, 3)])))
+    first.commit([again, None])
+    second.commit([other, twice])
+    want = {f"s/e{i}/a/0.{x}": f"{x[0]}{b}".encode() for i, b in ((0, 1), (1, 1), (2, 2)) for x in ("info", "txt")}
+    assert _tree(tmp_path) == want
+    # a run that was aborted, and one that finds a document whose text was never written
+    third = FileWriter({"path": str(tmp_path)})
+    third.abort([third.write(iter(_batches([row(7, 1)])))])
+    (tmp_path / "s" / "e8" / "a").mkdir(parents=True)
+    (tmp_path / "s" / "e8" / "a" / "0.info").write_bytes(b"left over")
+    fourth = FileWriter({"path": str(tmp_path)})
+    fourth.commit([fourth.write(iter(_batches([row(8, 5), row(0, 5)])))])
+    assert _tree(tmp_path) == {**want, "s/e8/a/0.info": b"i5", "s/e8/a/0.txt": b"t5"}
+    fifth = FileWriter({"path": str(tmp_path)})
+    with pytest.raises(ValueError):
+        fifth.write(iter(_batches([(["s/../x"], [b""])])))
+    fifth.abort([])
+    with pytest.raises(ValueError):
+        FileWriter({"path": "s3://bucket/x"})
+
+
+def test_runs_that_race_write_an_output_once(tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from wayline.sources.episodes import FileWriter
+
+    def run(body):
+        w = FileWriter({"path": str(tmp_path)})
+        rows = [([f"s/e{i}/0.info", f"s/e{i}/0.txt"], [body.encode()] * 2) for i in range(200)]
+        w.commit([w.write(iter(_batches(rows)))])
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(run, "abcd"))
+    got = _tree(tmp_path)
+    assert len(got) == 400 and all(got[f"s/e{i}/0.info"] == got[f"s/e{i}/0.txt"] for i in range(200))
+
+
+def test_a_failed_job_leaves_nothing(spark, tmp_path):
+    rows = spark.range(40).selectExpr("'s' AS split", "concat('e', id) AS episode_id", "'a b' AS inst_alias", "0 AS inst_id", "'t\n%' AS text", "id", "'sum' AS summary")
+    bad = rows.withColumn("text", F.when(F.col("id") == 39, F.raise_error(F.lit("broken"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="broken"):
+        S.write_outputs(bad, str(tmp_path / "src"))
+    assert _tree(tmp_path) == {}
+    S.write_outputs(rows, f"file://{tmp_path}/src")
+    S.write_outputs(rows.withColumn("text", F.lit("other")), str(tmp_path / "src"))
+    back = S.scan_instructions(spark, f"file://{tmp_path}/src", None, "a b").collect()
+    assert len(back) == 40 and {r["text"] for r in back} == {"t\n%"}
+    assert {r["summary"] for r in S.scan_infos(spark, str(tmp_path / "src"), ["s"], "a b").collect()} == {"sum"}
+    assert S.scan_outputs(spark, str(tmp_path / "src"), "a b").count() == 40 and not list((tmp_path / "src").glob(".staging*"))

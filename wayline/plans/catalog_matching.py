@@ -315,7 +315,12 @@ def _sample_segments(s, d):
     return FR.sample_segments(X.videos(s, d), segments=16, bound=(1.0, 30.0))
 
 
-@query("sample_frames_rand")
+@query("sample_frames_rand", using("fx_videos", f"""SELECT video_id, pos, coalesce(drawn[slot + 1], CAST(lo + floor({u('sample_frames', 'CAST(video_id AS VARCHAR)', 'CAST(slot AS VARCHAR)')} * (hi - lo)) AS BIGINT)) AS frame FROM (
+    SELECT *, CAST(floor(slot * (n / acc)) AS BIGINT) AS lo, CASE WHEN slot + 1 = acc THEN n ELSE CAST(floor((slot + 1) * (n / acc)) AS BIGINT) END - 1 AS hi FROM (
+      SELECT *, least(pos, acc - 1) AS slot FROM (SELECT *, unnest(range(0, 8)) AS pos FROM v))) LEFT JOIN tight USING (video_id)""",
+    v="SELECT video_id, vlen AS n, least(8, vlen) AS acc FROM fx_videos",
+    tight=f"""SELECT video_id, list(i ORDER BY i) AS drawn FROM (SELECT video_id, acc, i, row_number() OVER (PARTITION BY video_id
+      ORDER BY {u('sample_frames_tight', 'CAST(video_id AS VARCHAR)', 'CAST(i AS VARCHAR)')}, i) AS r FROM (SELECT *, unnest(range(0, n)) AS i FROM v WHERE n // acc < 2)) WHERE r <= acc GROUP BY 1"""))
 def _sample_rand(s, d):
     return FR.sample_frames(X.videos(s, d), "rand", 8)
 

@@ -18,10 +18,11 @@ from wayline.operators import motion as MO
 from wayline.operators import sampling as SA
 from wayline.functions.lexicon import ACTION_PHRASES
 from wayline.operators.frames import KEY
-from wayline.operators.ordered import IDX, number_rows, sequence_block, shared_folder
+from wayline.operators.ordered import IDX, cut, number_rows, sequence_block, shared_folder
 from wayline.plans import fixtures as X
 from wayline.plans.catalog_base import query, r6, u, using
-from wayline.plans.flows import generate, generate_missing
+from wayline.plans.flows import generate, generate_files, generate_missing
+from wayline.sources import files
 
 ROW = "source, split, episode_id, frame_idx"
 KEYS = "source, split, episode_id"
@@ -249,6 +250,16 @@ def _key_frames(s, d):
     return A.key_frames(X.frames(s, d), block=X.block(s, d))
 
 
+@query("write_key_frames", using("fx_frames", f"""SELECT {KEYS}, string_agg(frame_idx, ',' ORDER BY frame_idx) AS frames
+    FROM (SELECT {ROW} FROM kr UNION SELECT DISTINCT {KEYS}, CAST(0 AS BIGINT) FROM kr) GROUP BY {KEYS}""", **_KEY_FRAMES))
+def _write_key_frames(s, d):
+    found, path = cut(A.key_frames(X.frames(s, d), block=X.block(s, d))), shared_folder(s, "key-frames")
+    # two runs: nothing of the first is lost, nothing comes twice
+    files.write_key_frames(found.where(F.col("episode_id") % 2 == 0), path)
+    files.write_key_frames(found, path)
+    return s.read.json(path).select(*KEY, F.array_join(F.col(IDX).cast("array<string>"), ",").alias("frames"))
+
+
 _POSES = {
     "h0": """SELECT *, sum(CASE action WHEN 2 THEN 15 WHEN 3 THEN -15 ELSE 0 END) OVER (PARTITION BY episode_id ORDER BY frame_idx) AS turned FROM fx_labels""",
     "h1": "SELECT *, CAST(((turned % 360) + 360) % 360 AS BIGINT) AS heading FROM h0",
@@ -404,6 +415,17 @@ def _generate_resumed(s, d):
     return generate_missing(f, path, "inst_x", block=X.block(s, d)).select(*KEY, "inst_alias", "inst_id", "summary", "instruction")
 
 
+@query("generate_files", using("fx_frames", f"""SELECT source, split, episode_id, inst_id, replace(summary, chr(10), ' ') AS text, summary
+    FROM gs, (SELECT unnest(['0', '1']) AS inst_id)""", **_GEN))
+def _generate_files(s, d):
+    # episode folders of texts and documents; two runs: the second finds half of its episodes done
+    f, root = X.frames(s, d), f"{shared_folder(s, 'outputs')}/synth"
+    generate_files(f.where(F.col("episode_id") % 2 == 0), root, "inst_x", generate_num=2, block=X.block(s, d))
+    texts = generate_files(f, root, "inst_x", generate_num=2, block=X.block(s, d)).select(*KEY, "inst_id", "text")
+    infos = files.scan_infos(s, root, ["val_seen", "val_unseen"], "inst_x").select(*KEY, "inst_id", "summary")
+    return texts.join(infos, [*KEY, "inst_id"]).withColumn("episode_id", F.col("episode_id").cast("bigint"))
+
+
 def _lexicon_cte() -> str:
     rows = [f"('{a}', {i}, '{p}', {len(ps)})" for a, ps in ACTION_PHRASES.items() for i, p in enumerate(ps)]
     return "SELECT * FROM (VALUES " + ", ".join(rows) + ") l(action, i, phrase, n)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wayline.operators.ordered import IDX, shared_folder
@@ -12,8 +13,8 @@ from wayline.sources import files as S
 KEYS = "source, split, episode_id"
 
 
-@query("scan_corpus", """SELECT 'lines' AS kind, lang AS language, md5(text) AS text FROM documents WHERE lang LIKE '%e%' UNION ALL
-    SELECT 'lists', NULL, md5(text) FROM benchmark UNION ALL SELECT 'episodes', NULL, md5(text) FROM benchmark""")
+@query("scan_corpus", """SELECT 'some lines' AS kind, lang AS language, md5(text) AS text FROM documents WHERE lang LIKE '%e%' UNION ALL
+    SELECT 'lines', lang, md5(text) FROM documents UNION ALL SELECT 'lists', NULL, md5(text) FROM benchmark UNION ALL SELECT 'episodes', NULL, md5(text) FROM benchmark""")
 def _scan_corpus(s, d):
     docs, items = X.table(s, d, "documents"), X.table(s, d, "benchmark")
     lines, lists, episodes = (shared_folder(s, k) for k in ("lines", "lists", "episodes"))
@@ -24,7 +25,9 @@ def _scan_corpus(s, d):
     groups.agg(F.to_json(F.array(F.struct(F.collect_list("text").alias("instructions")))).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(lists)
     groups.agg(F.to_json(F.struct(F.collect_list(text).alias("episodes"))).alias("value")).select("value").write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(episodes)
     none = F.lit(None).cast("string").alias("language")
-    out = S.scan_corpus(s, lines, "lines", "e").select(F.lit("lines").alias("kind"), "language", F.md5("text").alias("text"))
+    # all languages, and those whose name holds a text
+    out = S.scan_corpus(s, lines, "lines").select(F.lit("lines").alias("kind"), "language", F.md5("text").alias("text"))
+    out = out.unionByName(S.scan_corpus(s, lines, "lines", "e").select(F.lit("some lines").alias("kind"), "language", F.md5("text").alias("text")))
     for path, kind in ((lists, "lists"), (episodes, "episodes")):
         out = out.unionByName(S.scan_corpus(s, path, kind).select(F.lit(kind).alias("kind"), none, F.md5("text").alias("text")))
     return out
@@ -42,15 +45,6 @@ def _scan_submissions(s, d):
         "userId", F.col("id").cast("bigint").alias("event_id"), F.element_at(F.col("a")["0"], 1).alias("system"), "multiple")
 
 
-@query("write_key_frames", using("fx_frames", f"SELECT {KEYS}, string_agg(frame_idx, ',' ORDER BY frame_idx) AS frames FROM fx_frames WHERE frame_idx % 3 = 0 GROUP BY {KEYS}"))
-def _write_key_frames(s, d):
-    frames, path = X.frames(s, d).where(F.col(IDX) % 3 == 0), shared_folder(s, "key-frames")
-    # two runs: nothing of the first is lost, nothing comes twice
-    S.write_key_frames(frames.where(F.col("episode_id") % 2 == 0), path)
-    S.write_key_frames(frames, path)
-    return s.read.json(path).select("source", "split", "episode_id", F.array_join(F.col(IDX).cast("array<string>"), ",").alias("frames"))
-
-
 @query("write_actions", using("fx_frames", f"""SELECT {KEYS}, alias, string_agg(action, ',' ORDER BY frame_idx) AS actions
     FROM fx_frames, (SELECT unnest(['one', 'two']) AS alias) GROUP BY ALL"""))
 def _write_actions(s, d):
@@ -81,3 +75,68 @@ def _write_features(s, d):
     S.write_features(e, path)
     total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return S.scan_features(s, path).select("feature_id", F.size("vec").cast("bigint").alias("size"), F.round(total, 3).alias("total"))
+
+
+def _path(*parts):
+    return F.concat_ws("/", *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+
+
+@query("scan_frames", using("fx_frames", f"""SELECT {KEYS}, frame_idx, concat(frame_idx, CASE WHEN episode_id % 3 = 0 THEN '_0.png' ELSE '_0.jpg' END) AS name, event_id
+    FROM fx_frames"""))
+def _scan_frames(s, d):
+    # a file for each frame; a third of the episodes has png images only, another third has some beside its jpg images
+    f, root = X.frames(s, d), f"{shared_folder(s, 'frames')}/synth"
+    e, stem = F.col("episode_id"), _path(F.col("split"), F.col("episode_id"), "rgb", F.concat(F.col(IDX).cast("string"), F.lit("_0")))
+    body = F.encode(F.col("event_id").cast("string"), "UTF-8")
+    names = F.when(e % 3 == 0, F.array(F.concat(stem, F.lit(".png")))).when(e % 3 == 1, F.array(F.concat(stem, F.lit(".jpg")))).otherwise(
+        F.array(F.concat(stem, F.lit(".png")), F.concat(stem, F.lit(".jpg"))))
+    S.write_files(f.select(names.alias("paths"), F.transform(names, lambda _: body).alias("contents")), root)
+    back = S.scan_frames(s, root, content=True)
+    return back.select("source", "split", e.cast("bigint").alias("episode_id"), IDX, "name", F.decode("content", "UTF-8").cast("bigint").alias("event_id"))
+
+
+@query("scan_action_labels", using("fx_labels", f"SELECT {KEYS}, frame_idx, action FROM fx_labels"))
+def _scan_action_labels(s, d):
+    # half of the episodes has its labels under the second name, some have other labels under it
+    root, e = f"{shared_folder(s, 'labels')}/synth", F.col("episode_id")
+    lists = S.episode_lists(X.labels(s, d), "action").withColumn("actions", F.encode(F.to_json("action"), "UTF-8"))
+    first, second = (_path(F.col("split"), e, "action", n) for n in ("0.json", "action.json"))
+    wrong = F.encode(F.lit("[9]"), "UTF-8")
+    S.write_files(lists.select(
+        F.when(e % 2 == 0, F.array(first)).when(e % 3 == 0, F.array(second)).otherwise(F.array(second, first)).alias("paths"),
+        F.when((e % 2 == 0) | (e % 3 == 0), F.array("actions")).otherwise(F.array(wrong, F.col("actions"))).alias("contents")), root)
+    return S.scan_action_labels(s, root).select("source", "split", e.cast("bigint").alias("episode_id"), IDX, "action")
+
+
+def _outputs(s, d, name):
+    """The turns of conversations as outputs: an id for each turn, an alias for each role."""
+    turns = X.turns(s, d).withColumns({"inst_alias": F.concat(F.lit("inst_"), F.col("inst_alias")), "split": F.when(F.col("episode_id") % 2 == 0, "val").otherwise("test")})
+    rows = turns.withColumns({
+        "scenes": F.create_map(F.col("inst_id").cast("string"), F.when(F.col("inst_id") % 2 == 0, F.md5("text"))), "actions": F.array(F.lit("stop"), F.col("inst_alias")),
+        "instruction": F.col("text")})
+    root = f"{shared_folder(s, name)}/synth"
+    # two runs: the second finds some of its outputs there, and would write others
+    S.write_outputs(rows.where(F.col("inst_id") % 3 == 0), root)
+    S.write_outputs(rows.withColumns({c: F.when(F.col("inst_id") % 3 == 0, "replaced").otherwise(F.col(c)) for c in ("text", "instruction")}), root)
+    return root
+
+
+_TURNS = """SELECT 'synth' AS source, CASE WHEN conv_id % 2 = 0 THEN 'val' ELSE 'test' END AS split, conv_id AS episode_id, 'inst_' || role AS inst_alias, turn AS inst_id,
+    coalesce(text, '') AS text FROM conversations WHERE role IN ('user', 'assistant')"""
+
+
+@query("write_instructions", f"SELECT source, split, episode_id, inst_alias, inst_id, md5(text) AS text FROM ({_TURNS})")
+def _write_instructions(s, d):
+    root = _outputs(s, d, "texts")
+    back = S.scan_instructions(s, root, ["val", "test"], "inst_user").unionByName(S.scan_instructions(s, root, ["val"], "inst_assistant")).unionByName(
+        S.scan_instructions(s, root, ["test"], "inst_assistant"))
+    return back.select("source", "split", F.col("episode_id").cast("bigint").alias("episode_id"), "inst_alias", F.col("inst_id").cast("bigint").alias("inst_id"), F.md5("text").alias("text"))
+
+
+@query("scan_infos", f"""SELECT source, split, episode_id, inst_alias, inst_id, 'stop,' || inst_alias AS actions, md5(text) AS instruction,
+    CASE WHEN inst_id % 2 = 0 THEN md5(text) END AS scene FROM ({_TURNS}) WHERE split = 'val'""")
+def _scan_infos(s, d):
+    root = _outputs(s, d, "infos")
+    back = S.scan_infos(s, root, ["val"], "inst_user").unionByName(S.scan_infos(s, root, ["val", "nowhere"], "inst_assistant"))
+    return back.select("source", "split", F.col("episode_id").cast("bigint").alias("episode_id"), "inst_alias", F.col("inst_id").cast("bigint").alias("inst_id"),
+                       F.array_join("actions", ",").alias("actions"), F.md5("instruction").alias("instruction"), F.col("scenes")[F.col("inst_id")].alias("scene"))

@@ -17,7 +17,7 @@ from wayline.operators import models as M
 from wayline.operators import retrieval as R
 from wayline.operators.diversity import diversity_report
 from wayline.operators.frames import KEY, limit_stride
-from wayline.operators.ordered import IDX, sequence_block
+from wayline.operators.ordered import IDX, cut, sequence_block
 from wayline.operators.sampling import diversify_action, diversify_element, sample_rows
 from wayline.sources import files as S
 
@@ -76,6 +76,23 @@ def generate_missing(frames: DataFrame, path: str, alias: str, key: Sequence[str
     return spark.read.parquet(path).where(F.col("inst_alias") == alias)
 
 
+def generate_files(frames: DataFrame, root: str, alias: str, key: Sequence[str] = KEY, generate_num: int = 1, seed: int = 42, **kw) -> DataFrame:
+    """Generate the outputs 0 .. generate_num - 1 that the episode folders lack, as `.txt` and `.info` files; all of the alias come back.
+
+    Episodes that have an output are left out before their frames are described. Output i varies by the seed + i.
+    """
+    spark = frames.sparkSession
+    work = S.expand_outputs(frames.select(*key).distinct(), alias, generate_num)
+    on = [*key, "inst_alias", "inst_id"]
+    there = S.scan_outputs(spark, root, alias).select(*[F.col(c).cast(work.schema[c].dataType).alias(c) for c in on])
+    work = cut(J.skip_existing(work, there, on=on))
+    for i in range(generate_num):
+        todo = frames.join(work.where(F.col("inst_id") == str(i)).select(*key), list(key), "left_semi")
+        made = generate(todo, key, seed=seed + i, **kw)
+        S.write_outputs(made.withColumns({"inst_alias": F.lit(alias), "inst_id": F.lit(str(i)), "text": F.col("instruction")}), root)
+    return S.scan_instructions(spark, root, None, alias)
+
+
 def match(features: DataFrame, ids: Sequence[str], episode: Sequence[str], batch_size: int = 32, k: int = 3, kind: str = "cosine") -> DataFrame:
     """Retrieval metrics per batch, averaged over batches."""
     manifest = J.episode_manifest(features, ids, batch_size)

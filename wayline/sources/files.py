@@ -5,17 +5,21 @@ Layout: `<root>/<source>/<split>/<episode>/<modality>/<file>`; keys come from th
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import os
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from wayline.functions.text import path_part
-from wayline.operators.frames import KEY, frame_order
+from wayline.operators.frames import KEY
 from wayline.operators.ordered import IDX
+from wayline.sources.episodes import READ, WRITE, register
 
 INFO = (
     "actions array<string>, actions_compact map<string,string>, scenes map<string,string>, objects map<string,string>, "
@@ -29,72 +33,82 @@ TIMING = "actions double, scenes double, objects double, summary double, total d
 STAGES = ["actions", "scenes", "objects", "summary", "total"]
 
 
-def _file_keys(path: Column) -> list[Column]:
-    return [path_part(path, 5).alias("source"), path_part(path, 4).alias("split"), path_part(path, 3).alias("episode_id")]
-
-
 def _file_path() -> Column:
-    """The path of a text or JSON file, which the reader gives as an encoded URI."""
+    """The path of a JSON file, which the reader gives as an encoded URI."""
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
-def _stem(path: Column) -> Column:
-    return F.regexp_replace(path_part(path, 1), r"(.)\.[^.]*$", "$1")
+def _stem(name: str) -> Column:
+    return F.regexp_replace(name, r"(.)\.[^.]*$", "$1")
+
+
+def _absolute(root: str) -> str:
+    return root.rstrip("/") if "://" in root or root.startswith("file:") else os.path.abspath(root)
 
 
-def scan_frames(spark: SparkSession, root: str, modality: str = "rgb", content: bool = False,
-                png_fallback: bool = True) -> DataFrame:
-    """Frames of all episodes: `*.jpg`, or `*.png` where an episode has no jpg; numbered in natural order.
+def _episodes(spark: SparkSession, root: str, kind: str, folder: str, wanted: Sequence[str], splits: Sequence[str] | None = None,
+              episodes: Sequence[str] | None = None) -> DataFrame:
+    """Rows of one folder of every episode (see `episodes.EpisodeReader`); nothing outside the splits and episodes is listed."""
+    options = {name: json.dumps([str(v) for v in values]) for name, values in (("splits", splits), ("episodes", episodes)) if values is not None}
+    return register(spark).read.format(READ).options(kind=kind, folder=folder, wanted="|".join(wanted), **options).load(_absolute(root))
 
-    The listing reads no image unless `content` is asked for; select frames first, then
-    `load_content`.
+
+def scan_frames(spark: SparkSession, root: str, modality: str = "rgb", content: bool = False, png_fallback: bool = True,
+                splits: Sequence[str] | None = None, episodes: Sequence[str] | None = None) -> DataFrame:
+    """Frames of all episodes, or of those asked for: `*.jpg`, or `*.png` where an episode has no jpg; numbered in natural order.
+
+    A task lists whole episodes, so their frames are chosen and numbered there, without a shuffle. No image is read unless
+    `content` is asked for; select frames first, then `load_content`.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jpg,png}").load(root)
-    path = F.col("path")
-    files = raw.where(path_part(path, 2) == modality).select(*_file_keys(path), "path", path_part(path, 1).alias("name"))
-    is_jpg = F.col("name").endswith(".jpg")
-    if png_fallback:
-        jpg = files.where(is_jpg).select(*KEY).distinct().withColumn("_jpg", F.lit(True))
-        kept = files.join(jpg, list(KEY), "left").where(is_jpg | F.col("_jpg").isNull()).drop("_jpg")
-    else:
-        kept = files.where(is_jpg)
-    frames = frame_order(kept)
+    files = _episodes(spark, root, "names", modality, ["jpg", "png"] if png_fallback else ["jpg"], splits, episodes)
+    frames = files.select(*KEY, "path", "name", F.col("pos").alias(IDX))
     return load_content(spark, frames, root) if content else frames
 
 
+#: Bytes of files that a task holds at once.
+CONTENT_BYTES = 16 << 20
+
+
 def load_content(spark: SparkSession, frames: DataFrame, root: str) -> DataFrame:
-    """Attach the bytes of the given frames."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jpg,png}").load(root)
-    return frames.join(raw.select("path", "content"), "path")
+    """Attach the bytes of the given frames; each task opens the files of its own rows."""
+    top = _absolute(root)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pafs.FileSystem.from_uri(top)
+        for b in batches:
+            held, first, size = [], 0, 0
+            for i, path in enumerate(b.column("path").to_pylist()):
+                with store.open_input_stream(base.rstrip("/") + path[len(top):], compression=None) as f:
+                    held.append(f.read())
+                size += len(held[-1])
+                if size >= CONTENT_BYTES or i == b.num_rows - 1:
+                    yield b.slice(first, len(held)).append_column("content", pa.array(held, pa.binary()))
+                    held, first, size = [], i + 1, 0
 
-def _glob(root: str, splits: Sequence[str], alias: str, ext: str) -> list[str]:
-    return [f"{root}/{s}/*/{alias}/*.{ext}" for s in splits]
+    return frames.mapInArrow(run, StructType([*frames.schema.fields, StructField("content", BinaryType())]))
 
 
 OUTPUT = ("source", "split", "episode_id", "inst_alias", "inst_id")
 
 
-def scan_instructions(spark: SparkSession, root: str | None, splits: Sequence[str], alias: str, written: str | None = None) -> DataFrame:
-    """One row per instruction text of an alias, over all splits: files below `root`, and what `write_instructions` put at `written`."""
+def scan_instructions(spark: SparkSession, root: str | None, splits: Sequence[str] | None, alias: str, written: str | None = None) -> DataFrame:
+    """One row per instruction text of an alias, over the splits (None: all): files below `root`, and what `write_instructions` put at `written`."""
     parts = []
     if root is not None:
-        path = _file_path()
-        raw = spark.read.text(_glob(root, splits, alias, "txt"), wholetext=True)
-        parts.append(raw.select(*_file_keys(path), path_part(path, 2).alias("inst_alias"), _stem(path).alias("inst_id"),
-                                F.col("value").alias("text"), path.alias("path")))
+        raw = _episodes(spark, root, "texts", alias, ["txt"], splits)
+        parts.append(raw.select(*KEY, F.lit(alias).alias("inst_alias"), _stem("name").alias("inst_id"), F.col("value").alias("text"), "path"))
     if written is not None:
         parts.append(_written(spark, written, splits, alias).select(*OUTPUT, "text", F.lit(written).alias("path")))
     return reduce(DataFrame.unionByName, parts)
 
 
-def scan_infos(spark: SparkSession, root: str | None, splits: Sequence[str], alias: str, written: str | None = None) -> DataFrame:
-    """One row per info document of an alias, over all splits, from files and from `written`."""
+def scan_infos(spark: SparkSession, root: str | None, splits: Sequence[str] | None, alias: str, written: str | None = None) -> DataFrame:
+    """One row per info document of an alias, over the splits (None: all), from files and from `written`."""
     parts = []
     if root is not None:
-        path = _file_path()
-        raw = spark.read.schema(INFO).json(_glob(root, splits, alias, "info"), multiLine=True)
-        parts.append(raw.select(*_file_keys(path), path_part(path, 2).alias("inst_alias"), _stem(path).alias("inst_id"), "*", path.alias("path")))
+        raw = _episodes(spark, root, "texts", alias, ["info"], splits)
+        rows = raw.select(*KEY, F.lit(alias).alias("inst_alias"), _stem("name").alias("inst_id"), F.from_json("value", INFO).alias("_i"), "path")
+        parts.append(rows.select(*OUTPUT, "_i.*", "path"))
     if written is not None:
         rows = _written(spark, written, splits, alias)
         fields = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(INFO)]
@@ -102,9 +116,34 @@ def scan_infos(spark: SparkSession, root: str | None, splits: Sequence[str], ali
     return reduce(DataFrame.unionByName, parts)
 
 
-def _written(spark: SparkSession, path: str, splits: Sequence[str], alias: str) -> DataFrame:
-    rows = spark.read.parquet(path).withColumn("inst_alias", F.col("inst_alias").cast("string"))
-    return rows.where((F.col("inst_alias") == alias) & F.col("split").isin(list(splits)))
+def scan_outputs(spark: SparkSession, root: str, alias: str) -> DataFrame:
+    """The outputs (episode, alias, id) that are there; their files are listed, not read."""
+    return _episodes(spark, root, "names", alias, ["txt"]).select(*KEY, F.lit(alias).alias("inst_alias"), _stem("name").alias("inst_id"))
+
+
+def write_files(rows: DataFrame, root: str) -> None:
+    """Write files below the root: rows (paths, contents) of files that belong together. None is replaced, none comes without the others."""
+    register(rows.sparkSession)
+    rows.select(F.col("paths").cast("array<string>"), F.col("contents").cast("array<binary>")).write.format(WRITE).mode("append").save(_absolute(root))
+
+
+def write_outputs(df: DataFrame, root: str) -> None:
+    """Write outputs (episode, alias, id, text and info columns) as `<id>.txt` and `<id>.info` in the alias's folder of each episode.
+
+    The text appears with its document or not at all. Outputs that are there stay, also if another run writes them at the same
+    time; a failed job leaves nothing. `root` has to be mounted on all machines.
+    """
+    there = [f.name for f in StructType.fromDDL(INFO) if f.name in df.columns]
+    info = F.to_json(F.struct(*there), {"ignoreNullFields": "false", "pretty": "true"})
+    stem = F.concat_ws("/", *[F.col(c).cast("string") for c in ("split", "episode_id", "inst_alias", "inst_id")])
+    write_files(df.select(
+        F.array(F.concat(stem, F.lit(".info")), F.concat(stem, F.lit(".txt"))).alias("paths"),
+        F.array(F.encode(info, "UTF-8"), F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("contents")), root)
+
+
+def _written(spark: SparkSession, path: str, splits: Sequence[str] | None, alias: str) -> DataFrame:
+    rows = spark.read.parquet(path).withColumn("inst_alias", F.col("inst_alias").cast("string")).where(F.col("inst_alias") == alias)
+    return rows if splits is None else rows.where(F.col("split").isin(list(splits)))
 
 
 def existing(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame | None:
@@ -127,15 +166,10 @@ def _append_new(df: DataFrame, path: str, on: Sequence[str], kind: str, by: Sequ
 
 
 def scan_action_labels(spark: SparkSession, root: str, files: Sequence[str] = ("0.json", "action.json"),
-                       folder: str = "action") -> DataFrame:
+                       folder: str = "action", splits: Sequence[str] | None = None, episodes: Sequence[str] | None = None) -> DataFrame:
     """Labels per frame from the first of `files` an episode has."""
-    path = _file_path()
-    glob = "{" + ",".join(files) + "}"
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True)
-    rank = F.array_position(F.array(*[F.lit(f) for f in files]), path_part(path, 1))
-    rows = raw.where(path_part(path, 2) == folder).select(*_file_keys(path), rank.alias("_r"), F.from_json("value", "array<int>").alias("_a"))
-    best = rows.groupBy(*KEY).agg(F.min_by("_a", "_r").alias("_a"))
-    return best.select(*KEY, F.posexplode("_a").alias("_i", "action")).select(*KEY, F.col("_i").cast("long").alias(IDX), "action")
+    rows = _episodes(spark, root, "first", folder, files, splits, episodes).select(*KEY, F.from_json("value", "array<int>").alias("_a"))
+    return rows.select(*KEY, F.posexplode("_a").alias("_i", "action")).select(*KEY, F.col("_i").cast("long").alias(IDX), "action")
 
 
 def scan_corpus(spark: SparkSession, path: str | Sequence[str], kind: str, lang_contains: str | None = None) -> DataFrame:
