@@ -6,18 +6,18 @@ Features: one row per (ids..., `inst_id`) with `v` and `t` vectors, or long rows
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayline.functions.vectors import cosine, dot, neg_mse
-from wayline.operators.ordered import running_offsets
+from wayline.operators.ordered import cut, running_offsets
 
 LOGIT_SCALE = 0.07
 SCORE_RANGE = 1.7
@@ -149,50 +149,135 @@ def matched_similarity(pairs: DataFrame, scale: float = SCORE_RANGE) -> DataFram
     return pairs.agg(((mean + scale) / (2 * scale)).alias("similarity"))
 
 
+#: Cells of texts at most (their centres are sent to every task), rows worked on at once, positions kept in one row.
+CELLS, SLICE, POSITIONS = 2048, 1000, 65536
+
+
+def _matrix(vectors: pa.Array, kind: str) -> np.ndarray:
+    """Vectors as rows of doubles; of length one for cosine."""
+    m = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
+    return m / np.maximum(np.linalg.norm(m, axis=1), 1e-12)[:, None] if kind == "cosine" else m
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distance of every row of a to every row of b."""
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0)
+
+
+def _scores(v: np.ndarray, t: np.ndarray, kind: str, factor: float) -> np.ndarray:
+    return -_squares(v, t) / v.shape[1] if kind == "mse" else v @ t.T * factor
+
+
+def cell_bounds(v: np.ndarray, centres: np.ndarray, radius: np.ndarray, kind: str, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest score that a text in each cell can have against each video."""
+    if kind == "mse":
+        away = np.sqrt(_squares(v, centres))
+        return -((away + radius) ** 2) / v.shape[1], -(np.maximum(away - radius, 0.0) ** 2) / v.shape[1]
+    middle, reach = v @ centres.T, np.linalg.norm(v, axis=1)[:, None] * radius[None, :]
+    return (middle - reach) * factor, (middle + reach) * factor
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, SLICE):
+            yield b.slice(i, SLICE)
+
+
+def text_cells(rows: DataFrame, centres: np.ndarray, kind: str) -> DataFrame:
+    """(pos, cell, away, t): the nearest centre of every text and its distance."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _parts(batches):
+            t = _matrix(b.column("t"), kind)
+            cell = _squares(t, centres).argmin(1)
+            away = np.linalg.norm(t - centres[cell], axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("pos"), pa.array(cell.astype(np.int32)), pa.array(away), b.column("t")], names=["pos", "cell", "away", "t"])
+
+    return rows.select("pos", "t").mapInArrow(run, f"pos long, cell int, away double, t {rows.schema['t'].dataType.simpleString()}")
+
+
+def settle(rows: DataFrame, centres: np.ndarray, radius: np.ndarray, size: np.ndarray, kind: str, factor: float) -> DataFrame:
+    """(pos, own, v, sure, cells): texts of cells that lie above the own score as a whole, and the cells that bounds leave open."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _parts(batches):
+            v, own = _matrix(b.column("v"), kind), b.column("own").to_numpy()[:, None]
+            low, high = cell_bounds(v, centres, radius, kind, factor)
+            # products in another order differ in the last bits, relative to their terms
+            slack = 1e-9 * (1 + np.abs(own) + np.abs(low) + np.abs(high))
+            above, below = low > own + slack, high < own - slack
+            left, cells = np.nonzero(~above & ~below)
+            offsets = np.searchsorted(left, np.arange(len(v) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("pos"), b.column("own"), b.column("v"), pa.array((above * size).sum(1)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells.astype(np.int32)))],
+                names=["pos", "own", "v", "sure", "cells"])
+
+    return rows.select("pos", "own", "v").mapInArrow(run, f"pos long, own double, v {rows.schema['v'].dataType.simpleString()}, sure long, cells array<int>")
+
+
+def _meet(kind: str, factor: float):
+    """Counts of a group of videos against a group of distinct texts and their positions."""
+    def count(videos: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        names = ["pos", "above", "before", "level"]
+        if not len(videos) or not len(texts):
+            return pd.DataFrame({n: np.zeros(0, np.int64) for n in names})
+        v, t = (_matrix(pa.array(x.tolist()), kind) for x in (videos["v"], texts["t"]))
+        at = [np.asarray(p, np.int64) for p in texts["at"]]
+        weight = np.array([len(p) for p in at])
+        s, own, pos = _scores(v, t, kind, factor), videos["own"].to_numpy()[:, None], videos["pos"].to_numpy()
+        # a product summed in another order may differ in the last bits: that is still a tie
+        tie = np.abs(s - own) <= 1e-12 * np.maximum(1.0, np.abs(own))
+        above = ((s > own) & ~tie) @ weight
+        before, level = np.zeros(len(v), np.int64), np.zeros(len(v), np.int64)
+        for q, d in np.argwhere(tie).tolist():
+            i = int(np.searchsorted(at[d], pos[q]))
+            before[q] += i
+            level[q] += len(at[d]) - (i < len(at[d]) and at[d][i] == pos[q])  # but for the own text
+        return pd.DataFrame(dict(zip(names, (pos, above, before, level))))
+
+    return count
+
+
 def matched_rank(features: DataFrame, ids: Sequence[str], scale: float = LOGIT_SCALE, kind: str = "dot",
                  block: int = 1024) -> DataFrame:
     """For each video: score and rank of its own text among all texts (equal scores rank by text position).
 
-    One text per video is relevant (ids are unique), and every ranking metric follows
-    from its rank and the scores above it. So no pair is emitted and no top list is
-    kept: a block of videos meets a block of texts as one matrix product and returns
-    two counters per video. Blocks are rows of consecutive positions, hence bounded;
-    work is the N x N products the statistic is defined by.
+    One text per video is relevant (ids are unique), and every ranking metric follows from its rank and the
+    scores above it. So no pair is emitted and no top list is kept. Texts fall into cells around up to
+    `CELLS` of them; bounds from a cell's centre and radius settle it for a video as a whole, without a
+    product or a copy. A video is sent only to the cells left open, where it meets `block` distinct texts at a
+    time in one matrix product; equal texts are one row with their positions. Videos of an open cell are
+    dealt into groups of about 4 x `block`, for each of which its texts are sent once.
     """
     placed = running_offsets(features.withColumn("_g", F.lit(0)), ["_g"], ids, F.lit(1), "pos").drop("_g")
-    total = features.agg(F.count(F.lit(1)).alias("n")).scalar()
-    own = similarity("v", "t", kind, scale)
-    rows = placed.withColumn("_b", F.floor(F.col("pos") / block)).withColumn("own", own).withColumn("_last", F.floor((total - 1) / block))
-    roles = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), "_last"), lambda o: F.array(
-        F.struct(F.col("_b").alias("qb"), o.alias("db"), F.lit(True).alias("query")),
-        F.struct(o.alias("qb"), F.col("_b").alias("db"), F.lit(False).alias("query")))))
-    sent = rows.select("pos", F.inline(roles), "own", "v", "t").select(
-        "qb", "db", "query", "pos", "own", F.when(F.col("query"), F.col("v")).otherwise(F.col("t")).alias("vec"))
-    factor = math.exp(scale)
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        qs, ds = pdf[pdf["query"]], pdf[~pdf["query"]]
-        v, t = np.stack(qs["vec"].to_numpy()).astype(float), np.stack(ds["vec"].to_numpy()).astype(float)
-        if kind == "mse":
-            s = 2 * v @ t.T - (v * v).sum(1)[:, None] - (t * t).sum(1)[None, :]
-            s = s / v.shape[1]
-        else:
-            if kind == "cosine":
-                v = v / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
-                t = t / np.maximum(np.linalg.norm(t, axis=1), 1e-12)[:, None]
-            s = v @ t.T * factor
-        own, qp, dp = qs["own"].to_numpy()[:, None], qs["pos"].to_numpy()[:, None], ds["pos"].to_numpy()[None, :]
-        # a product summed in another order may differ in the last bits: that is still a tie
-        tie = np.abs(s - own) <= 1e-12 * np.maximum(1.0, np.abs(own))
-        above = ((s > own) & ~tie) & (qp != dp)
-        level = tie & (qp != dp)
-        return pd.DataFrame({"pos": qs["pos"], "own": qs["own"], "above": above.sum(1),
-                             "before": (level & (dp < qp)).sum(1), "level": level.sum(1)})
-
-    counts = sent.groupBy("qb", "db").applyInPandas(count, "pos long, own double, above long, before long, level long")
-    summed = counts.groupBy("pos").agg(F.first("own").alias("own"), F.sum("above").alias("above"),
-                                       F.sum("before").alias("before"), F.sum("level").alias("level"), )
-    return summed.withColumn("rank", F.col("above") + F.col("before") + 1).withColumn("n", total)
+    rows = cut(placed.select(F.col("pos").cast("long").alias("pos"), "v", "t", similarity("v", "t", kind, scale).alias("own")))
+    total, factor = rows.count(), math.exp(scale)
+    # positions follow a hash, so the first ones are a random sample
+    sample = rows.where(F.col("pos") < max(1, min(CELLS, -(-total // block)))).orderBy("pos").select("t").toArrow()
+    if not total:
+        return rows.select("pos", "own", *[F.lit(0).cast("long").alias(c) for c in ("above", "before", "level", "rank", "n")])
+    centres = _matrix(sample.column("t").combine_chunks(), kind)
+    texts = cut(text_cells(rows, centres, kind))
+    found = texts.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("r")).collect()  # a row for each cell
+    size, radius = np.zeros(len(centres), np.int64), np.zeros(len(centres))
+    for r in found:
+        size[r["cell"]], radius[r["cell"]] = r["n"], r["r"] * (1 + 1e-9) + 1e-12
+    judged = cut(settle(rows, centres, radius, size, kind, factor))
+    opened = judged.select(F.explode("cells").alias("cell"))
+    groups = opened.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (4 * block)).alias("chunks"))
+    groups = F.broadcast(groups.join(texts.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("tiles")), "cell"))  # a row for each cell
+    own_cells = judged.select("pos", "own", "v", F.explode("cells").alias("cell")).join(groups, "cell")
+    asked = own_cells.withColumn("chunk", F.pmod(F.xxhash64("pos", F.lit(1)), F.col("chunks"))).withColumn(
+        "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    merged = texts.groupBy("cell", "t", F.floor(F.col("pos") / POSITIONS).alias("_p")).agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    given = merged.join(groups, "cell").withColumn("tile", F.pmod(F.xxhash64(F.col("at")[0]), F.col("tiles"))).withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    place = ["cell", "tile", "chunk"]
+    counts = asked.select(*place, "pos", "own", "v").groupBy(*place).cogroup(given.select(*place, "t", "at").groupBy(*place)).applyInPandas(
+        _meet(kind, factor), "pos long, above long, before long, level long")
+    zero = F.lit(0).cast("long")
+    sure = judged.select("pos", "own", F.col("sure").alias("above"), zero.alias("before"), zero.alias("level"))
+    summed = sure.unionByName(counts.withColumn("own", F.lit(None).cast("double"))).groupBy("pos").agg(
+        F.max("own").alias("own"), *[F.sum(c).alias(c) for c in ("above", "before", "level")])
+    return summed.withColumn("rank", F.col("above") + F.col("before") + 1).withColumn("n", F.lit(total).cast("long"))
 
 
 def full_metrics(features: DataFrame, ids: Sequence[str], k: int = 3, prefix: str = "v2t_", kind: str = "dot",
