@@ -153,3 +153,56 @@ def test_several_texts_of_an_episode(spark):
     with pytest.raises(Exception, match="several texts have the ids"):
         DV.ngram_diversity(shared, ids=["episode_id"]).collect()
     assert value(DV.homogenization_bleu(apart, sample=2), "hom_bleu") >= 0
+
+
+def test_common_subsequences_abreast():
+    """The long bit vector against the table of lengths, over references of all sizes next to each other."""
+    import numpy as np
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                row[j + 1], last = (last + 1 if x == y else max(row[j + 1], row[j])), row[j + 1]
+        return row[-1]
+
+    rng = random.Random(7)
+    for kinds in (1, 2, 5, 40):
+        refs = [np.array([rng.randrange(kinds) for _ in range(rng.choice([0, 1, 2, 7, 63, 64, 65, 130]))], int) for _ in range(30)]
+        texts = [np.array([rng.randrange(kinds + 1) for _ in range(rng.choice([0, 1, 5, 64, 200]))], int) for _ in range(12)]
+        got = DV._common(refs, texts)
+        assert got.tolist() == [[lcs(r, t) for t in texts] for r in refs]
+
+
+def test_report_reads_one_corpus(spark, df, monkeypatch):
+    """Every statistic of the report equals the statistic alone; tokens and n-grams are written once."""
+    made = []
+    real = DV._gram_counts
+    monkeypatch.setattr(DV, "_gram_counts", lambda *a: made.append(1) or real(*a))
+    wide = {r["inst_alias"]: r for r in DV.diversity_report(df, rouge=True).collect()}
+    assert len(made) == 1
+    alone = {"length": DV.mean_length(df), "mattr": DV.mattr(df), "hdd": DV.hdd(df), "ngd": DV.ngram_diversity(df), "self_rep": DV.self_repetition(df),
+             "self_bleu": DV.self_bleu(df), "hom_bleu": DV.homogenization_bleu(df), "hom_rougel": DV.homogenization_rougel(df)}
+    for name, out in alone.items():
+        for alias in ("x", "solo"):
+            assert wide[alias][name] == (None if value(out, name, alias) is None else pytest.approx(value(out, name, alias))), name
+
+
+@pytest.mark.parametrize("frequent", [20_000, 3])
+def test_frequent_ngrams_are_split_off(spark, df, monkeypatch, frequent):
+    """Plans differ, results don't."""
+    monkeypatch.setattr(DV, "FREQUENT", frequent)
+    texts = [" ".join(tok(t)) for t in TEXTS]
+    grams = [[w[i:i + 4] for i in range(len(w) - 3)] for w in (t.split(" ") for t in texts)]
+    want = sum(math.log(1 + sum(sum(x in g for g in grams) for x in own) - len(own)) if own else 0 for own in grams)
+    assert value(DV.self_repetition(df, match="token"), "self_rep") == pytest.approx(want / len(texts))
+    assert value(DV.self_repetition(df), "self_rep") == pytest.approx(value(DV.self_repetition(DV.Corpus(df)), "self_rep"))
+
+
+def test_ids_are_checked_without_texts(spark, tmp_path):
+    """The check reads the id columns only."""
+    spark.createDataFrame([("x", 1, "a b"), ("x", 2, "c")], "inst_alias string, episode_id long, text string").write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t")).groupBy("inst_alias", "episode_id").count()
+    assert "text" not in rows._jdf.queryExecution().executedPlan().toString()
+    DV.check_ids(spark.read.parquet(str(tmp_path / "t")), ["inst_alias"], ["episode_id"])

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import gzip
 import lzma
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -27,7 +27,8 @@ GROUP = ("inst_alias",)
 IDS = ("source", "split", "episode_id", "inst_id")
 TOKEN_BLOCK = 2048
 TEXT_BLOCK = 512
-COPY_BLOCK = 64
+#: Texts, and bytes, of a block that meets others pair by pair.
+BLOCK_TEXTS, BLOCK_BYTES = 1024, 4 << 20
 REPORT = ["length", "mattr", "hdd", "ngd", "cr", "cr_pos", "self_rep", "self_bleu", "hom_bleu", "hom_rougel"]
 
 # Headings of the merged report; arrows tell which direction is more diverse.
@@ -37,22 +38,54 @@ HEADINGS = {
 }
 
 
-def mean_length(df: DataFrame, group: Sequence[str] = GROUP, text: str = "text") -> DataFrame:
-    return df.groupBy(*group).agg(F.avg(token_count(text)).alias("length"))
-
-
 def _ids(df: DataFrame, ids: Sequence[str] | None) -> list[str]:
     return list(ids) if ids is not None else [c for c in IDS if c in df.columns]
 
 
-def _distinct_ids(df: DataFrame, group: Sequence[str], ids: Sequence[str]) -> DataFrame:
-    """The rows, placed by id; fails if an id has several, for their texts would be merged or multiplied."""
-    copies = F.count(F.lit(1)).over(Window.partitionBy(*group, *ids))
-    clash = F.raise_error(F.concat(F.lit("several texts have the ids "), F.concat_ws("@", *[F.col(c).cast("string") for c in (*group, *ids)]))).cast("boolean")
-    return df.withColumn("_copies", copies).where(F.when(F.col("_copies") == 1, True).otherwise(clash)).drop("_copies")
+def check_ids(df: DataFrame, group: Sequence[str], ids: Sequence[str]) -> None:
+    """Fail if an id has several texts, for they would be merged or multiplied. Only the id columns are read and moved."""
+    twice = df.groupBy(*group, *ids).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"several texts have the ids {'@'.join(str(v) for v in twice[0][:-1])}")
+
+
+class Corpus:
+    """A corpus tokenized and written once, for several statistics: rows (group, ids, text, number of the text, tokens).
+
+    The n-grams of its texts are counted and written when a statistic first needs them.
+    """
+
+    def __init__(self, df: DataFrame, group: Sequence[str] = GROUP, ids: Sequence[str] | None = None, text: str = "text"):
+        self.group, self.ids = list(group), _ids(df, ids)
+        check_ids(df, self.group, self.ids)
+        rows = df.select(*self.group, *self.ids, F.col(text).alias("text"), F.monotonically_increasing_id().alias("_x"), tokens(text).alias("_t"))
+        self.words = cut(rows)
+        self._counts: dict[int, DataFrame] = {}
+
+    def counts(self, n: int) -> DataFrame:
+        """Rows (group, text number, n-gram order m, n-gram, count) of all 1..n-grams."""
+        if n not in self._counts:
+            self._counts[n] = cut(_gram_counts(self.words, self.group, n))
+        return self._counts[n]
+
+
+def _numbered(df: DataFrame, group: list[str], ids: list[str], text: str) -> DataFrame:
+    """Rows (group, text number, tokens) for one statistic: what it counts is written, so every use sees the same numbers."""
+    check_ids(df, group, ids)
+    return cut(df.select(*group, F.monotonically_increasing_id().alias("_x"), tokens(text).alias("_t")))
+
 
+def mean_length(df: DataFrame | Corpus, group: Sequence[str] = GROUP, text: str = "text") -> DataFrame:
+    if isinstance(df, Corpus):
+        return df.words.groupBy(*df.group).agg(F.avg(F.size("_t")).alias("length"))
+    return df.groupBy(*group).agg(F.avg(token_count(text)).alias("length"))
+
+
+def _tokens(df: DataFrame | Corpus, text: str) -> tuple[DataFrame, Column]:
+    return (df.words, F.col("_t")) if isinstance(df, Corpus) else (df, tokens(text))
 
-def _token_blocks(df: DataFrame, group: Sequence[str], ids: Sequence[str], text: str, before: int,
+
+def _token_blocks(df: DataFrame | Corpus, group: Sequence[str], ids: Sequence[str], text: str, before: int,
                   lemma: DataFrame | None) -> DataFrame:
     """Cut the concatenated corpus into blocks of TOKEN_BLOCK tokens plus the `before` tokens ahead of each.
 
@@ -60,7 +93,8 @@ def _token_blocks(df: DataFrame, group: Sequence[str], ids: Sequence[str], text:
     arrays, not one row per token. The end of the corpus may leave a last block of
     context only.
     """
-    words = df.select(*group, *ids, tokens(text).alias("_t"))
+    rows, split = _tokens(df, text)
+    words = rows.select(*group, *ids, split.alias("_t"))
     if lemma is not None:
         words = _relabel(words, [*group, *ids], "_t", lemma, "lemma", keep_unknown=True)
     placed = running_offsets(words.where(F.size("_t") > 0), group, ids, F.size("_t"), "_o")
@@ -87,7 +121,7 @@ def _relabel(words: DataFrame, ids: Sequence[str], col: str, table: DataFrame, t
     return lists
 
 
-def mattr(df: DataFrame, window: int = 50, group: Sequence[str] = GROUP, ids: Sequence[str] | None = None, text: str = "text",
+def mattr(df: DataFrame | Corpus, window: int = 50, group: Sequence[str] = GROUP, ids: Sequence[str] | None = None, text: str = "text",
           lemma: DataFrame | None = None) -> DataFrame:
     """Moving-average type-token ratio of the concatenated corpus.
 
@@ -101,7 +135,7 @@ def mattr(df: DataFrame, window: int = 50, group: Sequence[str] = GROUP, ids: Se
     """
     w = window
     before = 2 * (w - 1)  # exact q also for the w-1 tokens ahead of the block
-    blocks = _token_blocks(df, group, _ids(df, ids), text, before, lemma)
+    blocks = _token_blocks(df, group, df.ids if isinstance(df, Corpus) else _ids(df, ids), text, before, lemma)
     part = [*group, "_b"]
     # the blocks are already partitioned by `part`, so this window adds no exchange
     seen = F.lag("_i").over(Window.partitionBy(*part, "_w").orderBy("_i"))
@@ -131,13 +165,14 @@ def mattr(df: DataFrame, window: int = 50, group: Sequence[str] = GROUP, ids: Se
     return whole.select(*group, score.alias("mattr"))
 
 
-def hdd(df: DataFrame, draws: int = 42, group: Sequence[str] = GROUP, text: str = "text") -> DataFrame:
+def hdd(df: DataFrame | Corpus, draws: int = 42, group: Sequence[str] = GROUP, text: str = "text") -> DataFrame:
     """Mean over `draws` of the chance to see each type in a draw without replacement; null for short corpora.
 
     Types with the same count contribute the same, so the product over draws is
     evaluated once per distinct count.
     """
-    types = df.select(*group, F.explode(tokens(text)).alias("_w")).groupBy(*group, "_w").agg(F.count(F.lit(1)).alias("_c"))
+    rows, split = _tokens(df, text)
+    types = rows.select(*group, F.explode(split).alias("_w")).groupBy(*group, "_w").agg(F.count(F.lit(1)).alias("_c"))
     counts = types.groupBy(*group, "_c").agg(F.count(F.lit(1)).alias("_types"))
     total = counts.groupBy(*group).agg(F.sum(F.col("_c") * F.col("_types")).alias("_N"))
     n, c = F.col("_N"), F.col("_c")
@@ -191,7 +226,7 @@ def compression_ratio_pos(df: DataFrame, tag_lexicon: DataFrame, group: Sequence
     return compression_ratio(tags, group=group, ids=ids, text="_tags", name="cr_pos", **kw)
 
 
-def ngram_diversity(df: DataFrame, n: int = 4, cross_text: bool = True, group: Sequence[str] = GROUP,
+def ngram_diversity(df: DataFrame | Corpus, n: int = 4, cross_text: bool = True, group: Sequence[str] = GROUP,
                     ids: Sequence[str] | None = None, text: str = "text") -> DataFrame:
     """Sum over 1..n of distinct over total n-grams of the texts joined and split by single blanks.
 
@@ -200,10 +235,14 @@ def ngram_diversity(df: DataFrame, n: int = 4, cross_text: bool = True, group: S
     The heads of texts are all that is ordered; words are never shuffled, only
     n-grams, after partial aggregation.
     """
-    ids = _ids(df, ids)
+    if isinstance(df, Corpus):
+        df, ids, text = df.words, df.ids, "text"
+    else:
+        ids = _ids(df, ids)
+        if cross_text:
+            check_ids(df, group, ids)
     words = df.select(*group, *ids, F.split(F.coalesce(text, F.lit("")), " ").alias("_w"))
     if cross_text:
-        words = _distinct_ids(words, group, ids)
         words = _with_following(words, group, ids, n - 1)
     else:
         words = words.withColumn("_after", F.array().cast("array<string>"))
@@ -239,12 +278,13 @@ def _with_following(words: DataFrame, group: Sequence[str], ids: Sequence[str],
     return words.join(near.select(*group, *ids, after.alias("_after")).hint("merge"), [*group, *ids])
 
 
-def self_repetition(df: DataFrame, n: int = 4, match: str = "substring", group: Sequence[str] = GROUP,
+def self_repetition(df: DataFrame | Corpus, n: int = 4, match: str = "substring", group: Sequence[str] = GROUP,
                     ids: Sequence[str] | None = None, text: str = "text") -> DataFrame:
     """Mean over texts of ln(1 + sum over its n-grams of the texts containing it - number of its n-grams).
 
     Join keys start with the n-gram: sorting compares leading columns first, and the
-    group is the same for most rows. With `substring`, a text contains t1..tn when it has tokens x1 t2 .. t(n-1) xn with
+    group is the same for most rows. N-grams of very many texts are joined by broadcast (see `_on_grams`).
+    With `substring`, a text contains t1..tn when it has tokens x1 t2 .. t(n-1) xn with
     x1 ending in t1 and xn starting with tn. Comparing n-grams that share their inner
     tokens would be quadratic for frequent ones. Instead outer tokens are cut to the
     shorter forms that occur beside the same inner tokens and looked up, so work stays
@@ -252,69 +292,102 @@ def self_repetition(df: DataFrame, n: int = 4, match: str = "substring", group:
     """
     if n < 3 and match == "substring":
         raise ValueError("substring matching needs n >= 3")
-    g, i = list(group), _ids(df, ids)
-    words = _distinct_ids(df.select(*g, *i, text), g, i).select(*g, *i, tokens(text).alias("_t"))
-    names = [f"w{k}" for k in range(1, n + 1)]
-    has = (
-        words.select(*g, *i, F.inline(_shifted("_t", n, F.size("_t")))).where(F.col(names[-1]).isNotNull())
-        .select(*g, *i, F.col("w1").alias("a"), F.concat_ws(" ", *names[1:-1]).alias("m"), F.col(names[-1]).alias("z"))
-    )
-    rows = has.groupBy(*g, *i, "a", "m", "z").agg(F.count(F.lit(1)).alias("_c"))
-    rows = cut(rows) if match == "substring" else rows
+    if isinstance(df, Corpus):
+        g, words, parts = df.group, df.words, F.split("gram", " ")
+        rows = df.counts(n).where(F.col("m") == n).select(
+            *g, "_x", parts[0].alias("a"), F.array_join(F.slice(parts, 2, n - 2), " ").alias("m"), parts[n - 1].alias("z"), F.col("c").alias("_c"))
+    else:
+        g, names = list(group), [f"w{k}" for k in range(1, n + 1)]
+        words = _numbered(df, g, _ids(df, ids), text)
+        has = (
+            words.repartition("_x").select(*g, "_x", F.inline(_shifted("_t", n, F.size("_t")))).where(F.col(names[-1]).isNotNull())
+            .select(*g, "_x", F.col("w1").alias("a"), F.concat_ws(" ", *names[1:-1]).alias("m"), F.col(names[-1]).alias("z"))
+        )
+        rows = has.groupBy(*g, "_x", "a", "m", "z").agg(F.count(F.lit(1)).alias("_c"))
+    rows = cut(rows)
     gram = ["m", "a", "z", *g]
     spread = rows.groupBy(*gram).agg(F.count(F.lit(1)).alias("_texts"))
     if match == "substring":
-        spread = cut(spread)
-        spread = _add_containing(spread, rows, g, i)
+        spread = _add_containing(cut(spread), rows, g)
     # an n-gram of a single text adds nothing
-    per_text = rows.join(spread.where(F.col("_texts") > 1), gram).groupBy(*g, *i).agg(
-        F.log(1 + F.sum(F.col("_c") * (F.col("_texts") - 1))).alias("_s"))
+    shared = cut(spread.where(F.col("_texts") > 1))
+    per_text = _on_grams(rows, shared, gram).groupBy(*g, "_x").agg(F.log(1 + F.sum(F.col("_c") * (F.col("_texts") - 1))).alias("_s"))
     sums = per_text.groupBy(*g).agg(F.sum("_s").alias("_sum"))
-    sizes = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = words.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
     return sizes.join(sums, g, "left").select(*g, (F.coalesce("_sum", F.lit(0.0)) / F.col("_n")).alias("self_rep"))
 
 
-def _add_containing(spread: DataFrame, rows: DataFrame, g: list[str], i: list[str]) -> DataFrame:
+#: An n-gram of more texts is frequent; a 65536th of all rows if that is more, so no more than 65536 are.
+FREQUENT = 20_000
+
+
+def _on_grams(rows: DataFrame, table: DataFrame, gram: list[str]) -> DataFrame:
+    """The rows of the n-grams in a written table, joined.
+
+    A key holds a row for each text of an n-gram. Frequent n-grams are broadcast, and their rows never meet in one task;
+    all others are joined by shuffle.
+    """
+    limit = max(FREQUENT, rows.count() >> 16)
+    frequent = table.where(F.col("_texts") > limit)
+    if frequent.isEmpty():
+        return _join(rows, table, gram)
+    rest = rows.join(F.broadcast(frequent.select(*gram).distinct()), gram, "left_anti")
+    return rows.join(F.broadcast(frequent), gram).unionByName(_join(rest, table.where(F.col("_texts") <= limit), gram))
+
+
+def _add_containing(spread: DataFrame, rows: DataFrame, g: list[str]) -> DataFrame:
     """Text counts including the texts that hold a longer form of the n-gram's outer tokens."""
     gram = ["m", "a", "z", *g]
-    grams = spread.select(*gram)
-    left = _shorter(grams.select(*g, "a", "m").distinct(), g, "a", True).withColumnRenamed("to", "a2")
-    right = _shorter(grams.select(*g, "m", "z").distinct(), g, "z", False).withColumnRenamed("to", "z2")
+    grams = spread.select(*gram, "_texts")
+    left = _shorter(cut(grams.select(*g, "a", "m").distinct()), g, "a", True).withColumnRenamed("to", "a2")
+    right = _shorter(cut(grams.select(*g, "m", "z").distinct()), g, "z", False).withColumnRenamed("to", "z2")
     known = grams.select(*g, F.col("a").alias("a2"), "m", F.col("z").alias("z2"))
-    by_left = grams.join(left, ["m", "a", *g])
-    cols = [*gram, "a2", "z2"]
+    by_left = _join(grams, left, ["m", "a", *g])
+    cols = [*gram, "_texts", "a2", "z2"]
     longer = (
         by_left.withColumn("z2", F.col("z")).select(*cols)
-        .unionByName(by_left.join(right, ["m", "z", *g]).select(*cols))
-        .unionByName(grams.join(right, ["m", "z", *g]).withColumn("a2", F.col("a")).select(*cols))
-        .join(known, ["m", "a2", "z2", *g], "left_semi")
+        .unionByName(_join(by_left, right, ["m", "z", *g]).select(*cols))
+        .unionByName(_join(grams, right, ["m", "z", *g]).withColumn("a2", F.col("a")).select(*cols))
     )
-    found = rows.join(longer, gram).select(*g, *i, F.col("a2").alias("a"), "m", F.col("z2").alias("z")).distinct()
+    longer = cut(_join(longer, known, ["m", "a2", "z2", *g], "left_semi"))
+    found = _on_grams(rows, longer, gram).select(*g, "_x", F.col("a2").alias("a"), "m", F.col("z2").alias("z")).distinct()
     # texts that hold only the longer form
-    new = found.join(rows, ["m", "a", "z", *i, *g], "left_anti").groupBy(*gram).agg(F.count(F.lit(1)).alias("_more"))
-    return spread.join(new, gram, "left").withColumn("_texts", F.col("_texts") + F.coalesce("_more", F.lit(0))).drop("_more")
+    new = _join(found, rows.select("_x", *gram), ["_x", "m", "a", "z", *g], "left_anti").groupBy(*gram).agg(F.count(F.lit(1)).alias("_more"))
+    return _join(spread, new, gram, "left").withColumn("_texts", F.col("_texts") + F.coalesce("_more", F.lit(0))).drop("_more")
 
 
 def _shorter(pairs: DataFrame, g: list[str], edge: str, suffix: bool) -> DataFrame:
     """For each (edge, inner) pair, the shorter ends `to` of the edge that form a known pair with the same inner tokens.
 
-    Lengths are matched first: inner tokens with one edge length drop out, and a very
-    long token is only cut at lengths that occur beside the same inner tokens.
+    An end of one character is looked up as it is. For others the last two characters are matched with the lengths
+    first: few edges share both with another one beside the same inner tokens, and a very long token
+    is only cut at lengths that occur there.
     """
-    known = pairs.select(*g, "m", F.col(edge).alias("to"))
-    sizes = known.groupBy(*g, "m").agg(F.collect_set(F.length("to")).alias("_ls")).where(F.size("_ls") > 1)
     whole = F.length(edge)
-    fits = pairs.join(sizes, ["m", *g]).withColumn("_l", F.explode(F.filter("_ls", lambda x: x < F.length(edge))))
-    cut_ = F.substring(F.col(edge), whole - F.col("_l") + 1, F.col("_l")) if suffix else F.substring(F.col(edge), F.lit(1), F.col("_l"))
-    return fits.select(*g, "m", edge, cut_.alias("to")).join(known, ["m", "to", *g], "left_semi")
+
+    def end(size: Column) -> Column:
+        return F.substring(F.col(edge), whole - size + 1, size) if suffix else F.substring(F.col(edge), F.lit(1), size)
+
+    known = pairs.where(whole > 1).withColumn("_e", end(F.lit(2)))
+    sizes = known.select("_e", "m", *g, whole.alias("_l")).distinct()
+    fits = _join(known, sizes, ["_e", "m", *g]).where(F.col("_l") < whole)
+    there = known.select(*g, "m", F.col(edge).alias("to"))
+    longer = _join(fits.select(*g, "m", edge, end(F.col("_l")).alias("to")), there, ["m", "to", *g], "left_semi")
+    ones = pairs.where(whole == 1).select(*g, "m", F.col(edge).alias("to"))
+    return longer.unionByName(_join(known.withColumn("to", end(F.lit(1))).select(*g, "m", edge, "to"), ones, ["m", "to", *g], "left_semi"))
+
+
+def _join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join on texts, sorted by their hash: numbers differ early, texts of a corpus late."""
+    key = F.xxhash64(*on).alias("_k")
+    return left.select("*", key).join(right.select("*", key), ["_k", *on], how).drop("_k")
 
 
-def _gram_counts(df: DataFrame, g: list[str], i: list[str], text: str, n: int = 4) -> DataFrame:
-    """Rows (group, id, n-gram order m, n-gram, count)."""
+def _gram_counts(words: DataFrame, g: list[str], n: int = 4) -> DataFrame:
+    """Rows (group, text number, n-gram order m, n-gram, count)."""
     # texts are moved once, so that the n-grams of a text (many times its size) are counted where it is
-    words = df.repartition(*g, *i).select(*g, *i, tokens(text).alias("_t"))
-    rows = _ngrams(words, [*g, *i], n, F.size("_t"), "_t")
-    return rows.groupBy(*g, *i, "m", "gram").agg(F.count(F.lit(1)).alias("c"))
+    rows = _ngrams(words.repartition("_x").select(*g, "_x", "_t"), [*g, "_x"], n, F.size("_t"), "_t")
+    return rows.groupBy(*g, "_x", "m", "gram").agg(F.count(F.lit(1)).alias("c"))
 
 
 def _bleu(hits: list[Column], totals: list[Column], ref_len: Column, hyp_len: Column) -> Column:
@@ -325,70 +398,78 @@ def _bleu(hits: list[Column], totals: list[Column], ref_len: Column, hyp_len: Co
     return F.when(hits[0] > 0, F.exp(brevity + mean)).otherwise(0.0)
 
 
-def self_bleu(df: DataFrame, group: Sequence[str] = GROUP, ids: Sequence[str] | None = None, text: str = "text",
+def self_bleu(df: DataFrame | Corpus, group: Sequence[str] = GROUP, ids: Sequence[str] | None = None, text: str = "text",
               n: int = 4) -> DataFrame:
     """Mean BLEU of each text against all others of the group.
 
-    The clip of an n-gram is its highest count in another text: the top count unless
-    this text alone holds it, else the runner-up. Both come from the distinct counts of
-    the n-gram. The reference length is the nearest other length (shorter on a tie),
-    read off the histogram of lengths. Nothing is compared pairwise.
+    The clip of an n-gram is its highest count in another text. So a text loses hits by an n-gram only
+    if it alone has the top count, and then the distance to the runner-up: every n-gram takes from one
+    text at most. Losses are read off the n-grams and summed for their texts, so no row of a text
+    goes back to its n-grams. That an n-gram has a second text is worth one hit, a second text with a
+    higher count the rest: all rows count the first, the few with a count above 1 the second.
+    The reference length is the nearest other length (shorter on a tie), read off the histogram of
+    lengths. Nothing is compared pairwise.
     """
-    g, i = list(group), _ids(df, ids)
-    rows = _gram_counts(_distinct_ids(df.select(*g, *i, text), g, i), g, i, text, n)
-    levels = rows.groupBy(*g, "m", "gram", "c").agg(F.count(F.lit(1)).alias("k"))
-    # an n-gram of a single text has no match elsewhere
-    top = levels.groupBy(*g, "m", "gram").agg(F.sum("k").alias("_texts"), F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("c", "k")))), 1, 2).alias("_l")).where(F.col("_texts") > 1)
-    best = top.select(*g, "m", "gram", F.col("_l")[0]["c"].alias("_c1"), F.col("_l")[0]["k"].alias("_k1"),
-                      F.coalesce(F.get("_l", F.lit(1))["c"], F.lit(0)).alias("_c2"))
-    other = F.when((F.col("c") == F.col("_c1")) & (F.col("_k1") == 1), F.col("_c2")).otherwise(F.col("_c1"))
-    hits = [F.sum(F.when(F.col("m") == m, F.least("c", other)).otherwise(0)).alias(f"_h{m}") for m in range(1, n + 1)]
-    clipped = rows.join(best, ["gram", "m", *g]).groupBy(*g, *i).agg(*hits)
-    lengths = df.select(*g, *i, token_count(text).cast("long").alias("_len"))
+    corpus = df if isinstance(df, Corpus) else None
+    g = corpus.group if corpus else list(group)
+    words = corpus.words if corpus else _numbered(df, g, _ids(df, ids), text)
+    counts = corpus.counts(n) if corpus else _gram_counts(words, g, n)
+    level = F.explode(F.when(F.col("c") > 1, F.array(F.lit(0).cast("long"), "c")).otherwise(F.array(F.lit(0).cast("long"))))
+    # one exchange for both uses; a filter on the level itself would be pushed below it and part them
+    levels = counts.select(*g, "_x", "m", "gram", level.alias("_l")).groupBy(*g, "m", "gram", "_l").agg(
+        F.count(F.lit(1)).alias("k"), F.max("_x").alias("_x"), F.max("_l").alias("level"))
+    alone = levels.where((F.col("level") == 0) & (F.col("k") == 1)).select("_x", "m", F.lit(1).cast("long").alias("loss"))
+    tops = levels.where(F.col("level") > 0).groupBy(*g, "m", "gram").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("level", "k", "_x")))), 1, 2).alias("_l"))
+    top = F.col("_l")[0]
+    above = tops.where(top["k"] == 1).select(
+        top["_x"].alias("_x"), "m", (top["level"] - F.coalesce(F.get("_l", F.lit(1))["level"], F.lit(1))).alias("loss"))
+    orders = range(1, n + 1)
+    lost = alone.unionByName(above).groupBy("_x").agg(*[F.sum(F.when(F.col("m") == m, F.col("loss")).otherwise(0)).alias(f"_d{m}") for m in orders])
+    lengths = words.select(*g, "_x", F.size("_t").cast("long").alias("_len"))
     hist = lengths.groupBy(*g, "_len").agg(F.count(F.lit(1)).alias("_k"))
     w = Window.partitionBy(*g).orderBy("_len")
     lo, hi = F.lag("_len").over(w), F.lead("_len").over(w)
     near = F.when(F.col("_k") > 1, F.col("_len")).when(lo.isNull(), hi).when(hi.isNull(), lo).when(
         F.col("_len") - lo <= hi - F.col("_len"), lo).otherwise(hi)
     refs = hist.select(*g, "_len", near.alias("_ref"))
-    scored = lengths.join(refs, [*g, "_len"]).join(clipped, [*g, *i], "left").na.fill(0, [f"_h{m}" for m in range(1, n + 1)])
-    totals = [F.col("_len") - (m - 1) for m in range(1, n + 1)]
-    score = _bleu([F.col(f"_h{m}") for m in range(1, n + 1)], totals, F.col("_ref"), F.col("_len"))
+    scored = lengths.join(refs, [*g, "_len"]).join(lost, "_x", "left").na.fill(0, [f"_d{m}" for m in orders])
+    totals = [F.greatest(F.col("_len") - (m - 1), F.lit(0)) for m in orders]
+    score = _bleu([t - F.col(f"_d{m}") for m, t in zip(orders, totals)], totals, F.col("_ref"), F.col("_len"))
     # an empty text, or a text without any other, scores 0
     return scored.groupBy(*g).agg(F.avg(F.when(F.col("_len") > 0, F.coalesce(score, F.lit(0.0))).otherwise(0.0)).alias("self_bleu"))
 
 
-def _pairwise_mean(df: DataFrame, score, group: Sequence[str], ids: Sequence[str], text: str, name: str,
-                   block: int) -> DataFrame:
+def _pairwise_mean(df: DataFrame | Corpus, score, group: Sequence[str], text: str, name: str, block: int) -> DataFrame:
     """Mean of score(reference, hypothesis) over ordered pairs of different texts.
 
-    The statistic is defined over all pairs. Equal texts are merged first and weighted,
-    so copies cost nothing. The rest meets block against block: every task receives two
-    bounded blocks and returns one partial sum, so no pair is ever a row.
+    The statistic is defined over all pairs. Equal texts are merged first and weighted, so copies cost
+    nothing. The rest is cut into blocks of up to `block` texts and `BLOCK_BYTES`. Every two blocks meet
+    once, for both directions, and return one partial sum, so no pair is ever a row and a text
+    is sent to each other block once.
     """
     g = list(group)
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    words = df.select(*g, F.array_join(tokens(text), " ").alias("_x"))
-    texts = words.groupBy(*g, "_x").agg(F.count(F.lit(1)).alias("_k"))
-    placed = running_offsets(texts, g, ["_x"], F.lit(1), "_pos")
-    counts = texts.groupBy(*g).agg(F.ceil(F.count(F.lit(1)) / block).alias("_nb"), F.sum("_k").alias("_n"))
-    blocks = placed.withColumn("_b", F.floor(F.col("_pos") / block)).join(counts, g)
-    roles = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1), lambda o: F.array(
-        F.struct(F.col("_b").alias("_rb"), o.alias("_hb"), F.lit(True).alias("_ref")),
-        F.struct(o.alias("_rb"), F.col("_b").alias("_hb"), F.lit(False).alias("_ref")))))
-    sent = blocks.select(*g, "_pos", "_x", "_k", F.inline(roles))
-    schema = ", ".join(f"`{c}` {types[c]}" for c in g) + ", part double"
+    rows, split = _tokens(df, text)
+    texts = rows.select(*g, F.array_join(split, " ").alias("_x")).groupBy(*g, "_x").agg(F.count(F.lit(1)).alias("_k"))
+    weight = F.greatest(F.least(F.octet_length("_x"), F.lit(BLOCK_BYTES)), F.lit(BLOCK_BYTES // block))
+    placed = cut(running_offsets(texts, g, ["_x"], weight, "_o").withColumn("_b", F.floor(F.col("_o") / BLOCK_BYTES)).drop("_o"))
+    counts = placed.groupBy(*g).agg((F.max("_b") + 1).alias("_nb"), F.sum("_k").alias("_n"))
+    others = F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)
+    meets = F.transform(others, lambda o: F.struct(F.least("_b", o).alias("_lb"), F.greatest("_b", o).alias("_rb"), (F.col("_b") <= o).alias("_left")))
+    sent = placed.join(counts, g).select(*g, "_x", "_k", F.inline(meets))
+    schema = ", ".join(f"`{c}` {placed.schema[c].dataType.simpleString()}" for c in g) + ", part double"
 
     def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["_ref"]], pdf[~pdf["_ref"]]
-        part = score(left["_x"].tolist(), right["_x"].tolist())
+        left, right = pdf[pdf["_left"]], pdf[~pdf["_left"]]
         own = left["_k"].to_numpy(float)
-        weight = np.outer(own, right["_k"].to_numpy(float))
-        same = left["_pos"].to_numpy()[:, None] == right["_pos"].to_numpy()[None, :]
-        weight -= np.where(same, own[:, None], 0.0)
-        return pd.DataFrame([[*key[: len(g)], float((part * weight).sum())]], columns=[*g, "part"])
+        if key[-2] == key[-1]:
+            part, _ = score(left["_x"].tolist(), left["_x"].tolist())
+            total = (part * (np.outer(own, own) - np.diag(own))).sum()
+        else:
+            weights = np.outer(own, right["_k"].to_numpy(float))
+            total = sum((p * weights).sum() for p in score(left["_x"].tolist(), right["_x"].tolist()))
+        return pd.DataFrame([[*key[: len(g)], float(total)]], columns=[*g, "part"])
 
-    sums = sent.groupBy(*g, "_rb", "_hb").applyInPandas(meet, schema)
+    sums = sent.groupBy(*g, "_lb", "_rb").applyInPandas(meet, schema)
     n = F.col("_n").cast("double")
     return (
         sums.groupBy(*g).agg(F.sum("part").alias("_s")).join(counts, g)
@@ -396,92 +477,124 @@ def _pairwise_mean(df: DataFrame, score, group: Sequence[str], ids: Sequence[str
     )
 
 
-def _grams_of(text: str, n: int) -> list[dict]:
-    t = text.split(" ") if text else []
-    out = []
-    for m in range(1, n + 1):
-        c: dict = {}
-        for i in range(len(t) - m + 1):
-            k = tuple(t[i:i + m])
-            c[k] = c.get(k, 0) + 1
-        out.append(c)
-    return out
+def _codes(texts: list[str], stem=None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Number of each token of the texts one after the other, where each text ends, how many there are."""
+    split = [t.split(" ") if t else [] for t in texts]
+    flat = [w for t in split for w in t]
+    code, names = pd.factorize(np.array(flat if stem is None else [stem(w.lower()) for w in flat], object))
+    return code.astype(np.int64), np.cumsum([0, *map(len, split)]), len(names)
 
 
-def _bleu_block(refs: list[str], hyps: list[str], n: int = 4) -> np.ndarray:
-    """BLEU of every hypothesis against every reference of two blocks.
+def _postings(code: np.ndarray, ends: np.ndarray, kinds: int, m: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order 1..m, the distinct (n-gram, text) with their counts, ordered by n-gram."""
+    owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    gram, at = code, np.arange(len(code))
+    for order in range(1, m + 1):
+        if order > 1:
+            inside = at + order - 1 < ends[owner[at] + 1]
+            gram, at = gram[inside], at[inside]
+            gram = pd.factorize(gram * kinds + code[at + order - 1])[0].astype(np.int64)
+        pair, count = np.unique(gram * (len(ends) - 1) + owner[at], return_counts=True)
+        yield pair // (len(ends) - 1), pair % (len(ends) - 1), count
 
-    One count matrix per order over the n-grams of the block; the clipped overlaps of
-    one hypothesis with all references are a column-wise minimum.
-    """
-    rg, hg = [_grams_of(t, n) for t in refs], [_grams_of(t, n) for t in hyps]
-    rl = np.array([sum(x[0].values()) for x in rg], float)
-    out = np.zeros((len(refs), len(hyps)))
-    index = []
-    for m in range(n):
-        at: dict = {}
-        for r, x in enumerate(rg):
-            for k, c in x[m].items():
-                at.setdefault(k, []).append((r, c))
-        index.append({k: (np.array([a for a, _ in v]), np.array([b for _, b in v], float)) for k, v in at.items()})
-    for j, x in enumerate(hg):
-        hl = float(sum(x[0].values()))
-        if not hl:
-            continue
-        logs, first = np.zeros(len(refs)), None
-        for m in range(n):
-            hit = np.zeros(len(refs))
-            for k, c in x[m].items():
-                if k in index[m]:
-                    rows, cnt = index[m][k]
-                    hit[rows] += np.minimum(cnt, c)
-            first = hit if m == 0 else first
-            logs += np.log(np.where(hit > 0, hit, 0.1) / max(hl - m, 1.0))
-        out[:, j] = np.where(first > 0, np.exp(np.minimum(0.0, 1 - rl / hl) + logs / n), 0.0)
-    return out
 
+def _bleu_block(left: list[str], right: list[str], n: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """BLEU of every right text against every left one as reference, and the other way round.
 
-def homogenization_bleu(df: DataFrame, group: Sequence[str] = GROUP, ids: Sequence[str] | None = None, text: str = "text",
-                        block: int = COPY_BLOCK, sample: int | None = None, seed: int = 42) -> DataFrame:
+    Clipped overlaps are the same both ways. Those of one right text with all left ones are summed from the
+    postings of its n-grams: which left texts have them, and how often.
+    """
+    a, b = len(left), len(right)
+    code, ends, kinds = _codes([*left, *right])
+    size = np.diff(ends).astype(float)
+    hits = np.zeros((n, a, b))
+    for m, (gram, text, count) in enumerate(_postings(code, ends, kinds, n)):
+        is_left = text < a
+        lg, lt, lc = gram[is_left], text[is_left], count[is_left]
+        order = np.argsort(text[~is_left], kind="stable")
+        rg, rt, rc = (x[~is_left][order] for x in (gram, text, count))
+        first, last = np.searchsorted(lg, rg, "left"), np.searchsorted(lg, rg, "right")
+        cuts = np.searchsorted(rt, a + np.arange(b + 1))
+        for j in range(b):
+            own = slice(cuts[j], cuts[j + 1])
+            f, k = first[own], last[own] - first[own]
+            if k.sum():
+                at = np.repeat(f - np.cumsum(k) + k, k) + np.arange(int(k.sum()))
+                hits[m, :, j] = np.bincount(lt[at], np.minimum(lc[at], np.repeat(rc[own], k)), a)
+
+    def bleu(hyp: np.ndarray, ref: np.ndarray) -> np.ndarray:
+        logs = sum(np.log(np.where(hits[m] > 0, hits[m], 0.1) / np.maximum(hyp - m, 1.0)) for m in range(n))
+        return np.where(hits[0] > 0, np.exp(np.minimum(0.0, 1 - ref / np.maximum(hyp, 1.0)) + logs / n), 0.0)
+
+    return bleu(size[None, a:], size[:a, None]), bleu(size[:a, None], size[None, a:])
+
+
+def homogenization_bleu(df: DataFrame | Corpus, group: Sequence[str] = GROUP, ids: Sequence[str] | None = None, text: str = "text",
+                        block: int = BLOCK_TEXTS, sample: int | None = None, seed: int = 42) -> DataFrame:
     """Mean BLEU over ordered pairs of different texts. Quadratic by definition: `sample` takes that many texts of a large corpus."""
-    df = sample_rows(df, sample, [*group, *_ids(df, ids)], seed) if sample else df
-    return _pairwise_mean(df, _bleu_block, group, ids, text, "hom_bleu", block)
-
-
-def _lcs_block(refs: list[str], hyps: list[str], stem=None) -> np.ndarray:
-    """ROUGE-L F1 of every pair: longest common subsequence, one hypothesis token at a time for a whole reference row."""
-    def split(t: str) -> list[str]:
-        w = [x.lower() for x in t.split(" ")] if t else []
-        return [stem(x) for x in w] if stem else w
-
-    vocab: dict = {}
-    rs = [np.array([vocab.setdefault(w, len(vocab)) for w in split(t)], int) for t in refs]
-    hs = [np.array([vocab.setdefault(w, len(vocab)) for w in split(t)], int) for t in hyps]
-    out = np.zeros((len(refs), len(hyps)))
-    for i, r in enumerate(rs):
-        for j, h in enumerate(hs):
-            if not len(r) or not len(h):
-                continue
-            row = np.zeros(len(r) + 1, int)
-            for w in h:
-                step = np.where(r == w, row[:-1] + 1, row[1:])
-                row[1:] = np.maximum.accumulate(step)
-            lcs = row[-1]
-            if lcs:
-                p, q = lcs / len(h), lcs / len(r)
-                out[i, j] = 2 * p * q / (p + q)
+    return _pairwise_mean(_sampled(df, sample, group, ids, seed), _bleu_block, group, text, "hom_bleu", block)
+
+
+def _sampled(df: DataFrame | Corpus, sample: int | None, group: Sequence[str], ids: Sequence[str] | None, seed: int) -> DataFrame | Corpus:
+    if not sample:
+        return df
+    rows, ids = (df.words.drop("_t", "_x"), df.ids) if isinstance(df, Corpus) else (df, _ids(df, ids))
+    return sample_rows(rows, sample, [*group, *ids], seed)
+
+
+def _common(references: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
+    """Length of the longest common subsequence of every reference with every text.
+
+    The references lie side by side in one long bit vector, a bit for each token and a guard bit that
+    stops carries after each reference. A token of a text then takes a few whole-vector operations for all of
+    them; bits that turned 0 count the common tokens.
+    """
+    starts = np.cumsum([0, *[len(r) + 1 for r in references]])
+    masks: dict[int, int] = {}
+    guard = 0
+    for start, r in zip(starts.tolist(), references):
+        for i, w in enumerate(r.tolist()):
+            masks[w] = masks.get(w, 0) | 1 << (start + i)
+        guard |= 1 << (start + len(r))
+    free = ((1 << int(starts[-1])) - 1) ^ guard
+    out = np.zeros((len(references), len(texts)), np.int64)
+    for j, t in enumerate(texts):
+        state = free
+        for w in t.tolist():
+            match = masks.get(w)
+            if match is not None:
+                met = state & match
+                state = ((state + met) | (state - met)) & free
+        bits = np.unpackbits(np.frombuffer((state ^ free).to_bytes(int(starts[-1]) // 8 + 1, "little"), np.uint8), bitorder="little")
+        seen = np.concatenate([[0], np.cumsum(bits[: int(starts[-1])], dtype=np.int64)])
+        out[:, j] = seen[starts[1:]] - seen[starts[:-1]]
     return out
 
 
-def homogenization_rougel(df: DataFrame, group: Sequence[str] = GROUP, ids: Sequence[str] | None = None, text: str = "text",
-                          block: int = COPY_BLOCK, stem=None, sample: int | None = None, seed: int = 42) -> DataFrame:
-    """Mean ROUGE-L F1 over ordered pairs of different texts, or of `sample` of them; `stem` maps a token to its stem."""
-    df = sample_rows(df, sample, [*group, *_ids(df, ids)], seed) if sample else df
+#: References side by side in one bit vector.
+ABREAST = 64
+
+
+def _rouge_block(left: list[str], right: list[str], stem=None) -> tuple[np.ndarray, np.ndarray]:
+    """ROUGE-L F1 of every pair, which is the same in both directions."""
+    code, ends, _ = _codes([*left, *right], stem or (lambda w: w))
+    texts = [code[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    refs, hyps = texts[: len(left)], texts[len(left):]
+    common = [_common(refs[i : i + ABREAST], hyps) for i in range(0, len(refs), ABREAST)]
+    lcs = np.concatenate(common) if common else np.zeros((0, len(hyps)))
+    sizes = np.diff(ends)
+    total = sizes[: len(left), None] + sizes[None, len(left):]
+    f1 = 2 * lcs / np.maximum(total, 1)  # 2 p q / (p + q) with p = lcs / hypothesis, q = lcs / reference
+    return f1, f1
 
-    def score(refs: list[str], hyps: list[str]) -> np.ndarray:
-        return _lcs_block(refs, hyps, stem)
 
-    return _pairwise_mean(df, score, group, ids, text, "hom_rougel", block)
+def homogenization_rougel(df: DataFrame | Corpus, group: Sequence[str] = GROUP, ids: Sequence[str] | None = None, text: str = "text",
+                          block: int = BLOCK_TEXTS, stem=None, sample: int | None = None, seed: int = 42) -> DataFrame:
+    """Mean ROUGE-L F1 over ordered pairs of different texts, or of `sample` of them; `stem` maps a token to its stem."""
+    def score(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _rouge_block(left, right, stem)
+
+    return _pairwise_mean(_sampled(df, sample, group, ids, seed), score, group, text, "hom_rougel", block)
 
 
 def diversity_report(df: DataFrame, tag_lexicon: DataFrame | None = None, group: Sequence[str] = GROUP,
@@ -489,19 +602,21 @@ def diversity_report(df: DataFrame, tag_lexicon: DataFrame | None = None, group:
                      rouge: bool = False, compression: bool = False, sample: int | None = None) -> DataFrame:
     """One row per group with all statistics; null for those switched off.
 
+    The corpus is tokenized once, its n-grams are counted once, and all statistics read these tables.
     The pairwise ones are quadratic: `sample` says how many texts of the table they take.
     """
     kw, ids = {"group": group, "text": text}, _ids(df, ids)
-    parts = [mean_length(df, **kw), mattr(df, ids=ids, **kw), hdd(df, **kw),
-             ngram_diversity(df, n, ids=ids, **kw), self_repetition(df, n, ids=ids, **kw), self_bleu(df, ids=ids, **kw)]
+    corpus = Corpus(df, group, ids, text)
+    parts = [mean_length(corpus, group), mattr(corpus, group=group), hdd(corpus, group=group),
+             ngram_diversity(corpus, n, group=group), self_repetition(corpus, n), self_bleu(corpus)]
     if compression:
         parts.append(compression_ratio(df, ids=ids, **kw))
     if compression and tag_lexicon is not None:
         parts.append(compression_ratio_pos(df, tag_lexicon, ids=ids, **kw))
     if pairwise:
-        parts.append(homogenization_bleu(df, ids=ids, sample=sample, **kw))
+        parts.append(homogenization_bleu(corpus, group, sample=sample))
     if rouge:
-        parts.append(homogenization_rougel(df, ids=ids, sample=sample, **kw))
+        parts.append(homogenization_rougel(corpus, group, sample=sample))
     wide = reduce(lambda a, b: a.join(b, list(group), "left"), parts)
     return wide.select(*group, *[(F.col(m) if m in wide.columns else F.lit(None)).cast("double").alias(m) for m in REPORT])
 

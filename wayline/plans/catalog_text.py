@@ -12,7 +12,7 @@ from wayline.operators import models as M
 from wayline.operators import sampling as SA
 from wayline.operators.ordered import running_offsets
 from wayline.plans import fixtures as X
-from wayline.plans.catalog_base import query, r6, u, using
+from wayline.plans.catalog_base import ORACLE, VIEWS, query, r6, u, using
 from wayline.sources import files as S
 
 TOK = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
@@ -303,14 +303,38 @@ def _homogenization_bleu(s, d):
     return DV.homogenization_bleu(X.small_corpus(s, d)).select("inst_alias", r6("hom_bleu"))
 
 
-@query("homogenization_rougel")
+# one row of the table of common lengths for each token of the shorter named text, as a running maximum over the other's tokens
+_ROUGE = {
+    **_SMALL,
+    "rt": "SELECT episode_id AS e, unnest(range(1, len(t) + 1)) AS i, lower(unnest(t)) AS w FROM st",
+    "lcs": """SELECT a.episode_id AS x, rt.e AS y, CAST(0 AS BIGINT) AS i, rt.i AS j, CAST(0 AS BIGINT) AS v FROM st a JOIN rt ON a.episode_id < rt.e
+        UNION ALL SELECT x, y, i + 1, j, max(step) OVER (PARTITION BY x, y ORDER BY j) FROM (
+          SELECT l.x, l.y, l.i, l.j, CASE WHEN p.w = q.w THEN coalesce(lag(v) OVER (PARTITION BY l.x, l.y ORDER BY l.j), 0) + 1 ELSE v END AS step
+          FROM lcs l JOIN rt p ON p.e = l.x AND p.i = l.i + 1 JOIN rt q ON q.e = l.y AND q.i = l.j)""",
+    "rp": "SELECT x, y, max(v) AS common FROM lcs GROUP BY x, y",
+}
+
+
+@query("homogenization_rougel", using("", """SELECT 'benchmark' AS inst_alias, round(2 * sum(2 * common / (a.len + b.len)::DOUBLE) /
+    (SELECT count(*) * (count(*) - 1) FROM benchmark), 6) AS hom_rougel FROM rp JOIN ln a ON a.episode_id = x JOIN ln b ON b.episode_id = y""", **_ROUGE))
 def _homogenization_rougel(s, d):
     return DV.homogenization_rougel(X.small_corpus(s, d)).select("inst_alias", r6("hom_rougel"))
 
 
-@query("diversity_report")
+def _report_sql() -> str:
+    """All statistics of the small corpus: the SQL of each one over that corpus, side by side."""
+    names = {"mean_length": "length", "mattr": "mattr", "hdd": "hdd", "ngram_diversity": "ngd", "self_repetition": "self_rep", "self_bleu": "self_bleu",
+             "homogenization_bleu": "hom_bleu", "homogenization_rougel": "hom_rougel"}
+    small = "SELECT 'benchmark' AS inst_alias, 'all' AS split, item_id AS episode_id, text FROM benchmark"
+    parts = [f"({ORACLE[n].replace(VIEWS['fx_instructions'], small)}) AS r{i}" for i, n in enumerate(names)]
+    cols = [f"CAST({c if c not in ('cr', 'cr_pos') else 'NULL'} AS DOUBLE) AS {c}" for c in DV.REPORT]
+    joined = parts[0] + "".join(f" LEFT JOIN {p} USING (inst_alias)" for p in parts[1:])
+    return f"SELECT inst_alias, {', '.join(cols)} FROM {joined}"
+
+
+@query("diversity_report", _report_sql())
 def _diversity_report(s, d):
-    return DV.diversity_report(X.small_corpus(s, d), rouge=True)
+    return DV.diversity_report(X.small_corpus(s, d), rouge=True).select("inst_alias", *[r6(c) for c in DV.REPORT])
 
 
 @query("merge_reports", using("fx_instructions", """SELECT split AS alias, avg(length(text)) AS length, CAST(count(*) AS DOUBLE) AS "hdd ↑", CAST(NULL AS DOUBLE) AS "mattr ↑",
