@@ -173,3 +173,21 @@ def test_rand_frames_stay_in_order_and_range(spark):
         frames = [f for _, f in sorted(x)]
         assert len(frames) == 8 and frames == sorted(frames) and 0 <= frames[0] and frames[-1] <= v
         assert len(set(frames)) == min(8, v + 1)
+
+
+@pytest.mark.parametrize("digits,rows", [(3, 65536), (1, 1000), (1, 5)])
+def test_offsets_over_levels_of_slices(spark, monkeypatch, digits, rows):
+    """One, two and three levels of slices give the running sums of the hash order."""
+    import hashlib
+
+    monkeypatch.setattr(O, "SLICE_DIGITS", digits)
+    monkeypatch.setattr(O, "SLICE_ROWS", rows)
+    data = [(g, i, (i * 7) % 11) for g in ("a", "b") for i in range(700 if g == "a" else 3)]
+    assert O.slice_levels(len(data)) == {(3, 65536): 1, (1, 1000): 1, (1, 5): 2}[(digits, rows)] and O.slice_levels(10**13) >= 3
+    got = {(r["g"], r["i"]): r["offset"] for r in O.running_offsets(spark.createDataFrame(data, "g string, i int, n int"), ["g"], ["i"], F.col("n")).collect()}
+    want = {}
+    for g in ("a", "b"):
+        at = 0
+        for _, i, n in sorted((hashlib.md5(str(i).encode()).hexdigest(), i, n) for h, i, n in data if h == g):
+            want[g, i], at = at, at + n
+    assert got == want

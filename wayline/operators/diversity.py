@@ -97,7 +97,7 @@ def _token_blocks(df: DataFrame | Corpus, group: Sequence[str], ids: Sequence[st
     words = rows.select(*group, *ids, split.alias("_t"))
     if lemma is not None:
         words = _relabel(words, [*group, *ids], "_t", lemma, "lemma", keep_unknown=True)
-    placed = running_offsets(words.where(F.size("_t") > 0), group, ids, F.size("_t"), "_o")
+    placed = running_offsets(words.where(F.size("_t") > 0), group, ids, F.size("_t"), "_o", rows.count())
     size = F.size("_t").cast("long")
     first, last = F.floor(F.col("_o") / TOKEN_BLOCK), F.floor((F.col("_o") + size - 1 + before) / TOKEN_BLOCK)
     lo = F.greatest(F.col("_o"), F.col("_b") * TOKEN_BLOCK - before)
@@ -197,7 +197,7 @@ def compression_ratio(df: DataFrame, algorithm: str = "gzip", group: Sequence[st
         raise ValueError("algorithm is gzip or xz")
     ids = _ids(df, ids)
     data = df.select(*group, *ids, F.coalesce(text, F.lit("")).alias("_x"))
-    sized = running_offsets(data, group, ids, F.octet_length("_x") + 1, "_o")
+    sized = running_offsets(data, group, ids, F.octet_length("_x") + 1, "_o", df.count())
     blocks = sized.withColumn("_b", F.floor(F.col("_o") / block_bytes))
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join(f"`{g}` {types[g]}" for g in group) + ", raw long, packed long"
@@ -270,7 +270,7 @@ def _with_following(words: DataFrame, group: Sequence[str], ids: Sequence[str],
     """Add `_after`: the `need` words that follow each text in corpus order."""
     key = list(group)
     # always blocked: windows over the whole group would leave every later step partitioned by group
-    heads = running_offsets(words.select(*group, *ids, F.slice("_w", 1, need).alias("_head")), group, ids, F.lit(1), "_pos")
+    heads = running_offsets(words.select(*group, *ids, F.slice("_w", 1, need).alias("_head")), group, ids, F.lit(1), "_pos", words.select(*group).count())
     near = neighbours(heads, key, {f"_h{i}": ("_head", i) for i in range(1, need + 1)}, "_pos", TEXT_BLOCK)
     nothing = F.array().cast("array<string>")
     after = F.slice(F.concat(*[F.coalesce(F.col(f"_h{i}"), nothing) for i in range(1, need + 1)]), 1, need)
@@ -451,7 +451,7 @@ def _pairwise_mean(df: DataFrame | Corpus, score, group: Sequence[str], text: st
     rows, split = _tokens(df, text)
     texts = rows.select(*g, F.array_join(split, " ").alias("_x")).groupBy(*g, "_x").agg(F.count(F.lit(1)).alias("_k"))
     weight = F.greatest(F.least(F.octet_length("_x"), F.lit(BLOCK_BYTES)), F.lit(BLOCK_BYTES // block))
-    placed = cut(running_offsets(texts, g, ["_x"], weight, "_o").withColumn("_b", F.floor(F.col("_o") / BLOCK_BYTES)).drop("_o"))
+    placed = cut(running_offsets(texts, g, ["_x"], weight, "_o", rows.select(*g).count()).withColumn("_b", F.floor(F.col("_o") / BLOCK_BYTES)).drop("_o"))
     counts = placed.groupBy(*g).agg((F.max("_b") + 1).alias("_nb"), F.sum("_k").alias("_n"))
     others = F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)
     meets = F.transform(others, lambda o: F.struct(F.least("_b", o).alias("_lb"), F.greatest("_b", o).alias("_rb"), (F.col("_b") <= o).alias("_left")))

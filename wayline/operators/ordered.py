@@ -18,6 +18,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,26 +111,43 @@ def hash_order(*key: Column | str) -> Column:
     return F.md5(F.concat_ws("@", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in key]))
 
 
+#: Hexadecimal digits of the hash that each level of slices adds, and rows that a slice of the last level has on average.
+SLICE_DIGITS, SLICE_ROWS = 3, 65536
+
+
+def slice_levels(rows: int) -> int:
+    """Levels of slices that leave no more than SLICE_ROWS rows to a slice: one up to 268 million rows, two up to 10^12."""
+    levels = 1
+    while rows > SLICE_ROWS * 16 ** (SLICE_DIGITS * levels):
+        levels += 1
+    return levels
+
+
 def running_offsets(df: DataFrame, group: Sequence[str], ids: Sequence[str], size: Column, name: str = "offset",
-                    buckets: int = 4096) -> DataFrame:
+                    rows: int | None = None) -> DataFrame:
     """Add the sum of `size` over all earlier rows of the group, in hash order of `ids`.
 
-    Rows fall into `buckets` equal slices of the hash range. Sums of whole slices
-    give the start of each slice, a window inside the slice gives the rest, so no
-    task ever sorts a whole group.
+    The hash range is cut into equal slices, these again into slices, and so on, as deep as the number of
+    rows asks for. A row's offset is what lies before its slice among the slices of each level, and
+    before it inside the last one. No task ever sorts more than a slice, or the 4096 sums of the slices in one.
+    `rows` is a known number of rows; without it they are counted.
     """
-    slot = F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / F.lit(4294967296.0) * buckets)
-    rows = df.withColumn("_h", hash_order(*ids)).withColumn("_size", size.cast("long")).withColumn("_slot", slot)
-    earlier = Window.partitionBy(*group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        rows.groupBy(*group, "_slot")
-        .agg(F.sum("_size").alias("_sum"))
-        .select(*group, "_slot", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
-    )
-    inside = Window.partitionBy(*group, "_slot").orderBy("_h", *ids).rowsBetween(Window.unboundedPreceding, -1)
+    levels = slice_levels(df.count() if rows is None else rows)
+    slots = [f"_s{k}" for k in range(levels)]
+    h = {f"_s{k}": F.substring("_h", 1 + SLICE_DIGITS * k, SLICE_DIGITS) for k in range(levels)}
+    placed = df.withColumn("_h", hash_order(*ids)).withColumn("_size", size.cast("long")).withColumns(h)
+    starts = placed.groupBy(*group, *slots).agg(F.sum("_size").alias("_sum"))
+    for k in range(levels - 1, -1, -1):
+        # what lies before a slice of this level, and the sums of the slices one level up
+        level = starts if k == levels - 1 else starts.groupBy(*group, *slots[: k + 1]).agg(F.sum("_sum").alias("_sum"))
+        earlier = Window.partitionBy(*group, *slots[:k]).orderBy(slots[k]).rowsBetween(Window.unboundedPreceding, -1)
+        before = level.select(*group, *slots[: k + 1], F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias(f"_o{k}"))
+        found = before if k == levels - 1 else found.join(before, [*group, *slots[: k + 1]])
+    start = reduce(lambda a, b: a + b, [F.col(f"_o{k}") for k in range(levels)])
+    inside = Window.partitionBy(*group, *slots).orderBy("_h", *ids).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        rows.withColumn("_in", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-        .join(starts, [*group, "_slot"])
+        placed.withColumn("_in", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+        .join(found.select(*group, *slots, start.alias("_start")), [*group, *slots])
         .withColumn(name, F.col("_start") + F.col("_in"))
         .select(*df.columns, name)
     )

@@ -247,7 +247,7 @@ def matched_rank(features: DataFrame, ids: Sequence[str], scale: float = LOGIT_S
     time in one matrix product; equal texts are one row with their positions. Videos of an open cell are
     dealt into groups of about 4 x `block`, for each of which its texts are sent once.
     """
-    placed = running_offsets(features.withColumn("_g", F.lit(0)), ["_g"], ids, F.lit(1), "pos").drop("_g")
+    placed = running_offsets(features.withColumn("_g", F.lit(0)), ["_g"], ids, F.lit(1), "pos", features.select(*ids).count()).drop("_g")
     rows = cut(placed.select(F.col("pos").cast("long").alias("pos"), "v", "t", similarity("v", "t", kind, scale).alias("own")))
     total, factor = rows.count(), math.exp(scale)
     # positions follow a hash, so the first ones are a random sample
