@@ -140,25 +140,68 @@ def test_submissions(spark, tmp_path):
 
 
 def test_stream_actions_keeps_state(spark, tmp_path):
+    """Frames arrive in any order, over two runs; a frame waits for its predecessor."""
     src, out, cp = tmp_path / "src", str(tmp_path / "out"), str(tmp_path / "cp")
     src.mkdir()
     schema = "episode_id string, frame_idx long, item string"
 
-    def run():
+    def run(patience=None):
         f = spark.readStream.schema(schema).json(str(src))
-        q = (live.stream_actions(f, lambda a, b: [x + y for x, y in zip(a, b)], ["episode_id"], batch=2).writeStream.format("parquet")
-             .option("checkpointLocation", cp).trigger(availableNow=True).start(out))
-        q.awaitTermination()
+        s = live.stream_actions(f, lambda a, b: [x + y for x, y in zip(a, b)], ["episode_id"], batch=2, patience_ms=patience)
+        with live.keyed_state(spark):
+            q = s.writeStream.format("parquet").option("checkpointLocation", cp).trigger(availableNow=True).start(out)
+            q.awaitTermination()
+        return {(r["episode_id"], r["frame_idx"]): r["action"] for r in spark.read.parquet(out).collect()}
 
     def put(name, rows):
         (src / name).write_text("".join(json.dumps({"episode_id": e, "frame_idx": i, "item": x}) + "\n" for e, i, x in rows))
 
-    put("1.json", [("e", 1, "b"), ("e", 0, "a"), ("g", 0, "x"), ("e", 2, "c"), ("e", 3, "d")])
-    run()
-    put("2.json", [("e", 4, "e"), ("g", 1, "y")])
-    run()
-    got = {(r["episode_id"], r["frame_idx"]): r["action"] for r in spark.read.parquet(out).collect()}
-    assert got == {("e", 0): None, ("e", 1): "ab", ("e", 2): "bc", ("e", 3): "cd", ("e", 4): "de", ("g", 0): None, ("g", 1): "xy"}
+    put("1.json", [("e", 1, "b"), ("e", 4, "e"), ("g", 0, "x"), ("e", 2, "c"), ("h", 7, "late")])
+    assert run() == {("g", 0): None, ("e", 2): "bc"}
+    put("2.json", [("e", 5, "f"), ("g", 1, "y"), ("e", 0, "a")])
+    assert run() == {("g", 0): None, ("g", 1): "xy", ("e", 0): None, ("e", 1): "ab", ("e", 2): "bc", ("e", 5): "ef"}
+    put("3.json", [("e", 3, "d"), ("h", 0, "z")])
+    assert run() == {("g", 0): None, ("g", 1): "xy", ("e", 0): None, ("e", 1): "ab", ("e", 2): "bc", ("e", 3): "cd", ("e", 4): "de", ("e", 5): "ef", ("h", 0): None}
+
+
+def test_stream_actions_lose_patience(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    src.mkdir()
+    (src / "1.json").write_text("".join(json.dumps({"episode_id": "e", "frame_idx": i, "item": x}) + "\n" for i, x in ((0, "a"), (3, "d"), (5, "f"))))
+    f = spark.readStream.schema("episode_id string, frame_idx long, item string").json(str(src))
+    with live.keyed_state(spark):
+        q = (live.stream_actions(f, lambda a, b: [x + y for x, y in zip(a, b)], ["episode_id"], patience_ms=1).writeStream.format("parquet")
+             .option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="200 milliseconds").start(out))
+        try:
+            for _ in range(150):
+                got = {r["frame_idx"]: r["action"] for r in spark.read.schema("frame_idx long, action string").parquet(out).collect()} if q.lastProgress and (tmp_path / "out" / "_spark_metadata").exists() else {}
+                if len(got) == 3:
+                    break
+                q.awaitTermination(0.3)
+        finally:
+            q.stop()
+    assert got == {0: None, 3: "ad", 5: "df"}
+
+
+def test_votes_over_submissions(spark, tmp_path):
+    """A rater counts from the submission that completes the answers to the one that breaks a rule."""
+    log, where = tmp_path / "log", str(tmp_path / "tally")
+    log.mkdir()
+
+    def tally(name, *subs):
+        lines = [{"userId": u, "submissionTime": "2025-01-02T03:04:05.000Z", "config": {"allowMultipleChoices": True}, "answers": a} for u, a in subs]
+        (log / name).write_text("".join(json.dumps(x) + "\n" for x in lines))
+        live.follow_votes(S.scan_submissions(spark, str(log), True), where, 3, 2, 1)
+        return {(r["question"], r["system"]): (r["votes"], r["share"]) for r in live.current_tally(spark, where).collect()}
+
+    one, two = {"p1": {"0": ["a"]}}, {"p2": {"0": ["b"]}}
+    # u is complete, v half, w has an empty answer
+    assert tally("1.json", ("u", {**one, **two}), ("v", one), ("w", {**one, "p2": {"0": []}})) == {("0", "a"): (1, 0.5), ("0", "b"): (1, 0.5)}
+    # v completes over two submissions, u adds a system, w fills the empty answer
+    assert tally("2.json", ("v", two), ("u", {"p1": {"0": ["b"]}}), ("w", two)) == {("0", "a"): (3, 0.5), ("0", "b"): (4, 4 / 6)}
+    # u ticks all systems of a question, v answers a third path: neither counts any more, whatever follows
+    assert tally("3.json", ("u", {"p1": {"0": ["c"]}}), ("v", {"p3": {"0": ["a"]}})) == {("0", "a"): (1, 0.5), ("0", "b"): (1, 0.5)}
+    assert tally("4.json", ("u", one), ("v", one), ("w", one)) == {("0", "a"): (1, 0.5), ("0", "b"): (1, 0.5)}
 
 
 def test_models(spark):

@@ -15,6 +15,7 @@ from wayline.operators import survey as SV
 from wayline.operators.ordered import shared_folder
 from wayline.plans import fixtures as X
 from wayline.plans.catalog_base import query, r6, u, using
+from wayline.sources import files as S
 from wayline.streaming import live
 
 SYSTEMS = ["view", "click", "purchase", "signup", "error"]
@@ -325,16 +326,18 @@ def _sample_rand(s, d):
     return FR.sample_frames(X.videos(s, d), "rand", 8)
 
 
-@query("stream_actions", """SELECT user_id AS episode_id, event_id AS frame_idx, event_type AS item,
-    lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) || ' to ' || event_type AS action FROM events""")
+@query("stream_actions", using("fx_frames", """SELECT episode_id, frame_idx, obj AS item,
+    lag(obj) OVER (PARTITION BY episode_id ORDER BY frame_idx) || ' to ' || obj AS action FROM fx_frames"""))
 def _stream_actions(s, d):
-    schema = X.table(s, d, "events").schema
-    frames = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select(
-        F.col("user_id").alias("episode_id"), F.col("event_id").alias("frame_idx"), F.col("event_type").alias("item"))
-    out = live.stream_actions(frames, lambda a, b: [f"{x} to {y}" for x, y in zip(a, b)], ["episode_id"])
     where = shared_folder(s, "stream")
-    q = out.writeStream.format("parquet").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start(f"{where}/rows")
-    q.awaitTermination()
+    # the frames arrive shuffled, in files that are read one or two at a time
+    rows = X.frames(s, d).select("episode_id", "frame_idx", F.col("obj").alias("item"))
+    rows.repartition(6, F.xxhash64("episode_id", "frame_idx")).sortWithinPartitions(F.xxhash64("frame_idx", "item")).write.parquet(f"{where}/frames")
+    frames = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{where}/frames")
+    out = live.stream_actions(frames, lambda a, b: [f"{x} to {y}" for x, y in zip(a, b)], ["episode_id"])
+    with live.keyed_state(s):
+        q = out.writeStream.format("parquet").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start(f"{where}/rows")
+        q.awaitTermination()
     return s.read.schema(out.schema).parquet(f"{where}/rows")
 
 
@@ -353,3 +356,25 @@ def _stream_votes(s, d):
     q = live.stream_votes(subs).writeStream.outputMode("complete").option("checkpointLocation", f"{where}/state").foreachBatch(keep).trigger(availableNow=True).start()
     q.awaitTermination()
     return s.read.schema("question string, system string, votes bigint").parquet(f"{where}/rows")
+
+
+# a submission for each event; some tick nothing, some all; a rater counts with two paths of two questions, each with one to four systems
+@query("stream_tally", using("", """SELECT question, system, count(*) AS votes, round(count(*) / any_value(n)::DOUBLE, 6) AS share FROM tick
+    JOIN (SELECT question, count(DISTINCT (rater, path)) AS n FROM tick GROUP BY 1) USING (question) GROUP BY question, system""",
+    sub="""SELECT concat(user_id, '-', event_id % 8) AS rater, CAST((event_id // 8) % 2 AS VARCHAR) AS path, CAST((event_id // 16) % 2 AS VARCHAR) AS question,
+        CASE event_id % 11 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['view', 'click', 'purchase', 'signup', 'error'] ELSE [event_type] END AS ticks FROM events""",
+    cell="SELECT rater, path, question, len(list_distinct(flatten(list(ticks)))) AS d FROM sub GROUP BY ALL",
+    ok="SELECT rater FROM cell GROUP BY 1 HAVING count(DISTINCT path) = 2 AND count(*) = 4 AND min(d) > 0 AND max(d) < 5",
+    tick="SELECT DISTINCT rater, path, question, unnest(ticks) AS system FROM sub WHERE rater IN (SELECT rater FROM ok)"))
+def _stream_tally(s, d):
+    e, n = X.table(s, d, "events"), F.col("event_id")
+    ticks = F.when(n % 11 == 0, F.array().cast("array<string>")).when(n % 11 == 1, F.array(*[F.lit(x) for x in SYSTEMS])).otherwise(F.array("event_type"))
+    subs = e.select(
+        F.concat_ws("-", "user_id", n % 8).alias("userId"), F.col("ts").cast("timestamp").alias("submissionTime"), F.struct(F.lit(True).alias("allowMultipleChoices")).alias("config"),
+        F.create_map((F.floor(n / 8) % 2).cast("string"), F.create_map((F.floor(n / 16) % 2).cast("string"), ticks)).alias("answers"))
+    where = shared_folder(s, "tally")
+    # the log grows twice; the second call takes up what the first left
+    for part in (0, 1):
+        subs.where(n % 2 == part).write.mode("append").json(f"{where}/log")
+        live.follow_votes(S.scan_submissions(s, f"{where}/log", True), where, len(SYSTEMS), 2, 2)
+    return live.current_tally(s, where).select("question", "system", "votes", r6("share"))
