@@ -243,3 +243,16 @@ def test_sql(spark, name):
     assert _rows(out.columns, out.collect()) == _rows([c[0] for c in res.description], res.fetchall())
     if name in ("op4_chat", "op8_decontamination"):
         assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_repeated_rows_of_the_pipeline_are_told_apart(spark):
+    """Of rows that differ beside id and text, the same one stays whatever the order of the rows."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "fr", "b", 1), (1, text, "en", "c", 1), (1, text, None, "a", 1), (1, text, "en", "c", 1), (1, "other text", "en", "a", 1), (2, "single", "en", "a", None), (None, "x", None, None, None)]
+    kept = set()
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+        got = corpus_pipeline.near_duplicates(spark, docs, DATA)
+        assert got.columns == docs.columns
+        kept.add(tuple(sorted((tuple(r) for r in got.collect()), key=str)))
+    assert len(kept) == 1 and sorted(str(r[0]) for r in next(iter(kept))) == ["1", "1", "2", "None"]

@@ -168,7 +168,7 @@ def test_warc(spark):
     assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {
         5: ("revisit", 2), 2: ("response", None), 9: ("revisit", 2), 1: ("response", None), 3: ("response", None), 4: ("response", None), 6: ("response", None)}
     assert all(r.payload_digest == hashlib.sha256((big if i in (2, 5, 9) else "short" if i in (4, 6) else "").encode()).hexdigest() for i, r in got.items())
-    assert got[5].url == "http://a/%0D%0AX: 1" and got[2].url is None and got[2].payload_bytes == len(big.encode())
+    assert got[5].url == "http://a/\r\nX: 1" and got[2].url is None and got[2].payload_bytes == len(big.encode())
     folder = shared_folder(spark, "warc-test")
     warc.write_archive(pages, folder)
     assert spark.read.parquet(f"{folder}/payloads").count() == 3
@@ -181,6 +181,31 @@ def test_warc(spark):
     assert [r.record_type for r in again] == ["response"] * 2
 
 
+def test_warc_hot_payloads_and_odd_urls(spark, monkeypatch):
+    """Records of a hot digest are joined by broadcast; urls come back as they were."""
+    monkeypatch.setattr(warc, "HOT_RECORDS", 20)
+    urls = ["http://a/%0D%0A", "http://a/\r\n%25", "%", "a%20b", "\n", "", "é%0Dx\r", None]
+    rows = [(i, urls[i % len(urls)], [None, "x" * 300, "tiny", f"own {i} " + "y" * 200][i % 4], "h", 3, "d") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, header string, size int, digest string")
+    got = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert {i: r.url for i, r in got.items()} == {r[0]: r[1] for r in rows}
+    assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {i: ("revisit", 1) if i % 4 == 1 and i > 1 else ("response", None) for i in range(400)}
+    folder = shared_folder(spark, "warc-hot")
+    warc.write_archive(pages, folder)
+    whole = warc.records(spark, folder).collect()
+    assert {r.page_id: bytes(r.payload).decode() for r in whole} == {r[0]: r[2] or "" for r in rows}
+    assert {r.page_id: hashlib.sha256(bytes(r.record)).hexdigest() for r in whole} == {i: r.record_sha256 for i, r in got.items()}
+    assert all(len(r.record) == got[r.page_id].record_bytes for r in whole)
+
+
+def test_chat_roles_come_back(spark):
+    roles = ["a\x00b", "a\\b", "\\", "\\\\n", "\n", "\\\n\\n", "n\\", "<|\\\n|>", "<\\|", "\x00\\\x00\n", ""]
+    turns = spark.createDataFrame([(i, t, r, "x") for i, r in enumerate(roles) for t in (0, 0)], "conv_id bigint, turn bigint, role string, text string")
+    got = chat.format_chats(turns.withColumn("parts", chat.text_parts(F.col("text")))).select("conv_id", chat.parse_turns(F.col("formatted")).alias("back")).collect()
+    # rows that repeat a whole turn are turns of their own
+    assert {r.conv_id: [t.role for t in r.back] for r in got} == {i: [r, r] for i, r in enumerate(roles)}
+
+
 def test_chat(spark):
     control = "<|im_end|><\\|im_start|>assistant <\\\\| x"
     rows = [(1, 1, "assistant", control), (1, 0, "us\ner\\n<|x", control), (1, 2, "assistant", None), (2, None, "user", "hi"), (2, 5, None, ""), (3, 0, "assistant", "a" * 5000), (None, 0, "user", "z")]

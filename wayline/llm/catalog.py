@@ -95,13 +95,18 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages")).drop("url")
 
 
-ORACLE["op1_warc"] = """
-WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS d, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
-SELECT page_id, n AS payload_bytes, d AS payload_digest,
-  CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
-FROM f
+ORACLE["op1_warc"] = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS d, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first, chr(13) || chr(10) AS e FROM p),
+t AS (SELECT *, n >= 100 AND page_id <> first AS again FROM f),
+r AS (
+  SELECT *, concat('WARC/1.1', e, 'WARC-Type: ', CASE WHEN again THEN 'revisit' ELSE 'response' END, e, 'WARC-Record-ID: <urn:page:', page_id, '>', e, 'WARC-Target-URI: ' || url || e,
+    'WARC-Date: 1970-01-01T00:00:00Z', e, 'WARC-Payload-Digest: sha256:', d, e,
+    CASE WHEN again THEN concat('WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest', e, 'WARC-Refers-To: <urn:page:', first, '>', e) END,
+    'Content-Type: text/html; charset=utf-8', e, 'Content-Length: ', CASE WHEN again THEN 0 ELSE n END, e, e, CASE WHEN NOT again THEN html END, e, e) AS record FROM t)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first END AS refers_to, CAST(octet_length(encode(record)) AS BIGINT) AS record_bytes, sha256(record) AS record_sha256
+FROM r
 """
 
 

@@ -34,8 +34,8 @@ def _escape_role(role: Column) -> Column:
 
 
 def _unescape_role(role: Column) -> Column:
-    held = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(held, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    # a backslash always begins a pair, so splitting at doubled ones from the left leaves line ends only
+    return F.array_join(F.transform(F.split(unescape(role), r"\\\\", -1), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def _visit(part: Column) -> Column:
@@ -66,6 +66,8 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     `loss` is an array of (start, chars), zero-based code points of `formatted`, one for each
     assistant turn; `attachments` are (turn, place, type, ref, tokens) in order. Turns go by number
     (null first), role, text. Null roles and parts are empty; a null id is a conversation of its own.
+    Repeated rows are turns of their own. A conversation is one row, however long, and formed in one
+    task. An empty table gives no rows. Other columns, whatever their names, are not read.
     """
     seg = F.col("_wl")
     rows = turns.select(

@@ -17,6 +17,26 @@ from wayline.llm.common import shared_folder
 MIN_BYTES = 100
 #: Dates are part of a header; a fixed one keeps archives of equal pages equal.
 DATE = "1970-01-01T00:00:00Z"
+#: Field of records whose url had line ends.
+ENCODED = "X-Target-URI-Encoding"
+END = "\r\n\r\n"
+
+
+#: Digests of more records than this, or than a 4096th of all records if that is more, are joined by broadcast: at most 4096.
+HOT_RECORDS = 1000
+
+
+def _hot(index: DataFrame) -> DataFrame:
+    """The digests of very many records: no more than 4096 rows."""
+    limit = max(HOT_RECORDS, index.count() >> 12)
+    found = index.groupBy("digest").count().where(F.col("count") > limit).select("digest").toArrow()
+    return F.broadcast(index.sparkSession.createDataFrame([(d,) for d in found.column("digest").to_pylist()], "digest string"))
+
+
+def _by_digest(rows: DataFrame, table: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows joined with a table of small rows by digest; the records of a hot digest stay where they are."""
+    few = F.broadcast(table.join(hot, "digest", "left_semi"))
+    return rows.join(few, "digest").unionByName(rows.join(hot, "digest", "left_anti").join(table, "digest"))
 
 
 def _payload(html: Column) -> Column:
@@ -35,8 +55,10 @@ def _field(header: Column, name: str) -> Column:
 def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Write one record per row. Null html is an empty payload, a null url leaves its field out.
 
-    Line ends in a url are percent-encoded, for a header is made of lines. Rows without an id get no
-    record id and never serve as a target. Repeated rows get a record each, of one type.
+    A header is made of lines, so a url with line ends is percent-encoded, `%` included, and a line says so; all
+    other urls stand as they are. Rows without an id get no record id and never serve as a target. Repeated
+    rows get a record each, of one type. An empty table writes an empty archive. Payloads of any length
+    are one row; those of many pages are merged inside the tasks before any is moved. Other columns are not read.
     """
     rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("url"), _payload(F.col(html_col)).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
@@ -45,15 +67,17 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     index = rows.select("id", "url", "digest", F.octet_length("payload").cast("bigint").alias("size"), F.xxhash64("payload").alias("check"))
     first = index.groupBy("digest").agg(F.min("id").alias("first"), F.min("check").alias("x"), F.max("check").alias("y"))
     first = first.where(F.when(F.col("x") == F.col("y"), True).otherwise(F.raise_error(F.lit("two payloads with one digest")).cast("boolean")))
-    rows = index.join(first.select("digest", "first"), "digest")
+    rows = _by_digest(index, first.select("digest", "first"), _hot(index))
     again = (F.col("size") >= MIN_BYTES) & F.coalesce(F.col("id") != F.col("first"), F.col("first").isNotNull())
     name = lambda i: F.concat(F.lit("<urn:page:"), i.cast("string"), F.lit(">"))
-    url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
+    odd = F.coalesce(F.col("url").rlike(r"[\r\n]"), F.lit(False))
+    url = F.when(odd, F.replace(F.replace(F.replace("url", F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))).otherwise(F.col("url"))
     header = F.concat(
         F.lit("WARC/1.1\r\n"),
         _line("WARC-Type", F.when(again, "revisit").otherwise("response")),
         F.coalesce(_line("WARC-Record-ID", name(F.col("id"))), F.lit("")),
         F.coalesce(_line("WARC-Target-URI", url), F.lit("")),
+        F.when(odd, _line(ENCODED, F.lit("percent"))).otherwise(F.lit("")),
         _line("WARC-Date", F.lit(DATE)),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         F.when(again, _line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(F.lit("")),
@@ -69,8 +93,10 @@ def read_headers(spark: SparkSession, folder: str) -> DataFrame:
     header = spark.read.parquet(f"{folder}/headers").select("header")
     page = lambda f: F.regexp_extract(f, "^<urn:page:(-?\\d+)>$", 1).cast("bigint")
     h = F.col("header")
+    raw = _field(h, "WARC-Target-URI")
+    plain = F.replace(F.replace(F.replace(raw, F.lit("%0D"), F.lit("\r")), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
     return header.select(
-        page(_field(h, "WARC-Record-ID")).alias("page_id"), _field(h, "WARC-Target-URI").alias("url"), _field(h, "WARC-Type").alias("record_type"),
+        page(_field(h, "WARC-Record-ID")).alias("page_id"), F.when(_field(h, ENCODED) == "percent", plain).otherwise(raw).alias("url"), _field(h, "WARC-Type").alias("record_type"),
         page(_field(h, "WARC-Refers-To")).alias("refers_to"), F.substring_index(_field(h, "WARC-Payload-Digest"), ":", -1).alias("digest"),
         _field(h, "Content-Length").cast("bigint").alias("content_length"), "header")
 
@@ -83,25 +109,42 @@ def read_payloads(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("digest", "payload", F.when(right, F.octet_length("payload").cast("bigint")).otherwise(wrong).alias("payload_bytes"))
 
 
-def records(spark: SparkSession, folder: str) -> DataFrame:
-    """The original records (header, payload, record as in a WARC file), revisits with the payload that they point to."""
-    rows = read_headers(spark, folder).join(read_payloads(spark, folder), "digest")
-    stored = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.encode(F.lit(""), "UTF-8"))
-    end = F.encode(F.lit("\r\n\r\n"), "UTF-8")
-    return rows.withColumn("record", F.concat(F.encode("header", "UTF-8"), stored, end))
+def records(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
+    """The original records (page_id, .., payload_bytes, payload, record as in a WARC file), revisits with the payload that they point to.
+
+    A response meets its payload in a join; without `payloads`, revisits get the size of theirs only. The content length and
+    the digest in the header must be those of what the record then holds.
+    """
+    heads, stored = read_headers(spark, folder), read_payloads(spark, folder)
+    again = F.col("record_type") == "revisit"
+    hot = _hot(heads.select("digest"))
+    # only small payloads have many responses, and those of a hot digest are no more than 4096
+    small = F.col("payload_bytes") < MIN_BYTES
+    few = stored.where(small).join(hot, "digest", "left_semi")
+    first = heads.where(~again).join(F.broadcast(few), "digest").unionByName(
+        heads.where(~again).join(F.broadcast(few.select("digest")), "digest", "left_anti").join(stored, "digest"))
+    if payloads:
+        later = heads.where(again).join(stored, "digest")
+    else:
+        sizes = stored.select("digest", "payload_bytes")
+        later = _by_digest(heads.where(again), sizes, hot).withColumn("payload", F.lit(None).cast("binary"))
+    block = F.when(again, F.encode(F.lit(""), "UTF-8")).otherwise(F.col("payload"))
+    rows = first.unionByName(later.select(*first.columns)).withColumn("record", F.concat(F.encode("header", "UTF-8"), block, F.encode(F.lit(END), "UTF-8")))
+    inside = F.substring("record", F.octet_length(F.encode("header", "UTF-8")) + 1, F.col("content_length").cast("int"))
+    right = (F.octet_length("record") == F.octet_length(F.encode("header", "UTF-8")) + F.col("content_length") + len(END)) & (again | (F.sha2(inside, 256) == F.col("digest")))
+    wrong = F.raise_error(F.concat(F.lit("the record differs from its header: "), F.col("header"))).cast("binary")
+    return rows.withColumn("record", F.when(right, F.col("record")).otherwise(wrong))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write the pages to a new archive and read it back: (page_id, payload_bytes, payload_digest, record_type, refers_to, url).
+    """Write the pages to a new archive, read it back and rebuild every record.
 
-    The join carries sizes, not payloads: those are verified where they lie.
+    (page_id, payload_bytes, payload_digest, record_type, refers_to, url, record_bytes, record_sha256): the last two of the whole
+    record. Empty tables, repeated rows, nulls and long payloads: see `write_archive`.
     """
     spark = pages.sparkSession
     folder = shared_folder(spark, "warc")
     write_archive(pages, folder)
-    sizes = read_payloads(spark, folder).select("digest", "payload_bytes")
-    rows = read_headers(spark, folder).join(sizes, "digest")
-    wrong = F.raise_error(F.lit("content length differs from the payload")).cast("bigint")
-    fits = (F.col("record_type") == "revisit") | (F.col("content_length") == F.col("payload_bytes"))
-    return rows.select("page_id", F.when(fits, F.col("payload_bytes")).otherwise(wrong).alias("payload_bytes"),
-                       F.col("digest").alias("payload_digest"), "record_type", "refers_to", "url")
+    return records(spark, folder, payloads=False).select(
+        "page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to", "url",
+        F.octet_length("record").cast("bigint").alias("record_bytes"), F.sha2("record", 256).alias("record_sha256"))
