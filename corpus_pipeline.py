@@ -31,7 +31,8 @@ def _without(docs: DataFrame, gone: DataFrame, on: list[tuple]) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that language identification rejects: no text, no letter, or unlike every language.
 
-    The models learn from the labelled documents of this stage's input.
+    The models learn from the labelled documents of this stage's input. A null text goes; null languages and
+    ids are no hindrance. Copies are judged alike, each row for itself.
     """
     learn = F.when(langid.fold(F.col("doc_id")) != 0, F.col("lang").cast("string"))
     judged = langid.judge(docs.select(F.col("doc_id").alias("id"), learn.alias("lang"), F.col("text").cast("string").alias("text")))
@@ -42,19 +43,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of smallest id of each group of near duplicates, once if it is repeated.
 
-    Rows with a null id stay: nothing tells which of them is meant.
+    Of rows that share id and text but differ elsewhere, the first one as JSON stays. Rows of one id with other texts are
+    documents of their own. Rows with a null id stay: nothing tells which of them is meant.
     """
     found = jaccard.jaccard_components(docs, width=WIDTH, num=NUM, den=DEN)
     gone = written(found.where("id <> component").select(F.col("id").alias("_wayline_id")).distinct(), "near")
     kept = _without(docs, gone, [(docs["doc_id"], "_wayline_id")])
     again = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_wayline_id")), "again")
     small = broadcast_if_small(again)
-    once = kept.join(small, kept["doc_id"] == again["_wayline_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    twice = kept.join(small, kept["doc_id"] == again["_wayline_id"], "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in kept.columns])
+    once = twice.groupBy("doc_id", "text").agg(F.min_by(whole, F.to_json(whole)).alias("_wayline_row")).select("_wayline_row.*")
     return kept.join(small, kept["doc_id"] == again["_wayline_id"], "left_anti").unionByName(once)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents of which at least a twentieth of the words lie in benchmark windows."""
+    """Drop the documents of which at least a twentieth of the words lie in benchmark windows.
+
+    Null texts have no words and stay. Rows that repeat id and text go or stay together; rows of one id with other texts are
+    judged by their own.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontam.contamination(docs, benchmark).where(decontam.contaminated(F.col("n_hit"), F.col("n_words")))
     gone = written(found.select(F.col("id").alias("_wayline_id"), F.col("text_hash").alias("_wayline_text")).distinct(), "contaminated")
@@ -62,7 +70,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids) of every document; the decoded ids must give back the text."""
+    """(doc_id, lang, source, n_tokens, ids) of every row; the decoded ids must give back the text. Null texts have no ids."""
     rows = docs.select("doc_id", "lang", "source", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     out = bpe.round_trip(rows, public_tokenizers.path(VOCABULARY))
     wrong = F.raise_error(F.lit("decoded ids differ from the text")).cast("bigint")
