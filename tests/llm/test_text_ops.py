@@ -242,18 +242,75 @@ def test_page_lines():
     assert html_text.page_lines("a < b <3 &lt;i&gt; <p") == [(1, "a < b <3 <i> <p")]
 
 
-def test_longest_common_lines():
+@pytest.mark.parametrize("halved", [html_text.HALVED, 12, 2])
+def test_longest_common_lines(monkeypatch, halved):
+    """Also when alignments are halved, down to a few line pairs."""
+    monkeypatch.setattr(html_text, "HALVED", halved)
     random.seed(4)
     for _ in range(300):
-        a, b = ([random.choice("abcd") for _ in range(random.randint(0, 12))] for _ in range(2))
+        a, b = ([random.choice("abcd") for _ in range(random.randint(0, 14))] for _ in range(2))
         d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 d[i + 1][j + 1] = d[i][j] + 1 if x == y else max(d[i][j + 1], d[i + 1][j])
         p, q = html_text.common_lines(a, b)
         assert [a[i] for i in sorted(p)] == [b[j] for j in sorted(q)] and len(p) == d[-1][-1]
-    a, b = [str(i) for i in range(40)], [str(i) for i in range(39, -1, -1)]
-    assert len(list(html_text._anchored(a, b))) == 1 and len(list(html_text._anchored(a, a))) == 40
+
+
+def _site(n, make):
+    return [(i, f"https://h.org/a/{i:04d}", f"<body>{make(i)}</body>") for i in range(n)]
+
+
+def _texts(spark, rows):
+    return {r.page_id: r.text.split("\n") if r.text else [] for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+
+
+def test_furniture_without_a_name_inside_articles(spark):
+    """Only the alignment can tell it; passages that articles share stay, and so do lines of some of the pages."""
+    passage = " ".join(f"quoted{k}" for k in range(60))
+    story = lambda i: " ".join(f"body{i}word{k}" for k in range(80))
+
+    def make(i):
+        quote = f"<p>{passage}</p>" if i % 20 < 15 else ""
+        some = "<p>Updated yesterday</p>" if i % 2 else ""
+        return f"<article><header><h1>Title {i}</h1></header><p>Read our other stories</p><p>{story(i)}</p>{quote}{some}<div>Printed by the site</div></article>"
+
+    got = _texts(spark, _site(60, make))
+    for i in range(60):
+        want = [f"Title {i}", story(i), *([passage] if i % 20 < 15 else []), *(["Updated yesterday"] if i % 2 else [])]
+        assert got[i] == want, i
+    # too few different pages to tell
+    assert _texts(spark, _site(3, make))[1][1] == "Read our other stories"
+
+
+def test_copies_are_passed_over(spark):
+    """A page between copies is held against the next different pages."""
+    body = lambda i: f"<div>Banner of ours</div><p>Story number {i} has words of its own {i * 7} and {i * 11}</p>"
+    rows = [(i, f"https://h.org/a/{i:04d}", body(5 if 4 <= i <= 6 else i)) for i in range(12)]
+    got = _texts(spark, rows)
+    assert all(got[i] == [f"Story number {5 if 4 <= i <= 6 else i} has words of its own {(5 if 4 <= i <= 6 else i) * 7} and {(5 if 4 <= i <= 6 else i) * 11}"] for i in range(12))
+
+
+def test_a_teaser_is_no_article(spark):
+    rows = _site(8, lambda i: f"<article><h3>Teaser {i}</h3></article><div><p>{f'The main story {i} ' * 30}</p></div><div>Bottom line</div>")
+    got = _texts(spark, rows)
+    assert all(got[i] == [f"Teaser {i}", (f"The main story {i} " * 30).strip()] for i in range(8))
+
+
+def test_parts_do_not_change_the_texts(spark, monkeypatch):
+    """One rule at every size of a host: the same texts with one part and with many, hot host, long page and copies included."""
+    rng = random.Random(3)
+    lines = [f"<div>common {k}</div>" for k in range(6)]
+    rows = []
+    for i in range(300):
+        own = "".join(rng.sample(lines, rng.randint(0, 4))) + f"<p>page {i} says {rng.random()}</p>"
+        rows.append((i, f"https://{'hot' if i % 3 else f'h{i % 7}'}.org/{rng.randint(0, 40):03d}/{i % 5}", own if i % 11 else rows[-1][2] if rows else own))
+    rows += [(7, rows[7][1], rows[7][2]), (900, "https://hot.org/020/x", "".join(f"<p>long {k} {rng.random()}</p>" for k in range(4000)) + lines[0]), (901, None, None), (None, "x", "<p>y")]
+    table = spark.createDataFrame([(*r, 1, 2, "k") for r in rows], "page_id bigint, url string, html string, part int, guest int, key string").repartition(5)
+    one = sorted((tuple(r) for r in html_text.extract(table).collect()), key=str)
+    assert len(one) == len(rows)
+    monkeypatch.setattr(html_text, "PART_BYTES", 2000)
+    assert sorted((tuple(r) for r in html_text.extract(table).collect()), key=str) == one
 
 
 def test_html_differencing(spark):

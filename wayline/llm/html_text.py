@@ -1,32 +1,47 @@
 """Main text of web pages by differencing neighbours of a site.
 
 A page becomes a list of lines, the texts of its blocks, with the part of the page each comes from.
-Pages of a host are paired along their URL paths; two pages of a pair are aligned by a longest common
-subsequence of their lines, and lines they share are deleted as furniture of the site: all of them
-where the page doesn't say what its article is, else those outside of it. Lines in elements that are
-furniture by name go as well. A pair that shares most of its open text is a pair of copies, which says
-nothing about furniture.
+Pages of a host are ordered by URL path. A page is held against the nearest page before and after it that
+is no copy of it: an alignment by longest common subsequence of the lines finds the lines they share.
+Outside of what the page itself names its article, a line shared with either goes. Inside, a line goes that it shares with
+all pages around that are no copies, WITNESSES different ones at least, unless it belongs to a shared passage of LONG
+words: articles quote each other, furniture is on every page. Lines in elements that are furniture by name go as
+well. An article that holds little of the text is a teaser, and all is open text.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import deque
 from collections.abc import Iterator
 from html import unescape
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import broadcast_if_small, slices, small_batches
+from wayline.llm.common import slices, small_batches
 
-#: Pages of one host that are ordered together, about.
-GROUP = 2000
-#: Lines whose alignment is exact; beyond, lines that occur once on both pages anchor it.
-EXACT = 20_000_000
-#: Share of open text above which two pages count as copies.
+#: Pages before, and after, a page among which its neighbours are looked for; copies of it are passed over.
+REACH = 4
+#: Share of its text above which a page and another one count as copies.
 COPIES = 0.8
+#: Different pages that must all share a line of an article before it is furniture.
+WITNESSES = 4
+#: Words of a shared passage inside an article from which on it is content.
+LONG = 40
+#: An article with less than this share of the text that is left is a teaser.
+TEASER = 0.25
+#: Alignments of more line pairs are halved first, which gives an alignment of the same length.
+HALVED = 20_000_000
+#: Bytes of the pages of a part, about.
+PART_BYTES = 16 << 20
+PARTS = 20_000
+KEY_TYPES = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+OUT_TYPES = (pa.int64(), pa.string(), pa.string())
 MAIN, OPEN, CHROME = 0, 1, 2
 
 #: Elements without text of their own, those that are furniture, blocks, and those that never have content.
@@ -104,7 +119,8 @@ def page_lines(html: str) -> list[tuple[int, str]]:
         if state != CHROME:
             kind = " ".join(a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id", "role", "aria-label") and (a or b or c))
             hidden = re.search(r"(?:^|\s)hidden(?:$|[\s=])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", attributes, re.I)
-            if name in _CHROME or hidden or (kind and name not in ("html", "body", "article", "main") and (_NAMES.search(kind) or _HEADER.search(kind))):
+            # the header of an article is its title
+            if (name in _CHROME and not (name == "header" and state == MAIN)) or hidden or (kind and name not in ("html", "body", "article", "main") and (_NAMES.search(kind) or _HEADER.search(kind))):
                 new = CHROME
             elif name in ("article", "main") or re.search(r"\brole\s*=\s*[\"']?(?:main|article)\b", attributes, re.I):
                 new = MAIN
@@ -128,12 +144,37 @@ def common_lines(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
         j += 1
     x, y = set(range(i)) | set(range(len(a) - j, len(a))), set(range(i)) | set(range(len(b) - j, len(b)))
     one, two = a[i : len(a) - j], b[i : len(b) - j]
-    for p, q in (_exact(one, two) if len(one) * len(two) <= EXACT else _anchored(one, two)):
+    for p, q in _halved(one, two):
         x.add(i + p)
         y.add(i + q)
     return x, y
 
 
+def _row(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the common subsequence of all of b and the first 0, 1, .. lines of a; bits of a number stand for the lines of a."""
+    place: dict[str, int] = {}
+    for i, line in enumerate(a):
+        place[line] = place.get(line, 0) | 1 << i
+    row = full = (1 << len(a)) - 1
+    for line in b:
+        hit = row & place.get(line, 0)
+        row = ((row + hit) | (row - hit)) & full
+    bits = np.unpackbits(np.frombuffer((row ^ full).to_bytes(len(a) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(a)]
+    return np.concatenate([[0], np.cumsum(bits, dtype=np.int64)])
+
+
+def _halved(a: list[str], b: list[str]) -> Iterator[tuple[int, int]]:
+    """A longest common subsequence in memory that grows with the lines: halves of b against the parts of a that suit them best."""
+    if len(a) * len(b) <= HALVED or len(b) < 2:
+        yield from _exact(a, b)
+        return
+    middle = len(b) // 2
+    cut = int((_row(a, b[:middle]) + _row(a[::-1], b[:middle - 1 : -1])[::-1]).argmax())
+    yield from _halved(a[:cut], b[:middle])
+    for p, q in _halved(a[cut:], b[middle:]):
+        yield cut + p, middle + q
+
+
 def _exact(a: list[str], b: list[str]) -> Iterator[tuple[int, int]]:
     """Bits of a number stand for the lines of a; a row of the alignment for each line of b."""
     if not a or not b:
@@ -160,51 +201,104 @@ def _exact(a: list[str], b: list[str]) -> Iterator[tuple[int, int]]:
             i -= 1
 
 
-def _anchored(a: list[str], b: list[str]) -> Iterator[tuple[int, int]]:
-    """Longest increasing sequence of the lines that each page has once."""
-    from bisect import bisect_left
-    from collections import Counter
+class _Page:
+    """A page that is held against others: its lines, and how much text it has."""
+
+    def __init__(self, key: tuple, head: tuple, html: str, guest: bool):
+        self.key, self.head, self.guest = key, head, guest
+        self.lines = page_lines(html)
+        self.texts = [t for _, t in self.lines]
+        self.size = sum(len(t) for s, t in self.lines if s != CHROME)
+        self.met: dict[int, tuple[set[int], bool]] = {}
 
-    ca, cb = Counter(a), Counter(b)
-    where = {line: q for q, line in enumerate(b) if cb[line] == 1}
-    pairs = [(p, where[line]) for p, line in enumerate(a) if ca[line] == 1 and line in where]
-    tails, links, ends = [], [], []
-    for k, (_, q) in enumerate(pairs):
-        t = bisect_left(tails, q)
-        links.append(ends[t - 1] if t else -1)
-        tails[t : t + 1] = [q]
-        ends[t : t + 1] = [k]
-    k = ends[-1] if ends else -1
-    while k >= 0:
-        yield pairs[k]
-        k = links[k]
+    def against(self, other: _Page) -> tuple[set[int], bool]:
+        """Own lines shared with the other page, and whether it is a copy."""
+        if id(other) not in self.met:
+            x, y = common_lines(self.texts, other.texts)
+            for page, mate, own in ((self, other, x), (other, self, y)):
+                same = sum(len(page.texts[i]) for i in own if page.lines[i][0] != CHROME)
+                page.met[id(mate)] = own, same > COPIES * page.size
+        return self.met[id(other)]
 
 
-def _shared(page: list[tuple[int, str]], other: list[tuple[int, str]]) -> tuple[set[int], set[int]]:
-    """Lines of either page to delete, by the alignment of all lines."""
-    x, y = common_lines([t for _, t in page], [t for _, t in other])
+def furniture(page: _Page, before: list[_Page], after: list[_Page]) -> set[int]:
+    """Lines of the page to delete, from the pages before and after it, nearest first."""
+    def others() -> Iterator[_Page]:
+        """The pages that are no copies of this one, in turns from either side."""
+        sides = [[p for p in side if not page.against(p)[1]] for side in (before, after)]
+        for i in range(REACH):
+            yield from (side[i] for side in sides if len(side) > i)
 
-    def out(lines, own):
-        text = sum(len(t) for s, t in lines if s == OPEN)
-        gone = {i for i in own if lines[i][0] != MAIN}
-        same = sum(len(lines[i][1]) for i in gone if lines[i][0] == OPEN)
-        return gone if same <= COPIES * text else {i for i in gone if lines[i][0] == CHROME}
+    near = others()
+    two = list(islice(near, 2))
+    gone = {i for p in two for i in page.against(p)[0] if page.lines[i][0] != MAIN}
+    shared = {i for i, (state, _) in enumerate(page.lines) if state == MAIN}
+    apart: list[_Page] = []
+    for p in chain(two, near):
+        shared &= page.against(p)[0]
+        if not shared:
+            return gone
+        if not any(p.against(q)[1] for q in apart):
+            apart.append(p)
+    return gone | _short_runs(page, shared) if len(apart) >= WITNESSES else gone
 
-    return out(page, x), out(other, y)
+
+def _short_runs(page: _Page, shared: set[int]) -> set[int]:
+    """The shared lines that are no part of a passage of LONG words; lines of other parts of the page don't interrupt one."""
+    out, run = set(), []
+    for i, (state, _) in [*enumerate(page.lines), (-1, (MAIN, ""))]:
+        if state == MAIN and i in shared:
+            run.append(i)
+        elif state == MAIN:
+            if sum(len(page.texts[k].split()) for k in run) < LONG:
+                out |= set(run)
+            run = []
+    return out
 
 
 def main_text(page: list[tuple[int, str]], shared: set[int]) -> str:
-    """The article if the page names one, else its open lines; without furniture and shared lines."""
-    main = any(s == MAIN for s, _ in page)
-    return "\n".join(t for i, (s, t) in enumerate(page) if s == (MAIN if main else OPEN) and i not in shared)
+    """The article if the page names one that is more than a teaser, else all open lines; without furniture and shared lines."""
+    left = [(s, t) for i, (s, t) in enumerate(page) if i not in shared and s != CHROME]
+    main = sum(len(t) for s, t in left if s == MAIN)
+    whole = main < TEASER * sum(len(t) for _, t in left)
+    return "\n".join(t for s, t in left if s == MAIN or whole or not main)
+
+
+def _differenced(pages: Iterator[_Page]) -> Iterator[tuple]:
+    """(page id, url, text) of all pages but guests, which come in order with their guests around them."""
+    held: list[_Page] = []
+    done = 0  # pages of `held` that need no further neighbours after them
+
+    def finish(i: int) -> Iterator[tuple]:
+        page = held[i]
+        if not page.guest:
+            gone = furniture(page, held[max(0, i - REACH) : i][::-1], held[i + 1 : i + 1 + REACH])
+            yield (*page.head, main_text(page.lines, gone))
+
+    for page in pages:
+        if held and page.key != held[-1].key:
+            for i in range(done, len(held)):
+                yield from finish(i)
+            held, done = [], 0
+        held.append(page)
+        if len(held) - done > REACH:
+            yield from finish(done)
+            done += 1
+            if done > REACH:
+                held.pop(0)
+                done -= 1
+    for i in range(done, len(held)):
+        yield from finish(i)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text): the main text of every row, empty if there is none.
 
     Null html is an empty page, a null url belongs to no host and is paired with other such pages.
-    Repeated rows come back each. Pages of a host above GROUP are dealt to groups by hash, in which
-    neighbours by path are paired, so a hot host spreads over many tasks. Other columns are not read.
+    Repeated rows come back each, and are copies of each other. Pages are taken whole, whatever their length.
+    An empty table gives no rows. Other columns are not read. Pages are ordered by host, path, id and dealt to
+    parts of about PART_BYTES; the REACH pages on either side of a border come along as guests, so a page has the
+    same neighbours wherever the borders lie and however many pages its host has.
     """
     spark = pages.sparkSession
     small_batches(spark)
@@ -212,34 +306,68 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     bare = F.regexp_replace(F.coalesce("url", F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.lower(F.substring_index(F.substring_index(F.substring_index(bare, "/", 1), "?", 1), "#", 1))
     path = F.substring_index(F.substring_index(F.substring(bare, F.length(host) + 1, F.lit(1 << 30)), "?", 1), "#", 1)
-    rows = rows.withColumn("host", host).withColumn("path", path)
-    hosts = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    big = hosts.where(F.col("pages") > GROUP).select("host", F.ceil(F.col("pages") / GROUP).alias("groups"))
-    rows = rows.join(broadcast_if_small(big), "host", "left")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1)))).drop("groups")
+    order = ["host", "path", "key", "mark"]
+    rows = rows.withColumns({"host": host, "path": path, "key": F.coalesce("page_id", F.lit(-(1 << 63))), "mark": F.xxhash64("html")})
+    parts = int(max(1, min(PARTS, -(-(rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0) // PART_BYTES))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, page, gone, head = None, None, set(), None
+    # of each range of the order, the first and last REACH keys: the ranges' borders and the guests on both sides
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, last, at = [], deque(maxlen=REACH), 0
+        for b in batches:
+            for x in zip(*(b.column(c).to_pylist() for c in order)):
+                if at < REACH:
+                    first.append(x)
+                last.append(x)
+                at += 1
+        if at:
+            kept = [*((*x, 0, i) for i, x in enumerate(first)), *((*x, 1, i) for i, x in enumerate(last))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), KEY_TYPES)], names=[*order, "end", "nr"])
 
-        def done(ids, urls, texts):
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+    guests: dict[tuple, list[int]] = {}
+    borders: list[tuple] = []
+    if parts > 1:
+        dealt = rows.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        found = dealt.mapInArrow(ends, "host string, path string, key bigint, mark bigint, end int, nr int").toArrow()  # 2 x REACH rows for each part
+        keys = sorted({(x["host"].encode(), x["path"].encode(), x["key"], x["mark"]) for x in found.to_pylist()})
+        firsts = sorted({(x["host"].encode(), x["path"].encode(), x["key"], x["mark"]) for x in found.to_pylist() if x["end"] == 0 and x["nr"] == 0})
+        borders = firsts[1:]
+        for n, border in enumerate(borders):
+            i = bisect_left(keys, border)
+            for k in keys[max(0, i - REACH) : i]:
+                guests.setdefault(k, []).append(n + 1)
+            for k in keys[i : i + REACH]:
+                guests.setdefault(k, []).append(n)
+    plan = spark.sparkContext.broadcast((borders, guests))
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        borders, guests = plan.value
+        names = ["page_id", "url", "html", *order, "part", "guest"]
         for b in slices(batches, "html"):
-            ids, urls, texts = [], [], []
-            for i, url, html, *key in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "host", "part"))):
-                lines = page_lines(html or "")
-                own: set[int] = set()
-                if page is not None and key == group:
-                    before, own = _shared(page, lines)
-                    gone |= before
-                if page is not None:
-                    ids.append(head[0])
-                    urls.append(head[1])
-                    texts.append(main_text(page, gone))
-                group, page, gone, head = key, lines, own, (i, url)
-            yield done(ids, urls, texts)
-        if page is not None:
-            yield done([head[0]], [head[1]], [main_text(page, gone)])
-
-    dealt = rows.repartition("host", "part").sortWithinPartitions("host", "part", "path", "page_id", "html")
+            keys = [(h.encode(), p.encode(), k, m) for h, p, k, m in zip(*(b.column(c).to_pylist() for c in order))]
+            own = [bisect_right(borders, k) for k in keys]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int32()), pa.array([False] * len(own))], names=names)
+            also = [(i, n) for i, k in enumerate(keys) for n in guests.get(k, ()) if n != own[i]]
+            if also:
+                some = b.take(pa.array([i for i, _ in also]))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([n for _, n in also], pa.int32()), pa.array([True] * len(also))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parsed():
+            for b in slices(batches, "html"):
+                for part, host, i, url, html, guest in zip(*(b.column(c).to_pylist() for c in ("part", "host", "page_id", "url", "html", "guest"))):
+                    yield _Page((part, host), (i, url), html or "", guest)
+
+        held: list[tuple] = []
+        size = 0
+        for row in _differenced(parsed()):
+            held.append(row)
+            size += len(row[2])
+            if len(held) >= 500 or size > PART_BYTES // 8:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), OUT_TYPES)], names=["page_id", "url", "text"])
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), OUT_TYPES)], names=["page_id", "url", "text"])
+
+    kinds = "page_id bigint, url string, html string, host string, path string, key bigint, mark bigint, part int, guest boolean"
+    dealt = rows.select("page_id", "url", "html", *order).mapInArrow(deal, kinds).repartitionById(parts, F.col("part")).sortWithinPartitions("part", *order, "html")
     return dealt.mapInArrow(run, "page_id bigint, url string, text string")
