@@ -273,11 +273,11 @@ def test_furniture_without_a_name_inside_articles(spark):
     def make(i):
         quote = f"<p>{passage}</p>" if i % 20 < 15 else ""
         some = "<p>Updated yesterday</p>" if i % 2 else ""
-        return f"<article><header><h1>Title {i}</h1></header><p>Read our other stories</p><p>{story(i)}</p>{quote}{some}<div>Printed by the site</div></article>"
+        return f"<article><header><h1>Title {i}</h1></header><p>Read our other stories</p><p>{story(i)}</p>{quote}{some}<p>End of {i}</p><div>Printed by the site</div></article>"
 
     got = _texts(spark, _site(60, make))
     for i in range(60):
-        want = [f"Title {i}", story(i), *([passage] if i % 20 < 15 else []), *(["Updated yesterday"] if i % 2 else [])]
+        want = [f"Title {i}", story(i), *([passage] if i % 20 < 15 else []), *(["Updated yesterday"] if i % 2 else []), f"End of {i}"]
         assert got[i] == want, i
     # too few different pages to tell
     assert _texts(spark, _site(3, make))[1][1] == "Read our other stories"

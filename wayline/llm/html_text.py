@@ -210,15 +210,18 @@ class _Page:
         self.texts = [t for _, t in self.lines]
         self.size = sum(len(t) for s, t in self.lines if s != CHROME)
         self.met: dict[int, tuple[set[int], bool]] = {}
+        self.nr = 0
 
     def against(self, other: _Page) -> tuple[set[int], bool]:
         """Own lines shared with the other page, and whether it is a copy."""
-        if id(other) not in self.met:
-            x, y = common_lines(self.texts, other.texts)
-            for page, mate, own in ((self, other, x), (other, self, y)):
+        if other.nr not in self.met:
+            # of equally long alignments, one that does not depend on who asks first
+            one, two = (self, other) if self.nr < other.nr else (other, self)
+            x, y = common_lines(one.texts, two.texts)
+            for page, mate, own in ((one, two, x), (two, one, y)):
                 same = sum(len(page.texts[i]) for i in own if page.lines[i][0] != CHROME)
-                page.met[id(mate)] = own, same > COPIES * page.size
-        return self.met[id(other)]
+                page.met[mate.nr] = own, same > COPIES * page.size
+        return self.met[other.nr]
 
 
 def furniture(page: _Page, before: list[_Page], after: list[_Page]) -> set[int]:
@@ -267,7 +270,7 @@ def main_text(page: list[tuple[int, str]], shared: set[int]) -> str:
 def _differenced(pages: Iterator[_Page]) -> Iterator[tuple]:
     """(page id, url, text) of all pages but guests, which come in order with their guests around them."""
     held: list[_Page] = []
-    done = 0  # pages of `held` that need no further neighbours after them
+    done = 0  # pages of `held` that are finished
 
     def finish(i: int) -> Iterator[tuple]:
         page = held[i]
@@ -275,7 +278,8 @@ def _differenced(pages: Iterator[_Page]) -> Iterator[tuple]:
             gone = furniture(page, held[max(0, i - REACH) : i][::-1], held[i + 1 : i + 1 + REACH])
             yield (*page.head, main_text(page.lines, gone))
 
-    for page in pages:
+    for nr, page in enumerate(pages):
+        page.nr = nr
         if held and page.key != held[-1].key:
             for i in range(done, len(held)):
                 yield from finish(i)
