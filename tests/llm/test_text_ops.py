@@ -337,6 +337,65 @@ def test_licenses(spark):
     assert licenses.scan(table(spark, [])).count() == 0
 
 
+def _scan(texts, scanner=None):
+    scanner = scanner or licenses.Scanner()
+    out = [[] for _ in texts]
+    for row, t, start, size, share in scanner.scan(*licenses._hashes(pa.array(texts, pa.string()))):
+        out[row].append((scanner.names[t], start, size, share))
+    return out
+
+
+def test_licenses_are_told_apart():
+    """Relatives differ by a word; cut and stretched notices are found; another version is none of them."""
+    t = licenses.TEMPLATES
+    for name, texts in t.items():
+        for text in texts:
+            assert [m[0] for m in _scan([text])[0]] == [name], text
+            assert [m[0] for m in _scan(["some words before " + text + " and after it"])[0]] == [name]
+    mit, by = t["MIT"][2], t["CC-BY-4.0"][0]
+    cut = [by.rsplit(" ", 1)[0], mit.rsplit(" ", 2)[0], mit.split(" ", 3)[3], "x " + by.split(" ", 1)[1]]
+    assert [[m[0] for m in found] for found in _scan(cut)] == [["CC-BY-4.0"], ["MIT"], ["MIT"], ["CC-BY-4.0"]]
+    stretched = mit.replace("restriction", "restriction one two three four five six seven eight nine ten eleven twelve")
+    assert [(m[0], m[2]) for m in _scan([stretched])[0]] == [("MIT", 74)]
+    gpl = t["GPL-2.0"][1]
+    assert _scan([gpl.replace("version 2", "version 1"), by.replace("4.0", "3.0"), gpl.replace("General", "Local")]) == [[], [], []]
+    assert [m[:2] for m in _scan([(by + " ") * 4])[0]] == [("CC-BY-4.0", 13 * i) for i in range(4)]
+    assert _scan(["", None, "the", "License"]) == [[]] * 4
+
+
+def test_license_recall_against_brute_force():
+    """Edited notices in random texts: whatever holds enough of a template's shingles and its phrases, counted word by word."""
+    rng, scanner = random.Random(1), licenses.Scanner()
+    words = [f"w{i}" for i in range(3000)]
+    hashes = lambda text: licenses._hashes(pa.array([text]))[0]
+    texts, wanted = [], []
+    for name, originals in licenses.TEMPLATES.items():
+        for original in originals:
+            n = len(hashes(original))
+            k = 2 if n <= 8 else 3
+            own = set(licenses._shingles(hashes(original), k).tolist())
+            must = [p for p in (hashes(x).tolist() for x in licenses.PHRASES.get(name, [])) if scanner._has(hashes(original).tolist(), p)]
+            for _ in range(12):
+                ws = original.split(" ")
+                for _ in range(rng.randint(0, max(1, len(ws) // 18))):
+                    i, how = rng.randrange(len(ws)), rng.choice("sid")
+                    ws[i : i + (how != "i")] = [rng.choice(words)] if how != "d" else []
+                left, right = ([rng.choice(words) for _ in range(rng.choice([0, 0, 5, 150]))] for _ in range(2))
+                text = " ".join(left + ws + right)
+                got = hashes(text)
+                limit = n + max(licenses.LEAST_STRETCH, int(n * licenses.STRETCH))
+                best = max((len(own & set(licenses._shingles(got[a : a + limit], k).tolist())) for a in range(len(got))), default=0)
+                if best >= licenses.CONTAINED * len(own) and all(scanner._has(got.tolist(), p) for p in must):
+                    texts.append(text)
+                    wanted.append(name)
+    found = _scan(texts, scanner)
+    # a cut notice may hold as many shingles of a shorter relative
+    same = lambda a, b: a == b or a.startswith("BSD") and b.startswith("BSD")
+    recall = sum(any(same(m[0], w) for m in f) for f, w in zip(found, wanted)) / len(wanted)
+    assert len(wanted) > 250 and recall >= 0.98
+    assert all(same(m[0], w) for f, w in zip(found, wanted) for m in f)
+
+
 def test_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "PART_ROWS", 2)
     rows = [(i, t, "en") for i, t in [(7, "abc" * 50), (3, None), (5, ""), (9, "x" * 3000 + "y" * 3000), (1, "é🙂" * 40), (9, "second of nine"), (None, "no id at all"), (8, "abc" * 50)]]
