@@ -397,7 +397,7 @@ def test_license_recall_against_brute_force():
 
 
 def test_fingerprints(spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "PART_ROWS", 2)
+    monkeypatch.setattr(fingerprints, "PART_BYTES", 300)
     rows = [(i, t, "en") for i, t in [(7, "abc" * 50), (3, None), (5, ""), (9, "x" * 3000 + "y" * 3000), (1, "é🙂" * 40), (9, "second of nine"), (None, "no id at all"), (8, "abc" * 50)]]
     got = fingerprints.against_next(table(spark, rows)).collect()
     ordered = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1] or ""))
@@ -415,6 +415,51 @@ def test_fingerprints(spark, monkeypatch):
     assert one.near_next == 1.0 and 0 <= one.near_edited <= 1
 
 
+def test_walk_against_one_character_at_a_time():
+    """The embedding as it is defined: a coin for each step and class of characters says stay or go on."""
+    go = lambda c, p: p % fingerprints.PERIOD == fingerprints.PERIOD - 1 or int(fingerprints.mix(np.array([c * fingerprints.PERIOD + p % fingerprints.PERIOD + 0x5EED], np.uint64))[0]) & 1
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdé漢 ", k=n)) for n in (0, 1, 2, 40, 300, 900)] + ["z" * 50]
+    kinds = [fingerprints._classes(fingerprints._points(t)) for t in texts]
+    for text, kind, steps in zip(texts, kinds, fingerprints.walk(kinds, [0] * len(kinds))):
+        at, want = 0, [0]
+        for c in kind.tolist():
+            while not go(c, at):
+                at += 1
+            at += 1
+            want.append(at)
+        assert steps.tolist() == want
+        # the sampled symbols are those of the characters that the walk stands on
+        level = fingerprints.level_of(len(text))
+        copy = [s for s, a, b in zip(fingerprints._symbols(fingerprints._points(text)).tolist(), want, want[1:]) for _ in range(b - a)]
+        places = [p for p in fingerprints._steps(level).tolist() if p < len(copy)]
+        assert fingerprints.fingerprint_texts([text])[0] == f"{level:02x}" + "".join("%x" % copy[p] for p in places)
+
+
+@pytest.mark.parametrize("chars,edits", [(60, 1), (400, 1), (400, 5), (3000, 10), (20000, 30)])
+def test_recall_of_similar(spark, chars, edits):
+    """Of all pairs of likeness 0.8 and more, those that bands bring together, directly or over others."""
+    rng = random.Random(chars + edits)
+    texts = []
+    for _ in range(25):
+        base = [rng.choice("abcdefghij klmno") for _ in range(chars)]
+        for _ in range(4):
+            own = list(base)
+            for _ in range(edits):
+                i = rng.randrange(len(own))
+                own[i : i + rng.choice([0, 1])] = rng.choice(["", "x", "yz"])
+            texts.append("".join(own))
+    prints = fingerprints.fingerprint_texts(texts)
+    links = fingerprints.similar(spark.createDataFrame(list(enumerate(prints)), "id bigint, fingerprint string")).collect()
+    root = list(range(len(texts)))
+    top = lambda i: i if root[i] == i else top(root[i])
+    for r in links:
+        root[top(r.a)] = top(r.b)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if fingerprints.likeness(prints[i], prints[j]) >= 0.8]
+    found = sum(top(i) == top(j) for i, j in pairs)
+    assert not pairs or found >= 0.9 * len(pairs), (found, len(pairs))
+
+
 def test_walks_and_likeness():
     random.seed(5)
     texts = ["".join(random.choices("abcdefgh ", k=n)) for n in [*range(0, 200, 2), 900, 5000]]
@@ -491,12 +536,13 @@ def test_language_id_limits_cover_all_rows(spark, monkeypatch):
     assert {i: r.rejected for i, r in got.items()} == want and got[500].rejected and not got[401].rejected
 
 
-def test_pieces_with_control_strings_of_other_case():
-    library, coder = Tokenizer.from_file(P.path("word_bpe_49k.json")), token_output._Pieces(P.path("word_bpe_49k.json"))
-    pieces = ["<|ENDOFTEXT|>", "<|StartOfText|>", "<|endoftext|>", "a<|EndOfText|>.", "A<|endoftext|>B,", "<|endoftext|><|ENDOFTEXT|>", "<|startoftext|>"]
-    found = coder.look_up(pieces)
-    for p in pieces:
-        assert np.frombuffer(found[p], np.uint32).tolist() == library.encode(p, add_special_tokens=False).ids, p
+def test_control_strings_of_other_case():
+    """Special tokens match the raw text only."""
+    library, coder = Tokenizer.from_file(P.path("word_bpe_49k.json")), token_output._Words(P.path("word_bpe_49k.json"))
+    texts = ["<|ENDOFTEXT|>", "<|StartOfText|>", "<|endoftext|>", "a<|EndOfText|>.", "A<|endoftext|>B,", "<|endoftext|><|ENDOFTEXT|>", "<|startoftext|>"]
+    stops, ids = coder.encoded(pa.array(texts), b"")
+    for t, a, b in zip(texts, stops[:-1].tolist(), stops[1:].tolist()):
+        assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("block", [3, 500])

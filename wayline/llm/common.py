@@ -38,6 +38,19 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+#: Keys of more rows than this, or than a 4096th of all rows if that is more, are frequent: at most 4096.
+FREQUENT_ROWS = 10_000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join written rows with a table of small rows by one column; the rows of frequent keys stay where they are, and the table's are broadcast."""
+    limit = max(FREQUENT_ROWS, rows.count() >> 12)
+    found = rows.groupBy(key).count().where((F.col("count") > limit) & F.col(key).isNotNull()).select(key)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found.collect(), found.schema))
+    few = F.broadcast(table.join(hot, key, "left_semi"))
+    return rows.join(hot, key, "left_semi").join(few, key, how).unionByName(rows.join(hot, key, "left_anti").join(table, key, how))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the column holds about `size` bytes in each piece (one long text stays whole)."""
     for batch in batches:

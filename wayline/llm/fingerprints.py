@@ -33,8 +33,8 @@ LANES = 64
 BAND = 8
 #: Members of a band that are compared in one piece, about.
 GROUP = 500
-#: Bytes of text in one ordered part, about.
-PART_ROWS = 20_000
+#: Bytes of text in one ordered part, about, and parts at most.
+PART_BYTES, PARTS = 32 << 20, 50_000
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 
@@ -161,7 +161,8 @@ def similar(prints: DataFrame, least: float = 0.8) -> DataFrame:
     a level meet. Members of a band meet in blocks of about GROUP, each block every other; pairs that the
     links of a block already tie are passed over, the others are compared. So the documents tied are those
     of all pairs, but no group becomes all its pairs. Equal fingerprints are tied to their smallest id
-    beforehand. Null ids are passed over.
+    beforehand. Null ids are passed over, rows that repeat an id are compared each. An empty table gives no links;
+    columns but id and fingerprint are not read.
     """
     rows = prints.where("id IS NOT NULL")
     classes = written(rows.groupBy("fingerprint").agg(F.min("id").alias("first")), "classes")
@@ -233,8 +234,9 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text has the last floor(n / 2) code points replaced by the first as many, or all, of the
     next row by descending id; the last row's next is the first. Null texts are empty, a null id is the
-    smallest, rows of one id go by text. A single row is its own next. Texts are shuffled once, into
-    ranges of ids; the row before a range comes along as a guest, so that no row misses its next.
+    smallest, rows of one id go by text. A single row is its own next. An empty table gives no rows. Texts of any length
+    are walked whole. Other columns are not read. Texts are shuffled once, into ranges of ids of about PART_BYTES;
+    the row before a range comes along as a guest, so that no row misses its next.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -242,7 +244,7 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(low)).alias("key"), F.col(id_col).cast("bigint").alias("id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keys = rows.select("key")
-    parts = int(max(1, min(50_000, -(-keys.count() // PART_ROWS))))
+    parts = int(max(1, min(PARTS, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))))
     cuts = sorted({int(x) for x in keys.approxQuantile("key", [i / parts for i in range(1, parts)], 1 / (20 * parts))}) if parts > 1 else []
     bounds = spark.sparkContext.broadcast(np.array(cuts, np.int64))
 

@@ -10,8 +10,9 @@ The estimates are never gathered in one place: Spark derives them order by order
 ORDER characters that occur in the texts, and writes a row of log-probabilities for each window. The
 workers hold the rows of the most frequent windows and sum them up for each text; the rest of a text's
 windows is joined. Log-probabilities are fixed-point numbers, so sums do not depend on which way a window
-takes. A text gets the language of lowest cross-entropy per character; the temperature is fitted on about
-CALIBRATION training rows, the rejection limits on all of them.
+takes. A text gets the language of lowest cross-entropy per character. One in APART training texts, copies
+included, is not counted but set apart: on these, which the models have not seen, the temperature is fitted (on about
+CALIBRATION of them) and the rejection limits are set (on all of them).
 """
 
 from __future__ import annotations
@@ -26,19 +27,21 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import mix, slices, small_batches, written
+from wayline.llm.common import mix, slices, small_batches, spread_join, written
 
 ORDER = 5
 #: Windows, about, whose log-probabilities every worker holds; others are joined, with the same result.
 HEAD = 1 << 17
 #: Log-probabilities are stored as whole numbers of 1 / FIXED.
 FIXED = 1 << 26
-#: Training rows, about, that the temperature is fitted on.
-CALIBRATION = 4000
-#: Texts of fewer letters are not rejected for their entropy: it varies too much.
-SURE_FROM = 20
-#: A text is rejected when its entropy is this many times the largest one of the training texts of its language.
+#: Of so many training texts one is set apart; rows, about, that the temperature is fitted on.
+APART, CALIBRATION = 8, 4000
+#: Share of the texts set apart that may lie above the limit of their language, before the margin.
+FALSE_REJECTIONS = 0.001
+#: A text is rejected when its entropy is this many times that limit.
 MARGIN = 1.5
+#: Entropies of short texts vary more: the limit of a text of n letters is wider by the factor 1 + WIDER / n.
+WIDER = 10
 #: Worker memory of word scores; emptied when full.
 WORD_CACHE = 100_000
 UNKNOWN = "und"
@@ -262,7 +265,7 @@ def _sums(rows: DataFrame, windows: DataFrame, langs: list[str]) -> DataFrame:
         # the other windows, once for each distinct text
         rest = out.select("digest", F.explode("rest").alias("r")).select("digest", "r.gram", "r.k").distinct()
         more = rest.join(windows.select("gram", "lp"), "gram").groupBy("digest").agg(*[F.sum(F.col("lp")[i] * F.col("k")).alias(f"m{i}") for i in range(len(langs))])
-        out = out.join(more, "digest", "left")
+        out = spread_join(out, more, "digest", "left")
         own = [s + F.coalesce(F.col(f"m{i}"), F.lit(0)) for i, s in enumerate(own)]
     return out.select(*names[:6], *[s.alias(f"s{i}") for i, s in enumerate(own)])
 
@@ -273,27 +276,37 @@ def judge(rows: DataFrame) -> DataFrame:
     `digest` is the MD5 of the text, on which the other columns depend only. `und`, score 0 and
     rejected for null texts and texts without a letter, and for all texts if nothing can be learnt.
     Equal entropies go to the first language by name. Rejected as well: texts whose entropy is above
-    the limit of their language (lang_pred still names the best one).
+    the limit of their language (lang_pred still names the best one); a language without any text set apart has no
+    limit. Copies are judged alike. Texts of any length are taken whole; an empty table gives no rows; other columns are
+    not read.
     """
     small_batches(rows.sparkSession)
-    counts = rows.where("text IS NOT NULL").select("lang", "text").mapInArrow(_count_grams, "lang string, gram string, c bigint")
+    # by the text, so that copies of a text set apart are not counted either
+    apart = F.pmod(F.xxhash64("text"), F.lit(APART)) == 0
+    # a language keeps its texts if it had no other
+    whole = rows.where("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").agg(F.min(apart).alias("all")).where("all").collect()
+    apart = apart & ~F.col("lang").isin([r.lang for r in whole]) if whole else apart
+    seen = rows.where("text IS NOT NULL").select(F.when(~apart, F.col("lang")).alias("lang"), "text")
+    counts = seen.mapInArrow(_count_grams, "lang string, gram string, c bigint")
     counts = written(counts.groupBy("lang", "gram").agg(F.sum("c").alias("c")), "counts")
     langs = _languages(counts)
     if not langs:
         return rows.select("id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),
                            F.lit(None).cast("double").alias("entropy"), F.lit(True).alias("rejected"))
-    sums = _sums(rows, _windows_scored(counts, langs), langs)
+    sums = _sums(rows.withColumn("lang", F.when(apart & F.col("lang").isin(langs), F.col("lang"))), _windows_scored(counts, langs), langs)
     h = F.array(*[-F.col(f"s{i}") / (FIXED * F.greatest("chars", F.lit(1))) for i in range(len(langs))])
     got = written(sums.select("id", "lang", "digest", "known", "letters", h.alias("h")).withColumn("low", F.array_min("h")), "entropies")
     got = got.withColumn("best", F.array_position("h", F.col("low")).cast("int"))
+    # the texts set apart still have their language here
     learnt = got.where(F.col("lang").isNotNull() & (F.col("letters") > 0))
-    # far beyond every training text: a text that mixes languages should stay
-    tops = {r.best: MARGIN * r.top for r in learnt.where(F.col("letters") >= SURE_FROM).groupBy("best").agg(F.max("low").alias("top")).collect()}
+    even = F.col("low") / (1 + WIDER / F.greatest("letters", F.lit(1)))
+    # far beyond what texts of the language reach: a text that mixes languages should stay
+    tops = {r.best: MARGIN * r.top for r in learnt.groupBy("best").agg(F.percentile_approx(even, 1 - FALSE_REJECTIONS, 100_000).alias("top")).collect()}
     limits = F.array(*[F.lit(tops.get(i + 1, float("inf"))) for i in range(len(langs))])
     heat = _heat(learnt, langs)
     near = F.transform("h", lambda x: F.exp((F.col("low") - x) * heat))
     score = 1 / F.aggregate(near, F.lit(0.0), lambda a, x: a + x)
-    far = (F.col("letters") >= SURE_FROM) & (F.col("low") > F.element_at(limits, F.col("best")))
+    far = even > F.element_at(limits, F.col("best"))
     names = F.array(*[F.lit(x) for x in langs])
     return got.select(
         "id", "digest", F.when(F.col("known"), F.element_at(names, F.col("best"))).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("known"), score).otherwise(0.0).alias("score"),
