@@ -525,9 +525,9 @@ def test_language_id_counts_rare_grams(spark, monkeypatch):
 
 
 def test_language_id_limits_cover_all_rows(spark, monkeypatch):
-    # the only training texts of a language and the oddest of another lie outside of the sample for the temperature
+    # most training texts lie outside of the sample for the temperature
     base = [(i, f"the house and the garden number {i} are there with them", "en") for i in range(300)]
-    base += [(i, f"das haus und der garten nummer {i} sind nicht weit von uns", "de") for i in (401, 402)]
+    base += [(i, f"das haus und der garten nummer {i} sind nicht weit von uns", "de") for i in range(401, 440)]
     base += [(500, "zxqj vkwx qzzx jjxq wvxq zkqj xxvq qqzj", None)]
     monkeypatch.setattr(langid, "CALIBRATION", 3)
     got = {r.id: r for r in langid.identify(table(spark, base)).collect()}

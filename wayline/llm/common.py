@@ -39,7 +39,7 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 #: Keys of more rows than this, or than a 4096th of all rows if that is more, are frequent: at most 4096.
-FREQUENT_ROWS = 10_000
+FREQUENT_ROWS = 1000
 
 
 def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:

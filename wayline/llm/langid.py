@@ -38,9 +38,9 @@ FIXED = 1 << 26
 APART, CALIBRATION = 8, 4000
 #: Share of the texts set apart that may lie above the limit of their language, before the margin.
 FALSE_REJECTIONS = 0.001
-#: A text is rejected when its entropy is this many times that limit.
-MARGIN = 1.5
-#: Entropies of short texts vary more: the limit of a text of n letters is wider by the factor 1 + WIDER / n.
+#: A text is rejected when its entropy is MARGIN + FEW / sqrt(n) times that limit, of n texts set apart,
+MARGIN, FEW = 1.5, 2.0
+#: and by the factor 1 + WIDER / n more, for a text of n letters: entropies of short texts vary more.
 WIDER = 10
 #: Worker memory of word scores; emptied when full.
 WORD_CACHE = 100_000
@@ -276,8 +276,8 @@ def judge(rows: DataFrame) -> DataFrame:
     `digest` is the MD5 of the text, on which the other columns depend only. `und`, score 0 and
     rejected for null texts and texts without a letter, and for all texts if nothing can be learnt.
     Equal entropies go to the first language by name. Rejected as well: texts whose entropy is above
-    the limit of their language (lang_pred still names the best one); a language without any text set apart has no
-    limit. Copies are judged alike. Texts of any length are taken whole; an empty table gives no rows; other columns are
+    the limit of their language (lang_pred still names the best one); a language without any text set apart
+    takes the widest limit of the others. Copies are judged alike. Texts of any length are taken whole; an empty table gives no rows; other columns are
     not read.
     """
     small_batches(rows.sparkSession)
@@ -299,14 +299,14 @@ def judge(rows: DataFrame) -> DataFrame:
     got = got.withColumn("best", F.array_position("h", F.col("low")).cast("int"))
     # the texts set apart still have their language here
     learnt = got.where(F.col("lang").isNotNull() & (F.col("letters") > 0))
-    even = F.col("low") / (1 + WIDER / F.greatest("letters", F.lit(1)))
     # far beyond what texts of the language reach: a text that mixes languages should stay
-    tops = {r.best: MARGIN * r.top for r in learnt.groupBy("best").agg(F.percentile_approx(even, 1 - FALSE_REJECTIONS, 100_000).alias("top")).collect()}
-    limits = F.array(*[F.lit(tops.get(i + 1, float("inf"))) for i in range(len(langs))])
+    tops = {r.best: (MARGIN + FEW / r.n**0.5) * r.top for r in learnt.groupBy("best").agg(
+        F.percentile_approx("low", 1 - FALSE_REJECTIONS, 100_000).alias("top"), F.count("*").alias("n")).collect()}
+    limits = F.array(*[F.lit(tops.get(i + 1, max(tops.values(), default=float("inf")))) for i in range(len(langs))])
     heat = _heat(learnt, langs)
     near = F.transform("h", lambda x: F.exp((F.col("low") - x) * heat))
     score = 1 / F.aggregate(near, F.lit(0.0), lambda a, x: a + x)
-    far = even > F.element_at(limits, F.col("best"))
+    far = F.col("low") > F.element_at(limits, F.col("best")) * (1 + WIDER / F.greatest("letters", F.lit(1)))
     names = F.array(*[F.lit(x) for x in langs])
     return got.select(
         "id", "digest", F.when(F.col("known"), F.element_at(names, F.col("best"))).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("known"), score).otherwise(0.0).alias("score"),
