@@ -26,7 +26,7 @@ from wayline.llm.common import slices, small_batches
 
 #: Words (with what clings to them) and border tests that a task remembers; emptied when full.
 WORD_CACHE = 150_000
-PAIR_CACHE = 250_000
+PAIR_CACHE = 180_000
 #: The pre-tokenization of byte-level BPE: fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NEVER = 1 << 40

@@ -43,7 +43,7 @@ MARGIN, FEW = 1.5, 2.0
 #: and by the factor 1 + WIDER / n more, for a text of n letters: entropies of short texts vary more.
 WIDER = 10
 #: Worker memory of word scores; emptied when full.
-WORD_CACHE = 100_000
+WORD_CACHE = 50_000
 UNKNOWN = "und"
 
 
@@ -260,6 +260,7 @@ def _sums(rows: DataFrame, windows: DataFrame, langs: list[str]) -> DataFrame:
     out = rows.select("id", "lang", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest")).mapInArrow(
         run, f"id {kind}, lang string, digest binary, known boolean, letters bigint, chars bigint, sums array<bigint>, rest array<struct<gram: string, k: bigint>>")
     out = written(out, "sums")
+    shared.destroy()
     own = [F.col("sums")[i] for i in range(len(langs))]
     if not head.whole:
         # the other windows, once for each distinct text
