@@ -30,7 +30,7 @@ ODD = [(1, None, "en"), (2, "", "en"), (3, "  \n ", None), (4, "don't  stop\n\n
 
 
 def test_registered_sql(spark):
-    assert set(ORACLE) <= set(QUERIES) and len([q for q in QUERIES if q.startswith("op")]) == 10
+    assert set(ORACLE) <= set(QUERIES) and len([q for q in QUERIES if q.startswith("op")]) == 13
 
 
 def test_bpe_matches_the_library(spark):
