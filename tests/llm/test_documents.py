@@ -77,6 +77,7 @@ def test_jaccard(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "WIDE_FROM", 5)
     monkeypatch.setattr(jaccard, "LOCAL_COPIES", 4)
+    monkeypatch.setattr(jaccard, "RANGE_ROWS", 40)
     rng = random.Random(block)
     words = [f"w{i}" for i in range(400)] + ["the", "of"] * 50
     texts = [t for _ in range(6) for t in family(rng, words, rng.choice([2, 25]), 6)]
@@ -89,6 +90,19 @@ def test_jaccard(spark, monkeypatch, block):
     assert sorted(((r.id, r.n, r.component) for r in out), key=str) == brute(rows, 4, 85, 100)
 
 
+def test_blocks_of_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    monkeypatch.setattr(jaccard, "RANGE_ROWS", 20)
+    rng = random.Random(3)
+    rows = [(key, dig, rng.randint(1, 4), rng.randint(1, 3)) for key, k in ((1, 150), (2, 9), (3, 1)) for dig in range(k)]
+    out = jaccard._blocks(spark.createDataFrame(rows, "key bigint, dig bigint, n int, comp bigint")).collect()
+    want = {}
+    for key in (1, 2, 3):
+        for at, r in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[3], r[1]))):
+            want[key, r[1]] = at // 7
+    assert {(r.key, r.dig): r.block for r in out} == want and len(out) == len(rows)
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_components(table(spark, [])).count() == 0
     assert [tuple(r) for r in jaccard.jaccard_components(table(spark, [(1, None)])).collect()] == [(1, 0, 1)]

@@ -12,7 +12,9 @@ best connected set of the group that it meets most often, so that a mass of near
 component; the traversal passes over node pairs inside one component. Larger groups use bitmaps of
 several bits per shingle, whose bounds are close to the true overlap. Groups above BLOCK members are
 cut into blocks by size, and only block pairs whose size ranges and components allow a new link are
-traversed, each in a task of its own. No pair is dropped, nothing is capped: the result is exact.
+traversed, each in a task of its own. No group is ever sorted in one task: sets of a frequent shingle are
+dealt by their digest too, and members are numbered through ranges. No pair is dropped, nothing is capped:
+the result is exact.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ WIDE_FROM = 32
 WIDE = 4
 #: Sets of one group that a single tree holds.
 BLOCK = 4096
+#: Members of large groups that one range holds, about, while they are numbered.
+RANGE_ROWS = 65_536
 FAN = 8
 
 
@@ -89,11 +93,14 @@ def _signatures(ids: str, text: str, width: int):
 
 
 def _prefixes(text: str, width: int, num: int, den: int, frequent: np.ndarray):
-    """Rows (key, dig, n): the first shingles of every set in the common order, equal sets of a batch once."""
+    """Rows (key, part, dig, n): the first shingles of every set in the common order, equal sets of a batch once.
+
+    `part` deals the sets of a frequent shingle over tasks: their digest, null for any other shingle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
-            seen, keys, digs, sizes, counts = set(), [], [], [], []
+            seen, keys, late_keys, digs, sizes, counts = set(), [], [], [], [], []
             for own in shingle_sets(b.column(text), width):
                 n = len(own)
                 d = _set_digest(own, 1) if n else 0
@@ -103,19 +110,24 @@ def _prefixes(text: str, width: int, num: int, den: int, frequent: np.ndarray):
                 take = n - (num * n + den - 1) // den + 1
                 head = own[: 2 * take + 64]
                 rare = head[~_within(head, frequent)][:take]
+                early = take
                 if len(rare) < take:
                     late = _within(own, frequent)
+                    early = min(take, n - int(late.sum()))
                     rare = np.concatenate([own[~late], own[late]])[:take]
                 keys.append(rare)
+                late_keys.append(np.arange(take) >= early)
                 counts.append(take)
                 digs.append(d)
                 sizes.append(n)
             if keys:
+                dig = np.repeat(np.array(digs, np.int64), counts)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(keys).view(np.int64)),
-                    pa.array(np.repeat(np.array(digs, np.int64), counts)),
+                    pa.array(dig, mask=~np.concatenate(late_keys)),
+                    pa.array(dig),
                     pa.array(np.repeat(np.array(sizes, np.int32), counts)),
-                ], names=["key", "dig", "n"])
+                ], names=["key", "part", "dig", "n"])
 
     return run
 
@@ -281,6 +293,24 @@ def _compare(num: int, den: int):
     return run
 
 
+def _blocks(many: DataFrame) -> DataFrame:
+    """Add `block`, of BLOCK members each, to written rows (key, dig, n, comp): numbered by key, n, comp, dig.
+
+    Rows are sorted in ranges, written with the number of their range, and counted on from the rows of the key in
+    earlier ranges: a key of any size spreads over tasks, and the blocks do not depend on the ranges.
+    """
+    order = ["key", "n", "comp", "dig"]
+    ranges = many.count() // RANGE_ROWS + 1
+    many = written(many.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "ranges")
+    earlier = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    start = many.groupBy("key", "range").agg(F.count("*").alias("rows")).select(
+        "key", "range", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("key", "range").orderBy(*order[1:])
+    at = F.col("start") + F.col("inside") - 1
+    return (many.withColumn("inside", F.row_number().over(inside)).join(start, ["key", "range"])
+            .withColumn("block", F.floor(at / BLOCK).cast("int")).drop("range", "inside", "start"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                        num: int = 80, den: int = 100) -> DataFrame:
     """(id, n, component): set size and smallest id reachable by links of similarity >= num / den, one row per row.
@@ -303,11 +333,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                                   F.min("dig2").alias("x"), F.max("dig2").alias("y"))
     reps = written(reps.where(F.when(F.col("x") == F.col("y"), True).otherwise(clash.cast("boolean"))).drop("x", "y"), "sets")
 
-    keys = rows.select("text").mapInArrow(_prefixes("text", width, num, den, frequent), "key bigint, dig bigint, n int")
-    # of the sets with a key only those matter that have another one of a fitting size: the next by size tells
-    by_size = Window.partitionBy("key").orderBy("n")
+    keys = rows.select("text").mapInArrow(_prefixes("text", width, num, den, frequent), "key bigint, part bigint, dig bigint, n int")
+    # of the sets with a rare key only those matter that have another one of a fitting size: the next by size tells;
+    # frequent keys keep all their sets, which lie apart
+    by_size = Window.partitionBy("key", "part").orderBy("n")
     fitting = (F.lag("n").over(by_size) * den >= F.col("n") * num) | (F.col("n") * den >= F.lead("n").over(by_size) * num)
-    shared = written(keys.withColumn("fits", fitting).where("fits").select("key", "dig", "n").distinct(), "shared")
+    fitting = F.col("part").isNotNull() | F.coalesce(fitting, F.lit(False))
+    shared = written(keys.withColumn("fits", fitting).where("fits").select("key", "part", "dig", "n").distinct().drop("part"), "shared")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of set digests whose texts reach the threshold: by wide bitmaps, then exactly."""
@@ -340,8 +372,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     open_keys = grouped.groupBy("key").agg(F.count("*").alias("k"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", "k")
     grouped = written(grouped.join(open_keys, "key").select("key", "dig", "n", "comp", "k"), "open")
     few = grouped.where(F.col("k") <= BLOCK).select("key", "k", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "dig", "n", "comp")
-    order = Window.partitionBy("key").orderBy("n", "comp", "dig")
-    many = grouped.where(F.col("k") > BLOCK).withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
+    many = _blocks(grouped.where(F.col("k") > BLOCK))
     span = many.groupBy("key", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     l, r = span.alias("l"), span.alias("r")
     cells = (l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.block") <= F.col("r.block"))
