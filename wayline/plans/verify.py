@@ -65,6 +65,10 @@ def main(argv: list[str]) -> int:
     from wayline.session import build_session
 
     sf_dir, wanted = argv[0], argv[1:]
+    unknown = [w for w in wanted if not any(name.startswith(w) for name in QUERIES)]
+    if unknown:
+        print("no such query:", *unknown)
+        return len(unknown)
     spark = build_session(8)
     spark.sparkContext.setLogLevel("ERROR")
     bad = 0
