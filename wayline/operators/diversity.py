@@ -14,11 +14,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayline.functions.text import token_count, tokens
+from wayline.operators import grams as G
 from wayline.operators.ordered import cut, neighbours, running_offsets
 from wayline.operators.sampling import sample_rows
 
@@ -52,7 +54,7 @@ def check_ids(df: DataFrame, group: Sequence[str], ids: Sequence[str]) -> None:
 class Corpus:
     """A corpus tokenized and written once, for several statistics: rows (group, ids, text, number of the text, tokens).
 
-    The n-grams of its texts are counted and written when a statistic first needs them.
+    The n-grams of its texts are counted and written, packed, when a statistic first needs them.
     """
 
     def __init__(self, df: DataFrame, group: Sequence[str] = GROUP, ids: Sequence[str] | None = None, text: str = "text"):
@@ -63,7 +65,7 @@ class Corpus:
         self._counts: dict[int, DataFrame] = {}
 
     def counts(self, n: int) -> DataFrame:
-        """Rows (group, text number, n-gram order m, n-gram, count) of all 1..n-grams."""
+        """The packed counts of all 1..n-grams."""
         if n not in self._counts:
             self._counts[n] = cut(_gram_counts(self.words, self.group, n))
         return self._counts[n]
@@ -272,7 +274,7 @@ def _with_following(words: DataFrame, group: Sequence[str], ids: Sequence[str],
     # always blocked: windows over the whole group would leave every later step partitioned by group
     heads = running_offsets(words.select(*group, *ids, F.slice("_w", 1, need).alias("_head")), group, ids, F.lit(1), "_pos", words.select(*group).count())
     near = neighbours(heads, key, {f"_h{i}": ("_head", i) for i in range(1, need + 1)}, "_pos", TEXT_BLOCK)
-    nothing = F.array().cast("array<string>")
+    nothing = F.array().cast("array<bigint>")
     after = F.slice(F.concat(*[F.coalesce(F.col(f"_h{i}"), nothing) for i in range(1, need + 1)]), 1, need)
     # both sides grow with the data; a merge join also keeps the texts spread out for what follows
     return words.join(near.select(*group, *ids, after.alias("_after")).hint("merge"), [*group, *ids])
@@ -282,43 +284,55 @@ def self_repetition(df: DataFrame | Corpus, n: int = 4, match: str = "substring"
                     ids: Sequence[str] | None = None, text: str = "text") -> DataFrame:
     """Mean over texts of ln(1 + sum over its n-grams of the texts containing it - number of its n-grams).
 
-    Join keys start with the n-gram: sorting compares leading columns first, and the
-    group is the same for most rows. N-grams of very many texts are joined by broadcast (see `_on_grams`).
     With `substring`, a text contains t1..tn when it has tokens x1 t2 .. t(n-1) xn with
     x1 ending in t1 and xn starting with tn. Comparing n-grams that share their inner
     tokens would be quadratic for frequent ones. Instead outer tokens are cut to the
     shorter forms that occur beside the same inner tokens and looked up, so work stays
     linear in the tokens.
+
+    N-grams that may match meet in one bucket and are shuffled packed (see `grams`). Only those of very many texts
+    are taken apart and joined as rows, with the most frequent ones by broadcast (see `_on_grams`).
     """
-    if n < 3 and match == "substring":
+    substring = match == "substring"
+    if n < 3 and substring:
         raise ValueError("substring matching needs n >= 3")
-    if isinstance(df, Corpus):
-        g, words, parts = df.group, df.words, F.split("gram", " ")
-        rows = df.counts(n).where(F.col("m") == n).select(
-            *g, "_x", parts[0].alias("a"), F.array_join(F.slice(parts, 2, n - 2), " ").alias("m"), parts[n - 1].alias("z"), F.col("c").alias("_c"))
-    else:
-        g, names = list(group), [f"w{k}" for k in range(1, n + 1)]
-        words = _numbered(df, g, _ids(df, ids), text)
-        has = (
-            words.repartition("_x").select(*g, "_x", F.inline(_shifted("_t", n, F.size("_t")))).where(F.col(names[-1]).isNotNull())
-            .select(*g, "_x", F.col("w1").alias("a"), F.concat_ws(" ", *names[1:-1]).alias("m"), F.col(names[-1]).alias("z"))
-        )
-        rows = has.groupBy(*g, "_x", "a", "m", "z").agg(F.count(F.lit(1)).alias("_c"))
-    rows = cut(rows)
+    g, words = (df.group, df.words) if isinstance(df, Corpus) else (list(group), _numbered(df, list(group), _ids(df, ids), text))
+    seeded = _seeded(words, g)
+    count = G.buckets(words, F.size("_t"))
+    # a key has no more rows than all texts have n-grams
+    frequent = G.frequent_keys(seeded, n, substring, count, FREQUENT) if (words.agg(F.sum(F.size("_t"))).first()[0] or 0) > FREQUENT else np.empty(0, np.uint64)
+    parts = G.repeated(seeded, n, substring, count, frequent)
+    if len(frequent):
+        parts = parts.unionByName(_repeated_rows(cut(G.plain_grams(seeded, n, substring, frequent)), substring))
+    per_text = parts.groupBy("_x").agg(F.log(1 + F.sum("s")).alias("_s"))
+    sums = words.select(*g, "_x").join(per_text, "_x").groupBy(*g).agg(F.sum("_s").alias("_sum"))
+    sizes = words.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.join(sums, g, "left").select(*g, (F.coalesce("_sum", F.lit(0.0)) / F.col("_n")).alias("self_rep"))
+
+
+def _seeded(words: DataFrame, g: Sequence[str]) -> DataFrame:
+    """Texts as `grams` takes them: a seed for each group, and hashes of the tokens."""
+    return words.select("_x", F.xxhash64(*g).alias("_g"), G.hashed("_t").alias("_h"), F.coalesce("_t", F.array().cast("array<string>")).alias("_t"))
+
+
+def _repeated_rows(rows: DataFrame, substring: bool) -> DataFrame:
+    """Rows (text number, count of an n-gram times the other texts that contain it) of n-grams as rows.
+
+    Join keys start with the n-gram: sorting compares leading columns first, and the group is the same for most rows.
+    """
+    g = ["_g"]
     gram = ["m", "a", "z", *g]
     spread = rows.groupBy(*gram).agg(F.count(F.lit(1)).alias("_texts"))
-    if match == "substring":
+    if substring:
         spread = _add_containing(cut(spread), rows, g)
     # an n-gram of a single text adds nothing
     shared = cut(spread.where(F.col("_texts") > 1))
-    per_text = _on_grams(rows, shared, gram).groupBy(*g, "_x").agg(F.log(1 + F.sum(F.col("_c") * (F.col("_texts") - 1))).alias("_s"))
-    sums = per_text.groupBy(*g).agg(F.sum("_s").alias("_sum"))
-    sizes = words.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.join(sums, g, "left").select(*g, (F.coalesce("_sum", F.lit(0.0)) / F.col("_n")).alias("self_rep"))
+    return _on_grams(rows, shared, gram).select("_x", (F.col("_c") * (F.col("_texts") - 1)).alias("s"))
 
 
-#: An n-gram of more texts is frequent; a 65536th of all rows if that is more, so no more than 65536 are.
-FREQUENT = 20_000
+#: N-grams that may match and have more rows than this are frequent: a bucket holds the rows of all others. Of the frequent ones,
+#: those of more texts than this are broadcast; of more than a 65536th of all rows if that is more, so no more than 65536 are.
+FREQUENT = 1_000_000
 
 
 def _on_grams(rows: DataFrame, table: DataFrame, gram: list[str]) -> DataFrame:
@@ -384,10 +398,8 @@ def _join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner")
 
 
 def _gram_counts(words: DataFrame, g: list[str], n: int = 4) -> DataFrame:
-    """Rows (group, text number, n-gram order m, n-gram, count)."""
-    # texts are moved once, so that the n-grams of a text (many times its size) are counted where it is
-    rows = _ngrams(words.repartition("_x").select(*g, "_x", "_t"), [*g, "_x"], n, F.size("_t"), "_t")
-    return rows.groupBy(*g, "_x", "m", "gram").agg(F.count(F.lit(1)).alias("c"))
+    """Top counts of the 1..n-grams of the texts, packed (see `grams.top_counts`)."""
+    return G.top_counts(_seeded(words, g), n, G.buckets(words, F.size("_t")))
 
 
 def _bleu(hits: list[Column], totals: list[Column], ref_len: Column, hyp_len: Column) -> Column:
@@ -405,8 +417,7 @@ def self_bleu(df: DataFrame | Corpus, group: Sequence[str] = GROUP, ids: Sequenc
     The clip of an n-gram is its highest count in another text. So a text loses hits by an n-gram only
     if it alone has the top count, and then the distance to the runner-up: every n-gram takes from one
     text at most. Losses are read off the n-grams and summed for their texts, so no row of a text
-    goes back to its n-grams. That an n-gram has a second text is worth one hit, a second text with a
-    higher count the rest: all rows count the first, the few with a count above 1 the second.
+    goes back to its n-grams. Top and runner-up merge, so a piece of a task sends an n-gram once (see `grams`).
     The reference length is the nearest other length (shorter on a tie), read off the histogram of
     lengths. Nothing is compared pairwise.
     """
