@@ -89,7 +89,7 @@ def _tokens(df: DataFrame | Corpus, text: str) -> tuple[DataFrame, Column]:
 
 def _token_blocks(df: DataFrame | Corpus, group: Sequence[str], ids: Sequence[str], text: str, before: int,
                   lemma: DataFrame | None) -> DataFrame:
-    """Cut the concatenated corpus into blocks of TOKEN_BLOCK tokens plus the `before` tokens ahead of each.
+    """Cut the concatenated corpus into blocks of TOKEN_BLOCK tokens, as hashes, plus the `before` tokens ahead of each.
 
     Texts are cut at block borders and travel as array slices, so the shuffle carries
     arrays, not one row per token. The end of the corpus may leave a last block of
@@ -99,6 +99,7 @@ def _token_blocks(df: DataFrame | Corpus, group: Sequence[str], ids: Sequence[st
     words = rows.select(*group, *ids, split.alias("_t"))
     if lemma is not None:
         words = _relabel(words, [*group, *ids], "_t", lemma, "lemma", keep_unknown=True)
+    words = words.withColumn("_t", G.hashed("_t"))
     placed = running_offsets(words.where(F.size("_t") > 0), group, ids, F.size("_t"), "_o", rows.count())
     size = F.size("_t").cast("long")
     first, last = F.floor(F.col("_o") / TOKEN_BLOCK), F.floor((F.col("_o") + size - 1 + before) / TOKEN_BLOCK)
@@ -112,6 +113,36 @@ def _token_blocks(df: DataFrame | Corpus, group: Sequence[str], ids: Sequence[st
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_lo", "_p"))), lambda s: s["_p"])).alias("_t"))
 
 
+def _block_types(group: list[str], w: int, before: int, size: int):
+    """For every block, the types that its own tokens add to windows, its last position, and (p, q) of its last w tokens."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, flat = b.column("_t").offsets.to_numpy().astype(np.int64), b.column("_t").values.to_numpy(zero_copy_only=False)
+            block = b.column("_b").to_numpy(zero_copy_only=False)
+            sums, last, tails, cuts = [], [], [], [0]
+            for i, at in enumerate(block.tolist()):
+                t = flat[ends[i] : ends[i + 1]]
+                halo = min(before, at * size)
+                base = at * size - halo
+                order = np.argsort(t, kind="stable")
+                seen = np.full(len(t), -1, np.int64)
+                same = t[order[1:]] == t[order[:-1]]
+                seen[order[1:][same]] = order[:-1][same] + base
+                p = np.arange(base, base + len(t))
+                first = np.maximum(np.maximum(seen + 1, p - w + 1), 0)
+                sums.append(int((p - first + 1)[halo:].sum()))
+                last.append(base + len(t) - 1)
+                tails.append(np.stack([p, seen], 1)[-w:])
+                cuts.append(cuts[-1] + len(tails[-1]))
+            tail = np.concatenate(tails) if tails else np.zeros((0, 2), np.int64)
+            pairs = pa.StructArray.from_arrays([pa.array(tail[:, 0]), pa.array(tail[:, 1])], names=["p", "q"])
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(c) for c in group], b.column("_b"), pa.array(sums, pa.int64()), pa.array(last, pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pairs)], names=[*group, "_b", "_g", "_p", "_tail"])
+
+    return run
+
+
 def _relabel(words: DataFrame, ids: Sequence[str], col: str, table: DataFrame, to: str, keep_unknown: bool,
              default: str = "NN") -> DataFrame:
     """Replace every token of an array column by its entry in a (word, `to`) table."""
@@ -138,21 +169,14 @@ def mattr(df: DataFrame | Corpus, window: int = 50, group: Sequence[str] = GROUP
     w = window
     before = 2 * (w - 1)  # exact q also for the w-1 tokens ahead of the block
     blocks = _token_blocks(df, group, df.ids if isinstance(df, Corpus) else _ids(df, ids), text, before, lemma)
-    part = [*group, "_b"]
-    # the blocks are already partitioned by `part`, so this window adds no exchange
-    seen = F.lag("_i").over(Window.partitionBy(*part, "_w").orderBy("_i"))
-    rows = blocks.select(*part, F.size("_t").alias("_n"), F.posexplode("_t").alias("_i", "_w")).withColumn("_q", seen)
-    halo = F.least(F.lit(before).cast("long"), F.col("_b") * TOKEN_BLOCK)
-    base = F.col("_b") * TOKEN_BLOCK - halo
-    rows = rows.select(*part, "_i", (F.col("_i") >= halo).alias("_own"), (F.col("_i") >= F.col("_n") - w).alias("_late"),
-                       (base + F.col("_i")).alias("p"), F.coalesce(base + F.col("_q"), F.lit(-1)).alias("q"))
+    types = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
+    keep = ", ".join(f"`{c}` {types[c]}" for c in group)
+    # a block is a row of numbers, worked on where it is: no token becomes a row
+    sums = blocks.mapInArrow(_block_types(list(group), w, before, TOKEN_BLOCK), f"{keep}, _b long, _g long, _p long, _tail array<struct<p:bigint,q:bigint>>")
 
     def first(p: Column, q: Column) -> Column:
         return F.greatest(q + 1, p - w + 1, F.lit(0))
 
-    sums = rows.groupBy(*part).agg(
-        F.sum(F.when(F.col("_own"), F.col("p") - first(F.col("p"), F.col("q")) + 1).otherwise(0)).alias("_g"),
-        F.max("p").alias("_p"), F.collect_list(F.when(F.col("_late"), F.struct("p", "q"))).alias("_tail"))
     whole = sums.groupBy(*group).agg(
         F.sum("_g").alias("_g"), (F.max("_p") + 1).alias("_N"), F.max_by("_tail", F.struct(F.col("_p"), -F.col("_b"))).alias("_tail"))
     end = F.col("_N") - w  # last window start
