@@ -206,3 +206,49 @@ def test_ids_are_checked_without_texts(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "t")).groupBy("inst_alias", "episode_id").count()
     assert "text" not in rows._jdf.queryExecution().executedPlan().toString()
     DV.check_ids(spark.read.parquet(str(tmp_path / "t")), ["inst_alias"], ["episode_id"])
+
+
+def test_grams_in_many_pieces_and_buckets(spark, df, monkeypatch):
+    """N-grams of a few texts each meet again in the buckets: small pieces and buckets change nothing, whatever the numbers of the texts."""
+    want = {f.__name__: value(f(df), name) for f, name in ((DV.self_bleu, "self_bleu"), (DV.ngram_diversity, "ngd"), (DV.self_repetition, "self_rep"))}
+    alone = value(DV.self_repetition(df, match="token"), "self_rep")
+    count = DV.G.buckets
+    monkeypatch.setattr(DV.G, "buckets", lambda *a: 7 * count(*a))
+    assert value(DV.self_bleu(df), "self_bleu") == pytest.approx(want["self_bleu"])
+    assert value(DV.ngram_diversity(df), "ngd") == pytest.approx(want["ngram_diversity"])
+    assert value(DV.self_repetition(df), "self_rep") == pytest.approx(want["self_repetition"])
+    assert value(DV.self_repetition(df, match="token"), "self_rep") == pytest.approx(alone)
+
+
+def test_pieces_hold_whole_texts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(DV.G, "GRAM_TOKENS", 4)
+    texts = [[1, 2, 3], [], [4], [5, 6, 7, 8, 9, 10], [1, 2], [3]]
+    numbers = [7, 8, 20, 21, 3, 3 + DV.G.GRAM_TEXTS]
+    batch = pa.RecordBatch.from_arrays([pa.array(numbers), pa.array([0] * 6), pa.array(texts, pa.list_(pa.int64()))], names=["_x", "_g", "_h"])
+    found = {}
+    for p in DV.G.pieces(iter([batch])):
+        assert not len(p.owner) or p.owner.max() < DV.G.GRAM_TEXTS
+        for w, o, left in zip(p.words.tolist(), p.owner.tolist(), p.left.tolist()):
+            found.setdefault(p.first + o, []).append((w, left))
+    assert found == {x: [(w, len(t) - i) for i, w in enumerate(t)] for x, t in zip(numbers, texts) if t}
+
+
+def test_texts_that_contain_longer_forms():
+    """Against every pair of rows of a key."""
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(3), rng.choice(WORDS), rng.choice(WORDS), rng.randrange(9)) for _ in range(300)]
+    rows = sorted(set(rows))
+    key, a, z, x = (np.array(c, t) for c, t in zip(zip(*rows), (np.uint64, object, object, np.int64)))
+    want = [len({r[3] for r in rows if r[0] == k and r[1].endswith(s) and r[2].startswith(e)}) for k, s, e, _ in rows]
+    assert DV.G._containing(key, a, z, x).tolist() == want
+
+
+def test_no_token_or_ngram_becomes_a_row(df):
+    """Statistics over n-grams shuffle buckets, and the moving ratio whole blocks: no plan explodes tokens."""
+    for f in (DV.mattr, DV.ngram_diversity, DV.self_bleu, DV.self_repetition):
+        plan = f(df)._jdf.queryExecution().optimizedPlan().toString()
+        assert "inline(" not in plan and "posexplode(" not in plan, f.__name__

@@ -258,8 +258,8 @@ def ngram_diversity(df: DataFrame | Corpus, n: int = 4, cross_text: bool = True,
 
     N-grams run across text borders. A text needs only the n-1 words that follow it,
     and every text has at least one (maybe empty) word, so the next n-1 texts suffice.
-    The heads of texts are all that is ordered; words are never shuffled, only
-    n-grams, after partial aggregation.
+    The heads of texts are all that is ordered. N-grams are told apart by hashes and shuffled
+    packed, each once for a piece of a task (see `grams`).
     """
     if isinstance(df, Corpus):
         df, ids, text = df.words, df.ids, "text"
@@ -267,29 +267,17 @@ def ngram_diversity(df: DataFrame | Corpus, n: int = 4, cross_text: bool = True,
         ids = _ids(df, ids)
         if cross_text:
             check_ids(df, group, ids)
-    words = df.select(*group, *ids, F.split(F.coalesce(text, F.lit("")), " ").alias("_w"))
+    words = df.select(*group, *ids, G.hashed(F.split(F.coalesce(text, F.lit("")), " ")).alias("_w"))
+    count = G.buckets(words, F.size("_w"))
     if cross_text:
         words = _with_following(words, group, ids, n - 1)
     else:
-        words = words.withColumn("_after", F.array().cast("array<string>"))
-    rows = words.select(*group, F.size("_w").alias("_s"), F.concat("_w", "_after").alias("_w"))
-    distinct = _ngrams(rows, group, n, F.col("_s")).groupBy(*group, "m", "gram").agg(F.count(F.lit(1)).alias("_c"))
-    ratio = distinct.groupBy(*group, "m").agg((F.count(F.lit(1)) / F.sum("_c")).alias("_r"))
-    return ratio.groupBy(*group).agg(F.sum("_r").alias("ngd"))
-
-
-def _shifted(words: str, n: int, starts: Column) -> Column:
-    """Array of structs (w1..wn) for the first `starts` positions; null beyond the end."""
-    return F.arrays_zip(*[F.slice(words, F.lit(i), starts).alias(f"w{i}") for i in range(1, n + 1)])
-
-
-def _ngrams(rows: DataFrame, keep: Sequence[str], n: int, starts: Column, words: str = "_w") -> DataFrame:
-    """Rows (keep..., m, gram) of all 1..n-grams. Slices are zipped, so no lambda runs per token."""
-    quads = rows.select(*keep, F.inline(_shifted(words, n, starts)))
-    names = [f"w{i}" for i in range(1, n + 1)]
-    forms = [F.struct(F.lit(m).alias("m"), F.when(F.col(f"w{m}").isNotNull(), F.concat_ws(" ", *names[:m])).alias("gram"))
-             for m in range(1, n + 1)]
-    return quads.select(*keep, F.inline(F.array(*forms))).where(F.col("gram").isNotNull())
+        words = words.withColumn("_after", F.array().cast("array<bigint>"))
+    seed = F.xxhash64(*group).alias("_g")
+    rows = words.select(seed, F.size("_w").alias("_s"), F.concat("_w", "_after").alias("_h"))
+    parts = G.distinct_grams(rows, n, count).groupBy("_g", "_m").agg((F.sum("kinds") / F.sum("total")).alias("_r"))
+    ratio = parts.groupBy("_g").agg(F.sum("_r").alias("ngd"))
+    return df.select(*group).distinct().withColumn("_g", seed).join(ratio, "_g").select(*group, "ngd")
 
 
 def _with_following(words: DataFrame, group: Sequence[str], ids: Sequence[str], need: int) -> DataFrame:
@@ -449,17 +437,9 @@ def self_bleu(df: DataFrame | Corpus, group: Sequence[str] = GROUP, ids: Sequenc
     g = corpus.group if corpus else list(group)
     words = corpus.words if corpus else _numbered(df, g, _ids(df, ids), text)
     counts = corpus.counts(n) if corpus else _gram_counts(words, g, n)
-    level = F.explode(F.when(F.col("c") > 1, F.array(F.lit(0).cast("long"), "c")).otherwise(F.array(F.lit(0).cast("long"))))
-    # one exchange for both uses; a filter on the level itself would be pushed below it and part them
-    levels = counts.select(*g, "_x", "m", "gram", level.alias("_l")).groupBy(*g, "m", "gram", "_l").agg(
-        F.count(F.lit(1)).alias("k"), F.max("_x").alias("_x"), F.max("_l").alias("level"))
-    alone = levels.where((F.col("level") == 0) & (F.col("k") == 1)).select("_x", "m", F.lit(1).cast("long").alias("loss"))
-    tops = levels.where(F.col("level") > 0).groupBy(*g, "m", "gram").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("level", "k", "_x")))), 1, 2).alias("_l"))
-    top = F.col("_l")[0]
-    above = tops.where(top["k"] == 1).select(
-        top["_x"].alias("_x"), "m", (top["level"] - F.coalesce(F.get("_l", F.lit(1))["level"], F.lit(1))).alias("loss"))
+    losses = G.losses(counts, G.buckets(words, F.size("_t")))
     orders = range(1, n + 1)
-    lost = alone.unionByName(above).groupBy("_x").agg(*[F.sum(F.when(F.col("m") == m, F.col("loss")).otherwise(0)).alias(f"_d{m}") for m in orders])
+    lost = losses.groupBy("_x").agg(*[F.sum(F.when(F.col("m") == m, F.col("loss")).otherwise(0)).alias(f"_d{m}") for m in orders])
     lengths = words.select(*g, "_x", F.size("_t").cast("long").alias("_len"))
     hist = lengths.groupBy(*g, "_len").agg(F.count(F.lit(1)).alias("_k"))
     w = Window.partitionBy(*g).orderBy("_len")
