@@ -191,3 +191,19 @@ def test_offsets_over_levels_of_slices(spark, monkeypatch, digits, rows):
         for _, i, n in sorted((hashlib.md5(str(i).encode()).hexdigest(), i, n) for h, i, n in data if h == g):
             want[g, i], at = at, at + n
     assert got == want
+
+
+def test_large_tables_get_more_tasks(spark, monkeypatch):
+    """What a task sorts is bounded by rows; later steps along the same key add no exchange."""
+    from wayline.operators import ordered as O
+
+    monkeypatch.setattr(O, "TASK_ROWS", 10)
+    df = spark.range(300).select((F.col("id") % 40).alias("k"), (F.col("id") * 7919 % 1009).alias("t"))
+    out = O.is_last(O.number_rows(df, ["k"], ["t"], F.col("t")), ["k"])
+    assert out.rdd.getNumPartitions() == 30
+    want = {}
+    for k, t in sorted((i % 40, i * 7919 % 1009) for i in range(300)):
+        want.setdefault(k, []).append(t)
+    rows = out.collect()
+    assert sorted((r["k"], r["frame_idx"], r["t"]) for r in rows) == sorted((k, i, t) for k, ts in want.items() for i, t in enumerate(ts))
+    assert all(r["_last"] == (r["frame_idx"] == len(want[r["k"]]) - 1) for r in rows)

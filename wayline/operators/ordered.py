@@ -26,6 +26,8 @@ from pyspark.sql.window import Window
 
 BLOCK = 4096
 HOT_ROWS = 65536
+#: Rows of one task on average that sorts whole keys; a table of more rows gets more tasks.
+TASK_ROWS = 100_000
 
 IDX = "frame_idx"
 # the folder of a session on one machine that names none
@@ -72,21 +74,34 @@ def sequence_block(df: DataFrame, key: Sequence[str], hot_rows: int = HOT_ROWS)
     The limit, `hot_rows`, doesn't depend on the size of the table. Costs one aggregation
     with map-side combine that reads the key columns only.
     """
-    top = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return BLOCK if top and top > hot_rows else None
+    return BLOCK if _largest(df, key)[0] > hot_rows else None
+
+
+def _largest(df: DataFrame, key: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest key, and of all."""
+    top, rows = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n"), F.sum("_n")).first()
+    return top or 0, rows or 0
+
+
+def _dealt(df: DataFrame, key: Sequence[str], rows: int) -> DataFrame:
+    """Deal large tables by key to as many tasks as their rows ask for, so that what a task sorts doesn't grow with the table."""
+    tasks = -(-rows // TASK_ROWS)
+    return df.repartition(tasks, *key) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def number_rows(df: DataFrame, key: Sequence[str], order: Sequence[Column | str], coarse: Column,
-                name: str = IDX, hot_rows: int = HOT_ROWS) -> DataFrame:
+                name: str = IDX, hot_rows: int = HOT_ROWS, deal: Sequence[str] | None = None) -> DataFrame:
     """Add the 0-based position of each row inside its key.
 
     `coarse` is a column that never decreases along `order` (a day, a leading
     number). Keys of more than `hot_rows` rows are numbered one coarse bucket at a time
-    and shifted by the rows of the earlier buckets.
+    and shifted by the rows of the earlier buckets. Others are dealt to tasks by the columns `deal` of the
+    key (all of it; name those that are no constants, which Spark takes out of later steps).
     """
-    if sequence_block(df, key, hot_rows) is None:
+    top, rows = _largest(df, key)
+    if top <= hot_rows:
         at = F.row_number().over(_key_window(key).orderBy(*order)).cast("long")
-        return df.withColumn(name, at - 1)
+        return _dealt(df, deal or key, rows).withColumn(name, at - 1)
     sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     hot = sizes.where(F.col("_n") > hot_rows).select(*key, F.lit(True).alias("_hot"))
     marked = df.join(hot, list(key), "left").withColumn("_c", F.when(F.col("_hot"), coarse))

@@ -27,7 +27,7 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
         F.when(kind == "purchase", 2).when(kind == "signup", 3).otherwise(1).alias("action"),
         kind.alias("obj"), "event_id", "value", "ts")
     hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
-    return number_rows(rows, KEY, ["ts", "event_id"], hour).drop("ts")
+    return number_rows(rows, KEY, ["ts", "event_id"], hour, deal=["episode_id"]).drop("ts")
 
 
 _BLOCKS: dict[tuple[str, str], int | None] = {}
