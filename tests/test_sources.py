@@ -391,3 +391,38 @@ def test_a_failed_job_leaves_nothing(spark, tmp_path):
     assert len(back) == 40 and {r["text"] for r in back} == {"t\n%"}
     assert {r["summary"] for r in S.scan_infos(spark, str(tmp_path / "src"), ["s"], "a b").collect()} == {"sum"}
     assert S.scan_outputs(spark, str(tmp_path / "src"), "a b").count() == 40 and not list((tmp_path / "src").glob(".staging*"))
+
+
+def test_a_rater_reads_and_writes_its_state_once():
+    """All answers of a rater are one value, and rows are taken one by one."""
+    from pyspark.sql import Row
+
+    from wayline.streaming import live
+
+    class Value:
+        value, uses = None, 0
+
+        def get(self):
+            self.uses += 1
+            return self.value
+
+        def update(self, value):
+            self.uses += 1
+            self.value = value
+
+    kept = Value()
+    answers = live._Answers(3, 1, 2)
+    answers.init(type("Handle", (), {"getValueState": lambda self, *a: kept})())
+
+    def step(*rows):
+        kept.uses = 0
+        out = [tuple(r) for r in answers.handleInputRows(("r",), iter(Row(path=p, question=q, system=s) for p, q, s in rows), None)]
+        assert kept.uses <= 2
+        return sorted(out, key=str)
+
+    assert step(("p", "a", "x")) == []
+    assert step(("p", "b", "y")) == sorted([("r", "a", None, 0, 1), ("r", "b", None, 0, 1), ("r", "a", "x", 1, 0), ("r", "b", "y", 1, 0)], key=str)
+    assert step(("p", "a", "x")) == []
+    # all systems ticked: what was counted is withdrawn, for good
+    assert step(("p", "a", "y"), ("p", "a", "z")) == sorted([("r", "a", None, 0, -1), ("r", "b", None, 0, -1), ("r", "a", "x", -1, 0), ("r", "b", "y", -1, 0)], key=str)
+    assert step(("p", "b", "x")) == []

@@ -7,7 +7,7 @@ from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -142,42 +142,34 @@ def stream_votes(submissions: DataFrame, paths: int = 1, questions: int = 1, sys
 
 
 class _Answers(StatefulProcessor):
-    """All answers of a rater so far, and whether they are counted."""
+    """All answers of a rater so far, and whether they are counted: one value, for each access to the state costs more than the work."""
 
     def __init__(self, systems: int, paths: int, questions: int):
         self.systems, self.paths, self.questions = systems, paths, questions
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.cells = handle.getMapState("cells", "path string, question string", "systems array<string>")
-        self.standing = handle.getValueState("standing", "counted boolean, out boolean")
+        self.standing = handle.getValueState("standing", "counted boolean, out boolean, cells array<struct<path:string,question:string,systems:array<string>>>")
 
     def _changes(self, cells: dict, sign: int) -> list[tuple]:
         """An answer for each cell, and a vote for each of its systems."""
         rows = [(question, None, 0, sign) for _, question in cells]
         return rows + [(question, system, sign, 0) for (_, question), ticks in cells.items() for system in ticks]
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        counted, out = self.standing.get() if self.standing.exists() else (False, False)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        counted, out, cells = self.standing.get() or (False, False, [])
         if out:  # too many paths or all systems ticked: answers are only added, so that stays
             return
-        before = {k: sorted(v[0]) for k, v in self.cells.iterator()}
+        before = {(path, question): sorted(systems) for path, question, systems in cells}
         now = {k: set(v) for k, v in before.items()}
-        for pdf in rows:
-            for path, question, system in zip(pdf["path"], pdf["question"], pdf["system"]):
-                now.setdefault((path, question), set()).update([] if system is None else [system])
+        for r in rows:
+            now.setdefault((r.path, r.question), set()).update([] if r.system is None else [r.system])
         n = len({path for path, _ in now})
         out = n > self.paths or len(now) > self.paths * self.questions or any(len(t) >= self.systems for t in now.values())
         valid = not out and n == self.paths and len(now) == self.paths * self.questions and all(now.values())
         changes = (self._changes(before, -1) if counted else []) + (self._changes({k: sorted(t) for k, t in now.items()}, 1) if valid else [])
-        if out:
-            self.cells.clear()
-        else:
-            for k, t in now.items():
-                if sorted(t) != before.get(k):
-                    self.cells.updateValue(k, (sorted(t),))
-        self.standing.update((valid, out))
+        self.standing.update((valid, out, [] if out else [(*k, sorted(t)) for k, t in now.items()]))
         if changes and not (counted and valid and now == {k: set(v) for k, v in before.items()}):
-            yield pd.DataFrame([(key[0], *c) for c in changes], columns=["rater", "question", "system", "votes", "answers"])
+            yield from (Row(rater=key[0], question=q, system=system, votes=v, answers=n) for q, system, v, n in changes)
 
     def close(self) -> None:
         pass
@@ -194,7 +186,7 @@ def rater_changes(submissions: DataFrame, systems: int, paths: int = 5, question
     submission that completes the answers to the one that breaks a rule. Start it inside `keyed_state`.
     """
     rows = explode_answers(submissions).select(*[F.col(c).cast("string").alias(c) for c in ("rater", "path", "question", "system")])
-    return rows.groupBy("rater").transformWithStateInPandas(_Answers(systems, paths, questions), CHANGES, "append", "None")
+    return rows.groupBy("rater").transformWithState(_Answers(systems, paths, questions), CHANGES, "append", "None")
 
 
 def running_tally(changes: DataFrame) -> DataFrame:
