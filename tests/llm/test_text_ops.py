@@ -52,6 +52,29 @@ def test_bpe_on_random_strings():
         assert np.frombuffer(coder.encode(t), np.int32).tolist() == e.ids
 
 
+def test_bpe_words_of_a_batch_are_worked_out_together(monkeypatch):
+    library, coder = Tokenizer.from_file(P.path("byte_bpe_50k.json")), bpe.Encoder(bpe.load(P.path("byte_bpe_50k.json")))
+    monkeypatch.setattr(bpe, "WORD_CACHE", 60)
+    calls, short = [], coder._short
+    monkeypatch.setattr(coder, "_short", lambda words: calls.append(len(words)) or short(words))
+    random.seed(4)
+    bits = ["a", "th", "ing", "é", "日本語", "🙂", "12", "'s", "!", "ZZ", "\n", "\t"]
+    words = ["".join(random.choices(bits, k=random.randint(1, 9))) for _ in range(400)]
+    texts = [" ".join(random.choices(words, k=20)) for _ in range(100)] + ["", " a  b ", "x" * 2500 + "éß" * 700, "one<|endoftext|> two <|endoftext|>", "<|endoftext|>"]
+    for _ in range(2):
+        ids, ends = coder.encode_all(texts)
+        assert len(calls) <= 2 and sum(calls) > 0
+        calls.clear()
+        want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+        assert coder.decode_all(ids, ends).to_pylist() == [library.decode(x, skip_special_tokens=False) for x in want]
+    assert max(len(coder.known), len(coder.spaced)) <= 60
+    # halves of characters
+    odd = [want[i][::2] for i in range(100)]
+    flat, stops = np.concatenate([np.array(x, np.int32) for x in odd]), np.cumsum([len(x) for x in odd])
+    assert coder.decode_all(flat, stops).to_pylist() == [b"".join(coder.t.tokens[i] for i in x).decode("utf-8", "replace") for x in odd]
+
+
 def test_bpe_decode(spark):
     rows = spark.createDataFrame([(1, [15496, 995]), (2, []), (3, None), (4, [50256, 128])], "id int, ids array<int>")
     got = {r.id: r.decoded for r in bpe.decode(rows, P.path("byte_bpe_50k.json")).collect()}
