@@ -363,6 +363,43 @@ def test_writes_are_committed_or_leave_nothing(tmp_path):
         FileWriter({"path": "s3://bucket/x"})
 
 
+def test_staged_blocks_are_named_by_tasks_that_may_be_tried_again(spark, tmp_path, monkeypatch):
+    import os
+    from pathlib import Path
+
+    from wayline.sources import episodes as E
+
+    root = tmp_path / "src"
+    (root / "s" / "e0").mkdir(parents=True)
+    (root / "s" / "e0" / "0.info").write_bytes(b"left over")
+    writer = E.FileWriter({"path": str(root), "staging": str(root / ".staging-x")})
+    rows = [([f"s/e{i}/0.info", f"s/e{i}/0.txt"], [b"i%d" % i, b"t%d" % i]) for i in range(1200) if i != 1]
+    late = _batches([([f"s/e1/{x}" for x in ("0.info", "0.txt")], [b"i1", b"t1"])])
+    writer.commit([writer.write(iter(_batches(rows) + late)), None])
+    (root / "s" / "e1").mkdir()
+    (root / "s" / "e1" / "0.txt").write_bytes(b"other run")
+    # the driver's commit names nothing
+    assert not (root / "s" / "e5").exists()
+    blocks = json.loads((root / ".staging-x" / "committed").read_text())
+    assert len(blocks) == 3 and all(len(list(Path(b).iterdir())) <= E.STAGED + 2 for b in blocks)
+    # a task that is lost after it has named all rows of its block, and the one that follows
+    remove = os.remove
+    monkeypatch.setattr(os, "remove", lambda path: (_ for _ in ()).throw(OSError("lost")))
+    for b in blocks:
+        with pytest.raises(OSError):
+            E.publish_block(str(root), b)
+    monkeypatch.setattr(os, "remove", remove)
+    assert sum(E.publish_block(str(root), b) for b in blocks) == len(rows) + 1 and not [b for b in blocks if Path(b).exists()]
+    assert sum(E.publish_block(str(root), b) for b in blocks) == 0
+    E.clean(str(root / ".staging-x"))
+    want = {p: c for paths, contents in rows for p, c in zip(paths, contents)} | {"s/e1/0.txt": b"other run"}
+    assert _tree(root) == want
+    # a whole run: more rows than one block, none of them twice
+    again = spark.range(3000).selectExpr("array(concat('s/e', id, '/0.info'), concat('s/e', id, '/0.txt')) AS paths", "array(encode('new', 'utf-8'), encode('new', 'utf-8')) AS contents")
+    S.write_files(again, str(root))
+    assert _tree(root) == want | {f"s/e{i}/0.{x}": b"new" for i in range(1200, 3000) for x in ("info", "txt")}
+
+
 def test_runs_that_race_write_an_output_once(tmp_path):
     from concurrent.futures import ThreadPoolExecutor
 

@@ -8,7 +8,8 @@ splits are not listed, and named episodes not even looked for. They are no pushe
 Spark keeps what was pushed once with the DataFrame, and a later use without the filter would lose rows.
 
 Writing. A row is one or more files that belong together. Tasks write them to a staging folder of
-their attempt; the commit gives them their names. A name is never taken twice and never replaced:
+their attempt, in blocks; once all are written, the blocks of finished attempts are given their names: by the commit, or, with
+the option `staging`, by a second job of whoever set it. A name is never taken twice and never replaced:
 the last file of a row is linked only if it does not exist, and whoever links it owns the row. A failed
 attempt removes what it staged, an aborted job leaves nothing.
 """
@@ -34,9 +35,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 READ, WRITE = "wayline_episodes", "wayline_files"
 #: Episodes of one reading task at least, and reading tasks at most.
 EPISODES, TASKS = 32, 20_000
-#: Rows of one batch that a reading task hands over, and files that a commit names at the same time.
+#: Rows of one batch that a reading task hands over, and blocks that a commit names at the same time.
 ROWS, THREADS = 512, 16
-#: Files of one staging folder.
+#: Files of one staged block, about.
 STAGED = 1000
 FIELDS = "source string, split string, episode_id string"
 
@@ -159,91 +160,124 @@ def check_name(name: str) -> str:
 
 @dataclass
 class Staged(WriterCommitMessage):
-    """A finished attempt: its staging folder."""
+    """A finished attempt: its staging folder, and how many blocks of files it has."""
 
     folder: str
+    blocks: int
 
 
-def publish(root: str, staged: list[str], names: list[str]) -> bool:
+def publish(root: str, staged: list[str], names: list[str], made: set[str]) -> bool:
     """Give the files of one row their names, unless the last one is there already; whether they are ours.
 
     The others come first, so wherever the last file is, all are. Leftovers of a run that died in
-    between are replaced by the owner.
+    between are replaced by the owner. May be done again: what is ours already stays ours. `made` holds folders that are there.
     """
     targets = [f"{root}/{n}" for n in names]
     if os.path.exists(targets[-1]):
-        return False
-    os.makedirs(os.path.dirname(targets[-1]), exist_ok=True)
+        if not os.path.samefile(staged[-1], targets[-1]):
+            return False
+    elif (folder := os.path.dirname(targets[-1])) not in made:
+        os.makedirs(folder, exist_ok=True)
+        made.add(folder)
+    there = []
     for file, target in zip(staged[:-1], targets[:-1]):
         try:
             os.link(file, target)
         except FileExistsError:
-            pass
+            there.append((file, target))
     try:
         os.link(staged[-1], targets[-1])
     except FileExistsError:
-        return False
-    for file, target in zip(staged[:-1], targets[:-1]):
+        if not os.path.samefile(staged[-1], targets[-1]):
+            return False
+    for file, target in there:
         if not os.path.samefile(file, target):
-            os.replace(file, target)
+            os.link(file, f"{file}.new")
+            os.replace(f"{file}.new", target)
     return True
 
 
+def publish_block(root: str, block: str) -> int:
+    """Publish the rows of a staged block and remove it; a block without its list is done."""
+    rows, made = 0, set()
+    if os.path.exists(f"{block}/names"):
+        with open(f"{block}/names", encoding="utf-8") as lines:
+            for rows, line in enumerate(lines, 1):
+                cells = line.rstrip("\n").replace("\1", "\n").split("\0")
+                half = len(cells) // 2
+                publish(root, [f"{block}/{f}" for f in cells[:half]], cells[half:], made)
+        os.remove(f"{block}/names")
+    shutil.rmtree(block, ignore_errors=True)
+    return rows
+
+
+def clean(staging: str) -> None:
+    """Remove a staging folder; by its new name, so that a task that still runs can't add to it."""
+    gone = f"{staging}-gone"
+    os.rename(staging, gone)
+    shutil.rmtree(gone, ignore_errors=True)
+
+
 class FileWriter(DataSourceArrowWriter):
-    """Rows (paths, contents): files that belong together, below the root. Files that exist stay as they are."""
+    """Rows (paths, contents): files that belong together, below the root. Files that exist stay as they are.
+
+    With the option `staging`, the commit only lists the blocks of finished attempts in that folder's `committed`; who set it
+    publishes them (see `files.write_files`).
+    """
 
     def __init__(self, options: dict):
         self.root = mounted(options["path"])
-        self.staging = f"{self.root}/.staging-{uuid.uuid4().hex}"
+        self.later = "staging" in options
+        self.staging = mounted(options["staging"]) if self.later else staging_folder(self.root)
         os.makedirs(self.staging)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
         folder = f"{self.staging}/{uuid.uuid4().hex}"
         os.mkdir(folder)
+        names, n, blocks = None, STAGED, 0
         try:
-            n = 0
-            with open(f"{folder}/names", "w", encoding="utf-8") as names:
-                for batch in iterator:
-                    for paths, contents in zip(batch.column("paths").to_pylist(), batch.column("contents").to_pylist()):
-                        if os.path.exists(f"{self.root}/{check_name(paths[-1])}"):
-                            continue
-                        files = []
-                        for path, content in zip(paths, contents, strict=True):
-                            if n % STAGED == 0:
-                                os.mkdir(f"{folder}/{n // STAGED}")
-                            files.append(f"{n // STAGED}/{n}")
-                            with open(f"{folder}/{files[-1]}", "wb") as f:
-                                f.write(content)
-                            n += 1
-                            check_name(path)
-                        names.write("\0".join([*files, *paths]).replace("\n", "\1") + "\n")
+            for batch in iterator:
+                for paths, contents in zip(batch.column("paths").to_pylist(), batch.column("contents").to_pylist()):
+                    if os.path.exists(f"{self.root}/{check_name(paths[-1])}"):
+                        continue
+                    if n >= STAGED:
+                        if names:
+                            names.close()
+                        block, n, blocks = f"{folder}/{blocks}", 0, blocks + 1
+                        os.mkdir(block)
+                        names = open(f"{block}/names", "w", encoding="utf-8")
+                    files = []
+                    for path, content in zip(paths, contents, strict=True):
+                        files.append(str(n))
+                        with open(f"{block}/{n}", "wb") as f:
+                            f.write(content)
+                        n += 1
+                        check_name(path)
+                    names.write("\0".join([*files, *paths]).replace("\n", "\1") + "\n")
+            if names:
+                names.close()
         except BaseException:
             shutil.rmtree(folder, ignore_errors=True)
             raise
-        return Staged(folder)
+        return Staged(folder, blocks)
 
     def commit(self, messages: list[Staged | None]) -> None:
-        def one(folder: str, line: str) -> None:
-            cells = line.rstrip("\n").replace("\1", "\n").split("\0")
-            half = len(cells) // 2
-            publish(self.root, [f"{folder}/{f}" for f in cells[:half]], cells[half:])
-
+        blocks = [f"{m.folder}/{i}" for m in messages if m is not None for i in range(m.blocks)]
+        if self.later:
+            with open(f"{self.staging}/committed", "w", encoding="utf-8") as f:
+                json.dump(blocks, f)
+            return
         with ThreadPoolExecutor(THREADS) as pool:
-            for m in messages:
-                if m is not None:
-                    with open(f"{m.folder}/names", encoding="utf-8") as lines:
-                        while some := lines.readlines(1 << 20):
-                            list(pool.map(one, [m.folder] * len(some), some))
-        self._clean()
+            list(pool.map(publish_block, [self.root] * len(blocks), blocks))
+        clean(self.staging)
 
     def abort(self, messages: list[Staged | None]) -> None:
-        self._clean()
+        clean(self.staging)
+
 
-    def _clean(self) -> None:
-        """Remove the staging folder; by its new name, so that a task that still runs can't add to it."""
-        gone = f"{self.staging}-gone"
-        os.rename(self.staging, gone)
-        shutil.rmtree(gone, ignore_errors=True)
+def staging_folder(root: str) -> str:
+    """A new name below the root; scans pass it over."""
+    return f"{root}/.staging-{uuid.uuid4().hex}"
 
 
 class FileSink(DataSource):

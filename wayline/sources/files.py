@@ -19,7 +19,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from wayline.operators.frames import KEY
 from wayline.operators.ordered import IDX
-from wayline.sources.episodes import READ, WRITE, register
+from wayline.sources.episodes import READ, WRITE, clean, mounted, publish_block, register, staging_folder
 
 INFO = (
     "actions array<string>, actions_compact map<string,string>, scenes map<string,string>, objects map<string,string>, "
@@ -121,10 +121,33 @@ def scan_outputs(spark: SparkSession, root: str, alias: str) -> DataFrame:
     return _episodes(spark, root, "names", alias, ["txt"]).select(*KEY, F.lit(alias).alias("inst_alias"), _stem("name").alias("inst_id"))
 
 
+#: Blocks that a publishing task has at least, and publishing tasks for each core.
+BLOCKS, PUBLISHERS = 4, 4
+
+
 def write_files(rows: DataFrame, root: str) -> None:
-    """Write files below the root: rows (paths, contents) of files that belong together. None is replaced, none comes without the others."""
-    register(rows.sparkSession)
-    rows.select(F.col("paths").cast("array<string>"), F.col("contents").cast("array<binary>")).write.format(WRITE).mode("append").save(_absolute(root))
+    """Write files below the root: rows (paths, contents) of files that belong together. None is replaced, none comes without the others.
+
+    A first job stages the files, a second one gives them their names and removes the staged ones; the driver lists blocks of files
+    only. If the first fails, nothing is there; if the second does, whole rows.
+    """
+    spark, top = register(rows.sparkSession), mounted(_absolute(root))
+    staging = staging_folder(top)
+    staged = rows.select(F.col("paths").cast("array<string>"), F.col("contents").cast("array<binary>"))
+    staged.write.format(WRITE).option("staging", staging).mode("append").save(_absolute(root))
+    try:
+        with open(f"{staging}/committed", encoding="utf-8") as f:
+            blocks = json.load(f)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([publish_block(top, x) for x in b.column(0).to_pylist()], pa.int64())], names=["n"])
+
+        if blocks:
+            tasks = min(-(-len(blocks) // BLOCKS), PUBLISHERS * spark.sparkContext.defaultParallelism)
+            spark.createDataFrame([(b,) for b in blocks], "block string").repartition(tasks).mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+    finally:
+        clean(staging)
 
 
 def write_outputs(df: DataFrame, root: str) -> None:
