@@ -463,3 +463,59 @@ def test_a_rater_reads_and_writes_its_state_once():
     # all systems ticked: what was counted is withdrawn, for good
     assert step(("p", "a", "y"), ("p", "a", "z")) == sorted([("r", "a", None, 0, -1), ("r", "b", None, 0, -1), ("r", "a", "x", -1, 0), ("r", "b", "y", -1, 0)], key=str)
     assert step(("p", "b", "x")) == []
+
+
+def _events(spark, path, users, each):
+    """Events in time order, of users with so many each."""
+    rows = spark.range(users * each).selectExpr(
+        "id AS event_id", "timestamp_seconds(1700000000 + id) AS ts", f"id % {users} AS user_id", "IF(id % 7 = 0, 'purchase', 'view') AS event_type", "1.0D AS value")
+    rows.write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_files_that_are_only_read_back_are_on_disk_by_rounds(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from wayline.plans.catalog import QUERIES
+
+    monkeypatch.setattr(S, "FILES", 100, raising=False)
+    there, roots = [], set()
+
+    def counted(scan):
+        def run(spark, root, *args, **options):
+            roots.add(root)
+            there.append(sum(p.is_file() for r in roots for p in Path(urlparse(r).path).rglob("*")))
+            return scan(spark, root, *args, **options)
+        return run
+
+    monkeypatch.setattr(S, "scan_frames", counted(S.scan_frames))
+    monkeypatch.setattr(S, "scan_action_labels", counted(S.scan_action_labels))
+    d = _events(spark, tmp_path / "in", 60, 9)
+    # 20 episodes of png images, 20 of jpg images, 20 of both
+    got = QUERIES["scan_frames"](spark, d).collect()
+    assert sum(there) == 20 * 9 * 4 and len(there) == 8 and max(there) < 300
+    assert sorted(tuple(r) for r in got) == sorted(
+        ("synth", "val_seen" if u % 2 == 0 else "val_unseen", u, i, f"{i}_0.{'png' if u % 3 == 0 else 'jpg'}", i * 60 + u) for u in range(60) for i in range(9))
+    there.clear()
+    got = QUERIES["scan_action_labels"](spark, d).collect()
+    # 20 episodes have two files
+    assert sum(there) == 80 and len(there) == 3 and max(there) < 60
+    assert sorted((r["episode_id"], r["frame_idx"], r["action"]) for r in got) == sorted(
+        (u, i, 0 if i == 8 else 2 if (i * 60 + u) % 7 == 0 else 1) for u in range(60) for i in range(9))
+    # nothing stays behind
+    assert len(roots) == 11 and not [r for r in roots if Path(urlparse(r).path).exists()]
+    none = _events(spark, tmp_path / "none", 1, 0)
+    assert QUERIES["scan_frames"](spark, none).collect() == [] == QUERIES["scan_action_labels"](spark, none).collect()
+
+
+def test_an_episode_is_never_divided_between_rounds(spark, monkeypatch):
+    monkeypatch.setattr(S, "FILES", 10, raising=False)
+    rows = spark.range(200).selectExpr("IF(id < 150, 'long', concat('e', id)) AS episode", "id")
+
+    def step(part, root):
+        S.write_files(part.selectExpr("array(concat('s/', episode, '/rgb/', id, '.jpg')) AS paths", "array(encode(string(id), 'utf-8')) AS contents"), root)
+        return S.scan_frames(spark, root, content=True).selectExpr("source", "episode_id", "frame_idx", "bigint(decode(content, 'utf-8')) AS id")
+
+    got = S.in_rounds(rows, ["episode"], F.lit(1), "src", step).collect()
+    assert sorted(tuple(r) for r in got) == sorted(("src", "long", i, i) if i < 150 else ("src", f"e{i}", 0, i) for i in range(200))

@@ -85,27 +85,38 @@ def _path(*parts):
     FROM fx_frames"""))
 def _scan_frames(s, d):
     # a file for each frame; a third of the episodes has png images only, another third has some beside its jpg images
-    f, root = X.frames(s, d), f"{shared_folder(s, 'frames')}/synth"
-    e, stem = F.col("episode_id"), _path(F.col("split"), F.col("episode_id"), "rgb", F.concat(F.col(IDX).cast("string"), F.lit("_0")))
-    body = F.encode(F.col("event_id").cast("string"), "UTF-8")
-    names = F.when(e % 3 == 0, F.array(F.concat(stem, F.lit(".png")))).when(e % 3 == 1, F.array(F.concat(stem, F.lit(".jpg")))).otherwise(
-        F.array(F.concat(stem, F.lit(".png")), F.concat(stem, F.lit(".jpg"))))
-    S.write_files(f.select(names.alias("paths"), F.transform(names, lambda _: body).alias("contents")), root)
-    back = S.scan_frames(s, root, content=True)
-    return back.select("source", "split", e.cast("bigint").alias("episode_id"), IDX, "name", F.decode("content", "UTF-8").cast("bigint").alias("event_id"))
+    e = F.col("episode_id")
+    png, jpg = e % 3 == 0, e % 3 == 1
+
+    def through_files(f, root):
+        stem = _path(F.col("split"), e, "rgb", F.concat(F.col(IDX).cast("string"), F.lit("_0")))
+        body = F.encode(F.col("event_id").cast("string"), "UTF-8")
+        names = F.when(png, F.array(F.concat(stem, F.lit(".png")))).when(jpg, F.array(F.concat(stem, F.lit(".jpg")))).otherwise(
+            F.array(F.concat(stem, F.lit(".png")), F.concat(stem, F.lit(".jpg"))))
+        S.write_files(f.select(names.alias("paths"), F.transform(names, lambda _: body).alias("contents")), root)
+        back = S.scan_frames(s, root, content=True)
+        return back.select("source", "split", e.cast("bigint").alias("episode_id"), IDX, "name", F.decode("content", "UTF-8").cast("bigint").alias("event_id"))
+
+    frames = X.frames(s, d).select("split", "episode_id", IDX, "event_id")
+    return S.in_rounds(frames, ["split", "episode_id"], F.when(png | jpg, 1).otherwise(2), "synth", through_files)
 
 
 @query("scan_action_labels", using("fx_labels", f"SELECT {KEYS}, frame_idx, action FROM fx_labels"))
 def _scan_action_labels(s, d):
     # half of the episodes has its labels under the second name, some have other labels under it
-    root, e = f"{shared_folder(s, 'labels')}/synth", F.col("episode_id")
-    lists = S.episode_lists(X.labels(s, d), "action").withColumn("actions", F.encode(F.to_json("action"), "UTF-8"))
-    first, second = (_path(F.col("split"), e, "action", n) for n in ("0.json", "action.json"))
-    wrong = F.encode(F.lit("[9]"), "UTF-8")
-    S.write_files(lists.select(
-        F.when(e % 2 == 0, F.array(first)).when(e % 3 == 0, F.array(second)).otherwise(F.array(second, first)).alias("paths"),
-        F.when((e % 2 == 0) | (e % 3 == 0), F.array("actions")).otherwise(F.array(wrong, F.col("actions"))).alias("contents")), root)
-    return S.scan_action_labels(s, root).select("source", "split", e.cast("bigint").alias("episode_id"), IDX, "action")
+    e = F.col("episode_id")
+
+    def through_files(lists, root):
+        first, second = (_path(F.col("split"), e, "action", n) for n in ("0.json", "action.json"))
+        wrong = F.encode(F.lit("[9]"), "UTF-8")
+        S.write_files(lists.withColumn("actions", F.encode(F.to_json("action"), "UTF-8")).select(
+            F.when(e % 2 == 0, F.array(first)).when(e % 3 == 0, F.array(second)).otherwise(F.array(second, first)).alias("paths"),
+            F.when((e % 2 == 0) | (e % 3 == 0), F.array("actions")).otherwise(F.array(wrong, F.col("actions"))).alias("contents")), root)
+        return S.scan_action_labels(s, root).select("source", "split", e.cast("bigint").alias("episode_id"), IDX, "action")
+
+    # two files at most, and two folders
+    lists = S.episode_lists(X.labels(s, d), "action").select("split", "episode_id", "action")
+    return S.in_rounds(lists, ["split", "episode_id"], F.lit(4), "synth", through_files)
 
 
 def _outputs(s, d, name):

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator, Sequence
+import shutil
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from wayline.operators.frames import KEY
-from wayline.operators.ordered import IDX
+from wayline.operators.ordered import IDX, shared_folder
 from wayline.sources.episodes import READ, WRITE, clean, mounted, publish_block, register, staging_folder
 
 INFO = (
@@ -164,6 +165,48 @@ def write_outputs(df: DataFrame, root: str) -> None:
         F.array(F.encode(info, "UTF-8"), F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("contents")), root)
 
 
+#: Files and folders that `in_rounds` has on disk at once, about, and slices of a round's rows.
+FILES, SLICES = 1 << 16, 8
+
+
+def in_rounds(rows: DataFrame, episode: Sequence[str], files: Column, source: str, step: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """What `step(rows, root)` returns, for a step that writes episode folders below the root only to read them back from there.
+
+    Whole episodes, told apart by the columns `episode`, are dealt to rounds of some FILES files, a row counting as `files`. The rows
+    that come back from a round are kept as a table and its folders are removed, so the files on disk don't grow with the rows.
+    A single episode is never divided: its files are numbered and chosen together. The root ends in `source`.
+    """
+    spark = rows.sparkSession
+    todo, done, base = (shared_folder(spark, tag) for tag in ("rounds", "read", "files"))
+    rounds = max(1, -(-int(rows.agg(F.sum(files)).first()[0] or 0) // FILES))
+    dealt = rows.withColumn("_round", F.pmod(F.xxhash64(*episode), F.lit(rounds)).cast("int"))
+    dealt.repartition(rounds, "_round", F.pmod(F.xxhash64(*rows.columns), F.lit(SLICES))).write.partitionBy("_round").parquet(todo)
+    kept = spark.read.schema(dealt.schema).parquet(todo)
+    for i in range(rounds):
+        own = kept.where(F.col("_round") == i).drop("_round").repartition(spark.sparkContext.defaultParallelism)
+        back = step(own, f"{base}/{i}/{source}")
+        back.write.mode("append").parquet(done)
+        remove_episodes(spark, f"{base}/{i}/{source}")
+    return spark.read.schema(back.schema).parquet(done)
+
+
+def remove_episodes(spark: SparkSession, root: str) -> None:
+    """Remove a root with all that is below; tasks remove the episode folders, the driver lists their names only."""
+    top = mounted(_absolute(root))
+    splits = [f.path for f in os.scandir(top) if f.is_dir()]
+    folders = [f.path for split in splits for f in os.scandir(split) if f.is_dir()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                shutil.rmtree(folder, ignore_errors=True)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    if folders:
+        spark.createDataFrame([(f,) for f in folders], "folder string").repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+    shutil.rmtree(top, ignore_errors=True)
+
+
 def _written(spark: SparkSession, path: str, splits: Sequence[str] | None, alias: str) -> DataFrame:
     rows = spark.read.parquet(path).withColumn("inst_alias", F.col("inst_alias").cast("string")).where(F.col("inst_alias") == alias)
     return rows if splits is None else rows.where(F.col("split").isin(list(splits)))
