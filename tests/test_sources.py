@@ -519,3 +519,75 @@ def test_an_episode_is_never_divided_between_rounds(spark, monkeypatch):
 
     got = S.in_rounds(rows, ["episode"], F.lit(1), "src", step).collect()
     assert sorted(tuple(r) for r in got) == sorted(("src", "long", i, i) if i < 150 else ("src", f"e{i}", 0, i) for i in range(200))
+
+
+def test_staged_files_are_written_over_when_their_names_are_gone(spark, tmp_path):
+    from wayline.sources import episodes as E
+
+    spare = tmp_path / ".spare"
+
+    def write(root, size, n=90):
+        rows = spark.range(n).selectExpr("id", f"repeat(chr(97 + int(id % 26)), int(id % 7) * {size}) AS text")
+        S.write_files(rows.selectExpr("array(concat('s/e', id % 9, '/rgb/', id, '.jpg')) AS paths", "array(encode(text, 'utf-8')) AS contents").repartition(3), str(root), str(spare))
+        return {f"s/e{i % 9}/rgb/{i}.jpg": (chr(97 + i % 26) * (i % 7 * size)).encode() for i in range(n)}
+
+    def kept():
+        return {p.stat().st_ino: p.stat().st_nlink for p in (spare / E.BLOCKS).rglob("*") if p.is_file()}
+
+    a, b = tmp_path / "a", tmp_path / "b"
+    first = write(a, 3)
+    assert _tree(a) == first and len(kept()) == 90 and set(kept().values()) == {2}
+    # the first files still have their names, so nothing is written into them
+    second = write(b, 5)
+    assert _tree(a) == first and _tree(b) == second
+    for root in (a, b):
+        S.remove_episodes(spark, str(root), str(spare))
+        assert not root.exists()
+    before = kept()
+    assert set(before.values()) == {1} and len(list((spare / E.EMPTY).iterdir())) == 18 and not [p for p in (spare / E.EMPTY).rglob("*") if p.is_file()]
+    # longer and shorter contents, none left of the old ones
+    for size, n in ((9000, 90), (1, 90), (0, 60), (4, 90)):
+        c = tmp_path / f"c{size}"
+        assert write(c, size, n) == _tree(c)
+        assert {p.stat().st_ino for p in c.rglob("*") if p.is_file()} <= set(before)
+        assert len(list((spare / E.EMPTY).iterdir())) == 9
+        S.remove_episodes(spark, str(c), str(spare))
+    assert set(kept()) == set(before)
+
+
+def test_rounds_go_on_side_by_side(spark, tmp_path, monkeypatch):
+    import threading
+
+    monkeypatch.setattr(S, "FILES", 80, raising=False)
+    monkeypatch.setattr(S, "LEAST", 40, raising=False)
+    rows = spark.range(600).selectExpr("IF(id < 150, 'long', concat('e', id % 50)) AS episode", "id")
+    used, threads = [], set()
+
+    def step(part, root):
+        used.append(root)
+        threads.add(threading.get_ident())
+        S.write_files(part.selectExpr("array(concat('s/', episode, '/rgb/', id, '.jpg')) AS paths", "array(encode(string(id), 'utf-8')) AS contents"), root, S.spare_folder(root))
+        return S.scan_frames(spark, root, content=True, per_task=8).selectExpr("source", "episode_id", "frame_idx", "bigint(decode(content, 'utf-8')) AS id")
+
+    got = S.in_rounds(rows, ["episode"], F.lit(1), "src", step).collect()
+    names = {f"e{k}": [i for i in range(150, 600) if i % 50 == k] for k in range(50)} | {"long": list(range(150))}
+    assert sorted(tuple(r) for r in got) == sorted(("src", e, k, i) for e, own in names.items() for k, i in enumerate(own))
+    assert len(used) == len(set(used)) == 15 and len(threads) == 2
+
+    def fails(part, root):
+        if "/1/1/" in root:
+            raise ValueError("no room")
+        return step(part, root)
+
+    with pytest.raises(ValueError, match="no room"):
+        S.in_rounds(rows, ["episode"], F.lit(1), "src", fails)
+
+
+def test_bytes_of_mounted_files(tmp_path):
+    import pyarrow.fs as pafs
+
+    from wayline.sources import episodes as E
+
+    for size in (0, 1, E.CHUNK - 1, E.CHUNK, E.CHUNK + 1, E.CHUNK * 65, E.CHUNK * 65 + 3):
+        (tmp_path / "f").write_bytes(content := bytes(i % 251 for i in range(size)))
+        assert E.read_bytes(pafs.LocalFileSystem(), str(tmp_path / "f")) == content

@@ -93,8 +93,8 @@ def _scan_frames(s, d):
         body = F.encode(F.col("event_id").cast("string"), "UTF-8")
         names = F.when(png, F.array(F.concat(stem, F.lit(".png")))).when(jpg, F.array(F.concat(stem, F.lit(".jpg")))).otherwise(
             F.array(F.concat(stem, F.lit(".png")), F.concat(stem, F.lit(".jpg"))))
-        S.write_files(f.select(names.alias("paths"), F.transform(names, lambda _: body).alias("contents")), root)
-        back = S.scan_frames(s, root, content=True)
+        S.write_files(f.select(names.alias("paths"), F.transform(names, lambda _: body).alias("contents")), root, S.spare_folder(root))
+        back = S.scan_frames(s, root, content=True, per_task=128)
         return back.select("source", "split", e.cast("bigint").alias("episode_id"), IDX, "name", F.decode("content", "UTF-8").cast("bigint").alias("event_id"))
 
     frames = X.frames(s, d).select("split", "episode_id", IDX, "event_id")
@@ -111,7 +111,7 @@ def _scan_action_labels(s, d):
         wrong = F.encode(F.lit("[9]"), "UTF-8")
         S.write_files(lists.withColumn("actions", F.encode(F.to_json("action"), "UTF-8")).select(
             F.when(e % 2 == 0, F.array(first)).when(e % 3 == 0, F.array(second)).otherwise(F.array(second, first)).alias("paths"),
-            F.when((e % 2 == 0) | (e % 3 == 0), F.array("actions")).otherwise(F.array(wrong, F.col("actions"))).alias("contents")), root)
+            F.when((e % 2 == 0) | (e % 3 == 0), F.array("actions")).otherwise(F.array(wrong, F.col("actions"))).alias("contents")), root, S.spare_folder(root))
         return S.scan_action_labels(s, root).select("source", "split", e.cast("bigint").alias("episode_id"), IDX, "action")
 
     # two files at most, and two folders

@@ -11,13 +11,16 @@ Writing. A row is one or more files that belong together. Tasks write them to a
 their attempt, in blocks; once all are written, the blocks of finished attempts are given their names: by the commit, or, with
 the option `staging`, by a second job of whoever set it. A name is never taken twice and never replaced:
 the last file of a row is linked only if it does not exist, and whoever links it owns the row. A failed
-attempt removes what it staged, an aborted job leaves nothing.
+attempt removes what it staged, an aborted job leaves nothing. With the option `spare`, blocks are taken from that folder
+if it has any, and their files are written over unless they still have another name.
 """
 
 from __future__ import annotations
 
+import errno
 import json
 import os
+import random
 import re
 import shutil
 import uuid
@@ -33,19 +36,44 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 READ, WRITE = "wayline_episodes", "wayline_files"
-#: Episodes of one reading task at least, and reading tasks at most.
+#: Episodes of one reading task at least, unless told otherwise, and reading tasks at most.
 EPISODES, TASKS = 32, 20_000
 #: Rows of one batch that a reading task hands over, and blocks that a commit names at the same time.
 ROWS, THREADS = 512, 16
 #: Files of one staged block, about.
 STAGED = 1000
+#: What spare folders have.
+BLOCKS, EMPTY = "blocks", "episodes"
+#: Bytes that the first read of a mounted file asks for.
+CHUNK = 1 << 14
 FIELDS = "source string, split string, episode_id string"
 
 
+_DIGITS = re.compile("([0-9]+)")
+
+
 def natural(name: str) -> tuple:
     """Sorts like `frames.natural_key`: digit runs as numbers, equal ones by the whole name."""
-    pieces = (p for p in re.findall(r"([^0-9]*)([0-9]*)", name) if p != ("", ""))
-    return [(text, len(n := digits.lstrip("0") or digits[-1:]), n) for text, digits in pieces], name
+    pieces = _DIGITS.split(name)
+    key = [(text, len(n := digits.lstrip("0") or "0"), n) for text, digits in zip(pieces[::2], pieces[1::2])]
+    if pieces[-1]:
+        key.append((pieces[-1], 0, ""))
+    return key, name
+
+
+def read_bytes(store: pafs.FileSystem, path: str) -> bytes:
+    """The bytes of a file; those of a mounted store without a stream for each."""
+    if not isinstance(store, pafs.LocalFileSystem):
+        with store.open_input_stream(path, compression=None) as f:
+            return f.read()
+    fd = os.open(path, os.O_RDONLY)
+    try:
+        parts = [os.read(fd, CHUNK)]
+        while len(parts[-1]) == CHUNK or (parts[-1] and len(parts) > 1):
+            parts.append(os.read(fd, CHUNK << 6))
+        return parts[0] if len(parts) == 1 else b"".join(parts)
+    finally:
+        os.close(fd)
 
 
 @dataclass
@@ -70,6 +98,7 @@ class EpisodeReader(DataSourceReader):
         self.root = options["path"].rstrip("/")
         self.kind, self.folder = options["kind"], options["folder"]
         self.wanted = options["wanted"].split("|")
+        self.per_task = int(options.get("per_task", EPISODES))
         self.splits, self.episodes = (json.loads(options.get(name, "null")) for name in ("splits", "episodes"))
 
     def _store(self) -> tuple[pafs.FileSystem, str]:
@@ -87,16 +116,21 @@ class EpisodeReader(DataSourceReader):
         for split in self._folders(store, root) if self.splits is None else sorted({s for s in self.splits if s}):
             found = self._folders(store, f"{root}/{split}") if self.episodes is None else sorted({e for e in self.episodes if e})
             names += [(split, e) for e in found]
-        size = max(EPISODES, -(-len(names) // TASKS))
+        size = max(self.per_task, -(-len(names) // TASKS))
         return [Episodes(names[i : i + size]) for i in range(0, len(names), size)] or [Episodes([])]
 
     def _files(self, store: pafs.FileSystem, path: str) -> list[str]:
+        if isinstance(store, pafs.LocalFileSystem):  # without asking for each file's size and time
+            try:
+                with os.scandir(path) as there:
+                    return [f.name for f in there if f.name[:1] != "." and f.is_file()]
+            except FileNotFoundError:
+                return []
         found = store.get_file_info(pafs.FileSelector(path, allow_not_found=True))
         return [f.base_name for f in found if f.type == pafs.FileType.File and f.base_name[:1] != "."]
 
     def _text(self, store: pafs.FileSystem, path: str) -> str:
-        with store.open_input_stream(path, compression=None) as f:
-            return f.read().decode("utf-8", "replace")
+        return read_bytes(store, path).decode("utf-8", "replace")
 
     def _rows(self, store: pafs.FileSystem, at: str) -> Iterator[tuple]:
         """(position, file name, text) of one episode."""
@@ -151,9 +185,12 @@ def mounted(uri: str) -> str:
     return (unquote(parts.path) if parts.scheme else uri).rstrip("/")
 
 
+_NO_NAME = frozenset(("", ".", ".."))
+
+
 def check_name(name: str) -> str:
     """A relative path without empty or upward parts."""
-    if not name or any(p in ("", ".", "..") for p in name.split("/")):
+    if not name or not _NO_NAME.isdisjoint(name.split("/")):
         raise ValueError(f"not a name below the root: {name!r}")
     return name
 
@@ -166,17 +203,19 @@ class Staged(WriterCommitMessage):
     blocks: int
 
 
-def publish(root: str, staged: list[str], names: list[str], made: set[str]) -> bool:
+def publish(root: str, staged: list[str], names: list[str], made: set[str], spare: str | None = None) -> bool:
     """Give the files of one row their names, unless the last one is there already; whether they are ours.
 
     The others come first, so wherever the last file is, all are. Leftovers of a run that died in
     between are replaced by the owner. May be done again: what is ours already stays ours. `made` holds folders that are there.
     """
     targets = [f"{root}/{n}" for n in names]
-    if os.path.exists(targets[-1]):
+    if len(targets) > 1 and os.path.exists(targets[-1]):
         if not os.path.samefile(staged[-1], targets[-1]):
             return False
     elif (folder := os.path.dirname(targets[-1])) not in made:
+        if spare is not None:
+            take_episode(spare, root, names[-1])
         os.makedirs(folder, exist_ok=True)
         made.add(folder)
     there = []
@@ -197,20 +236,104 @@ def publish(root: str, staged: list[str], names: list[str], made: set[str]) -> b
     return True
 
 
-def publish_block(root: str, block: str) -> int:
-    """Publish the rows of a staged block and remove it; a block without its list is done."""
+def publish_block(root: str, block: str, spare: str | None = None) -> int:
+    """Publish the rows of a staged block and remove it, or move it to the folder of spare ones; a block without its list is done."""
     rows, made = 0, set()
     if os.path.exists(f"{block}/names"):
         with open(f"{block}/names", encoding="utf-8") as lines:
             for rows, line in enumerate(lines, 1):
                 cells = line.rstrip("\n").replace("\1", "\n").split("\0")
                 half = len(cells) // 2
-                publish(root, [f"{block}/{f}" for f in cells[:half]], cells[half:], made)
+                publish(root, [f"{block}/{f}" for f in cells[:half]], cells[half:], made, spare)
         os.remove(f"{block}/names")
-    shutil.rmtree(block, ignore_errors=True)
+    if spare is None:
+        shutil.rmtree(block, ignore_errors=True)
+    elif os.path.exists(block):
+        os.rename(block, f"{spare}/{BLOCKS}/{uuid.uuid4().hex}")
     return rows
 
 
+def spare_folders(spare: str) -> None:
+    """Make the folders of what is kept: blocks of staged files, and episode folders without files."""
+    for kind in (BLOCKS, EMPTY):
+        os.makedirs(f"{spare}/{kind}", exist_ok=True)
+
+
+def _take(spare: str, kind: str, to: str) -> bool:
+    """Move something spare to a place of its own; whether there was any. Nobody else has it then."""
+    names = os.listdir(f"{spare}/{kind}")
+    random.shuffle(names)
+    for name in names:
+        try:
+            os.rename(f"{spare}/{kind}/{name}", to)
+            return True
+        except FileNotFoundError:  # another task has it
+            continue
+    return False
+
+
+def take_block(spare: str | None, block: str) -> bool:
+    """Make a folder for staged files; whether it is a spare one."""
+    if spare is not None and _take(spare, BLOCKS, block):
+        return True
+    os.mkdir(block)
+    return False
+
+
+def take_episode(spare: str, root: str, name: str) -> None:
+    """Let the episode folder of a file be a spare one, unless it is there."""
+    parts = name.split("/")
+    if len(parts) > 2 and not os.path.exists(folder := f"{root}/{parts[0]}/{parts[1]}"):
+        os.makedirs(f"{root}/{parts[0]}", exist_ok=True)
+        try:
+            _take(spare, EMPTY, folder)
+        except OSError as e:
+            if e.errno not in (errno.ENOTEMPTY, errno.EEXIST):  # another task has made it meanwhile
+                raise
+
+
+def remove_episode(folder: str, spare: str | None = None) -> None:
+    """Remove the files of an episode folder, and the folder, which is kept with the folders in it if there is a spare one."""
+    try:
+        for path in [f.path for f in os.scandir(folder)]:
+            at = os.open(path, os.O_RDONLY | os.O_DIRECTORY | os.O_NOFOLLOW)
+            try:
+                for name in os.listdir(at):
+                    os.unlink(name, dir_fd=at)
+            finally:
+                os.close(at)
+        if spare is not None and os.path.isdir(f"{spare}/{EMPTY}"):
+            os.rename(folder, f"{spare}/{EMPTY}/{uuid.uuid4().hex}")
+    except OSError:  # something else lies there, or a task that ran before has removed it
+        pass
+    shutil.rmtree(folder, ignore_errors=True)
+
+
+def put(folder: int, name: str, content: bytes, old: bool) -> None:
+    """Write a staged file. In an old block it may be there: it is written over, unless it still has another name."""
+    fd = os.open(name, os.O_WRONLY | os.O_CREAT, 0o666, dir_fd=folder)
+    try:
+        there = os.fstat(fd) if old else None
+        if there and there.st_nlink > 1:
+            os.unlink(name, dir_fd=folder)
+            put(folder, name, content, False)
+            return
+        done = os.write(fd, content)
+        while done < len(content):
+            done += os.write(fd, memoryview(content)[done:])
+        if there and there.st_size > done:
+            os.ftruncate(fd, done)
+    finally:
+        os.close(fd)
+
+
+def _lists(batch: pa.RecordBatch, name: str) -> Iterator[list]:
+    """The lists of a column, without an object for each."""
+    column = batch.column(name)
+    values, at = column.values.to_pylist(), column.offsets.to_pylist()
+    return (values[i:j] for i, j in zip(at, at[1:]))
+
+
 def clean(staging: str) -> None:
     """Remove a staging folder; by its new name, so that a task that still runs can't add to it."""
     gone = f"{staging}-gone"
@@ -227,30 +350,36 @@ class FileWriter(DataSourceArrowWriter):
 
     def __init__(self, options: dict):
         self.root = mounted(options["path"])
-        self.later = "staging" in options
+        self.later, self.spare = "staging" in options, options.get("spare")
         self.staging = mounted(options["staging"]) if self.later else staging_folder(self.root)
         os.makedirs(self.staging)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
         folder = f"{self.staging}/{uuid.uuid4().hex}"
         os.mkdir(folder)
-        names, n, blocks = None, STAGED, 0
+        names, at, n, blocks, old, absent = None, None, STAGED, 0, False, set()
         try:
             for batch in iterator:
-                for paths, contents in zip(batch.column("paths").to_pylist(), batch.column("contents").to_pylist()):
-                    if os.path.exists(f"{self.root}/{check_name(paths[-1])}"):
-                        continue
+                for paths, contents in zip(_lists(batch, "paths"), _lists(batch, "contents")):
+                    # a folder that was not there is not asked for again in the same block
+                    if (own := check_name(paths[-1]).rpartition("/")[0]) not in absent:
+                        if os.path.exists(f"{self.root}/{paths[-1]}"):
+                            continue
+                        if not os.path.exists(f"{self.root}/{own}"):
+                            absent.add(own)
                     if n >= STAGED:
                         if names:
                             names.close()
-                        block, n, blocks = f"{folder}/{blocks}", 0, blocks + 1
-                        os.mkdir(block)
+                            os.close(at)
+                            names = None
+                        block, n, blocks, absent = f"{folder}/{blocks}", 0, blocks + 1, {own} & absent
+                        old = take_block(self.spare, block)
+                        at = os.open(block, os.O_RDONLY)
                         names = open(f"{block}/names", "w", encoding="utf-8")
                     files = []
                     for path, content in zip(paths, contents, strict=True):
                         files.append(str(n))
-                        with open(f"{block}/{n}", "wb") as f:
-                            f.write(content)
+                        put(at, files[-1], content, old)
                         n += 1
                         check_name(path)
                     names.write("\0".join([*files, *paths]).replace("\n", "\1") + "\n")
@@ -259,6 +388,10 @@ class FileWriter(DataSourceArrowWriter):
         except BaseException:
             shutil.rmtree(folder, ignore_errors=True)
             raise
+        finally:
+            if names:
+                names.close()
+                os.close(at)
         return Staged(folder, blocks)
 
     def commit(self, messages: list[Staged | None]) -> None:
@@ -268,7 +401,7 @@ class FileWriter(DataSourceArrowWriter):
                 json.dump(blocks, f)
             return
         with ThreadPoolExecutor(THREADS) as pool:
-            list(pool.map(publish_block, [self.root] * len(blocks), blocks))
+            list(pool.map(publish_block, [self.root] * len(blocks), blocks, [self.spare] * len(blocks)))
         clean(self.staging)
 
     def abort(self, messages: list[Staged | None]) -> None:

@@ -9,7 +9,8 @@ import json
 import os
 import shutil
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -17,10 +18,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.util import inheritable_thread_target
 
 from wayline.operators.frames import KEY
 from wayline.operators.ordered import IDX, shared_folder
-from wayline.sources.episodes import READ, WRITE, clean, mounted, publish_block, register, staging_folder
+from wayline.sources.episodes import EPISODES, READ, WRITE, clean, mounted, publish_block, read_bytes, register, remove_episode, spare_folders, staging_folder
 
 INFO = (
     "actions array<string>, actions_compact map<string,string>, scenes map<string,string>, objects map<string,string>, "
@@ -48,20 +50,21 @@ def _absolute(root: str) -> str:
 
 
 def _episodes(spark: SparkSession, root: str, kind: str, folder: str, wanted: Sequence[str], splits: Sequence[str] | None = None,
-              episodes: Sequence[str] | None = None) -> DataFrame:
+              episodes: Sequence[str] | None = None, per_task: int = EPISODES) -> DataFrame:
     """Rows of one folder of every episode (see `episodes.EpisodeReader`); nothing outside the splits and episodes is listed."""
     options = {name: json.dumps([str(v) for v in values]) for name, values in (("splits", splits), ("episodes", episodes)) if values is not None}
+    options["per_task"] = str(per_task)
     return register(spark).read.format(READ).options(kind=kind, folder=folder, wanted="|".join(wanted), **options).load(_absolute(root))
 
 
 def scan_frames(spark: SparkSession, root: str, modality: str = "rgb", content: bool = False, png_fallback: bool = True,
-                splits: Sequence[str] | None = None, episodes: Sequence[str] | None = None) -> DataFrame:
+                splits: Sequence[str] | None = None, episodes: Sequence[str] | None = None, per_task: int = EPISODES) -> DataFrame:
     """Frames of all episodes, or of those asked for: `*.jpg`, or `*.png` where an episode has no jpg; numbered in natural order.
 
-    A task lists whole episodes, so their frames are chosen and numbered there, without a shuffle. No image is read unless
-    `content` is asked for; select frames first, then `load_content`.
+    A task lists whole episodes, so their frames are chosen and numbered there, without a shuffle; `per_task` of them at
+    least. No image is read unless `content` is asked for; select frames first, then `load_content`.
     """
-    files = _episodes(spark, root, "names", modality, ["jpg", "png"] if png_fallback else ["jpg"], splits, episodes)
+    files = _episodes(spark, root, "names", modality, ["jpg", "png"] if png_fallback else ["jpg"], splits, episodes, per_task)
     frames = files.select(*KEY, "path", "name", F.col("pos").alias(IDX))
     return load_content(spark, frames, root) if content else frames
 
@@ -79,8 +82,7 @@ def load_content(spark: SparkSession, frames: DataFrame, root: str) -> DataFrame
         for b in batches:
             held, first, size = [], 0, 0
             for i, path in enumerate(b.column("path").to_pylist()):
-                with store.open_input_stream(base.rstrip("/") + path[len(top):], compression=None) as f:
-                    held.append(f.read())
+                held.append(read_bytes(store, base.rstrip("/") + path[len(top):]))
                 size += len(held[-1])
                 if size >= CONTENT_BYTES or i == b.num_rows - 1:
                     yield b.slice(first, len(held)).append_column("content", pa.array(held, pa.binary()))
@@ -126,27 +128,28 @@ def scan_outputs(spark: SparkSession, root: str, alias: str) -> DataFrame:
 BLOCKS, PUBLISHERS = 4, 4
 
 
-def write_files(rows: DataFrame, root: str) -> None:
+def write_files(rows: DataFrame, root: str, spare: str | None = None) -> None:
     """Write files below the root: rows (paths, contents) of files that belong together. None is replaced, none comes without the others.
 
     A first job stages the files, a second one gives them their names and removes the staged ones; the driver lists blocks of files
-    only. If the first fails, nothing is there; if the second does, whole rows.
+    only. If the first fails, nothing is there; if the second does, whole rows. With `spare`, a folder of the same mount, staged
+    blocks are kept there, and a later call writes those of their files over that have lost their names by then: a
+    file system that is slow to reuse removed files (ext4 without a journal) then has none to reuse.
     """
     spark, top = register(rows.sparkSession), mounted(_absolute(root))
     staging = staging_folder(top)
+    options = {"staging": staging}
+    if spare is not None:
+        spare_folders(kept := mounted(_absolute(spare)))
+        options["spare"] = kept
     staged = rows.select(F.col("paths").cast("array<string>"), F.col("contents").cast("array<binary>"))
-    staged.write.format(WRITE).option("staging", staging).mode("append").save(_absolute(root))
+    staged.write.format(WRITE).options(**options).mode("append").save(_absolute(root))
     try:
         with open(f"{staging}/committed", encoding="utf-8") as f:
             blocks = json.load(f)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([publish_block(top, x) for x in b.column(0).to_pylist()], pa.int64())], names=["n"])
-
         if blocks:
             tasks = min(-(-len(blocks) // BLOCKS), PUBLISHERS * spark.sparkContext.defaultParallelism)
-            spark.createDataFrame([(b,) for b in blocks], "block string").repartition(tasks).mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+            spark.sparkContext.parallelize(blocks, tasks).foreach(partial(publish_block, top, spare=options.get("spare")))
     finally:
         clean(staging)
 
@@ -165,45 +168,71 @@ def write_outputs(df: DataFrame, root: str) -> None:
         F.array(F.encode(info, "UTF-8"), F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("contents")), root)
 
 
-#: Files and folders that `in_rounds` has on disk at once, about, and slices of a round's rows.
-FILES, SLICES = 1 << 16, 8
+#: Files and folders that `in_rounds` has on disk at once, about, rounds that go on side by side (of LEAST files at least), and
+#: slices of a round's rows.
+FILES, SIDE, LEAST, SLICES = 1 << 16, 2, 1 << 14, 4
 
 
 def in_rounds(rows: DataFrame, episode: Sequence[str], files: Column, source: str, step: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """What `step(rows, root)` returns, for a step that writes episode folders below the root only to read them back from there.
 
-    Whole episodes, told apart by the columns `episode`, are dealt to rounds of some FILES files, a row counting as `files`. The rows
-    that come back from a round are kept as a table and its folders are removed, so the files on disk don't grow with the rows.
-    A single episode is never divided: its files are numbered and chosen together. The root ends in `source`.
+    Whole episodes, told apart by the columns `episode`, are dealt to rounds, a row counting as `files`; rounds side by side have some
+    FILES files. The rows that come back from a round are kept as a table and its folders are removed, so the files on disk don't
+    grow with the rows. A single episode is never divided: its files are numbered and chosen together. The root ends in `source`;
+    `spare_folder` has the spare blocks of the rounds that follow each other.
     """
     spark = rows.sparkSession
     todo, done, base = (shared_folder(spark, tag) for tag in ("rounds", "read", "files"))
-    rounds = max(1, -(-int(rows.agg(F.sum(files)).first()[0] or 0) // FILES))
+    side = max(1, min(SIDE, FILES // LEAST))
+    count, total = rows.agg(F.count(F.lit(1)), F.sum(files)).first()
+    rounds = max(1, -(-int(total or 0) * side // FILES))
     dealt = rows.withColumn("_round", F.pmod(F.xxhash64(*episode), F.lit(rounds)).cast("int"))
-    dealt.repartition(rounds, "_round", F.pmod(F.xxhash64(*rows.columns), F.lit(SLICES))).write.partitionBy("_round").parquet(todo)
+    # an episode's rows are together, for its folder is asked for once then; those of a long one are in several slices
+    ranges = dealt.repartitionByRange(rounds, "_round", *episode, F.xxhash64(*rows.columns)).sortWithinPartitions("_round", *episode)
+    ranges.write.partitionBy("_round").option("maxRecordsPerFile", count // (rounds * SLICES) + 1).parquet(todo)
     kept = spark.read.schema(dealt.schema).parquet(todo)
-    for i in range(rounds):
-        own = kept.where(F.col("_round") == i).drop("_round").repartition(spark.sparkContext.defaultParallelism)
-        back = step(own, f"{base}/{i}/{source}")
-        back.write.mode("append").parquet(done)
-        remove_episodes(spark, f"{base}/{i}/{source}")
-    return spark.read.schema(back.schema).parquet(done)
-
-
-def remove_episodes(spark: SparkSession, root: str) -> None:
-    """Remove a root with all that is below; tasks remove the episode folders, the driver lists their names only."""
+    schemas: list[StructType] = []
+    failed: list[BaseException] = []
+
+    def follow(own: int) -> None:
+        try:
+            spark.createDataFrame([], "none int")  # makes the session that of this thread, without which a Python source is not found
+            for i in range(own, rounds, side):
+                if failed:
+                    return
+                root = f"{base}/{own}/{i}/{source}"
+                back = step(kept.where(F.col("_round") == i).drop("_round"), root)
+                back.write.mode("append").parquet(f"{done}/{own}")
+                schemas.append(back.schema)
+                remove_episodes(spark, root, spare_folder(root))
+            if os.path.exists(spare_folder(root)):
+                remove_episodes(spark, spare_folder(root))
+        except BaseException as e:
+            failed.append(e)
+
+    side = min(side, rounds)
+    with ThreadPoolExecutor(side) as pool:
+        list(pool.map(inheritable_thread_target(spark)(follow), range(side)))
+    shutil.rmtree(mounted(_absolute(base)), ignore_errors=True)
+    if failed:
+        raise failed[0]
+    return spark.read.schema(schemas[0]).parquet(*[f"{done}/{own}" for own in range(side)])
+
+
+def spare_folder(root: str) -> str:
+    """Where the rounds that have their roots beside this one keep staged blocks."""
+    return f"{mounted(_absolute(root)).rsplit('/', 2)[0]}/.spare"
+
+
+def remove_episodes(spark: SparkSession, root: str, spare: str | None = None) -> None:
+    """Remove a root with all that is below; tasks remove the episode folders, the driver lists their names only. With `spare` (see
+    `write_files`), the empty folders of episodes are kept there as well.
+    """
     top = mounted(_absolute(root))
-    splits = [f.path for f in os.scandir(top) if f.is_dir()]
-    folders = [f.path for split in splits for f in os.scandir(split) if f.is_dir()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for folder in b.column(0).to_pylist():
-                shutil.rmtree(folder, ignore_errors=True)
-            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
-
+    splits = [f.path for f in os.scandir(top) if f.is_dir(follow_symlinks=False)]
+    folders = [f.path for split in splits for f in os.scandir(split) if f.is_dir(follow_symlinks=False)]
     if folders:
-        spark.createDataFrame([(f,) for f in folders], "folder string").repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+        spark.sparkContext.parallelize(folders, min(len(folders), spark.sparkContext.defaultParallelism)).foreach(partial(remove_episode, spare=spare))
     shutil.rmtree(top, ignore_errors=True)
 
 
